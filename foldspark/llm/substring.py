@@ -95,7 +95,7 @@ def paths(doc: np.ndarray, row: np.ndarray, raw: np.ndarray, offsets: np.ndarray
     return pa.Table.from_arrays([*map(pa.array, columns), edges], schema=_PATH)
 
 
-def _slices(b: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(b: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of some megabytes of text each."""
     text = b.column(b.schema.get_field_index("text"))
     sizes = np.cumsum(np.nan_to_num(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(float))) if len(b) else []
@@ -110,7 +110,7 @@ def _slices(b: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
 def _emit(k: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in _slices(batch):
+            for b in slices(batch):
                 raw, offsets = X.arrow_bytes(b.column(2))
                 doc = b.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
                 yield from paths(doc, b.column(1).to_numpy(), raw, offsets, k, m).to_batches(max_chunksize=50_000)
@@ -186,7 +186,7 @@ def spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
 def _strip(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in _slices(batch):
+            for b in slices(batch):
                 raw, offsets = X.arrow_bytes(b.column(1))
                 _, d, s, e = X.words(raw, offsets, spans=True)
                 n = X.counts(d, len(b))
