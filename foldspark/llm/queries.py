@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldspark.llm import bpe, imatch, mix, quality, scoring, secret, substring
+from foldspark.llm import bpe, imatch, licenses, mix, quality, scoring, secret, substring
 from foldspark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_document_fingerprints")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare(read(spark, sf_dir, "documents"))
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.scan(read(spark, sf_dir, "documents")))

@@ -55,9 +55,9 @@ def arrow_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def _bounds(raw: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+def _bounds(raw: np.ndarray, offsets: np.ndarray, lo: int, hi: int, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words that lie in raw[lo:hi]; lo and hi don't cut a word."""
-    inside = ~_SPACE[raw[lo:hi]]
+    inside = ~space[raw[lo:hi]]
     first = np.zeros(hi - lo + 1, bool)
     a, b = np.searchsorted(offsets, [lo, hi])
     cut = offsets[a:b] - lo
@@ -70,13 +70,13 @@ def _bounds(raw: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.
     return np.flatnonzero(start) + lo, np.flatnonzero(end) + lo + 1
 
 
-def _pieces(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+def _pieces(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray) -> list[tuple[int, int]]:
     out, lo, n = [], 0, len(raw)
     while lo < n:
         hi = min(lo + PIECE, n)
         step = 4096
-        while hi < n and not _SPACE[raw[hi - 1]]:  # move on to the next white space or text
-            window = np.flatnonzero(_SPACE[raw[hi : hi + step]])
+        while hi < n and not space[raw[hi - 1]]:  # move on to the next white space or text
+            window = np.flatnonzero(space[raw[hi : hi + step]])
             k = np.searchsorted(offsets, hi)
             nearest = int(offsets[k]) if k < len(offsets) else n
             if len(window):
@@ -91,11 +91,11 @@ def _pieces(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, spans: bool = False):
-    """64-bit hash and text index of each word, in order; with spans also its start and end byte."""
+def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, spans: bool = False, space: np.ndarray = _SPACE):
+    """64-bit hash and text index of each word, in order; with spans also its start and end byte. space: separators, by byte."""
     hashes, docs, starts, ends = [], [], [], []
-    for lo, hi in _pieces(raw, offsets):
-        s, e = _bounds(raw, offsets, lo, hi)
+    for lo, hi in _pieces(raw, offsets, space):
+        s, e = _bounds(raw, offsets, lo, hi, space)
         if not len(s):
             continue
         piece = raw[lo:hi]
