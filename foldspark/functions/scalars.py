@@ -58,7 +58,8 @@ def gates(n: Column, encoding: str) -> Column:
 
 def minmax(x: Column, lo: Column, hi: Column, top: float = math.pi) -> Column:
     """x scaled from [lo, hi] to [0, top] and clipped; 0 where lo = hi."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(top), F.try_divide(x - lo, hi - lo) * top)), F.lit(0.0))
+    scaled = F.greatest(F.lit(0.0), F.least(F.lit(top), (x - lo) / (hi - lo) * top))
+    return F.when(hi > lo, scaled).otherwise(F.lit(0.0))
 
 
 def pad_normalize(values: Column, width: int) -> Column:
