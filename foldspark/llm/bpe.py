@@ -111,7 +111,8 @@ def _ddl(df: DataFrame) -> str:
 
 
 def encoded_docs(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK) -> DataFrame:
-    """docs with bpe_ids, an array of ids of the text."""
+    """docs with bpe_ids, an array of ids of the text, in place of a column of that name."""
+    docs = docs.drop("bpe_ids")
     return docs.mapInArrow(_encoder(path, pattern, chunk), _ddl(docs) + ", bpe_ids array<int>")
 
 

@@ -327,4 +327,5 @@ def representatives(docs: DataFrame) -> DataFrame:
     if not ids.filter("times > 1").limit(1).count():
         return kept
     first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*docs.columns))
-    return kept.withColumn("jaccard_place", F.row_number().over(first)).filter("jaccard_place = 1").select(*names)
+    packed = kept.select(F.struct(*names).alias("row"), F.row_number().over(first).alias("place"))
+    return packed.filter("place = 1").select("row.*")

@@ -5,8 +5,7 @@ plus one hash-seeded Bernoulli copy whose probability is the fraction of the rat
 
 Cases: a null or empty text has size 0 and takes 0 words; a null source is a source of its own, after the others;
 repeated rows draw the same coin, as the coin depends on doc_id alone (null doc_id: a coin of its own); an empty table
-gives no rows; further columns are ignored by `mix` and carried by `copies`, except that their names may not be those
-that this module adds, which are prefixed with `mix_`.
+gives no rows; further columns are ignored by `mix` and carried by `copies`, whatever their names.
 """
 
 from __future__ import annotations
@@ -80,12 +79,13 @@ def mix(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.col("mix_size").alias("size"),
         F.col("mix_source_size").alias("source_size"),
-        F.col("mix_target").alias("target"),
+        F.round("mix_target", 6).alias("target"),
         (F.col("mix_copies") * F.col("mix_size")).cast("long").alias("taken"),
     )
 
 
 def copies(docs: DataFrame) -> DataFrame:
     """The mix itself: every document as many times as it is taken, with the columns of docs."""
-    m = _with_rates(docs).filter("mix_copies > 0")
-    return m.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[F.col(c) for c in docs.columns])
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("mix_row"), "doc_id", "text", "source")
+    m = _with_rates(packed).filter("mix_copies > 0").select("mix_row", "mix_copies")
+    return m.select("mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("mix_row.*")

@@ -5,8 +5,7 @@ Rules vote good (1), bad (-1) or abstain (0). Expectation-maximisation over the
 posterior probability of good replaces an all-must-pass filter.
 
 Cases: a null text is an empty text: no words, base_failed, not kept. Repeated rows are judged each by itself and alike.
-An empty table gives no rows. Further columns are ignored (`votes`, `judge`) or carried (`filter_docs`); names that this
-module adds there start with `q_`. Texts are read whole, at any length.
+An empty table gives no rows. Further columns are ignored (`quality`) or carried (`filter_docs`), whatever their names. Texts are read whole, at any length.
 """
 
 from __future__ import annotations
@@ -154,9 +153,10 @@ def quality(docs: DataFrame) -> DataFrame:
     v = written(votes(docs.select("doc_id", "text")).drop("text"))
     j = _judged(v)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
-    return j.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in names])
+    return j.withColumn("q_posterior", F.round("q_posterior", 6)).select("doc_id", *[F.col(f"q_{c}").alias(c) for c in names])
 
 
 def filter_docs(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their columns."""
-    return _judged(written(votes(docs))).filter("q_kept").select(*[F.col(c) for c in docs.columns])
+    """The documents that are kept, with their columns, whatever their names."""
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("q_row"), F.col("text"))
+    return _judged(written(votes(packed).drop("text"))).filter("q_kept").select("q_row.*")

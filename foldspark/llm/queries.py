@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foldspark.llm import bpe, html, imatch, jaccard, licenses, mix, quality, scoring, secret, substring
 from foldspark.llm.common import read
+from foldspark.llm.oracles import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(name: str):
