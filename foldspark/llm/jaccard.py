@@ -99,7 +99,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in slices(batch):
             d, token, size, sid = sets(*X.arrow_bytes(b.column(1)))
-            yield from _table(DOC, b.column(0).cast(pa.int64()), sid, size, 0)
+            yield from _table(DOC, b.column(0).cast(pa.int64()), sid, size, b.column(2).to_numpy())
             at = np.arange(len(d)) - (np.cumsum(size) - size)[d]
             take = _first_of_each(sid, size)[d] & (at < prefix(size)[d])
             d, token = d[take], token[take]
@@ -284,12 +284,12 @@ def _verify(table: pa.Table) -> pa.Table:
 
 
 def nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sid, n) for each row, and (sid, family) for sets with a partner. Only the former are as many as documents."""
+    """(doc_id, row, sid, n) for each row, and (sid, family) for sets with a partner. Only the former are as many as documents."""
     spark = docs.sparkSession
-    p = docs.select("doc_id", "text").mapInArrow(_prefixes, _ROW)
+    p = docs.select("doc_id", "text", row_hash().alias("row")).mapInArrow(_prefixes, _ROW)
     p = p.repartition(partitions(spark), "key").sortWithinPartitions("key")
     counted = written(p.mapInArrow(_shared, _ROW))
-    rows = counted.filter(F.col("kind") == DOC).select(F.col("key").alias("doc_id"), "sid", "n")
+    rows = counted.filter(F.col("kind") == DOC).select(F.col("key").alias("doc_id"), F.col("m").alias("row"), "sid", "n")
     enough = ((3 * F.col("n") + 3 - F.pmod(3 * F.col("n") + 3, F.lit(4))) / 4).cast("int")
     enough = F.floor((enough + 4) / 5)
     left = counted.filter(F.col("kind") == COUNT).groupBy("sid").agg(F.sum("m").alias("m"), F.min("n").alias("n")).filter(F.col("m") >= enough)
@@ -305,10 +305,16 @@ def nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, written(families_.filter("sid <> family"))
 
 
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, n, class) for each row; class: the id of the component's least set, null for an empty set."""
+    rows, family = nodes(docs)
+    rows = rows.join(family, "sid", "left")
+    return rows.select("doc_id", "row", "n", F.when(F.col("n") > 0, F.coalesce("family", "sid")).alias("class"))
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id, a row for each row of docs."""
-    rows, family = nodes(docs)
-    rows = rows.join(family, "sid", "left").withColumn("class", F.coalesce("family", "sid"))
+    rows = classes(docs)
     some = rows.filter("n > 0")
     least = some.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     out = some.join(least, "class").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
@@ -316,16 +322,24 @@ def join(docs: DataFrame) -> DataFrame:
     return out.union(none)
 
 
+def row_hash() -> F.col:
+    """Tells rows with one doc_id apart by their texts."""
+    return F.pmod(F.xxhash64("text"), F.lit(2147483647)).cast("int")
+
+
 def representatives(docs: DataFrame) -> DataFrame:
-    """One row of each component, that with its least doc_id; of rows that repeat it, the first by text."""
-    joined = written(join(docs))
-    mine = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = mine.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("times"))
-    ids = written(ids)
-    names = [F.col(c) for c in docs.columns]
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi").select(*names)
-    if not ids.filter("times > 1").limit(1).count():
-        return kept
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*docs.columns))
-    packed = kept.select(F.struct(*names).alias("row"), F.row_number().over(first).alias("place"))
-    return packed.filter("place = 1").select("row.*")
+    """One row of each component: that with its least doc_id (null ones come last). Empty sets are components of their own;
+    rows that repeat both id and text are one.
+
+    Rows are picked in a sort-merge join at every size, so that small inputs don't behave otherwise than large ones.
+    """
+    rows = written(classes(docs))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first")
+    some = rows.filter("n > 0").groupBy("class").agg(first).select("first.doc_id", "first.row")
+    ids = some.union(rows.filter("n = 0").select("doc_id", "row").distinct()).toDF("kept_id", "kept_row")
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), row_hash().alias("row"))
+    kept = packed.join(ids.hint("merge"), packed["id"].eqNullSafe(ids["kept_id"]) & (packed["row"] == ids["kept_row"]), "left_semi")
+    if rows.groupBy("doc_id", "row").count().filter("count > 1").limit(1).count():
+        place = F.row_number().over(Window.partitionBy("id", "row").orderBy(F.xxhash64("doc")))
+        kept = kept.withColumn("place", place).filter("place = 1")
+    return kept.select("doc.*")
