@@ -133,13 +133,20 @@ def posterior_of(v: tuple[int, ...], accuracy: list[float]) -> float:
     return 1 / (1 + math.exp(-x))
 
 
-def _judged(v: DataFrame) -> DataFrame:
-    """v, a table with votes, with q_posterior and q_kept. Only the table of patterns (3 ** 8 rows at most) leaves the executors."""
-    names = [f"q_v_{r}" for r in RULES]
-    table = v.groupBy(*names).count().collect()
-    accuracy = fit([(tuple(row[c] for c in names), row["count"]) for row in table])
+def _names() -> list[str]:
+    return [f"q_v_{r}" for r in RULES]
+
+
+def _fitted(v: DataFrame) -> list[float]:
+    """Accuracies from a table with votes. Only the table of patterns (3 ** 8 rows at most) leaves the executors."""
+    table = v.groupBy(*_names()).count().collect()
+    return fit([(tuple(row[c] for c in _names()), row["count"]) for row in table])
+
+
+def _judged(v: DataFrame, accuracy: list[float]) -> DataFrame:
+    """v, a table with votes, with q_posterior and q_kept."""
     logit = F.lit(math.log(PRIOR / (1 - PRIOR)))
-    for c, a in zip(names, accuracy, strict=True):
+    for c, a in zip(_names(), accuracy, strict=True):
         logit = logit + F.col(c) * F.lit(math.log(a / (1 - a)))
     posterior = F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
     return v.withColumn("q_posterior", posterior).withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_posterior") >= KEEP))
@@ -151,12 +158,18 @@ def quality(docs: DataFrame) -> DataFrame:
     Measures are written once, without texts, to the shared folder.
     """
     v = written(votes(docs.select("doc_id", "text")).drop("text"))
-    j = _judged(v)
+    j = _judged(v, _fitted(v))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
     return j.withColumn("q_posterior", F.round("q_posterior", 6)).select("doc_id", *[F.col(f"q_{c}").alias(c) for c in names])
 
 
 def filter_docs(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their columns, whatever their names."""
+    """The documents that are kept, with their columns, whatever their names.
+
+    Measures are computed twice, as writing them for the second pass would mean writing the texts as well.
+    """
+    accuracy = _fitted(votes(docs.select("text")))
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("q_row"), F.col("text"))
-    return _judged(written(votes(packed).drop("text"))).filter("q_kept").select("q_row.*")
+    judged = _judged(votes(packed).drop("text"), accuracy)
+    # a filter moves down through deterministic columns, and would then compute staged ones anew for each element
+    return judged.withColumn("q_at", F.monotonically_increasing_id()).filter("q_kept and q_at >= 0").select("q_row.*")
