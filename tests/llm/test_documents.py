@@ -1,0 +1,304 @@
+"""Each document operator against a plain version, on nulls, empty and long texts, ties, repeated rows, no rows and odd columns."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from foldspark.llm import bpe, imatch, jaccard, licenses, mix, quality, scoring, secret, substring
+from foldspark.llm.queries import tokenizer
+from tests.llm.conftest import SCHEMA, lower, texts, words
+
+
+def by_id(df, drop=()):
+    return sorted(tuple(r[c] for c in df.columns if c not in drop) for r in df.collect())
+
+
+def plain_mix(rows):
+    size = collections.Counter()
+    for _, t, s in rows:
+        size[s] += len(words(t))
+    order = sorted((s for s in size if s is not None)) + [None] * (None in size)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    open_, left, target = set(order), 1.5 * sum(size.values()), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if 2 * size[s] <= weight[s] * level}
+        if not full:
+            target.update({s: weight[s] * level for s in open_})
+            break
+        for s in full:
+            target[s] = 2.0 * size[s]
+            left -= target[s]
+        open_ -= full
+    return size, target
+
+
+def test_mix(docs, wide, empty):
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    size, target = plain_mix(rows)
+    got = mix.mix(docs).collect()
+    assert len(got) == len(rows)
+    source = {i: s for i, _, s in rows}
+    for r in got:
+        s = source[r["doc_id"]]
+        assert r["source_size"] == size[s] and r["target"] == pytest.approx(target[s], abs=1e-5)
+        assert r["taken"] <= 2 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mix.mix(docs.repartition(5)).collect()))
+    out = mix.copies(wide)
+    assert out.columns == wide.columns
+    taken = collections.Counter(r["doc_id"] for r in out.collect())
+    want = collections.Counter()
+    for r in got:
+        want[r["doc_id"]] += r["taken"] // r["size"] if r["size"] else 0
+    assert all(taken[i] >= n for i, n in want.items())
+    assert mix.mix(empty).count() == 0 and mix.copies(empty).count() == 0
+
+
+def test_mix_of_many_sources(spark):
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.choice([0, 1, 5, 400]), rng.choice(["a", "b", "c", "d", None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size, target = plain_mix(rows)
+    got = {r["source"]: (r["source_size"], r["target"]) for r in mix.targets(df.selectExpr("source", "size(filter(split(text, ' '), x -> x <> '')) as size")).collect()}
+    assert {s: n for s, (n, _) in got.items()} == dict(size)
+    assert all(t == pytest.approx(target[s]) for s, (_, t) in got.items())
+    assert sum(target.values()) == pytest.approx(1.5 * sum(size.values()))
+
+
+def plain_measures(t):
+    t = t or ""
+    w = words(t)
+    lines = [x for x in t.split("\n") if words(x)]
+    count = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {i + k for i in range(len(w) - 2) if count[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality(docs, wide, empty):
+    got = collections.Counter(tuple(r[c] for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) for r in quality.quality(docs).collect())
+    want = collections.Counter()
+    for i, t in texts():
+        m = plain_measures(t)
+        want[(i, *m, m[0] < 50 or 100 * m[4] > 50 * m[0])] += 1
+    assert got == want
+    kept = quality.filter_docs(wide)
+    assert kept.columns == wide.columns
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert {1, 2, 3, 4, 17} <= ids and not ids & {6, 7, 8, 9, 13, 15, 16}
+    assert quality.quality(empty).count() == 0
+
+
+def test_label_model_learns_from_agreement():
+    patterns = [((0, 0, 0, -1, -1, 0, -1, 0), 300), ((0, 0, 0, 0, 0, 0, 0, 1), 2000), ((0, 0, -1, 0, 0, 0, 0, 1), 200)]
+    a = quality.fit(patterns)
+    assert a[3] > 0.9 and a[2] < 0.8
+    assert quality.posterior_of(patterns[0][0], a) < 0.5 < quality.posterior_of(patterns[1][0], a)
+    assert quality.fit([]) == [quality.ACCURACY] * len(quality.RULES)
+
+
+def plain_dedup(rows, k):
+    own, out = {}, collections.Counter()
+    for i, t in rows:
+        w = words(t)
+        for j in range(len(w) - k + 1):
+            key = tuple(w[j : j + k])
+            own[key] = min(own.get(key, i), i)
+    for i, t in rows:
+        w = words(t)
+        gone = {x for j in range(len(w) - k + 1) if own[tuple(w[j : j + k])] < i for x in range(j, j + k)}
+        kept = " ".join(x for j, x in enumerate(w) if j not in gone)
+        out[i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept] += 1
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_substring_dedup(spark, docs, empty, parts):
+    rng = random.Random(parts)
+    vocabulary = "abcdef"
+    rows = texts() + [(100 + i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 90)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    assert collections.Counter(map(tuple, substring.dedup(df).collect())) == plain_dedup(rows, 13)
+    assert substring.dedup(empty).count() == 0
+
+
+def shingles(t):
+    w = words(lower(t))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def plain_components(rows):
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                up[root(a)] = root(b)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), doc), doc)
+    return collections.Counter((doc, len(sets[i]), least[root(i)]) for i, (doc, _) in enumerate(rows))
+
+
+def test_jaccard_join(spark, wide, empty):
+    rng = random.Random(3)
+    rows = texts()
+    for n in (1, 2, 3, 4, 6, 8, 12, 14, 20, 40, 80, 150):
+        base = [f"t{n}_{rng.randint(0, 10**6)}" for _ in range(n + 4)]
+        for k in range(14):  # variants on both sides of the threshold
+            w = list(base)
+            for _ in range(rng.randint(0, 1 + n // 12)):
+                w[rng.randrange(len(w))] = f"edit{rng.randint(0, 10**6)}"
+            w = w[: max(1, len(w) - rng.randint(0, 1 + n // 6))] if k % 3 == 0 else w
+            rows.append((1000 + len(rows), " ".join(w)))
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert collections.Counter(map(tuple, jaccard.join(df).collect())) == plain_components(rows)
+    kept = jaccard.representatives(wide)
+    assert kept.columns == wide.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for (_, _, c) in plain_components(texts())})
+    assert jaccard.join(empty).count() == 0 and jaccard.representatives(empty).count() == 0
+
+
+def test_combinations_never_miss():
+    """The bounds that the index relies on, for all sizes that matter: similar unequal sets share a combination."""
+    for a in range(1, 400):
+        for b in range(a, 4 * a // 3 + 1):
+            i = -(-3 * (a + b) // 7)
+            if i > a or (a == b == i):
+                continue
+            if a <= 13 and b <= 13:
+                assert 3 * i - (a + b) - 1 >= 1
+            else:
+                assert a >= 11 and 5 * i - 2 * (a + b) - 2 >= 1
+            assert min(jaccard.need(a), jaccard.need(b)) <= min((b + 4) // 5, (a + 4) // 5)
+
+
+def plain_secrets(t):
+    t, out = t or "", []
+    for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.A):
+        if len(m[1]) >= 8:
+            out.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    out += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    out += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return ",".join(x for *_, x in sorted(out))
+
+
+def test_secrets(docs, wide, empty):
+    got = collections.Counter((r["doc_id"], r["base_sha256"]) for r in secret.digests(secret.scan(docs)).collect())
+    assert got == collections.Counter((i, hashlib.sha256(plain_secrets(t).encode()).hexdigest()) for i, t in texts())
+    out = secret.redact(wide)
+    assert out.columns == wide.columns
+    by = {r["doc_id"]: r for r in out.collect()}
+    assert "0123456789abcdef" not in by[12]["text"] or by[12]["text"] == dict(texts())[12]
+    assert by[6]["text"] is None and by[5]["text"] == dict(texts())[5]
+    assert all(r["n_chars"] == len(r["text"]) for r in out.collect() if r["text"] is not None)
+    assert secret.scan(empty).count() == 0
+
+
+def test_checksums_decide():
+    body = "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5"
+    good = f"x ghp_{body}{secret.checksum(body)} y"
+    assert [k for *_, k in secret.spans(good)] == ["github"]
+    assert secret.spans(good.replace("a1B2", "a1B3")) == []
+    rng = random.Random(0)
+    pieces = ["token", "api_key", "API-KEY", "=", ":", " ", '"', "abcdefgh", "secret", "AKIA", "ABCD1234", "deadbeef" * 4, "é", "İ", "\n"]
+    for _ in range(500):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 20)))
+        assert ",".join(f"{k}:{a}:{b}" for a, b, k in secret.spans(t) if k in secret.BASE) == plain_secrets(t)
+
+
+def test_bpe(docs, wide, empty):
+    path, pattern = tokenizer()
+    enc = bpe.encoding(path, pattern)
+    got = collections.Counter(map(tuple, bpe.round_trip(docs, path, pattern, chunk=64).collect()))
+    want = collections.Counter()
+    for i, t in texts():
+        ids = enc.encode_ordinary(t or "")
+        want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
+    assert got == want
+    assert bpe.encoded_docs(wide, path, pattern).columns == [*[c for c in wide.columns if c != "bpe_ids"], "bpe_ids"]
+    assert bpe.round_trip(empty, path, pattern).count() == 0
+    rng = random.Random(2)
+    for _ in range(200):
+        t = "".join(rng.choice(["a", "b ", " ", "\n", "\n\n", "été", "'s", "12", "!!", "   x", "\t"]) for _ in range(rng.randint(0, 80)))
+        for chunk in (3, 9, 30):
+            assert bpe.encode_text(t, path, pattern, chunk) == enc.encode_ordinary(t)
+
+
+@pytest.mark.parametrize("top", [1 << 20, 40])
+def test_scoring(docs, empty, monkeypatch, top):
+    monkeypatch.setattr(scoring, "TOP", top)
+    count = collections.Counter()
+    for i, t in texts():
+        if zlib.crc32(str(i).encode()) % 10:
+            count.update([*words(lower(t)), None])
+    n, below = sum(count.values()), sum(count.values()) + 0.1 * (len(count) + 1)
+    got = scoring.score(docs).collect()
+    assert len(got) == len(texts())
+    want = collections.defaultdict(list)
+    for i, t in texts():
+        w = [*words(lower(t)), None]
+        want[i].append((len(w), sum(count[x] > 0 for x in w), round(sum(math.log10((count[x] + 0.1) / below) for x in w), 6)))
+    have = collections.defaultdict(list)
+    for r in got:
+        assert r["train_tokens"] == n and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0) and r["score"] < 0
+        have[r["doc_id"]].append((r["n_tokens"], r["n_known"], round(r["base_score"], 6)))
+    assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
+    assert scoring.score(empty).count() == 0
+
+
+def test_filter_holds_levels(spark):
+    rows = [(0, int(h), int(n)) for h, n in zip(np.random.default_rng(0).integers(-(2**62), 2**62, 500), [1, 2, 5, 40, 1000] * 100, strict=True)]
+    df = spark.createDataFrame(rows, "kind int, h long, n long")
+    levels = {r["q"]: r["count"] for r in df.groupBy(scoring.level(df["n"]).alias("q")).count().collect()}
+    bits = np.frombuffer(scoring.build(df, {0: levels}), np.uint8)
+    got = scoring.probe(bits, np.array([h for _, h, _ in rows]).view(np.uint64))
+    assert all(n / 1.6 <= g <= n * 1.6 for g, (_, _, n) in zip(got, rows, strict=True))
+    assert (scoring.probe(bits, np.arange(1, 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) == 0).mean() > 0.99
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_fingerprints(spark, docs, empty, parts):
+    rows = [(i, t) for i, t in texts() if (i, t) != texts()[12]]
+    got = {r["doc_id"]: r for r in imatch.compare(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()}
+    order = sorted(rows, reverse=True, key=lambda r: r[0])
+    assert len(got) == len(rows)
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
+    assert got[1]["fingerprint"] == got[2]["fingerprint"] != got[4]["fingerprint"]
+    assert got[2]["near_next"] == 1.0 and got[6]["fingerprint"] == got[7]["fingerprint"]
+    assert imatch.compare(empty).count() == 0
+    assert imatch.compare(docs).count() == docs.count()
+
+
+def test_licenses(spark, empty):
+    mit = licenses.TEMPLATES[1][1]
+    cut = mit.split()
+    rows = [(1, "Header.\nReleased *under* the MIT License. Tail"), (2, "see " + mit + " end"), (3, " ".join(cut[:30] + ["really"] + cut[30:])), (4, " ".join(cut[: len(cut) // 2])), (5, None), (6, "license"),
+            (7, "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0."), (7, "é Released under the MIT License.")]
+    got = collections.defaultdict(list)
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]] += [(m["license"], round(m["coverage"], 3), m["start"], m["end"]) for m in r["matches"]]
+    assert got[1] == [("MIT", 1.0, 8, 40)]
+    assert got[2][0][:2] == ("MIT", 1.0) and got[3][0][0] == "MIT" and got[3][0][1] == 1.0
+    assert got[4] == got[5] == got[6] == []
+    assert sorted(got[7]) == sorted([("CC-BY-NC-4.0", 1.0, 0, 27), ("CC-BY-NC-4.0", 1.0, 29, 56), ("MIT", 1.0, 2, 32)])
+    assert licenses.scan(empty).count() == 0
+    assert SCHEMA
