@@ -121,13 +121,14 @@ def matches(h: np.ndarray, index: Index, least: float = COVERAGE, band: int = BA
     at, template, place = index.hits(X.windows(h, GRAM))
     found = []
     for t in np.unique(template):
+        width = min(band, max(1, len(index.words[t]) // 4))  # narrower for short templates, which may follow one another
         mine = np.flatnonzero(template == t)
         shift = np.sort(at[mine] - place[mine])
-        cut = np.flatnonzero(np.diff(shift, prepend=shift[0] - band - 1) > band)
+        cut = np.flatnonzero(np.diff(shift, prepend=shift[0] - width - 1) > width)
         for a, b in zip(cut, [*cut[1:], len(shift)], strict=True):
             mid = int(shift[(a + b - 1) // 2])
-            lo = max(0, mid - band)
-            k, first, last = align(index.words[t], h[lo : mid + len(index.words[t]) + band], mid - lo, band)
+            lo = max(0, mid - width)
+            k, first, last = align(index.words[t], h[lo : mid + len(index.words[t]) + width], mid - lo, width)
             if k >= least * len(index.words[t]):
                 found.append((int(t), k, first + lo, last + lo))
     found.sort(key=lambda x: (-x[1], x[0], x[2]))

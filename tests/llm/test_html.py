@@ -31,9 +31,9 @@ def test_unknown_clutter_inside():
 
 def test_decoding_never_contradicts_itself():
     nodes, _ = H.parse("<div><p>a</p><div><p>b</p></div></div>")
-    keep = H.decode(nodes, [-1, 2, 1, -3, 5])
+    keep = H.decode(nodes, [-1, 9, 1, -3, 5])
     assert keep == [False, True, True, True, True]
-    assert H.decode(nodes, [-1, 2, 1, -3, 2]) == [False, True, True, False, False]
+    assert H.decode(nodes, [-1, 4, 1, -3, 2]) == [False, True, True, False, False]
 
 
 def test_parser_takes_what_comes():
