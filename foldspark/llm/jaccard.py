@@ -28,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldspark.llm import scoring
 from foldspark.llm import text as X
 from foldspark.llm.common import partitions, written
 from foldspark.llm.components import components
@@ -37,6 +36,8 @@ from foldspark.llm.substring import slices
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 3, 4  # similarity 0.75
 DOC, TOKEN, SHARED_TOKEN, COUNT = 0, 1, 2, 3
+#: The filter of sets: its size and segments as powers of two, and bits set for each of them.
+BITS, SEGMENT_BITS, PROBES = 28, 8, 5
 _ROW = "kind int, key long, sid long, n int, m int"
 
 
@@ -156,12 +157,37 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _table(COUNT, who, who, n[take][first], count)
 
 
+def _positions(h: np.ndarray) -> list[np.ndarray]:
+    """Bit positions of a set's id, in one segment, which its first bits name."""
+    x = X.mix(h + X.U64(0xD1B54A32D192ED03))
+    width = X.U64(BITS - SEGMENT_BITS)
+    base = (h >> X.U64(64 - SEGMENT_BITS)) << width
+    mask = (X.U64(1) << width) - X.U64(1)
+    step = (x >> X.U64(32)) | X.U64(1)
+    return [base + (((x & mask) + X.U64(i) * step) & mask) for i in range(PROBES)]
+
+
+def _segment(table: pa.Table) -> pa.Table:
+    number = table.column("segment")[0].as_py()
+    bits = np.zeros(1 << (BITS - SEGMENT_BITS), bool)
+    for p in _positions(table.column("sid").to_numpy().view(X.U64)):
+        bits[(p & X.U64(len(bits) - 1)).astype(np.int64)] = True
+    return pa.table({"segment": pa.array([number], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+def _member(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    found = np.ones(len(h), bool)
+    for p in _positions(h):
+        found &= (bits[(p >> X.U64(3)).astype(np.int64)] >> (p & X.U64(7)).astype(np.uint8)) & 1 > 0
+    return found
+
+
 def members(sids: DataFrame):
     """A broadcast filter of a fixed size with these sets' ids; it may let others through, never less."""
-    rows = sids.select(F.shiftrightunsigned("sid", 64 - scoring.SEGMENT_BITS).cast("int").alias("segment"), F.col("sid").alias("h"), F.lit(1).alias("q"))
-    size = 1 << (scoring.BITS - 3 - scoring.SEGMENT_BITS)
-    out = bytearray(size << scoring.SEGMENT_BITS)
-    for row in rows.groupBy("segment").applyInArrow(scoring.segment, "segment int, bits binary").collect():
+    rows = sids.select(F.shiftrightunsigned("sid", 64 - SEGMENT_BITS).cast("int").alias("segment"), "sid")
+    size = 1 << (BITS - 3 - SEGMENT_BITS)
+    out = bytearray(size << SEGMENT_BITS)
+    for row in rows.groupBy("segment").applyInArrow(_segment, "segment int, bits binary").collect():
         out[row["segment"] * size : (row["segment"] + 1) * size] = row["bits"]
     return sids.sparkSession.sparkContext.broadcast(bytes(out))
 
@@ -173,7 +199,7 @@ def _combinations(shared):
         for batch in batches:
             for b in slices(batch):
                 d, token, size, sid = sets(*X.arrow_bytes(b.column(0)))
-                take = _first_of_each(sid, size) & (scoring.probe(bits, sid, 1) > 0)
+                take = _first_of_each(sid, size) & _member(bits, sid)
                 d, token = d[take[d]], token[take[d]]
                 keys, owners = [], []
                 for k, fits in ((2, size <= 13), (3, size >= 11)):
@@ -218,7 +244,7 @@ def _token_sets(shared):
         for batch in batches:
             for b in slices(batch):
                 d, token, size, sid = sets(*X.arrow_bytes(b.column(0)))
-                take = np.flatnonzero(_first_of_each(sid, size) & (scoring.probe(bits, sid, 1) > 0))
+                take = np.flatnonzero(_first_of_each(sid, size) & _member(bits, sid))
                 at = np.cumsum(size)
                 data = [token[at[i] - size[i] : at[i]].tobytes() for i in take]
                 t = pa.table({"sid": pa.array(sid[take].view(np.int64)), "tokens": pa.array(data, pa.binary())})

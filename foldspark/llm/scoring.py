@@ -1,10 +1,11 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Word and word-pair counts over all training texts are aggregated exactly. A filter of a fixed size holds them quantised: an
-n-gram of level q, where count is about BASE ** (q - 1), is stored as q entries (n-gram, 1) to (n-gram, q), and a reader
-probes level after level until the first miss. The least level that is stored follows from the table of levels, so that the
-filter never holds more than its size allows; n-grams below it count as unseen pairs, or as words of count zero, in the model
-alone. The model mixes the pair's relative frequency with the smoothed frequency of the word.
+The filter holds counts of words and word pairs over all training texts, quantised: an n-gram of level q, where count is about
+BASE ** (q - 1), is stored as q entries (n-gram, 1) to (n-gram, q), and a reader probes level after level until the first
+miss. The filter grows with the corpus: it is cut by n-gram hash into as many segments as the texts' size asks for, each of
+BITS_PER_ENTRY bits or more an entry, and no counted n-gram is left out. No task holds it whole: each slice of the documents
+sends its distinct n-grams with their counts to the segments, where they are added up exactly, and their levels come back to
+the slice. The model mixes the pair's relative frequency with the smoothed frequency of the word.
 
 The base score needs exact counts of all words: the most frequent words (at most TOP) are broadcast, and what remains of each
 document goes through a join with the table of counts.
@@ -27,18 +28,17 @@ from foldspark.llm import text as X
 from foldspark.llm.common import written
 from foldspark.llm.substring import slices
 
-BITS = 28
-SEGMENT_BITS = 8
 PROBES = 5
 BITS_PER_ENTRY = 10
+#: N-grams, distinct within a slice each, that meet in a segment on average, at most.
+SEGMENT_NGRAMS = 1 << 22
+SLICE = 4 << 20
 BASE = 1.5
-LEAST_PAIR = 2
 TOP = 1 << 20
 PAIR_WEIGHT = 0.2
 SMOOTHING = 0.1
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 START = np.uint64(0x57A4757A4757A475)
-WORDS, PAIRS = 0, 1
 
 
 def sequences(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,18 +67,13 @@ def contexts(tokens: np.ndarray, docs: np.ndarray) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in slices(batch, 6 << 20):
-            raw, offsets = X.arrow_bytes(b.column(0))
-            tokens, pairs, _ = sequences(raw, offsets)
-            for kind, x in ((WORDS, tokens), (PAIRS, pairs)):
-                u, n = np.unique(x, return_counts=True)
-                t = pa.Table.from_arrays([pa.array(np.full(len(u), kind, np.int8)), pa.array(u.view(np.int64)), pa.array(n)], ["kind", "h", "n"])
-                yield from t.to_batches(max_chunksize=100_000)
+            u, n = np.unique(sequences(*X.arrow_bytes(b.column(0)))[0], return_counts=True)
+            yield from pa.table({"h": u.view(np.int64), "n": n}).to_batches(max_chunksize=100_000)
 
 
-def count_table(train: DataFrame) -> DataFrame:
-    """(kind, h, n) over all texts; pairs only from LEAST_PAIR on, which are all that the filter takes."""
-    c = train.select("text").mapInArrow(_count, "kind tinyint, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
-    return written(c.filter((F.col("kind") == WORDS) | (F.col("n") >= LEAST_PAIR)))
+def word_table(train: DataFrame) -> DataFrame:
+    """(h, n) of the words of all texts."""
+    return written(train.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
 
 
 def level(n: F.col) -> F.col:
@@ -86,115 +81,138 @@ def level(n: F.col) -> F.col:
     return (F.floor(F.log(n.cast("double")) / math.log(BASE) + 1e-9) + 1).cast("int")
 
 
-def _positions(h: np.ndarray, j: np.ndarray | int) -> list[np.ndarray]:
-    """Bit positions of entry (h, j). All entries of an n-gram lie in one segment, which its first bits name."""
-    x = X.mix(h + np.asarray(j, X.U64) * X.U64(0xD1B54A32D192ED03))
-    width = BITS - SEGMENT_BITS
-    base = (h >> X.U64(64 - SEGMENT_BITS)) << X.U64(width)
-    mask = X.U64((1 << width) - 1)
-    a, step = x & mask, (x >> X.U64(32)) | X.U64(1)
-    return [base + ((a + X.U64(i) * step) & mask) for i in range(PROBES)]
+def _positions(h: np.ndarray, j: int, size: int) -> list[np.ndarray]:
+    """Bit positions of entry (h, j) in a segment of size bits, a power of two."""
+    x = X.mix(h + X.U64(j * 0xD1B54A32D192ED03 % (1 << 64)))
+    mask = X.U64(size - 1)
+    step = (x >> X.U64(32)) | X.U64(1)
+    return [(x + X.U64(i) * step) & mask for i in range(PROBES)]
 
 
-def segment(table: pa.Table) -> pa.Table:
-    """One segment of the filter from its n-grams; a segment takes at most its share of the filter's capacity, on average."""
-    number = table.column("segment")[0].as_py()
-    h = table.column("h").to_numpy().view(X.U64)
-    q = table.column("q").to_numpy()
-    bits = np.zeros(1 << (BITS - SEGMENT_BITS), bool)
-    first = X.U64(number) << X.U64(BITS - SEGMENT_BITS)
+def fill(h: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """A segment's bits, packed: at least BITS_PER_ENTRY for each of its entries."""
+    bits = np.zeros(1 << max(10, int(BITS_PER_ENTRY * q.sum(dtype=np.int64)).bit_length()), bool)
     for j in range(1, int(q.max(initial=0)) + 1):
-        for p in _positions(h[q >= j], j):
-            bits[(p - first).astype(np.int64)] = True
-    return pa.table({"segment": pa.array([number], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+        for p in _positions(h[q >= j], j, len(bits)):
+            bits[p.astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
 
 
-def build(counts: DataFrame, levels: dict[int, dict[int, int]]) -> bytes:
-    """The filter's bytes (2 ** BITS bits, whatever the corpus)."""
-    room = (1 << BITS) // BITS_PER_ENTRY // 2
-    keep = []
-    for kind in (WORDS, PAIRS):
-        used, least = 0, None
-        for q in sorted(levels.get(kind, {}), reverse=True):
-            used += q * levels[kind][q]
-            if used > room:
-                break
-            least = q
-        if least is not None:
-            keep.append((F.col("kind") == kind) & (F.col("q") >= least))
-    out = bytearray(1 << (BITS - 3))
-    if keep:
-        chosen = keep[0]
-        for k in keep[1:]:
-            chosen = chosen | k
-        entries = counts.withColumn("q", level(F.col("n"))).filter(chosen)
-        entries = entries.select(F.shiftrightunsigned("h", 64 - SEGMENT_BITS).cast("int").alias("segment"), "h", "q")
-        size = len(out) >> SEGMENT_BITS
-        for row in entries.groupBy("segment").applyInArrow(segment, "segment int, bits binary").collect():
-            out[row["segment"] * size : (row["segment"] + 1) * size] = row["bits"]
-    return bytes(out)
-
-
-def probe(bits: np.ndarray, h: np.ndarray, most: int | None = None) -> np.ndarray:
-    """Estimated count of each n-gram: levels are probed in turn until one is missing (most: the last level to probe)."""
-    q = np.zeros(len(h), np.int32)
+def probe_levels(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Level of each n-gram: levels are probed in turn until one is missing."""
+    q = np.zeros(len(h), np.uint8)
     live = np.arange(len(h))
     j = 1
-    while len(live) and (most is None or j <= most):
+    while len(live) and j < 256:
         found = np.ones(len(live), bool)
-        for p in _positions(h[live], j):
+        for p in _positions(h[live], j, 8 * len(bits)):
             found &= (bits[(p >> X.U64(3)).astype(np.int64)] >> (p & X.U64(7)).astype(np.uint8)) & 1 > 0
         live = live[found]
         q[live] = j
         j += 1
+    return q
+
+
+def estimates(q: np.ndarray) -> np.ndarray:
+    """Estimated count of each level."""
     out = BASE ** (q - 1.0) * (1 + BASE) / 2
     out[q <= 2] = q[q <= 2]
-    out[q == 0] = 0
     return out
 
 
+def probe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Estimated count of each n-gram."""
+    return estimates(probe_levels(bits, h))
+
+
+def build(counts: DataFrame, levels: dict[int, dict[int, int]]) -> bytes:
+    """The filter of a small table in one piece."""
+    t = counts.filter(F.col("kind").isin(list(levels))).select("h", level(F.col("n")).alias("q")).toArrow()
+    return fill(t.column("h").to_numpy().view(X.U64), t.column("q").to_numpy()).tobytes()
+
+
+def segment_bits(size: int) -> int:
+    """How many bits of an n-gram's hash name its segment, for texts of size bytes: a word and a pair for some five bytes."""
+    return max(1, (2 * size // 5 // SEGMENT_NGRAMS).bit_length())
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values of data up to each of ends, in bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, and where each value ends."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), np.uint8), np.cumsum([len(x) for x in values], dtype=np.int64)
+
+
+def _ask(bits: int):
+    """The distinct n-grams of a slice of documents, sorted, with their counts in training texts: a row for each segment."""
+
+    def run(b: pa.Table) -> pa.Table:
+        tokens, pairs, docs = sequences(*X.arrow_bytes(b.column("text")))
+        u, inverse = np.unique(np.concatenate([tokens, pairs]), return_inverse=True)
+        train = ~b.column("held_out").to_numpy()[docs]
+        counts = np.bincount(inverse[np.concatenate([train, train])], minlength=len(u)).astype(np.uint32)
+        part = (u >> X.U64(64 - bits)).astype(np.int64)
+        ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(u))
+        name = pa.array(np.full(len(ends), b.column("slice")[0].as_py()))
+        return pa.table({"slice": name, "part": pa.array(part[ends - 1].astype(np.int32)), "asked": _binary(u, 8 * ends), "counts": _binary(counts, 4 * ends)})
+
+    return run
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """One segment: n-grams of all slices, their counts added up, and the levels that a slice finds in the filter."""
+    data, ends = _bytes(asked.column("asked"))
+    u, inverse = np.unique(data.view(X.U64), return_inverse=True)
+    n = np.zeros(len(u), np.int64)
+    np.add.at(n, inverse, _bytes(asked.column("counts"))[0].view(np.uint32).astype(np.int64))
+    q = np.where(n > 0, np.floor(np.log(np.maximum(n, 1)) / math.log(BASE) + 1e-9) + 1, 0).astype(np.int32)
+    found = probe_levels(fill(u[q > 0], q[q > 0]), u)[inverse]
+    return pa.table({"slice": asked.column("slice"), "part": asked.column("part"), "levels": _binary(found, ends // 8)})
+
+
 def _scorer(shared, total: int, distinct: int):
     below = total + SMOOTHING * (distinct + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw_bits, top_h, top_n = shared.value
-        bits = np.frombuffer(raw_bits, np.uint8)
-        for batch in batches:
-            for b in slices(batch, 4 << 20):
-                raw, offsets = X.arrow_bytes(b.column(2))
-                tokens, pairs, docs = sequences(raw, offsets)
-                n = len(b)
-                u, inverse = np.unique(tokens, return_inverse=True)
-                estimate = probe(bits, u)
-                word = (estimate + SMOOTHING) / below
-                v, back = np.unique(pairs, return_inverse=True)
-                together = probe(bits, v)[back]
-                before = estimate[np.searchsorted(u, contexts(tokens, docs))]
-                p = (1 - PAIR_WEIGHT) * word[inverse] + PAIR_WEIGHT * np.minimum(1.0, np.divide(together, before, out=np.zeros(len(docs)), where=before > 0))
-                score = np.bincount(docs, np.log10(p), n)
-                at = np.minimum(np.searchsorted(top_h, u), max(len(top_h) - 1, 0))
-                known = (top_h[at] == u) if len(top_h) else np.zeros(len(u), bool)
-                count = np.where(known, top_n[at] if len(top_h) else 0, 0)
-                k = known[inverse]
-                value = np.log10((count + SMOOTHING) / below)[inverse]
-                columns = [
-                    b.column(0), b.column(1), b.column(3), pa.array(np.zeros(n, np.int64)), pa.array(X.counts(docs, n)),
-                    pa.array(np.bincount(docs[k], minlength=n).astype(np.int64)), pa.array(np.bincount(docs[k], value[k], n)), pa.array(score)]
-                names = ["doc_id", "key", "held_out", "h", "n", "known", "base", "score"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.zeros(n, bool))], [*names, "rest"])
-                d, w = docs[~k], tokens[~k]  # words for the join, once for each text
-                order = np.lexsort((w, d))
-                d, w = d[order], w[order]
-                head = np.ones(len(d), bool)
-                head[1:] = (d[1:] != d[:-1]) | (w[1:] != w[:-1])
-                s = np.flatnonzero(head)
-                m = np.diff(np.append(s, len(d)))
-                d, w = pa.array(d[s]), pa.array(w[s].view(np.int64))
-                none, zero = pa.nulls(len(s), pa.float64()), pa.array(np.zeros(len(s), np.int64))
-                t = pa.Table.from_arrays(
-                    [b.column(0).take(d), b.column(1).take(d), b.column(3).take(d), w, pa.array(m), zero, none, none, pa.array(np.ones(len(s), bool))],
-                    [*names, "rest"])
-                yield from t.to_batches(max_chunksize=100_000)
+    def run(b: pa.Table, answers: pa.Table) -> pa.Table:
+        top_h, top_n = shared.value
+        tokens, pairs, docs = sequences(*X.arrow_bytes(b.column("text")))
+        n = len(b)
+        looked_up = np.unique(np.concatenate([tokens, pairs]))
+        known_as = estimates(_bytes(answers.sort_by("part").column("levels"))[0])
+        u, inverse = np.unique(tokens, return_inverse=True)
+        estimate = known_as[np.searchsorted(looked_up, u)]
+        word = (estimate + SMOOTHING) / below
+        together = known_as[np.searchsorted(looked_up, pairs)]
+        before = estimate[np.searchsorted(u, contexts(tokens, docs))]
+        p = (1 - PAIR_WEIGHT) * word[inverse] + PAIR_WEIGHT * np.minimum(1.0, np.divide(together, before, out=np.zeros(len(docs)), where=before > 0))
+        score = np.bincount(docs, np.log10(p), n)
+        at = np.minimum(np.searchsorted(top_h, u), max(len(top_h) - 1, 0))
+        known = (top_h[at] == u) if len(top_h) else np.zeros(len(u), bool)
+        count = np.where(known, top_n[at] if len(top_h) else 0, 0)
+        k = known[inverse]
+        value = np.log10((count + SMOOTHING) / below)[inverse]
+        columns = [
+            b.column("doc_id"), b.column("key"), b.column("held_out"), pa.array(np.zeros(n, np.int64)), pa.array(X.counts(docs, n)),
+            pa.array(np.bincount(docs[k], minlength=n).astype(np.int64)), pa.array(np.bincount(docs[k], value[k], n)), pa.array(score)]
+        names = ["doc_id", "key", "held_out", "h", "n", "known", "base", "score"]
+        own = pa.Table.from_arrays([*columns, pa.array(np.zeros(n, bool))], [*names, "rest"])
+        d, w = docs[~k], tokens[~k]  # words for the join, once for each text
+        order = np.lexsort((w, d))
+        d, w = d[order], w[order]
+        head = np.ones(len(d), bool)
+        head[1:] = (d[1:] != d[:-1]) | (w[1:] != w[:-1])
+        s = np.flatnonzero(head)
+        m = np.diff(np.append(s, len(d)))
+        d, w = pa.array(d[s]), pa.array(w[s].view(np.int64))
+        none, zero = pa.nulls(len(s), pa.float64()), pa.array(np.zeros(len(s), np.int64))
+        t = pa.Table.from_arrays(
+            [b.column("doc_id").take(d), b.column("key").take(d), b.column("held_out").take(d), w, pa.array(m), zero, none, none, pa.array(np.ones(len(s), bool))],
+            [*names, "rest"])
+        return pa.concat_tables([own, t])
 
     return run
 
@@ -203,29 +221,31 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     tenth = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
-    counts = count_table(docs.filter(~tenth))
-    levels: dict[int, dict[int, int]] = {}
+    words = word_table(docs.filter(~tenth))
+    levels: dict[int, int] = {}
     total = distinct = 0
-    for r in counts.groupBy("kind", level(F.col("n")).alias("q")).agg(F.count("*").alias("c"), F.sum("n").alias("s")).collect():
-        levels.setdefault(r["kind"], {})[r["q"]] = r["c"]
-        if r["kind"] == WORDS:
-            total, distinct = total + r["s"], distinct + r["c"]
-    bits = build(counts, levels)
+    for r in words.groupBy(level(F.col("n")).alias("q")).agg(F.count("*").alias("c"), F.sum("n").alias("s")).collect():
+        levels[r["q"]] = r["c"]
+        total, distinct = total + r["s"], distinct + r["c"]
     held, least = 0, None
-    for q in sorted(levels.get(WORDS, {}), reverse=True):
-        held += levels[WORDS][q]
+    for q in sorted(levels, reverse=True):
+        held += levels[q]
         if held > TOP:
             break
         least = q
-    words = counts.filter(F.col("kind") == WORDS).select("h", "n")
     top = words.filter(level(F.col("n")) >= least).toArrow() if least is not None else words.limit(0).toArrow()
     top_h, top_n = top.column("h").to_numpy().view(X.U64), top.column("n").to_numpy()
     order = np.argsort(top_h)
-    shared = spark.sparkContext.broadcast((bits, top_h[order], top_n[order]))
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text", tenth.alias("held_out"))
+    shared = spark.sparkContext.broadcast((top_h[order], top_n[order]))
     kind = docs.schema["doc_id"].dataType.simpleString()
     ddl = f"doc_id {kind}, key long, held_out boolean, h long, n long, known long, base double, score double, rest boolean"
-    scored = written(keyed.mapInArrow(_scorer(shared, total, distinct), ddl))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    bits = segment_bits(size)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text", tenth.alias("held_out"))
+    sliced = keyed.withColumn("slice", F.pmod(F.xxhash64("doc_id", "key"), F.lit(1 + size // SLICE))).groupBy("slice")
+    ngrams = sliced.applyInArrow(_ask(bits), "slice long, part int, asked binary, counts binary").groupBy("part")
+    answers = ngrams.applyInArrow(_answer, "slice long, part int, levels binary").groupBy("slice")
+    scored = written(sliced.cogroup(answers).applyInArrow(_scorer(shared, total, distinct), ddl))
     below = total + SMOOTHING * (distinct + 1)
     rest = scored.filter("rest").groupBy("doc_id", "key", "h").agg(F.max("n").alias("m")).join(words, "h", "left")
     c = F.coalesce(F.col("n"), F.lit(0))

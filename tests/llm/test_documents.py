@@ -270,6 +270,33 @@ def test_filter_holds_levels(spark):
     assert (scoring.probe(bits, np.arange(1, 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) == 0).mean() > 0.99
 
 
+@pytest.mark.parametrize("ngrams", [1 << 22, 100])
+def test_model_knows_every_ngram(spark, monkeypatch, ngrams):
+    """Scores are those of a plain model of all words and pairs, in one segment or many: none is left out."""
+    monkeypatch.setattr(scoring, "SEGMENT_NGRAMS", ngrams)
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(["the", "cat", f"u{rng.randint(0, 300)}"]) for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    tokens = {i: [None, *words(lower(t)), 0] for i, t in rows}
+    one, two = collections.Counter(), collections.Counter()
+    for i, w in tokens.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            one.update(w[1:])
+            two.update(zip(w, w[1:], strict=False))
+    below = sum(one.values()) + 0.1 * (len(one) + 1)
+
+    def about(n):
+        q = int(math.log(n) / math.log(1.5) + 1e-9) + 1 if n else 0
+        return q if q <= 2 else 1.5 ** (q - 1) * 1.25
+
+    want = {}
+    for i, w in tokens.items():
+        p = [0.8 * (about(one[b]) + 0.1) / below + 0.2 * min(1, about(two[a, b]) / about(one[0 if a is None else a]) if one[0 if a is None else a] else 0) for a, b in zip(w, w[1:], strict=False)]
+        want[i] = sum(map(math.log10, p))
+    got = scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    # a false positive of the filter moves a count by a level
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(want, rel=0.1)
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_fingerprints(spark, docs, empty, parts):
     rows = [(i, t) for i, t in texts() if (i, t) != texts()[12]]
