@@ -5,8 +5,8 @@ consecutive edges make a path, and a path is compacted by its minimiser, the lea
 window holds: consecutive windows with the same minimiser become one row (minimiser, document, place, edges), and equal
 windows, wherever they are, have the same minimiser. One shuffle joins all paths with a minimiser; each edge there is
 owned by the smallest document that holds it, and runs of edges owned elsewhere go back to their documents as spans
-of source coordinates, where they merge with neighbours. Edges are compared by 64 bits of the minimiser and 32 more of the
-window's own hash, apart from the minimiser.
+of source coordinates, where they merge with neighbours. Edges are compared by 64 bits of the minimiser and the
+64 bits of the window's own hash.
 
 Before the shuffle, each Arrow batch settles among its own documents: an edge that a smaller document of the batch holds is
 a removal at once, and is not sent as an owner. A group of copies, or a line found everywhere, sends a path for each batch,
@@ -81,14 +81,11 @@ def paths(doc: np.ndarray, row: np.ndarray, raw: np.ndarray, offsets: np.ndarray
     s = np.flatnonzero(new)
     n = np.diff(np.append(s, len(place)))
     done = settled[s]
-    code = (full >> X.U64(32)).astype(np.uint32)
-    rel = (at - place).astype(np.uint32)  # windows also differ by where the minimiser stands in them
-    code = (code & np.uint32(0xFFFFFFF0)) | (rel & np.uint32(15))
-    size = np.where(done, 0, n * 4)
+    size = np.where(done, 0, n * 8)
     ends = np.zeros(len(s) + 1, np.int32)
     np.cumsum(size, out=ends[1:])
     kept = ~np.repeat(done, n)
-    data = code[kept].tobytes()
+    data = full[kept].tobytes()
     edges = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
     part = np.where(done, X.mix(row[own[s]].view(X.U64) + s.astype(X.U64)), best[s]).view(np.int64)
     columns = [part, ids[s], row[own[s]], pos[s].astype(np.int32), np.where(done, -n, n).astype(np.int32)]
@@ -126,7 +123,7 @@ def _resolve(part, doc, row, start, n, edges) -> pa.Table:
     done = n < 0
     live = np.flatnonzero(~done)
     raw, offsets = edges
-    code = np.frombuffer(raw, np.uint32)
+    code = np.frombuffer(raw, np.uint64)
     count = n[live]
     which = np.repeat(np.arange(len(live)), count)
     key, ids = part[live][which], doc[live][which]

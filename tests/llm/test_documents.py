@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from foldspark.llm import bpe, imatch, jaccard, licenses, mix, quality, scoring, secret, substring
+from foldspark.llm import text as X
 from foldspark.llm.queries import tokenizer
 from tests.llm.conftest import SCHEMA, lower, texts, words
 
@@ -127,6 +128,20 @@ def test_substring_dedup(spark, docs, empty, parts):
     assert substring.dedup(empty).count() == 0
 
 
+def test_windows_around_a_frequent_phrase_stay_apart():
+    """Different contexts of one minimiser: no two windows are equal, so nothing is removed."""
+    phrases = [" ".join(f"p{i}x{j}" for j in range(substring.M)) for i in range(20_000)]
+    raw = np.frombuffer("".join(phrases).encode(), np.uint8)
+    h, d = X.words(raw, np.cumsum([0, *map(len, phrases)]))
+    phrase = phrases[int(np.argmin(X.windows(h, substring.M, seed=7)[:: substring.M]))]  # nearly always the minimiser
+    n = 80_000
+    rows = [f"{' '.join(f'c{i}y{j}' for j in range(substring.K - substring.M))} {phrase}" for i in range(n)]
+    raw = np.frombuffer("".join(rows).encode(), np.uint8)
+    t = substring.paths(np.arange(n), np.arange(n), raw, np.cumsum([0, *map(len, rows)])).sort_by("part")
+    assert t.num_rows == n and len(t.column("part").unique()) < n / 100
+    assert sum(b.num_rows for b in substring._settle(iter(t.combine_chunks().to_batches()))) == 0
+
+
 def shingles(t):
     w = words(lower(t))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
