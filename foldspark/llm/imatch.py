@@ -1,6 +1,8 @@
 """Document fingerprints by I-Match over several randomised lexicons.
 
-The lexicon holds the terms (words, A-Z lower-cased) within a band of inverse document frequency, counted over all documents.
+The lexicon holds the terms (words, A-Z lower-cased) within a band of document frequency, LEAST to a share of MOST_SHARE,
+counted over all documents. Up to LEXICON terms are broadcast; more are joined: chunks of documents send their distinct terms
+to parts of the lexicon, and get back which of them it holds.
 Besides all of it, SUBSETS random subsets keep a share of its terms, from 1 in 2 ** FIRST_LEVEL down by halves over LEVELS
 levels, so that texts of any length have subsets in which they hold a term or two. A document's distinct terms in each give
 one signature (terms are sorted, and a sum of their hashes stands for the set), and signatures together are the fingerprint. The likeness of two
@@ -15,6 +17,7 @@ by text; a null doc_id comes after all others.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +27,16 @@ from pyspark.sql import functions as F
 
 from foldspark.llm import text as X
 from foldspark.llm.common import partitions, written
+from foldspark.llm.scoring import pack, segment_bits, unpack
 from foldspark.llm.substring import slices
 
 SUBSETS = 32
 FIRST_LEVEL = 4
 LEVELS = 8
-#: The band: terms in at most this share of documents, down to the least document frequency with which LEXICON terms suffice.
+#: The band: terms in at least this number of documents, and in at most this share of them.
+LEAST = 2
 MOST_SHARE = 0.2
+#: Terms that are broadcast, at most.
 LEXICON = 1 << 19
 FIRST = -(1 << 63)
 
@@ -52,21 +58,15 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from pa.table({"h": u.view(np.int64), "n": n}).to_batches(max_chunksize=100_000)
 
 
-def lexicon(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the band's terms, LEXICON of them at most."""
+def band(docs: DataFrame) -> DataFrame:
+    """(h) of all terms of the band."""
     n = docs.count()
     df = docs.select("text").mapInArrow(_frequencies, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    df = written(df.filter((F.col("n") >= 2) & (F.col("n") <= max(2, int(MOST_SHARE * n)))))
-    step = F.floor(F.log2(F.col("n").cast("double")) * 4)  # quarter octaves
-    held, least = 0, None
-    for r in df.groupBy(step.alias("q")).count().orderBy(F.desc("q")).collect():
-        held += r["count"]
-        if held > LEXICON:
-            break
-        least = r["q"]
-    if least is None:
-        return np.zeros(0, X.U64)
-    return np.sort(df.filter(step >= least).select("h").toArrow().column("h").to_numpy().view(X.U64))
+    return written(df.filter((F.col("n") >= LEAST) & (F.col("n") <= max(LEAST, int(MOST_SHARE * n)))).select("h"))
+
+
+def _words(terms: DataFrame) -> np.ndarray:
+    return np.sort(terms.toArrow().column("h").to_numpy().view(X.U64))
 
 
 def fingerprints(column: pa.Array, words: np.ndarray) -> np.ndarray:
@@ -130,56 +130,152 @@ def in_order(docs: DataFrame) -> DataFrame:
     return placed.sortWithinPartitions("bucket", "guest", F.desc("id"), "text").select("doc_id", "text", "bucket", "guest")
 
 
+_ROWS = "text string, bucket int, guest boolean, chunk long, place long"
+_OWN = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in order, in tables of some megabytes; each begins with the last row of the table before."""
+    held: pa.Table | None = None
+    for batch in batches:
+        for b in slices(batch):
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+            held = t.slice(len(t) - 1)
+            if len(t) > 1:
+                yield t
+
+
+def _edited(t: pa.Table) -> tuple[list[str], np.ndarray, list[str]]:
+    """A chunk's texts, the rows that have the next document beside them, and their edited texts."""
+    texts = [x or "" for x in t.column("text").to_pylist()]
+    buckets, guest = t.column("bucket").to_numpy(), t.column("guest").to_numpy()
+    take = np.flatnonzero(~guest[:-1] & (buckets[1:] == buckets[:-1]))
+    edited = []
+    for i in take:
+        half = len(texts[i]) // 2
+        edited.append(texts[i][: len(texts[i]) - half] + texts[i + 1][:half])
+    return texts, take, edited
+
+
+def _compared(t: pa.Table, words: np.ndarray) -> pa.Table:
+    texts, take, edited = _edited(t)
+    prints = fingerprints(pa.array(texts, pa.large_string()), words)
+    after = fingerprints(pa.array(edited, pa.large_string()), words)
+    hexed = lambda m: [r.astype(">u4").tobytes().hex() for r in m]
+    return pa.Table.from_arrays([
+        t.column("doc_id").combine_chunks().take(pa.array(take)), pa.array([len(texts[i]) for i in take], pa.int64()),
+        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()),
+        pa.array(hexed(prints[take]), pa.string()), pa.array(hexed(after), pa.string()),
+        pa.array(likeness(prints[take], after)), pa.array(likeness(prints[take], prints[take + 1])),
+    ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+
+
 def _compare(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        held: pa.Table | None = None
-        for batch in batches:
-            for b in slices(batch):
-                t = pa.Table.from_batches([b])
-                t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
-                held = t.slice(len(t) - 1)
-                if len(t) < 2:
-                    continue
-                texts = [x or "" for x in t.column(1).to_pylist()]
-                buckets, guest = t.column(2).to_numpy(), t.column(3).to_numpy(zero_copy_only=False)
-                prints = fingerprints(pa.array(texts, pa.large_string()), words)
-                take = np.flatnonzero(~guest[:-1] & (buckets[1:] == buckets[:-1]))
-                edited = []
-                for i in take:
-                    half = len(texts[i]) // 2
-                    edited.append(texts[i][: len(texts[i]) - half] + texts[i + 1][:half])
-                after = fingerprints(pa.array(edited, pa.large_string()), words)
-                hexed = lambda m: [r.astype(">u4").tobytes().hex() for r in m]
-                yield pa.RecordBatch.from_arrays([
-                    t.column(0).combine_chunks().take(pa.array(take)), pa.array([len(texts[i]) for i in take], pa.int64()),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()),
-                    pa.array(hexed(prints[take]), pa.string()), pa.array(hexed(after), pa.string()),
-                    pa.array(likeness(prints[take], after)), pa.array(likeness(prints[take], prints[take + 1])),
-                ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        for t in _chunks(batches):
+            yield from _compared(t, shared.value).to_batches()
 
     return run
 
 
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    for batch in batches:
+        for b in slices(batch):
+            yield pa.Table.from_batches([b])
+
+
+def _name(tables):
+    """Rows with their chunk and their place in it; tables: cuts batches into chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in tables(batches):
+            chunk = int.from_bytes(os.urandom(8), "little") >> 1
+            t = t.append_column("chunk", pa.array(np.full(len(t), chunk, np.int64))).append_column("place", pa.array(np.arange(len(t))))
+            yield from t.to_batches(max_chunksize=10_000)
+
+    return run
+
+
+def _terms(t: pa.Table) -> np.ndarray:
+    """The distinct terms of a chunk's texts and edited texts, sorted; t in order."""
+    texts, _, edited = _edited(t)
+    return np.unique(X.words(*X.arrow_bytes(pa.array(texts + edited, pa.large_string())), lower=True)[0])
+
+
+def _ask(bits: int):
+    def run(t: pa.Table) -> pa.Table:
+        u = _terms(t.sort_by("place"))
+        part = (u >> X.U64(64 - bits)).astype(np.int64)
+        ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(u)) if len(u) else np.zeros(0, np.int64)
+        return pa.table({"chunk": pa.array(np.full(len(ends), t.column("chunk")[0].as_py(), np.int64)), "part": pa.array(part[ends - 1].astype(np.int32)), "asked": pack(u, 8 * ends)})
+
+    return run
+
+
+def _answer(asked: pa.Table, terms: pa.Table) -> pa.Table:
+    data, ends = unpack(asked.column("asked"))
+    known = np.isin(data.view(X.U64), terms.column("h").to_numpy().view(X.U64)).astype(np.uint8)
+    return pa.table({"chunk": asked.column("chunk"), "part": asked.column("part"), "known": pack(known, ends // 8)})
+
+
+def _known(t: pa.Table, answers: pa.Table) -> np.ndarray:
+    """The lexicon's terms in a chunk; t in order."""
+    return _terms(t)[unpack(answers.sort_by("part").column("known"))[0] > 0]
+
+
+def _finish(t: pa.Table, answers: pa.Table) -> pa.Table:
+    t = t.sort_by("place")
+    return _compared(t, _known(t, answers))
+
+
+def _joined(docs: DataFrame, named: DataFrame, terms: DataFrame, finish, ddl: str) -> DataFrame:
+    """finish over chunks with their terms of the lexicon, which isn't broadcast. named: rows with their chunks, written."""
+    rows = named.groupBy("chunk")
+    bits = segment_bits(docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
+    parts = terms.select(F.shiftrightunsigned("h", 64 - bits).cast("int").alias("part"), "h").groupBy("part")
+    asked = rows.applyInArrow(_ask(bits), "chunk long, part int, asked binary").groupBy("part")
+    answers = asked.cogroup(parts).applyInArrow(_answer, "chunk long, part int, known binary").groupBy("chunk")
+    return rows.cogroup(answers).applyInArrow(finish, ddl)
+
+
 def compare(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose second half comes from the next document, and likenesses."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon(docs))
+    terms = band(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_order(docs).mapInArrow(
-        _compare(shared), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    if terms.count() <= LEXICON:
+        shared = docs.sparkSession.sparkContext.broadcast(_words(terms))
+        return in_order(docs).mapInArrow(_compare(shared), f"doc_id {kind}, {_OWN}")
+    # written, as chunks get random names
+    named = written(in_order(docs).mapInArrow(_name(_chunks), f"doc_id {kind}, {_ROWS}"))
+    return _joined(docs, named, terms, _finish, f"doc_id {kind}, {_OWN}")
+
+
+def _printed(t: pa.Table, words: np.ndarray) -> pa.Table:
+    prints = fingerprints(t.column("text"), words)
+    return pa.table({"doc_id": t.column("doc_id"), "fingerprint": pa.array([r.astype(">u4").tobytes().hex() for r in prints], pa.string())})
 
 
 def _print(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch):
-                prints = fingerprints(b.column(1), shared.value)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.astype(">u4").tobytes().hex() for r in prints], pa.string())], ["doc_id", "fingerprint"])
+                yield from _printed(pa.Table.from_batches([b]), shared.value).to_batches()
 
     return run
 
 
+def _print_finish(t: pa.Table, answers: pa.Table) -> pa.Table:
+    t = t.sort_by("place")
+    return _printed(t, _known(t, answers))
+
+
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon(docs))
-    return docs.select("doc_id", "text").mapInArrow(_print(shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+    terms = band(docs)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ddl = f"doc_id {kind}, fingerprint string"
+    if terms.count() <= LEXICON:
+        return docs.select("doc_id", "text").mapInArrow(_print(docs.sparkSession.sparkContext.broadcast(_words(terms))), ddl)
+    rows = docs.select("doc_id", "text", F.lit(0).alias("bucket"), F.lit(True).alias("guest"))  # no next documents
+    return _joined(docs, written(rows.mapInArrow(_name(_plain), f"doc_id {kind}, {_ROWS}")), terms, _print_finish, ddl)

@@ -136,12 +136,12 @@ def segment_bits(size: int) -> int:
     return max(1, (2 * size // 5 // SEGMENT_NGRAMS).bit_length())
 
 
-def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+def pack(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Binary values of data up to each of ends, in bytes."""
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def unpack(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary column without nulls, and where each value ends."""
     values = column.to_pylist()
     return np.frombuffer(b"".join(values), np.uint8), np.cumsum([len(x) for x in values], dtype=np.int64)
@@ -158,20 +158,20 @@ def _ask(bits: int):
         part = (u >> X.U64(64 - bits)).astype(np.int64)
         ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(u))
         name = pa.array(np.full(len(ends), b.column("slice")[0].as_py()))
-        return pa.table({"slice": name, "part": pa.array(part[ends - 1].astype(np.int32)), "asked": _binary(u, 8 * ends), "counts": _binary(counts, 4 * ends)})
+        return pa.table({"slice": name, "part": pa.array(part[ends - 1].astype(np.int32)), "asked": pack(u, 8 * ends), "counts": pack(counts, 4 * ends)})
 
     return run
 
 
 def _answer(asked: pa.Table) -> pa.Table:
     """One segment: n-grams of all slices, their counts added up, and the levels that a slice finds in the filter."""
-    data, ends = _bytes(asked.column("asked"))
+    data, ends = unpack(asked.column("asked"))
     u, inverse = np.unique(data.view(X.U64), return_inverse=True)
     n = np.zeros(len(u), np.int64)
-    np.add.at(n, inverse, _bytes(asked.column("counts"))[0].view(np.uint32).astype(np.int64))
+    np.add.at(n, inverse, unpack(asked.column("counts"))[0].view(np.uint32).astype(np.int64))
     q = np.where(n > 0, np.floor(np.log(np.maximum(n, 1)) / math.log(BASE) + 1e-9) + 1, 0).astype(np.int32)
     found = probe_levels(fill(u[q > 0], q[q > 0]), u)[inverse]
-    return pa.table({"slice": asked.column("slice"), "part": asked.column("part"), "levels": _binary(found, ends // 8)})
+    return pa.table({"slice": asked.column("slice"), "part": asked.column("part"), "levels": pack(found, ends // 8)})
 
 
 def _scorer(shared, total: int, distinct: int):
@@ -182,7 +182,7 @@ def _scorer(shared, total: int, distinct: int):
         tokens, pairs, docs = sequences(*X.arrow_bytes(b.column("text")))
         n = len(b)
         looked_up = np.unique(np.concatenate([tokens, pairs]))
-        known_as = estimates(_bytes(answers.sort_by("part").column("levels"))[0])
+        known_as = estimates(unpack(answers.sort_by("part").column("levels"))[0])
         u, inverse = np.unique(tokens, return_inverse=True)
         estimate = known_as[np.searchsorted(looked_up, u)]
         word = (estimate + SMOOTHING) / below

@@ -330,6 +330,16 @@ def test_fingerprints(spark, docs, empty, parts):
     assert imatch.compare(docs).count() == docs.count()
 
 
+def test_fingerprints_use_the_whole_band(spark, docs, monkeypatch):
+    """A lexicon too large to broadcast is joined, with the same results, and none of its terms is left out."""
+    whole = sorted(imatch.compare(docs).collect(), key=str)
+    assert any(r["near_next"] > 0 for r in whole)
+    prints = sorted(imatch.fingerprint(docs).collect(), key=str)
+    monkeypatch.setattr(imatch, "LEXICON", 10)
+    assert sorted(imatch.compare(docs.repartition(2)).collect(), key=str) == whole
+    assert sorted(imatch.fingerprint(docs).collect(), key=str) == prints
+
+
 def test_licenses(spark, empty):
     mit = licenses.TEMPLATES[1][1]
     cut = mit.split()
