@@ -84,5 +84,8 @@ def correlation(x: str | Column, y: str | Column) -> Column:
 
 
 def lcg(key: Column, seed: int = 42) -> Column:
-    """A fixed shuffle of integer keys below 2 ** 31 - 1: the same order in any engine and for any partitioning."""
-    return (key.cast("long") * 48271 + seed) % 2147483647
+    """A fixed shuffle of integer keys, reduced to 31 bits first: the same order in any engine and for any partitioning.
+
+    Keys whose difference is a multiple of 2 ** 31 - 1 tie; callers order ties by the key.
+    """
+    return (F.pmod(key.cast("long"), F.lit(2147483647)) * 48271 + seed) % 2147483647

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldspark.operators.joins import join_nulls
+
 
 def fit_moments(df: DataFrame, columns: list[str], folds: int) -> DataFrame:
     """(fold, mean and population deviation of each column) over rows of all other folds.
@@ -47,11 +49,11 @@ def greedy_drop(columns: list[str], r: dict[tuple[str, str], float], threshold:
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
-    """df with weight = rows / (classes * rows of the class). Class counts are joined, so a large class isn't gathered."""
+    """df with weight = rows / (classes * rows of the class). Class counts are joined, so a large class isn't gathered; null is a class."""
     n = df.groupBy(label).agg(F.count("*").alias("_n"))
     total = n.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
     n = n.crossJoin(F.broadcast(total)).select(label, (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("weight"))
-    return df.join(n, label)
+    return join_nulls(df, n, [label])
 
 
 def to_vector(record: str, fields: list[str]) -> Column:
@@ -59,9 +61,9 @@ def to_vector(record: str, fields: list[str]) -> Column:
 
 
 def map_tokens(m: str) -> list[Column]:
-    """`names`: distinct lower-case keys; `tokens`: key:value for every value."""
+    """`names`: distinct lower-case keys; `tokens`: lower-case key:value for every value."""
     names = F.array_distinct(F.transform(F.map_keys(m), F.lower)).alias("names")
-    tokens = F.flatten(F.transform(F.map_entries(m), lambda e: F.transform(e["value"], lambda v: F.concat(e["key"], F.lit(":"), v)))).alias("tokens")
+    tokens = F.flatten(F.transform(F.map_entries(m), lambda e: F.transform(e["value"], lambda v: F.concat(F.lower(e["key"]), F.lit(":"), v)))).alias("tokens")
     return [names, tokens]
 
 

@@ -36,9 +36,9 @@ def newest(runs: DataFrame, *by: str) -> DataFrame:
     return runs.groupBy(*by).agg(last).select(*by, "last.*")
 
 
-def fold_numbers(children: DataFrame) -> DataFrame:
-    """children with fold_no: their order of start within a sweep, ties by all that tells rows apart."""
-    order = Window.partitionBy("parent_run_id").orderBy("start_time", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+def fold_numbers(children: DataFrame, ties: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """children with fold_no: their order of start within a sweep, ties by the columns that tell rows apart."""
+    order = Window.partitionBy("parent_run_id").orderBy("start_time", *ties)
     return children.withColumn("fold_no", (F.row_number().over(order) - 1).cast("int"))
 
 

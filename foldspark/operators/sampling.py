@@ -10,23 +10,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.functions.scalars import lcg
+from foldspark.operators.joins import join_nulls
 
+#: Ranges of the hash, at least; more where there are more shuffle partitions.
 RANGES = 256
-_SPAN = 2147483647 // RANGES + 1
 
 
 def stratum_rank(df: DataFrame, stratum: list[str], key: str, name: str = "rank", seed: int = 42) -> DataFrame:
     """df with each row's rank (from 1) within its stratum in hash order.
 
-    Sorting happens per (stratum, range of the hash), so a stratum with most rows is spread over RANGES tasks; the offsets
-    of ranges are sums over a table of strata times RANGES rows.
+    Sorting happens per (stratum, range of the hash), so a stratum with most rows is spread over all ranges; the offsets
+    of ranges are sums over a table of strata times ranges. A null stratum is a stratum of its own, and a null key comes first.
     """
-    df = df.withColumn("_hash", lcg(F.col(key), seed)).withColumn("_range", F.floor(F.col("_hash") / _SPAN).cast("int"))
+    ranges = max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    span = 2147483647 // ranges + 1
+    df = df.withColumn("_hash", F.coalesce(lcg(F.col(key), seed), F.lit(0))).withColumn("_range", F.floor(F.col("_hash") / span).cast("int"))
     sizes = df.groupBy(*stratum, "_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*stratum).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     within = Window.partitionBy(*stratum, "_range").orderBy("_hash", key)
-    out = df.withColumn("_within", F.row_number().over(within)).join(offsets, [*stratum, "_range"])
+    out = join_nulls(df.withColumn("_within", F.row_number().over(within)), offsets, [*stratum, "_range"])
     return out.withColumn(name, (F.col("_before") + F.col("_within")).cast("long")).drop("_hash", "_range", "_before", "_within")
 
 
@@ -50,7 +53,13 @@ def quotas(df: DataFrame, stratum: str, total: int) -> DataFrame:
 def subsample(df: DataFrame, stratum: str, key: str, total: int, seed: int = 42) -> DataFrame:
     """A stratified sample of `total` rows; all rows, if there are no more."""
     q = quotas(df, stratum, total)
-    return stratum_rank(df, [stratum], key, "_rank", seed).join(q, stratum).filter("_rank <= quota").drop("_rank", "quota")
+    return join_nulls(stratum_rank(df, [stratum], key, "_rank", seed), q, [stratum]).filter("_rank <= quota").drop("_rank", "quota")
+
+
+def holdout(df: DataFrame, stratum: str, key: str, total: int, name: str = "held_out", seed: int = 42) -> DataFrame:
+    """df with a flag that marks `total` rows, shared over strata in proportion to their counts."""
+    r = join_nulls(stratum_rank(df, [stratum], key, "_rank", seed), quotas(df, stratum, total), [stratum])
+    return r.withColumn(name, F.col("_rank") <= F.col("quota")).drop("_rank", "quota")
 
 
 def top_groups(df: DataFrame, group: str, least: int, most: int) -> DataFrame:
@@ -59,8 +68,10 @@ def top_groups(df: DataFrame, group: str, least: int, most: int) -> DataFrame:
 
 
 def balanced(df: DataFrame, group: str, key: str, least: int, most: int, seed: int = 42) -> DataFrame:
-    """Rows of the top groups, each cut to the size of the smallest."""
+    """Rows of the top groups, each cut to the size of the smallest; an error where no group has `least` rows."""
     top = top_groups(df, group, least, most)
+    if top.isEmpty():
+        raise ValueError(f"no {group} has {least} rows or more")
     size = top.agg(F.min("n").alias("_size"))
     kept = df.join(top.select(group), group, "left_semi")
     return stratum_rank(kept, [group], key, "_rank", seed).crossJoin(F.broadcast(size)).filter("_rank <= _size").drop("_rank", "_size")

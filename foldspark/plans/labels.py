@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foldspark.functions import scalars as S
+from foldspark.operators.joins import join_nulls
 from foldspark.plans.catalog import query, table
 
 NOT_FEATURES = ("l_returnflag", "l_linestatus", "l_shipdate")
@@ -50,10 +51,10 @@ def category_prefix(spark, d):
 
 
 def encode(df, label: str, name: str = "y"):
-    """df with a dense code of `label` in lexicographic order. Codes are ranked on the distinct labels, not on the rows."""
+    """df with a dense code of `label` in lexicographic order. Codes are ranked on the distinct labels, not on the rows; null comes first."""
     codes = df.select(label).distinct()
     codes = codes.withColumn(name, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("int"))
-    return df.join(codes, label)
+    return join_nulls(df, codes, [label])
 
 
 @query("label_encode", """

@@ -15,6 +15,7 @@ from foldspark.plans.catalog import query, table
 FOLDS = 5
 CLEAN = f"""c AS (SELECT l_orderkey FROM lineitem WHERE l_discount IS NOT NULL GROUP BY 1 HAVING count(*) = {FOLDS}
       INTERSECT SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')"""
+TIES = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 ORDER = "l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 MASTER = f"""m AS (SELECT o_orderpriority AS cell, o_orderkey AS parent_run_id, min(o_orderdate) AS sweep_start,
        CAST(min(l_linenumber) AS INTEGER) AS n_components, CASE WHEN count(DISTINCT l_linestatus) = 1 THEN min(l_linestatus) ELSE 'joint' END AS encoding,
@@ -78,7 +79,7 @@ def orphan_folds(spark, d):
 @query("fold_order", f"""
 SELECT l_orderkey AS parent_run_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) - 1 AS INTEGER) AS fold_no, l_discount AS f1_macro FROM lineitem""")
 def fold_order(spark, d):
-    return R.fold_numbers(children(spark, d)).select("parent_run_id", "fold_no", "f1_macro")
+    return R.fold_numbers(children(spark, d), TIES).select("parent_run_id", "fold_no", "f1_macro")
 
 
 @query("fold_scores", f"""
@@ -90,7 +91,7 @@ def fold_scores(spark, d):
     """Fold metrics of the newest clean sweep of each cell."""
     p = parents(spark, d).join(clean(spark, d).withColumnRenamed("parent_run_id", "run_id"), "run_id", "left_semi")
     newest = R.newest(p, "cell").select("cell", F.col("run_id").alias("parent_run_id"))
-    return R.fold_numbers(children(spark, d).join(newest, "parent_run_id")).select("cell", "parent_run_id", "fold_no", "f1_macro")
+    return R.fold_numbers(children(spark, d).join(newest, "parent_run_id"), TIES).select("cell", "parent_run_id", "fold_no", "f1_macro")
 
 
 @query("prefer_fold_count", """
@@ -106,13 +107,13 @@ def prefer_fold_count(spark, d):
 
 
 def master(spark, d):
-    c = clean(spark, d)
-    folds = children(spark, d).join(c, "parent_run_id", "left_semi").groupBy("parent_run_id").agg(
+    """Clean sweeps with the aggregates of their folds: one join and one aggregate, which also counts the folds that have the metric."""
+    p = parents(spark, d).filter("status = 'FINISHED'").select(F.col("run_id").alias("parent_run_id"), "cell", F.col("start_time").alias("sweep_start"))
+    folds = children(spark, d).join(p, "parent_run_id").groupBy("cell", "parent_run_id", "sweep_start").agg(
         F.min("l_linenumber").cast("int").alias("n_components"), sweep_encoding(F.collect_set("encoding")).alias("encoding"),
         F.round(F.avg("f1_macro"), 6).alias("f1_macro_mean"), F.round(F.stddev_pop("f1_macro"), 6).alias("f1_macro_std"),
-        F.round(F.avg(F.when(F.col("l_returnflag") != "N", F.col("l_tax"))), 6).alias("spread_mean"), F.count("*").alias("n_folds"))
-    p = parents(spark, d).select(F.col("run_id").alias("parent_run_id"), "cell", F.col("start_time").alias("sweep_start"))
-    return folds.join(p, "parent_run_id").select("cell", "parent_run_id", "sweep_start", "n_components", "encoding", "f1_macro_mean", "f1_macro_std", "spread_mean", "n_folds")
+        F.round(F.avg(F.when(F.col("l_returnflag") != "N", F.col("l_tax"))), 6).alias("spread_mean"), F.count("*").alias("n_folds"), F.count("f1_macro").alias("scored"))
+    return folds.filter(F.col("scored") == FOLDS).drop("scored")
 
 
 @query("master_table", f"WITH {CLEAN}, {MASTER} SELECT * FROM m")
@@ -132,14 +133,9 @@ def is_latest_flag(spark, d):
 @query("latest_clean_sweep", f"""
 WITH {CLEAN}, {MASTER} SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY cell ORDER BY sweep_start DESC, parent_run_id DESC) = 1""")
 def latest_clean_sweep(spark, d):
-    """The current trustworthy result of each cell: scan, joins, aggregate, arg-max by cell. Folds of older sweeps aren't aggregated."""
-    p = parents(spark, d).join(clean(spark, d).withColumnRenamed("parent_run_id", "run_id"), "run_id", "left_semi")
-    newest = R.newest(p, "cell").select(F.col("run_id").alias("parent_run_id"), "cell", F.col("start_time").alias("sweep_start"))
-    folds = children(spark, d).join(newest, "parent_run_id").groupBy("cell", "parent_run_id", "sweep_start").agg(
-        F.min("l_linenumber").cast("int").alias("n_components"), sweep_encoding(F.collect_set("encoding")).alias("encoding"),
-        F.round(F.avg("f1_macro"), 6).alias("f1_macro_mean"), F.round(F.stddev_pop("f1_macro"), 6).alias("f1_macro_std"),
-        F.round(F.avg(F.when(F.col("l_returnflag") != "N", F.col("l_tax"))), 6).alias("spread_mean"), F.count("*").alias("n_folds"))
-    return folds
+    """The current trustworthy result of each cell: scan, one join, one aggregate a sweep, arg-max by cell."""
+    newest = R.newest(master(spark, d).withColumnsRenamed({"parent_run_id": "run_id", "sweep_start": "start_time"}), "cell")
+    return newest.withColumnsRenamed({"run_id": "parent_run_id", "start_time": "sweep_start"})
 
 
 @query("best_of_means", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foldspark.functions.scalars import lcg
 from foldspark.operators import sampling as P
 from foldspark.plans.catalog import query, table
 
@@ -39,9 +40,7 @@ SELECT vec_id, label, rank <= quota AS held_out FROM r JOIN q ON label = s""")
 def strat_holdout(spark, d):
     """A quarter of each class held out."""
     e = table(spark, d, "embeddings").select("vec_id", "label")
-    q = P.quotas(e, "label", e.count() // 4)
-    r = P.stratum_rank(e, ["label"], "vec_id").join(q, "label")
-    return r.select("vec_id", "label", (F.col("rank") <= F.col("quota")).alias("held_out"))
+    return P.holdout(e, "label", "vec_id", e.count() // 4).select("vec_id", "label", "held_out")
 
 
 @query("balanced_topk_pool", f"""
@@ -76,7 +75,7 @@ SELECT s.sample_pos, e.vec_id, e.label, round(e.embedding[1]::DOUBLE, 6) AS f1 F
 def sample_gather(spark, d):
     """Rows of a stored sample with their places in it: the sample is an array of keys, as read from a file."""
     e = table(spark, d, "embeddings")
-    picked = P.first_by_hash(e.select("vec_id"), F.lit(True), "vec_id", 50).agg(F.sort_array(F.collect_list(F.struct(((F.col("vec_id") * 48271 + 42) % 2147483647).alias("h"), "vec_id"))).alias("s"))
+    picked = P.first_by_hash(e.select("vec_id"), F.lit(True), "vec_id", 50).agg(F.sort_array(F.collect_list(F.struct(lcg(F.col("vec_id")).alias("h"), "vec_id"))).alias("s"))
     keys = picked.select(F.posexplode("s.vec_id").alias("sample_pos", "vec_id"))
     return e.join(F.broadcast(keys), "vec_id").select("sample_pos", "vec_id", "label", F.round(F.col("embedding")[0].cast("double"), 6).alias("f1"))
 
