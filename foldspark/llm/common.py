@@ -2,32 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from foldspark.sources.shared import shared_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where it is unset (tests), a temporary one."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="shared-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(path)
-    return path
+def table_path(spark: SparkSession, kind: str = "table") -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = table_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +33,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def integer_ids(docs: DataFrame, column: str = "doc_id") -> DataFrame:
+    """docs, or a clear error where its ids aren't integers."""
+    if not isinstance(docs.schema[column].dataType, T.IntegralType):
+        raise TypeError(f"{column} must be an integer column, not {docs.schema[column].dataType.simpleString()}")
+    return docs
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+
+
 def word_count(text) -> F.col:
     """Number of words of a text column (null: 0)."""
     return F.size(word_array(text)).cast("long")

@@ -27,8 +27,7 @@ from pyspark.sql import functions as F
 
 from foldspark.llm import text as X
 from foldspark.llm.common import partitions, written
-from foldspark.llm.scoring import pack, segment_bits, unpack
-from foldspark.llm.substring import slices
+from foldspark.llm.asks import slices
 
 SUBSETS = 32
 FIRST_LEVEL = 4
@@ -39,6 +38,24 @@ MOST_SHARE = 0.2
 #: Terms that are broadcast, at most.
 LEXICON = 1 << 19
 FIRST = -(1 << 63)
+#: Terms, distinct within a chunk each, that meet in a part of a lexicon that isn't broadcast.
+PART_TERMS = 1 << 22
+
+
+def segment_bits(size: int) -> int:
+    """How many bits of a term's hash name its part, for texts of size bytes: a term for some ten bytes."""
+    return max(1, (size // 10 // PART_TERMS).bit_length())
+
+
+def pack(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values of data up to each of ends, in bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def unpack(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, and where each value ends."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), np.uint8), np.cumsum([len(x) for x in values], dtype=np.int64)
 
 
 def distinct_terms(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

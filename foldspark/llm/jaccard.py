@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from foldspark.llm import text as X
 from foldspark.llm.common import partitions, written
 from foldspark.llm.components import components
-from foldspark.llm.substring import slices
+from foldspark.llm.asks import slices
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 3, 4  # similarity 0.75

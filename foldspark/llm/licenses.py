@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.llm import text as X
-from foldspark.llm.substring import slices
+from foldspark.llm.asks import slices
 
 GRAM = 3
 GUARANTEE = 5

@@ -1,84 +1,103 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-The filter holds counts of words and word pairs over all training texts, quantised: an n-gram of level q, where count is about
-BASE ** (q - 1), is stored as q entries (n-gram, 1) to (n-gram, q), and a reader probes level after level until the first
-miss. The filter grows with the corpus: it is cut by n-gram hash into as many segments as the texts' size asks for, each of
-BITS_PER_ENTRY bits or more an entry, and no counted n-gram is left out. No task holds it whole: each slice of the documents
-sends its distinct n-grams with their counts to the segments, where they are added up exactly, and their levels come back to
-the slice. The model mixes the pair's relative frequency with the smoothed frequency of the word.
+The filter holds the counts of pairs and triples of tokens over all training texts, quantised: an n-gram of level q, whose count
+is about BASE ** (q - 1), is stored as q entries (n-gram, 1) to (n-gram, q), and a reader probes level after level until the
+first miss. The filter grows with the corpus, and no counted n-gram is left out, so it has no size bound under which it could be
+broadcast whole: it is cut into segments by the hash of the context, each built in the task that adds up its counts, and chunks
+of documents send their n-grams to the segments and get the probed levels back.
 
-The base score needs exact counts of all words: the most frequent words (at most TOP) are broadcast, and what remains of each
-document goes through a join with the table of counts.
+Probabilities are smoothed from one order to the next. Tokens have the contract's additive probability p1, from exact counts.
+For the contexts of one and of two tokens, p = (count + MU * lower) / (total + MU), where count is the probed one, and total
+is the sum of probed counts over all of the context's n-grams, which its segment returns as well. So what a context doesn't
+give to its n-grams goes to the lower order, and each context's probabilities sum to 1 over the vocabulary and one unknown
+token, but for false positives among n-grams that no text holds, whose share a filter of BITS_PER_ENTRY bits keeps near 1 %.
+
+A context that is so frequent that its n-grams would fill a segment (HOT tokens or a share of 1 in HOT_SHARE) is cut by the hash
+of the token that follows, and its total is added up from its cuts.
 
 Cases: a null or empty text is its end token alone; a null doc_id is in training; repeated rows are scored each by itself, and
-count twice in training; an empty table gives no rows; further columns are ignored. Texts are read whole.
+count twice in training; an empty table gives no rows; further columns are ignored. Texts are read whole, whatever their length.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldspark.llm import asks as A
 from foldspark.llm import text as X
-from foldspark.llm.common import written
-from foldspark.llm.substring import slices
+from foldspark.llm.common import text_bytes, written
 
 PROBES = 5
 BITS_PER_ENTRY = 10
-#: N-grams, distinct within a slice each, that meet in a segment on average, at most.
-SEGMENT_NGRAMS = 1 << 22
-SLICE = 4 << 20
 BASE = 1.5
-TOP = 1 << 20
-PAIR_WEIGHT = 0.2
 SMOOTHING = 0.1
+#: Weight of the lower order, in tokens, for contexts of one and of two tokens.
+MU = (32.0, 4.0)
+#: N-grams, distinct within a chunk each, that meet in a segment on average, at most.
+SEGMENT = 1 << 22
+#: A context is cut when it has more training tokens than both this number and this share of all.
+HOT, HOT_SHARE = 1 << 20, 1 << 12
+#: Bits of a key that tell the tokens after one context apart, and bits of the context beyond those that count all tokens.
+WORD_BITS, MORE_BITS = 24, 8
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 START = np.uint64(0x57A4757A4757A475)
 
 
-def sequences(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes with an end token after each text, the hash of each token with its predecessor, and text indices."""
+def sequences(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Token hashes with an end token after each text, the hashes of the contexts of one and two tokens, and text indices."""
     h, d = X.words(raw, offsets, lower=True)
     n = len(offsets) - 1
-    tokens = np.full(len(h) + n, END)
     docs = np.concatenate([d, np.arange(n)])
     order = np.argsort(docs, kind="stable")
     tokens = np.concatenate([h, np.full(n, END)])[order]
     docs = docs[order]
-    before = np.full(len(tokens), START)
-    inner = np.flatnonzero(docs[1:] == docs[:-1]) + 1
-    before[inner] = tokens[inner - 1]
-    return tokens, X.mix(before * X.U64(0x9E3779B97F4A7C15) + X.mix(tokens ^ X.U64(0xB1))), docs
+    before = [np.full(len(tokens), START), np.full(len(tokens), START)]
+    for k in (1, 2):
+        inner = np.flatnonzero(docs[k:] == docs[:-k]) + k
+        before[k - 1][inner] = tokens[inner - k]
+    one = X.mix(before[0] * X.U64(0x9E3779B97F4A7C15))
+    two = X.mix(one + X.mix(before[1] ^ X.U64(0xB1)) * X.U64(3))
+    return tokens, [one, two], docs
+
 
+def hot_contexts(docs: DataFrame, tokens: int) -> dict[int, int]:
+    """Contexts to be cut, and into how many parts each. tokens: about how many there are."""
+    most = max(HOT, tokens // HOT_SHARE)
+    if tokens <= most:
+        return {}
 
-def contexts(tokens: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """The token before each; a text's first follows the END of another."""
-    before = np.full(len(tokens), END)
-    inner = np.flatnonzero(docs[1:] == docs[:-1]) + 1
-    before[inner] = tokens[inner - 1]
-    return before
+    def find(_: int, t: pa.Table) -> pa.Table:
+        _, contexts, _ = sequences(*X.arrow_bytes(t.column("text")))
+        names, counts = [], []
+        for c in contexts:
+            least = max(16, len(c) // (2 * HOT_SHARE))
+            c = c[(np.bincount(c >> X.U64(48), minlength=1 << 16) >= least)[c >> X.U64(48)]]
+            u, n = np.unique(c, return_counts=True)
+            names.append(u[n >= least])
+            counts.append(n[n >= least])
+        return pa.table({"h": np.concatenate(names).view(np.int64), "n": np.concatenate(counts)})
 
+    found = A.each_chunk(docs.select("text"), find, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > most)
+    return {r["h"] % (1 << 64): -(-r["n"] // most) for r in found.collect()}  # at most 2 * HOT_SHARE for each order
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for b in slices(batch, 6 << 20):
-            u, n = np.unique(sequences(*X.arrow_bytes(b.column(0)))[0], return_counts=True)
-            yield from pa.table({"h": u.view(np.int64), "n": n}).to_batches(max_chunksize=100_000)
 
+def level(n: np.ndarray) -> np.ndarray:
+    """0 for none, 1 for a count of 1, and one more for each factor of BASE."""
+    return np.where(n > 0, np.floor(np.log(np.maximum(n, 1)) / math.log(BASE) + 1e-9) + 1, 0).astype(np.int32)
 
-def word_table(train: DataFrame) -> DataFrame:
-    """(h, n) of the words of all texts."""
-    return written(train.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
 
+def _estimates() -> np.ndarray:
+    lo = [math.ceil(BASE ** (q - 1) - 1e-9) for q in range(1, 102)]
+    return np.array([0, *[(a + b - 1) // 2 for a, b in zip(lo, lo[1:], strict=False)]], np.int64)
 
-def level(n: F.col) -> F.col:
-    """1 for a count of 1, and one more for each factor of BASE."""
-    return (F.floor(F.log(n.cast("double")) / math.log(BASE) + 1e-9) + 1).cast("int")
+
+#: The count that a level stands for: the middle of the whole numbers in its range.
+ESTIMATES = _estimates()
 
 
 def _positions(h: np.ndarray, j: int, size: int) -> list[np.ndarray]:
@@ -89,172 +108,177 @@ def _positions(h: np.ndarray, j: int, size: int) -> list[np.ndarray]:
     return [(x + X.U64(i) * step) & mask for i in range(PROBES)]
 
 
-def fill(h: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """A segment's bits, packed: at least BITS_PER_ENTRY for each of its entries."""
-    bits = np.zeros(1 << max(10, int(BITS_PER_ENTRY * q.sum(dtype=np.int64)).bit_length()), bool)
+def fill(h: np.ndarray, q: np.ndarray, each: int = BITS_PER_ENTRY) -> np.ndarray:
+    """A segment's bits, packed: at least `each` for each of its entries."""
+    bits = np.zeros(1 << max(10, int(each * q.sum(dtype=np.int64)).bit_length()), bool)
     for j in range(1, int(q.max(initial=0)) + 1):
         for p in _positions(h[q >= j], j, len(bits)):
             bits[p.astype(np.int64)] = True
     return np.packbits(bits, bitorder="little")
 
 
-def probe_levels(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+def probe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Level of each n-gram: levels are probed in turn until one is missing."""
     q = np.zeros(len(h), np.uint8)
     live = np.arange(len(h))
-    j = 1
-    while len(live) and j < 256:
+    for j in range(1, len(ESTIMATES)):
+        if not len(live):
+            break
         found = np.ones(len(live), bool)
         for p in _positions(h[live], j, 8 * len(bits)):
             found &= (bits[(p >> X.U64(3)).astype(np.int64)] >> (p & X.U64(7)).astype(np.uint8)) & 1 > 0
         live = live[found]
         q[live] = j
-        j += 1
     return q
 
 
-def estimates(q: np.ndarray) -> np.ndarray:
-    """Estimated count of each level."""
-    out = BASE ** (q - 1.0) * (1 + BASE) / 2
-    out[q <= 2] = q[q <= 2]
-    return out
-
-
-def probe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Estimated count of each n-gram."""
-    return estimates(probe_levels(bits, h))
-
-
-def build(counts: DataFrame, levels: dict[int, dict[int, int]]) -> bytes:
-    """The filter of a small table in one piece."""
-    t = counts.filter(F.col("kind").isin(list(levels))).select("h", level(F.col("n")).alias("q")).toArrow()
-    return fill(t.column("h").to_numpy().view(X.U64), t.column("q").to_numpy()).tobytes()
-
-
-def segment_bits(size: int) -> int:
-    """How many bits of an n-gram's hash name its segment, for texts of size bytes: a word and a pair for some five bytes."""
-    return max(1, (2 * size // 5 // SEGMENT_NGRAMS).bit_length())
-
-
-def pack(data: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Binary values of data up to each of ends, in bytes."""
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-
-
-def unpack(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a binary column without nulls, and where each value ends."""
-    values = column.to_pylist()
-    return np.frombuffer(b"".join(values), np.uint8), np.cumsum([len(x) for x in values], dtype=np.int64)
-
-
-def _ask(bits: int):
-    """The distinct n-grams of a slice of documents, sorted, with their counts in training texts: a row for each segment."""
-
-    def run(b: pa.Table) -> pa.Table:
-        tokens, pairs, docs = sequences(*X.arrow_bytes(b.column("text")))
-        u, inverse = np.unique(np.concatenate([tokens, pairs]), return_inverse=True)
-        train = ~b.column("held_out").to_numpy()[docs]
-        counts = np.bincount(inverse[np.concatenate([train, train])], minlength=len(u)).astype(np.uint32)
-        part = (u >> X.U64(64 - bits)).astype(np.int64)
-        ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(u))
-        name = pa.array(np.full(len(ends), b.column("slice")[0].as_py()))
-        return pa.table({"slice": name, "part": pa.array(part[ends - 1].astype(np.int32)), "asked": pack(u, 8 * ends), "counts": pack(counts, 4 * ends)})
+class Keys:
+    """How tokens and n-grams become keys: a context's bits, then the following token's."""
+
+    def __init__(self, size: int, hot: dict[int, int]):
+        tokens = size // 5 + 1
+        self.width = min(62, tokens.bit_length() + MORE_BITS + WORD_BITS)
+        self.bits = min(A.part_bits(tokens, SEGMENT), self.width - WORD_BITS)
+        self.parts = 1 << self.bits
+        self.hot_at = np.array(sorted(hot), X.U64)
+        self.hot_cuts = np.array([hot[h] for h in sorted(hot)], X.U64)
+
+    def _cut(self, context: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        return X.mix(context + cut * X.U64(0x9E3779B97F4A7C15)) >> X.U64(64 - self.width + WORD_BITS)
+
+    def hot(self, context: np.ndarray) -> np.ndarray:
+        """The number of cuts of each context, 0 for one that isn't cut."""
+        if not len(self.hot_at):
+            return np.zeros(len(context), X.U64)
+        at = np.minimum(np.searchsorted(self.hot_at, context), len(self.hot_at) - 1)
+        return np.where(self.hot_at[at] == context, self.hot_cuts[at], X.U64(0))
+
+    def of(self, tokens: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The key of each n-gram; and a key without a token for each cut of each hot context that is there, with all its cuts."""
+        after = X.mix(tokens ^ X.U64(0x5BD1E995))
+        cuts = self.hot(context)
+        some = cuts > 0
+        cut = np.zeros(len(tokens), X.U64)
+        cut[some] = after[some] % cuts[some]
+        key = (self._cut(context, cut) << X.U64(WORD_BITS)) | (after >> X.U64(64 - WORD_BITS))
+        extra = [self.cuts(h) for h in np.unique(context[some])]
+        return key, np.concatenate([key[:0], *[x << X.U64(WORD_BITS) for x in extra]])
+
+    def cuts(self, h: np.uint64) -> np.ndarray:
+        """The contexts that a hot one is cut into."""
+        return self._cut(np.array(h, X.U64), np.arange(int(self.hot(np.array([h], X.U64))[0]), dtype=X.U64))
+
+    def chunk(self, t: pa.Table):
+        """A chunk's tokens, text indices and contexts; sorted distinct keys of each order and the place of each token's among them."""
+        tokens, contexts, docs = sequences(*X.arrow_bytes(t.column("text")))
+        u, inverse = np.unique(tokens, return_inverse=True)
+        keys, places = [u], [inverse]
+        for c in contexts:
+            key, extra = self.of(tokens, c)
+            u, inverse = np.unique(np.concatenate([key, extra]), return_inverse=True)
+            keys.append(u)
+            places.append(inverse[: len(key)])
+        return tokens, docs, contexts, keys, places
+
+
+_NAMES = ("one", "two", "three")
+_ASKED = "chunk long, part int, " + ", ".join(f"{n} binary, {n}_n binary" for n in _NAMES)
+_ANSWERS = "chunk long, part int, tokens long, kinds long, one binary, two binary, two_all binary, three binary, three_all binary"
+
+
+def _ask(keys: Keys):
+    def run(name: int, t: pa.Table) -> pa.Table:
+        _, docs, _, distinct, places = keys.chunk(t)
+        train = ~t.column("held_out").to_numpy()[docs]
+        columns = {"chunk": pa.array(np.full(keys.parts, name, np.int64)), "part": pa.array(np.arange(keys.parts, dtype=np.int32))}
+        for order, (u, place) in enumerate(zip(distinct, places, strict=True)):
+            n = np.bincount(place[train], minlength=len(u)).astype(np.uint32)
+            at = A.runs(u, (keys.width if order else 64) - keys.bits, keys.parts)
+            columns[_NAMES[order]] = pa.array([A.rising(u[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary())
+            columns[f"{_NAMES[order]}_n"] = pa.array([A.numbers(n[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary())
+        return pa.table(columns)
 
     return run
 
 
-def _answer(asked: pa.Table) -> pa.Table:
-    """One segment: n-grams of all slices, their counts added up, and the levels that a slice finds in the filter."""
-    data, ends = unpack(asked.column("asked"))
-    u, inverse = np.unique(data.view(X.U64), return_inverse=True)
-    n = np.zeros(len(u), np.int64)
-    np.add.at(n, inverse, unpack(asked.column("counts"))[0].view(np.uint32).astype(np.int64))
-    q = np.where(n > 0, np.floor(np.log(np.maximum(n, 1)) / math.log(BASE) + 1e-9) + 1, 0).astype(np.int32)
-    found = probe_levels(fill(u[q > 0], q[q > 0]), u)[inverse]
-    return pa.table({"slice": asked.column("slice"), "part": asked.column("part"), "levels": pack(found, ends // 8)})
-
-
-def _scorer(shared, total: int, distinct: int):
-    below = total + SMOOTHING * (distinct + 1)
-
-    def run(b: pa.Table, answers: pa.Table) -> pa.Table:
-        top_h, top_n = shared.value
-        tokens, pairs, docs = sequences(*X.arrow_bytes(b.column("text")))
-        n = len(b)
-        looked_up = np.unique(np.concatenate([tokens, pairs]))
-        known_as = estimates(unpack(answers.sort_by("part").column("levels"))[0])
-        u, inverse = np.unique(tokens, return_inverse=True)
-        estimate = known_as[np.searchsorted(looked_up, u)]
-        word = (estimate + SMOOTHING) / below
-        together = known_as[np.searchsorted(looked_up, pairs)]
-        before = estimate[np.searchsorted(u, contexts(tokens, docs))]
-        p = (1 - PAIR_WEIGHT) * word[inverse] + PAIR_WEIGHT * np.minimum(1.0, np.divide(together, before, out=np.zeros(len(docs)), where=before > 0))
-        score = np.bincount(docs, np.log10(p), n)
-        at = np.minimum(np.searchsorted(top_h, u), max(len(top_h) - 1, 0))
-        known = (top_h[at] == u) if len(top_h) else np.zeros(len(u), bool)
-        count = np.where(known, top_n[at] if len(top_h) else 0, 0)
-        k = known[inverse]
-        value = np.log10((count + SMOOTHING) / below)[inverse]
-        columns = [
-            b.column("doc_id"), b.column("key"), b.column("held_out"), pa.array(np.zeros(n, np.int64)), pa.array(X.counts(docs, n)),
-            pa.array(np.bincount(docs[k], minlength=n).astype(np.int64)), pa.array(np.bincount(docs[k], value[k], n)), pa.array(score)]
-        names = ["doc_id", "key", "held_out", "h", "n", "known", "base", "score"]
-        own = pa.Table.from_arrays([*columns, pa.array(np.zeros(n, bool))], [*names, "rest"])
-        d, w = docs[~k], tokens[~k]  # words for the join, once for each text
-        order = np.lexsort((w, d))
-        d, w = d[order], w[order]
-        head = np.ones(len(d), bool)
-        head[1:] = (d[1:] != d[:-1]) | (w[1:] != w[:-1])
-        s = np.flatnonzero(head)
-        m = np.diff(np.append(s, len(d)))
-        d, w = pa.array(d[s]), pa.array(w[s].view(np.int64))
-        none, zero = pa.nulls(len(s), pa.float64()), pa.array(np.zeros(len(s), np.int64))
-        t = pa.Table.from_arrays(
-            [b.column("doc_id").take(d), b.column("key").take(d), b.column("held_out").take(d), w, pa.array(m), zero, none, none, pa.array(np.ones(len(s), bool))],
-            [*names, "rest"])
-        return pa.concat_tables([own, t])
+def _totals(u: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct contexts of sorted keys, and the sum of counts of each."""
+    c = u >> X.U64(WORD_BITS)
+    first = np.flatnonzero(np.diff(c, prepend=~c[:1])) if len(c) else np.zeros(0, np.int64)
+    return c[first], np.add.reduceat(count, first) if len(first) else count
+
+
+def _answer(bits: int):
+    return lambda asked: _segment(asked, bits)
+
+
+def _segment(asked: pa.Table, bits: int) -> pa.Table:
+    """One segment: counts of all chunks are added up, the filter is filled, and each chunk's n-grams are probed."""
+    out = {"chunk": asked.column("chunk"), "part": asked.column("part")}
+    several = len(asked)
+    for order, name in enumerate(_NAMES):
+        own = [A.unrising(x) for x in asked.column(name).to_pylist()]
+        u, inverse = np.unique(np.concatenate(own), return_inverse=True)
+        n = np.zeros(len(u), np.int64)
+        np.add.at(n, inverse, A.joined(asked.column(f"{name}_n").to_pylist()).astype(np.int64))
+        at = np.cumsum([0, *map(len, own)])
+        if not order:
+            out["tokens"] = pa.array([int(n.sum())] + [0] * (several - 1), pa.int64())  # the segment's, once
+            out["kinds"] = pa.array([int((n > 0).sum())] + [0] * (several - 1), pa.int64())
+            small = n.astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.uint64)
+            out[name] = pa.array([A.numbers(small[inverse[a:b]]) for a, b in zip(at, at[1:], strict=False)], pa.binary())
+            continue
+        q = level(n)
+        found = probe(fill(u[q > 0], q[q > 0], bits), u)
+        contexts, totals = _totals(u, ESTIMATES[found])
+        levels, sums = [], []
+        for k, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+            levels.append(A.numbers(found[inverse[a:b]]))
+            sums.append(A.numbers(totals[np.searchsorted(contexts, _totals(own[k], own[k])[0])]))
+        out[name], out[f"{name}_all"] = pa.array(levels, pa.binary()), pa.array(sums, pa.binary())
+    return pa.table(out).select([c.split()[0] for c in _ANSWERS.split(", ")])
+
+
+def _scorer(keys: Keys, total: int, kinds: int):
+    below = total + SMOOTHING * (kinds + 1)
+
+    def run(blob: pa.Table, answers: pa.Table) -> pa.Table:
+        t = A.unpack(blob.column("blob")[0].as_py())
+        answers = A.whole(answers, keys.parts)
+        _, docs, contexts, distinct, places = keys.chunk(t)
+        n = len(t)
+        count = A.joined(answers.column("one").to_pylist()).astype(np.float64)
+        p = ((count + SMOOTHING) / below)[places[0]]
+        base = np.bincount(docs, np.log10(p), n)
+        known = np.bincount(docs, (count > 0)[places[0]], n)
+        for order, mu in enumerate(MU, 1):
+            c = ESTIMATES[A.joined(answers.column(_NAMES[order]).to_pylist())].astype(np.float64)
+            sums = A.joined(answers.column(f"{_NAMES[order]}_all").to_pylist()).astype(np.float64)
+            names, _ = _totals(distinct[order], distinct[order])
+            own = np.searchsorted(names, distinct[order] >> X.U64(WORD_BITS))
+            total_of = sums[own][places[order]]
+            context = contexts[order - 1]
+            hot = np.flatnonzero(keys.hot(context) > 0)
+            if len(hot):
+                u, which = np.unique(context[hot], return_inverse=True)
+                total_of[hot] = np.array([sums[np.searchsorted(names, np.unique(keys.cuts(h)))].sum() for h in u])[which]
+            p = (c[places[order]] + mu * p) / (total_of + mu)
+        return pa.table({
+            "doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": pa.array(X.counts(docs, n)), "n_known": pa.array(known.astype(np.int64)),
+            "train_tokens": pa.array(np.full(n, total, np.int64)), "base_score": pa.array(base), "score": pa.array(np.bincount(docs, np.log10(p), n))})
 
     return run
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    spark = docs.sparkSession
+def score(docs: DataFrame, chunk: int = A.CHUNK, bits: int = BITS_PER_ENTRY) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; in chunks of some bytes, with a filter of some bits an entry."""
     tenth = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
-    words = word_table(docs.filter(~tenth))
-    levels: dict[int, int] = {}
-    total = distinct = 0
-    for r in words.groupBy(level(F.col("n")).alias("q")).agg(F.count("*").alias("c"), F.sum("n").alias("s")).collect():
-        levels[r["q"]] = r["c"]
-        total, distinct = total + r["s"], distinct + r["c"]
-    held, least = 0, None
-    for q in sorted(levels, reverse=True):
-        held += levels[q]
-        if held > TOP:
-            break
-        least = q
-    top = words.filter(level(F.col("n")) >= least).toArrow() if least is not None else words.limit(0).toArrow()
-    top_h, top_n = top.column("h").to_numpy().view(X.U64), top.column("n").to_numpy()
-    order = np.argsort(top_h)
-    shared = spark.sparkContext.broadcast((top_h[order], top_n[order]))
+    rows = docs.select("doc_id", "text", tenth.alias("held_out"))
+    size = text_bytes(docs) + docs.count()
+    keys = Keys(size, hot_contexts(rows, size // 5))
+    answers = written(A.each_chunk(rows, _ask(keys), _ASKED, chunk).groupBy("part").applyInArrow(_answer(bits), _ANSWERS))
+    sums = answers.agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ddl = f"doc_id {kind}, key long, held_out boolean, h long, n long, known long, base double, score double, rest boolean"
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    bits = segment_bits(size)
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text", tenth.alias("held_out"))
-    sliced = keyed.withColumn("slice", F.pmod(F.xxhash64("doc_id", "key"), F.lit(1 + size // SLICE))).groupBy("slice")
-    ngrams = sliced.applyInArrow(_ask(bits), "slice long, part int, asked binary, counts binary").groupBy("part")
-    answers = ngrams.applyInArrow(_answer, "slice long, part int, levels binary").groupBy("slice")
-    scored = written(sliced.cogroup(answers).applyInArrow(_scorer(shared, total, distinct), ddl))
-    below = total + SMOOTHING * (distinct + 1)
-    rest = scored.filter("rest").groupBy("doc_id", "key", "h").agg(F.max("n").alias("m")).join(words, "h", "left")
-    c = F.coalesce(F.col("n"), F.lit(0))
-    rest = rest.groupBy("doc_id", "key").agg(
-        F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("m") * F.log10((c + SMOOTHING) / below)).alias("more_base"),
-    ).withColumnsRenamed({"doc_id": "rest_id", "key": "rest_key"})
-    own = scored.filter("not rest")
-    both = own.join(rest, own["doc_id"].eqNullSafe(rest["rest_id"]) & (own["key"] == rest["rest_key"]), "left")
-    return both.select(
-        "doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score")
+    ddl = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    both = A.blobs(rows, chunk).groupBy("chunk").cogroup(answers.drop("tokens", "kinds").groupBy("chunk"))
+    return both.applyInArrow(_scorer(keys, sums["tokens"] or 0, sums["kinds"] or 0), ddl)

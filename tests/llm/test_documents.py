@@ -253,63 +253,80 @@ def test_bpe(docs, wide, empty):
             assert bpe.encode_text(t, path, pattern, chunk) == enc.encode_ordinary(t)
 
 
-@pytest.mark.parametrize("top", [1 << 20, 40])
-def test_scoring(docs, empty, monkeypatch, top):
-    monkeypatch.setattr(scoring, "TOP", top)
-    count = collections.Counter()
-    for i, t in texts():
+def plain_model(rows):
+    """A function (context of two tokens, token) -> probability, by exact counts at quantised levels; and the training counts."""
+    counts = [collections.Counter() for _ in range(3)]
+    for i, t in rows:
         if zlib.crc32(str(i).encode()) % 10:
-            count.update([*words(lower(t)), None])
+            w = ["<s>", "<s>", *words(lower(t)), "</s>"]
+            for j in range(2, len(w)):
+                for k in range(3):
+                    counts[k][tuple(w[j - k : j + 1])] += 1
+    about = [collections.Counter({g: int(scoring.ESTIMATES[scoring.level(np.array([n]))[0]]) for g, n in c.items()}) for c in counts]
+    total = [collections.Counter(), collections.Counter(), collections.Counter()]
+    for k in (1, 2):
+        for g, n in about[k].items():
+            total[k][g[:-1]] += n
+    below = sum(counts[0].values()) + 0.1 * (len(counts[0]) + 1)
+
+    def p(context, token):
+        out = (counts[0][(token,)] + 0.1) / below
+        for k, mu in ((1, 32.0), (2, 4.0)):
+            c = tuple(context[2 - k :])
+            out = (about[k][(*c, token)] + mu * out) / (total[k][c] + mu)
+        return out
+
+    return p, counts[0]
+
+
+def scored(p, t):
+    w = ["<s>", "<s>", *words(lower(t)), "</s>"]
+    return sum(math.log10(p(w[j - 2 : j], w[j])) for j in range(2, len(w)))
+
+
+def test_scoring(docs, empty):
+    p, count = plain_model(texts())
     n, below = sum(count.values()), sum(count.values()) + 0.1 * (len(count) + 1)
-    got = scoring.score(docs).collect()
-    assert len(got) == len(texts())
-    want = collections.defaultdict(list)
+    got = scoring.score(docs, bits=256).collect()
+    want, have = collections.defaultdict(list), collections.defaultdict(list)
     for i, t in texts():
-        w = [*words(lower(t)), None]
-        want[i].append((len(w), sum(count[x] > 0 for x in w), round(sum(math.log10((count[x] + 0.1) / below) for x in w), 6)))
-    have = collections.defaultdict(list)
+        w = [(x,) for x in [*words(lower(t)), "</s>"]]
+        want[i].append((len(w), sum(count[x] > 0 for x in w), round(sum(math.log10((count[x] + 0.1) / below) for x in w), 6), round(scored(p, t), 6)))
     for r in got:
-        assert r["train_tokens"] == n and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0) and r["score"] < 0
-        have[r["doc_id"]].append((r["n_tokens"], r["n_known"], round(r["base_score"], 6)))
+        assert r["train_tokens"] == n and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
+        have[r["doc_id"]].append((r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)))
     assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
     assert scoring.score(empty).count() == 0
 
 
-def test_filter_holds_levels(spark):
-    rows = [(0, int(h), int(n)) for h, n in zip(np.random.default_rng(0).integers(-(2**62), 2**62, 500), [1, 2, 5, 40, 1000] * 100, strict=True)]
-    df = spark.createDataFrame(rows, "kind int, h long, n long")
-    levels = {r["q"]: r["count"] for r in df.groupBy(scoring.level(df["n"]).alias("q")).count().collect()}
-    bits = np.frombuffer(scoring.build(df, {0: levels}), np.uint8)
-    got = scoring.probe(bits, np.array([h for _, h, _ in rows]).view(np.uint64))
-    assert all(n / 1.6 <= g <= n * 1.6 for g, (_, _, n) in zip(got, rows, strict=True))
-    assert (scoring.probe(bits, np.arange(1, 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) == 0).mean() > 0.99
-
-
-@pytest.mark.parametrize("ngrams", [1 << 22, 100])
-def test_model_knows_every_ngram(spark, monkeypatch, ngrams):
-    """Scores are those of a plain model of all words and pairs, in one segment or many: none is left out."""
-    monkeypatch.setattr(scoring, "SEGMENT_NGRAMS", ngrams)
+@pytest.mark.parametrize(("segment", "hot"), [(1 << 22, 1 << 20), (200, 1 << 20), (200, 20)])
+def test_model_knows_every_ngram(spark, monkeypatch, segment, hot):
+    """Scores are those of a plain model of all n-grams: in one segment or many, with contexts cut or not, in one chunk or many."""
+    monkeypatch.setattr(scoring, "SEGMENT", segment)
+    monkeypatch.setattr(scoring, "HOT", hot)
     rng = random.Random(1)
-    rows = [(i, " ".join(rng.choice(["the", "cat", f"u{rng.randint(0, 300)}"]) for _ in range(rng.randint(0, 60)))) for i in range(60)]
-    tokens = {i: [None, *words(lower(t)), 0] for i, t in rows}
-    one, two = collections.Counter(), collections.Counter()
-    for i, w in tokens.items():
-        if zlib.crc32(str(i).encode()) % 10:
-            one.update(w[1:])
-            two.update(zip(w, w[1:], strict=False))
-    below = sum(one.values()) + 0.1 * (len(one) + 1)
-
-    def about(n):
-        q = int(math.log(n) / math.log(1.5) + 1e-9) + 1 if n else 0
-        return q if q <= 2 else 1.5 ** (q - 1) * 1.25
-
-    want = {}
-    for i, w in tokens.items():
-        p = [0.8 * (about(one[b]) + 0.1) / below + 0.2 * min(1, about(two[a, b]) / about(one[0 if a is None else a]) if one[0 if a is None else a] else 0) for a, b in zip(w, w[1:], strict=False)]
-        want[i] = sum(map(math.log10, p))
-    got = scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    # a false positive of the filter moves a count by a level
-    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(want, rel=0.1)
+    rows = [(i, " ".join(rng.choice(["the", "the", "cat", f"u{rng.randint(0, 300)}"]) for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    p, _ = plain_model(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    got = {r["doc_id"]: r["score"] for r in scoring.score(df, chunk=1000, bits=256).collect()}
+    assert got == pytest.approx({i: scored(p, t) for i, t in rows}, abs=1e-6)
+
+
+def test_probabilities_sum_to_one():
+    rows = [(i, t) for i, t in texts() if t and len(t) < 900]
+    p, count = plain_model(rows)
+    for context in (("<s>", "<s>"), ("the", "cat"), ("own1", "own2"), ("never", "seen")):
+        assert sum(p(context, x) for (x,) in count) + p(context, "unknown") == pytest.approx(1)
+
+
+def test_filter_holds_levels():
+    rng = np.random.default_rng(0)
+    h, n = rng.integers(0, 1 << 63, 500).astype(np.uint64), np.array([1, 2, 5, 40, 1000] * 100)
+    bits = scoring.fill(h, scoring.level(n))
+    found = scoring.probe(bits, h)
+    assert (found >= scoring.level(n)).all() and (found == scoring.level(n)).mean() > 0.98
+    assert all(m / 1.5 <= e <= m * 1.5 for m, e in zip(n, scoring.ESTIMATES[scoring.level(n)], strict=True))
+    assert (scoring.probe(bits, np.arange(1, 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) == 0).mean() > 0.98
 
 
 @pytest.mark.parametrize("parts", [1, 4])
