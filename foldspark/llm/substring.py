@@ -1,220 +1,284 @@
-"""Substring dedup on the De Bruijn graph of word windows.
+"""Substring dedup by compaction of a De Bruijn graph.
 
-An edge of the graph is a window of K words, from the node of its first K - 1 words to that of its last. Within a text,
-consecutive edges make a path, and a path is compacted by its minimiser, the least hash of M words among those that a
-window holds: consecutive windows with the same minimiser become one row (minimiser, document, place, edges), and equal
-windows, wherever they are, have the same minimiser. One shuffle joins all paths with a minimiser; each edge there is
-owned by the smallest document that holds it, and runs of edges owned elsewhere go back to their documents as spans
-of source coordinates, where they merge with neighbours. Edges are compared by 64 bits of the minimiser and the
-64 bits of the window's own hash.
+A node is K - 1 consecutive words, an edge is a window of K words, from the node of its first to that of its last words.
 
-Before the shuffle, each Arrow batch settles among its own documents: an edge that a smaller document of the batch holds is
-a removal at once, and is not sent as an owner. A group of copies, or a line found everywhere, sends a path for each batch,
-not for each document.
+1. Repeated edges. Chunks of documents send their distinct edges, as short keys, and learn which ones occur in two documents
+   or more. A key that stands for two edges lets an edge through, which does no harm; none is lost.
+2. Degrees. Repeated edges that follow each other in a text make runs. Each node of a run is sent with the edge that enters and
+   the one that leaves it there, or none at the run's ends. A node where all occurrences agree, in all documents, is
+   nonbranching.
+3. Compaction. Runs are cut at branching nodes. What lies between is a nonbranching path, and whatever document holds one of its
+   edges holds all of it: so the documents of a path are those of its edges, and paths, far fewer than edges, are joined.
+4. Verification. The words of a path are read at its source coordinates and digested (128 bits of BLAKE2b); equal paths
+   are those of equal digests, whatever the hashes before said. The smallest document of a path owns it, and in all other
+   documents its windows are removed.
+
+A chunk settles among its own documents first and sends a path once, so a line found everywhere, or a large group of copies,
+meets with one row for each chunk.
 
 Cases: a null or empty text has no words and kept_sha256 is that of the empty text; a null doc_id comes after all others;
 rows that repeat a doc_id don't remove from each other; texts shorter than K words lose nothing; an empty table gives no rows;
-further columns are ignored.
+further columns are ignored; doc_id has to be an integer. Texts are read whole, whatever their length.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldspark.llm import asks as A
 from foldspark.llm import text as X
-from foldspark.llm.common import partitions
+from foldspark.llm.common import integer_ids, text_bytes, written
 
 K = 13
-M = 6
+#: Keys, distinct within a chunk each, that meet in a part on average, at most.
+PART = 1 << 22
+#: Bits of a key beyond those that count all words.
+MORE_BITS = 8
 LAST = np.iinfo(np.int64).max
-_PATH = pa.schema([("part", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("edges", pa.binary())])
-
-
-def _minimisers(h: np.ndarray, docs: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of k words, the least hash of m words in it, and where that starts (the last of equal ones)."""
-    small = X.windows(h, m, seed=7)
-    n, w = len(h) - k + 1, k - m + 1
-    best = small[:n].copy()
-    at = np.arange(n, dtype=np.int64)
-    for j in range(1, w):
-        other = small[j : j + n]
-        better = other <= best
-        best[better] = other[better]
-        at[better] = np.flatnonzero(better) + j
-    return best, at
-
-
-def paths(doc: np.ndarray, row: np.ndarray, raw: np.ndarray, offsets: np.ndarray, k: int = K, m: int = M) -> pa.Table:
-    """Compacted paths of a batch. n < 0 marks a span of -n windows that is settled already."""
-    h, d = X.words(raw, offsets)
-    ok = X.inside(d, k)
-    if not ok.any():
-        return _PATH.empty_table()
-    best, at = _minimisers(h, d, k, m)
-    full = X.windows(h, k, seed=11)
-    first = np.zeros(len(d), np.int64)
-    starts = np.flatnonzero(np.diff(d, prepend=-1))
-    first[starts] = starts
-    np.maximum.accumulate(first, out=first)
-    place = np.flatnonzero(ok)
-    best, at, full, own = best[ok], at[ok], full[ok], d[:-k + 1][ok]
-    pos = place - first[place]
-    ids = doc[own]
-    # owners within the batch: windows sorted by hash and document
-    order = np.lexsort((ids, full))
-    head = np.ones(len(order), bool)
-    head[1:] = full[order][1:] != full[order][:-1]
-    owner = np.empty(len(order), np.int64)
-    owner[order] = ids[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-    settled = owner < ids
-    # runs of settled windows, and paths of the others
-    new = np.ones(len(place), bool)
-    same_run = (own[1:] == own[:-1]) & (pos[1:] == pos[:-1] + 1) & (settled[1:] == settled[:-1])
-    new[1:] = ~same_run | (~settled[1:] & ((at[1:] != at[:-1]) | (best[1:] != best[:-1])))
-    s = np.flatnonzero(new)
-    n = np.diff(np.append(s, len(place)))
-    done = settled[s]
-    size = np.where(done, 0, n * 8)
-    ends = np.zeros(len(s) + 1, np.int32)
-    np.cumsum(size, out=ends[1:])
-    kept = ~np.repeat(done, n)
-    data = full[kept].tobytes()
-    edges = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
-    part = np.where(done, X.mix(row[own[s]].view(X.U64) + s.astype(X.U64)), best[s]).view(np.int64)
-    columns = [part, ids[s], row[own[s]], pos[s].astype(np.int32), np.where(done, -n, n).astype(np.int32)]
-    return pa.Table.from_arrays([*map(pa.array, columns), edges], schema=_PATH)
-
-
-def slices(b: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of some megabytes of text each."""
-    text = b.column(b.schema.get_field_index("text"))
-    sizes = np.cumsum(np.nan_to_num(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(float))) if len(b) else []
-    lo = 0
-    while lo < len(b):
-        base = sizes[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(sizes, base + most)))
-        yield b.slice(lo, hi - lo)
-        lo = hi
-
-
-def _emit(k: int, m: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch):
-                raw, offsets = X.arrow_bytes(b.column(2))
-                doc = b.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
-                yield from paths(doc, b.column(1).to_numpy(), raw, offsets, k, m).to_batches(max_chunksize=50_000)
+#: Values of a node's neighbourhood have 48 bits; this one says that it branches within a chunk.
+VALUE_BITS, BRANCHES = 48, np.uint64((1 << 48) - 1)
+
+
+class Keys:
+    """Widths of keys for texts of `size` bytes."""
+
+    def __init__(self, size: int, k: int):
+        words = size // 5 + 1
+        self.k = k
+        self.width = min(64, words.bit_length() + MORE_BITS)
+        self.bits = A.part_bits(words, PART)
+        self.parts = 1 << self.bits
+
+    def short(self, h: np.ndarray) -> np.ndarray:
+        return h >> X.U64(64 - self.width)
+
+    def split(self, keys: np.ndarray) -> list[slice]:
+        at = A.runs(keys, self.width - self.bits, self.parts)
+        return [slice(a, b) for a, b in zip(at, at[1:], strict=False)]
+
+
+def _least_and_most(group: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest value of each group, which are numbered from 0 without gaps."""
+    if not n:
+        return value[:0], value[:0]
+    order = np.argsort(group, kind="stable")
+    first = np.searchsorted(group[order], np.arange(n))
+    return np.minimum.reduceat(value[order], first), np.maximum.reduceat(value[order], first)
+
+
+class Graph:
+    """A chunk's words and edges."""
+
+    def __init__(self, t: pa.Table, keys: Keys):
+        self.keys, k = keys, keys.k
+        self.raw, offsets = X.arrow_bytes(t.column("text"))
+        self.hash, self.row, self.start, self.end = X.words(self.raw, offsets, spans=True)
+        self.ids = t.column("doc_id").cast(pa.int64()).combine_chunks().fill_null(LAST).to_numpy()
+        self.at = np.flatnonzero(X.inside(self.row, k))  # the first words of windows
+        self.edges, self.edge = np.unique(keys.short(X.windows(self.hash, k, seed=11)[self.at]), return_inverse=True)
+
+    def repeated(self, answers: list[bytes]) -> None:
+        """Marks repeated edges, from the answers to ask_edges()."""
+        split = self.keys.split(self.edges)
+        known = np.concatenate([np.unpackbits(A.unnumbers(x), count=s.stop - s.start) for x, s in zip(answers, split, strict=True)]).astype(bool)
+        self.at = self.at[known[self.edge]]
+        here = np.zeros(len(self.hash) + 1, bool)
+        here[self.at] = True
+        last = np.append(self.row[1:] != self.row[:-1], True)[: len(self.row)]
+        after = self.at + 1
+        inner = after < len(self.hash)
+        goes_on = np.zeros(len(self.at), bool)
+        goes_on[inner] = here[after[inner]] & ~last[self.at[inner]]
+        self.opens = np.ones(len(self.at), bool)  # a run begins
+        self.opens[1:] = ~goes_on[:-1]
+        self.closes = ~goes_on
+        nodes = X.windows(self.hash, self.keys.k - 1, seed=5)
+        at = np.concatenate([self.at, after[self.closes]])
+        enters = np.concatenate([np.where(self.opens, X.U64(0x51), self.hash[self.at - 1]), self.hash[self.at[self.closes]]])
+        leaves = np.concatenate([self.hash[self.at + self.keys.k - 1], np.full(self.closes.sum(), 0xA7, X.U64)])
+        self.value = X.mix(X.mix(enters) * X.U64(3) + leaves) >> X.U64(64 - VALUE_BITS)
+        self.nodes, self.node = np.unique(self.keys.short(nodes[at]), return_inverse=True)
+
+    def paths(self, answers: list[bytes]) -> None:
+        """Cuts runs at branching nodes, from the answers to ask_nodes(), and digests the paths."""
+        split = self.keys.split(self.nodes)
+        branching = np.concatenate([np.unpackbits(A.unnumbers(x), count=s.stop - s.start) for x, s in zip(answers, split, strict=True)]).astype(bool)
+        first = np.flatnonzero(self.opens | branching[self.node[: len(self.at)]])
+        self.length = np.diff(np.append(first, len(self.at)))  # windows of each path
+        self.first = self.at[first]
+        digests = np.zeros((len(first), 2), np.int64)
+        place = np.cumsum(self.end - self.start + 1) - (self.end - self.start + 1)
+        words = self._spaced()
+        last = self.first + self.length + self.keys.k - 2
+        for i, (a, b) in enumerate(zip(place[self.first].tolist(), (place[last] + self.end[last] - self.start[last]).tolist(), strict=True)):
+            digests[i] = np.frombuffer(hashlib.blake2b(words[a:b], digest_size=16).digest(), np.int64)
+        both = digests.view([("a", np.int64), ("b", np.int64)])[:, 0]
+        self.digests, self.path = np.unique(both, return_inverse=True)
+        self.owner = self.ids[self.row[self.first]]
+        self.least, _ = _least_and_most(self.path, self.owner, len(self.digests))
+
+    def _spaced(self) -> memoryview:
+        """The words, a space after each."""
+        size = self.end - self.start
+        inside = np.zeros(len(self.raw) + 1, np.int8)
+        inside[self.start] += 1
+        inside[self.end] -= 1
+        out = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+        to = np.ones(len(out), bool)
+        to[np.cumsum(size + 1) - 1] = False
+        out[to] = self.raw[np.cumsum(inside[:-1], dtype=np.int8) > 0] if len(self.raw) else self.raw
+        return memoryview(out)
+
+
+_ASKED = "chunk long, part int, keys binary, more binary"
+_ANSWERS = "chunk long, part int, bits binary"
+
+
+def _rows(name: int, keys: np.ndarray, more: np.ndarray, split: list[slice]) -> pa.Table:
+    return pa.table({
+        "chunk": pa.array(np.full(len(split), name, np.int64)), "part": pa.array(np.arange(len(split), dtype=np.int32)),
+        "keys": pa.array([A.rising(keys[s]) for s in split], pa.binary()), "more": pa.array([A.numbers(more[s]) for s in split], pa.binary())})
+
+
+def _ask_edges(keys: Keys):
+    def run(name: int, t: pa.Table) -> pa.Table:
+        g = Graph(t, keys)
+        least, most = _least_and_most(g.edge, g.ids[g.row[g.at]], len(g.edges))
+        return _rows(name, g.edges, (least != most).astype(np.uint8), keys.split(g.edges))
+
+    return run
+
+
+def _collected(asked: pa.Table) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    own = [A.unrising(x) for x in asked.column("keys").to_pylist()]
+    u, inverse = np.unique(np.concatenate(own), return_inverse=True)
+    return inverse, A.joined(asked.column("more").to_pylist()), len(u), np.cumsum([0, *map(len, own)])
+
+
+def _bits(asked: pa.Table, found: np.ndarray, at: np.ndarray) -> pa.Table:
+    data = [A.numbers(np.packbits(found[a:b])) for a, b in zip(at, at[1:], strict=False)]
+    return pa.table({"chunk": asked.column("chunk"), "part": asked.column("part"), "bits": pa.array(data, pa.binary())})
+
+
+def _answer_edges(asked: pa.Table) -> pa.Table:
+    inverse, several, n, at = _collected(asked)
+    found = np.bincount(inverse, 1 + several.astype(np.int64), n) > 1
+    return _bits(asked, found[inverse], at)
+
+
+def _ask_nodes(keys: Keys):
+    def run(blob: pa.Table, edges: pa.Table) -> pa.Table:
+        g = Graph(A.unpack(blob.column("blob")[0].as_py()), keys)
+        g.repeated(A.whole(edges, keys.parts).column("bits").to_pylist())
+        least, most = _least_and_most(g.node, g.value, len(g.nodes))
+        value = np.where(least == most, least, BRANCHES)
+        return _rows(blob.column("chunk")[0].as_py(), g.nodes, value, keys.split(g.nodes))
+
+    return run
+
+
+def _answer_nodes(asked: pa.Table) -> pa.Table:
+    inverse, value, n, at = _collected(asked)
+    least, most = _least_and_most(inverse, value, n)
+    found = (least != most) | (most == BRANCHES)
+    return _bits(asked, found[inverse], at)
+
+
+def _graph(keys: Keys, blob: pa.Table, answers: pa.Table) -> Graph:
+    """A chunk's graph with its paths, from answers to both questions: those on nodes have the parts after those on edges."""
+    bits = A.whole(answers, 2 * keys.parts).column("bits").to_pylist()
+    g = Graph(A.unpack(blob.column("blob")[0].as_py()), keys)
+    g.repeated(bits[: keys.parts])
+    g.paths(bits[keys.parts :])
+    return g
+
+
+def _paths(keys: Keys):
+    """The chunk's distinct paths, each with the smallest document that holds it there, and where."""
+
+    def run(blob: pa.Table, answers: pa.Table) -> pa.Table:
+        g = _graph(keys, blob, answers)
+        n = len(g.digests)
+        mine = np.flatnonzero(g.owner == g.least[g.path])
+        where = np.zeros(n, np.int64)
+        where[g.path[mine[::-1]]] = mine[::-1]
+        first = np.searchsorted(g.row, g.row[g.first[where]])
+        return pa.table({
+            "chunk": pa.array(np.full(n, blob.column("chunk")[0].as_py(), np.int64)), "place": pa.array(np.arange(n, dtype=np.int32)),
+            "a": pa.array(g.digests["a"].copy()), "b": pa.array(g.digests["b"].copy()), "doc": pa.array(g.least),
+            "start": pa.array((g.first[where] - first).astype(np.int32)), "n": pa.array(g.length[where].astype(np.int32))})
 
     return run
 
 
-_SPAN = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
-
-
-def _resolve(part, doc, row, start, n, edges) -> pa.Table:
-    """Spans from whole groups of a minimiser."""
-    done = n < 0
-    live = np.flatnonzero(~done)
-    raw, offsets = edges
-    code = np.frombuffer(raw, np.uint64)
-    count = n[live]
-    which = np.repeat(np.arange(len(live)), count)
-    key, ids = part[live][which], doc[live][which]
-    pos = start[live][which] + (np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
-    order = np.lexsort((ids, code, key))
-    k, c = key[order], code[order]
-    head = np.ones(len(order), bool)
-    head[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    owner = ids[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else ids
-    gone = np.zeros(len(order), bool)
-    gone[order] = owner < ids[order]
-    g = np.flatnonzero(gone)
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1] + 1) | (which[g[1:]] != which[g[:-1]])
-    s = g[new]
-    length = np.diff(np.append(np.flatnonzero(new), len(g)))
-    out = [np.concatenate([x[done], y]) for x, y in (
-        (doc, ids[s]), (row, row[live][which[s]]), (start, pos[s]), (-n, length.astype(np.int32)))]
-    return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], schema=_SPAN)
-
-
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups by part, as rows come sorted; a group that goes past a batch is held over."""
-    held: list[pa.RecordBatch] = []
-
-    def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if rows:
-            t = pa.Table.from_batches(rows).combine_chunks()
-            col = [t.column(i).combine_chunks() for i in range(6)]
-            e = col[5].cast(pa.large_binary())
-            at = np.frombuffer(e.buffers()[1], np.int64)[e.offset : e.offset + len(e) + 1]
-            raw = e.buffers()[2]
-            data = (memoryview(raw)[at[0] : at[-1]] if raw is not None and len(e) else b""), at
-            yield from _resolve(*[c.to_numpy(zero_copy_only=False) for c in col[:5]], data).to_batches(max_chunksize=50_000)
-
-    for b in batches:
-        if not len(b):
-            continue
-        part = b.column(0).to_numpy()
-        edge = np.flatnonzero(part != part[-1])
-        cut = int(edge[-1]) + 1 if len(edge) else 0
-        if cut:
-            yield from flush([*held, b.slice(0, cut)])
-            held = []
-        held.append(b.slice(cut))
-    yield from flush(held)
-
-
-def spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """(doc, row, start, n): runs of n windows of a document that a smaller document holds. `row` tells rows of one id apart."""
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
-    p = keyed.mapInArrow(_emit(k, m), "part long, doc long, row long, start int, n int, edges binary")
-    p = p.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part")
-    return p.mapInArrow(_settle, "doc long, row long, start int, n int")
-
-
-def _strip(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch):
-                raw, offsets = X.arrow_bytes(b.column(1))
-                _, d, s, e = X.words(raw, offsets, spans=True)
-                n = X.counts(d, len(b))
-                at = np.zeros(len(b) + 1, np.int64)
-                np.cumsum(n, out=at[1:])
-                removed, digest, left = np.zeros(len(b), np.int64), [], []
-                data = raw.tobytes()
-                for i, found in enumerate(b.column(2)):
-                    keep = np.ones(n[i], bool)
-                    if found.is_valid and len(found):
-                        v = found.values
-                        lo = v.field(0).to_numpy(zero_copy_only=False)
-                        hi = lo + v.field(1).to_numpy(zero_copy_only=False) + k - 1
-                        step = np.zeros(n[i] + 1, np.int64)
-                        np.add.at(step, lo, 1)
-                        np.add.at(step, np.minimum(hi, n[i]), -1)
-                        keep = np.cumsum(step[:-1]) == 0
-                    ks = at[i] + np.flatnonzero(keep)
-                    text = b" ".join([data[x:y] for x, y in zip(s[ks].tolist(), e[ks].tolist(), strict=True)])
-                    removed[i] = n[i] - len(ks)
-                    digest.append(hashlib.sha256(text).hexdigest())
-                    left.append(text.decode())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(removed), pa.array(digest), pa.array(left)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+def _strip(keys: Keys):
+    def run(blob: pa.Table, answers: pa.Table) -> pa.Table:
+        lost = answers.filter(answers.column("part").to_numpy() < 0)
+        t = A.unpack(blob.column("blob")[0].as_py())
+        g = _graph(keys, blob, answers.filter(answers.column("part").to_numpy() >= 0))
+        gone = np.zeros(len(g.digests), bool)
+        gone[-1 - lost.column("part").to_numpy()] = True  # paths that another chunk's document owns
+        gone = np.flatnonzero(gone[g.path] | (g.owner > g.least[g.path]))
+        step = np.zeros(len(g.hash) + 1, np.int64)
+        np.add.at(step, g.first[gone], 1)
+        np.add.at(step, g.first[gone] + g.length[gone] + keys.k - 1, -1)
+        keep = np.cumsum(step[:-1]) == 0
+        n, left = X.counts(g.row, len(t)), X.counts(g.row[keep], len(t))
+        place = np.cumsum(np.append(0, left))
+        size = np.append(0, np.cumsum((g.end - g.start + 1)[keep]))
+        words = Graph._spaced(g)
+        keep_bytes = np.repeat(keep, g.end - g.start + 1)
+        kept = memoryview(np.frombuffer(words, np.uint8)[keep_bytes])
+        texts = [bytes(kept[size[place[i]] : max(size[place[i]], size[place[i + 1]] - 1)]) for i in range(len(t))]
+        return pa.table({
+            "doc_id": t.column("doc_id"), "n_words": pa.array(n), "n_removed": pa.array(n - left),
+            "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()), "kept": pa.array([x.decode() for x in texts], pa.string())})
 
     return run
 
 
-def dedup(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
+_PATHS = "chunk long, place int, a long, b long, doc long, start int, n int"
+
+
+class Compaction:
+    """The graph of all documents, compacted."""
+
+    def __init__(self, docs: DataFrame, k: int = K, chunk: int = A.CHUNK):
+        self.rows = integer_ids(docs).select("doc_id", "text")
+        self.keys = Keys(text_bytes(docs), k)
+        self.blobs = A.blobs(self.rows, chunk)
+        asked = A.each_chunk(self.rows, _ask_edges(self.keys), _ASKED, chunk)
+        edges = written(asked.groupBy("part").applyInArrow(_answer_edges, _ANSWERS))
+        asked = self.by_chunk(edges).applyInArrow(_ask_nodes(self.keys), _ASKED)
+        nodes = written(asked.groupBy("part").applyInArrow(_answer_nodes, _ANSWERS))
+        self.answers = edges.union(nodes.withColumn("part", F.col("part") + self.keys.parts))
+
+    def by_chunk(self, answers: DataFrame):
+        return self.blobs.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+
+    def paths(self) -> DataFrame:
+        """(chunk, place, a, b, doc, start, n): digests of nonbranching repeated paths, and their first source in each chunk."""
+        return self.by_chunk(self.answers).applyInArrow(_paths(self.keys), _PATHS)
+
+    def dedup(self) -> DataFrame:
+        owner = F.min("doc").over(Window.partitionBy("a", "b"))
+        lost = self.paths().withColumn("owner", owner).filter("owner < doc")
+        lost = lost.select("chunk", (-1 - F.col("place")).alias("part"), F.lit(None).cast("binary").alias("bits"))
+        kind = self.rows.schema["doc_id"].dataType.simpleString()
+        ddl = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string"
+        return self.by_chunk(self.answers.union(lost)).applyInArrow(_strip(self.keys), ddl)
+
+
+def paths(docs: DataFrame, k: int = K, chunk: int = A.CHUNK) -> DataFrame:
+    """(a, b, doc, start, n): paths of n windows that two documents or more hold, and their source in the smallest one of each chunk."""
+    return Compaction(docs, k, chunk).paths().select("a", "b", "doc", "start", "n")
+
+
+def dedup(docs: DataFrame, k: int = K, chunk: int = A.CHUNK) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept: the words that stay, joined by a space."""
-    gone = spans(docs, k, m).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
-    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("row"), "text")
-    both = keyed.join(gone, ["doc", "row"], "left").select("doc_id", "text", "gone")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(_strip(k), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    return Compaction(docs, k, chunk).dedup()

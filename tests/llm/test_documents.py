@@ -118,28 +118,32 @@ def plain_dedup(rows, k):
     return out
 
 
-@pytest.mark.parametrize("parts", [1, 6])
-def test_substring_dedup(spark, docs, empty, parts):
+@pytest.mark.parametrize(("parts", "chunk", "part"), [(1, 1 << 20, 1 << 22), (6, 400, 1 << 22), (3, 1500, 300)])
+def test_substring_dedup(spark, docs, empty, monkeypatch, parts, chunk, part):
+    """Whatever the chunks and parts are: words of few kinds give cycles, branches and texts that end within paths."""
+    monkeypatch.setattr(substring, "PART", part)
     rng = random.Random(parts)
     vocabulary = "abcdef"
     rows = texts() + [(100 + i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 90)))) for i in range(60)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
-    assert collections.Counter(map(tuple, substring.dedup(df).collect())) == plain_dedup(rows, 13)
+    base = [rng.choice(vocabulary) + rng.choice(vocabulary) for _ in range(300)]
+    rows += [(200 + i, " \t".join(base[rng.randint(0, 150) : rng.randint(140, 300)])) for i in range(40)]
+    rows += [(300 + i, "a b " * rng.randint(0, 30)) for i in range(10)] + [(305, "é " * 50), (306, "é\n" * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")
+    assert collections.Counter(map(tuple, substring.dedup(df, chunk=chunk).collect())) == plain_dedup(rows, 13)
     assert substring.dedup(empty).count() == 0
 
 
-def test_windows_around_a_frequent_phrase_stay_apart():
-    """Different contexts of one minimiser: no two windows are equal, so nothing is removed."""
-    phrases = [" ".join(f"p{i}x{j}" for j in range(substring.M)) for i in range(20_000)]
-    raw = np.frombuffer("".join(phrases).encode(), np.uint8)
-    h, d = X.words(raw, np.cumsum([0, *map(len, phrases)]))
-    phrase = phrases[int(np.argmin(X.windows(h, substring.M, seed=7)[:: substring.M]))]  # nearly always the minimiser
-    n = 80_000
-    rows = [f"{' '.join(f'c{i}y{j}' for j in range(substring.K - substring.M))} {phrase}" for i in range(n)]
-    raw = np.frombuffer("".join(rows).encode(), np.uint8)
-    t = substring.paths(np.arange(n), np.arange(n), raw, np.cumsum([0, *map(len, rows)])).sort_by("part")
-    assert t.num_rows == n and len(t.column("part").unique()) < n / 100
-    assert sum(b.num_rows for b in substring._settle(iter(t.combine_chunks().to_batches()))) == 0
+def test_paths_are_nonbranching_and_whole(spark):
+    w = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(w)), (2, " ".join(["x", *w[5:40], "y"])), (3, " ".join(w[20:50])), (4, " ".join(f"z{i}" for i in range(50)))]
+    found = {(r["doc"], r["start"], r["n"]) for r in substring.paths(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()}
+    # documents 1 and 2 from word 5, all three from 20, 1 and 3 from 28, where windows of document 2 end
+    assert found == {(1, 5, 15), (1, 20, 8), (1, 28, 10)}
+
+
+def test_ids_have_to_be_integers(spark):
+    with pytest.raises(TypeError, match="doc_id"):
+        substring.dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 def shingles(t):
