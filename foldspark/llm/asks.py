@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from foldspark.llm import text as X
 
-CHUNK = 12 << 20
+CHUNK = 6 << 20
 _CODEC = "zstd"
 
 

@@ -22,6 +22,7 @@ count twice in training; an empty table gives no rows; further columns are ignor
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ SMOOTHING = 0.1
 #: Weight of the lower order, in tokens, for contexts of one and of two tokens.
 MU = (32.0, 4.0)
 #: N-grams, distinct within a chunk each, that meet in a segment on average, at most.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 21
 #: A context is cut when it has more training tokens than both this number and this share of all.
 HOT, HOT_SHARE = 1 << 20, 1 << 12
 #: Bits of a key that tell the tokens after one context apart, and bits of the context beyond those that count all tokens.
@@ -100,12 +101,13 @@ def _estimates() -> np.ndarray:
 ESTIMATES = _estimates()
 
 
-def _positions(h: np.ndarray, j: int, size: int) -> list[np.ndarray]:
+def _positions(h: np.ndarray, j: int, size: int) -> Iterator[np.ndarray]:
     """Bit positions of entry (h, j) in a segment of size bits, a power of two."""
     x = X.mix(h + X.U64(j * 0xD1B54A32D192ED03 % (1 << 64)))
     mask = X.U64(size - 1)
     step = (x >> X.U64(32)) | X.U64(1)
-    return [(x + X.U64(i) * step) & mask for i in range(PROBES)]
+    for i in range(PROBES):
+        yield (x + X.U64(i) * step) & mask
 
 
 def fill(h: np.ndarray, q: np.ndarray, each: int = BITS_PER_ENTRY) -> np.ndarray:
@@ -168,17 +170,15 @@ class Keys:
         """The contexts that a hot one is cut into."""
         return self._cut(np.array(h, X.U64), np.arange(int(self.hot(np.array([h], X.U64))[0]), dtype=X.U64))
 
-    def chunk(self, t: pa.Table):
-        """A chunk's tokens, text indices and contexts; sorted distinct keys of each order and the place of each token's among them."""
-        tokens, contexts, docs = sequences(*X.arrow_bytes(t.column("text")))
-        u, inverse = np.unique(tokens, return_inverse=True)
-        keys, places = [u], [inverse]
-        for c in contexts:
-            key, extra = self.of(tokens, c)
-            u, inverse = np.unique(np.concatenate([key, extra]), return_inverse=True)
-            keys.append(u)
-            places.append(inverse[: len(key)])
-        return tokens, docs, contexts, keys, places
+    def order(self, k: int, tokens: np.ndarray, contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct keys of n-grams of k + 1 tokens, and the place of each token's among them."""
+        if not k:
+            key, every = tokens, tokens
+        else:
+            key, extra = self.of(tokens, contexts[k - 1])
+            every = np.concatenate([key, extra]) if len(extra) else key
+        u, place = np.unique(every, return_inverse=True)
+        return u, place[: len(key)].astype(np.int32)
 
 
 _NAMES = ("one", "two", "three")
@@ -188,10 +188,11 @@ _ANSWERS = "chunk long, part int, tokens long, kinds long, one binary, two binar
 
 def _ask(keys: Keys):
     def run(name: int, t: pa.Table) -> pa.Table:
-        _, docs, _, distinct, places = keys.chunk(t)
+        tokens, contexts, docs = sequences(*X.arrow_bytes(t.column("text")))
         train = ~t.column("held_out").to_numpy()[docs]
         columns = {"chunk": pa.array(np.full(keys.parts, name, np.int64)), "part": pa.array(np.arange(keys.parts, dtype=np.int32))}
-        for order, (u, place) in enumerate(zip(distinct, places, strict=True)):
+        for order in range(3):
+            u, place = keys.order(order, tokens, contexts)
             n = np.bincount(place[train], minlength=len(u)).astype(np.uint32)
             at = A.runs(u, (keys.width if order else 64) - keys.bits, keys.parts)
             columns[_NAMES[order]] = pa.array([A.rising(u[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary())
@@ -222,6 +223,7 @@ def _segment(asked: pa.Table, bits: int) -> pa.Table:
         n = np.zeros(len(u), np.int64)
         np.add.at(n, inverse, A.joined(asked.column(f"{name}_n").to_pylist()).astype(np.int64))
         at = np.cumsum([0, *map(len, own)])
+        inverse = inverse.astype(np.int32)
         if not order:
             out["tokens"] = pa.array([int(n.sum())] + [0] * (several - 1), pa.int64())  # the segment's, once
             out["kinds"] = pa.array([int((n > 0).sum())] + [0] * (several - 1), pa.int64())
@@ -245,24 +247,25 @@ def _scorer(keys: Keys, total: int, kinds: int):
     def run(blob: pa.Table, answers: pa.Table) -> pa.Table:
         t = A.unpack(blob.column("blob")[0].as_py())
         answers = A.whole(answers, keys.parts)
-        _, docs, contexts, distinct, places = keys.chunk(t)
+        tokens, contexts, docs = sequences(*X.arrow_bytes(t.column("text")))
         n = len(t)
+        place = keys.order(0, tokens, contexts)[1]
         count = A.joined(answers.column("one").to_pylist()).astype(np.float64)
-        p = ((count + SMOOTHING) / below)[places[0]]
+        p = ((count + SMOOTHING) / below)[place]
         base = np.bincount(docs, np.log10(p), n)
-        known = np.bincount(docs, (count > 0)[places[0]], n)
+        known = np.bincount(docs, (count > 0)[place], n)
         for order, mu in enumerate(MU, 1):
             c = ESTIMATES[A.joined(answers.column(_NAMES[order]).to_pylist())].astype(np.float64)
             sums = A.joined(answers.column(f"{_NAMES[order]}_all").to_pylist()).astype(np.float64)
-            names, _ = _totals(distinct[order], distinct[order])
-            own = np.searchsorted(names, distinct[order] >> X.U64(WORD_BITS))
-            total_of = sums[own][places[order]]
+            u, place = keys.order(order, tokens, contexts)
+            names, _ = _totals(u, u)
+            total_of = sums[np.searchsorted(names, u >> X.U64(WORD_BITS))][place]
             context = contexts[order - 1]
             hot = np.flatnonzero(keys.hot(context) > 0)
             if len(hot):
-                u, which = np.unique(context[hot], return_inverse=True)
-                total_of[hot] = np.array([sums[np.searchsorted(names, np.unique(keys.cuts(h)))].sum() for h in u])[which]
-            p = (c[places[order]] + mu * p) / (total_of + mu)
+                found, which = np.unique(context[hot], return_inverse=True)
+                total_of[hot] = np.array([sums[np.searchsorted(names, np.unique(keys.cuts(h)))].sum() for h in found])[which]
+            p = (c[place] + mu * p) / (total_of + mu)
         return pa.table({
             "doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": pa.array(X.counts(docs, n)), "n_known": pa.array(known.astype(np.int64)),
             "train_tokens": pa.array(np.full(n, total, np.int64)), "base_score": pa.array(base), "score": pa.array(np.bincount(docs, np.log10(p), n))})
