@@ -36,7 +36,7 @@ from foldspark.llm.common import integer_ids, text_bytes, written
 
 K = 13
 #: Keys, distinct within a chunk each, that meet in a part on average, at most.
-PART = 1 << 22
+PART = 1 << 21
 #: Bits of a key beyond those that count all words.
 MORE_BITS = 8
 LAST = np.iinfo(np.int64).max
