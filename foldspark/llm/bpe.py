@@ -1,12 +1,16 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A long text is cut into chunks that overlap. Each is pre-tokenised by itself; a chunk that starts inside a pre-token soon
-falls into step with its predecessor, as the pattern only looks ahead from where it stands. Pieces are stitched at the first
-boundary that both have in the overlap (the overlap grows until there is one), and each pre-token is then encoded separately.
+A text of more than CHUNK code points is cut into chunks that overlap, a row each, spread over all tasks. Each chunk is
+pre-tokenised by itself from its first code point on, wherever that falls. It starts inside a pre-token, as a rule, and soon falls
+into step with its predecessor, as the pattern only looks ahead from where it stands. A chunk's piece begins at the first of
+its own boundaries in the second half of the overlap, and its predecessor, whose row holds the overlap too, finds that place as
+well, ends its piece there, and checks that it is one of its own boundaries. So pieces fit together and each is encoded
+where it was pre-tokenised. A text with a chunk that is out of step to the end of an overlap is encoded as a whole.
 Decoding joins the raw bytes of the ids.
 
-Cases: a null text is an empty text with no ids; repeated rows are encoded each by itself; an empty table gives no rows;
-further columns are ignored by `encode` and carried by `encoded_docs`. Long texts go in chunks.
+Cases: a null text is an empty text with no ids; repeated rows are encoded each by itself (chunks of equal texts once); an empty
+table gives no rows; further columns are ignored by `encode` and carried by `encoded_docs`, whatever their names. Texts are
+encoded whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -19,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 20
-OVERLAP = 1 << 12
+CHUNK = 1 << 14
+OVERLAP = 1 << 10
+#: Code points before the end of a cut text where its boundaries may differ from those of the whole text.
+MARGIN = 16
 _encodings: dict[tuple[str, str], object] = {}
 
 
@@ -47,61 +53,89 @@ def boundaries(text: str, pattern: str, start: int, end: int) -> list[int]:
     return out
 
 
-def cuts(text: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """Places, 0 and the end among them, where a text can be cut without changing its pre-tokens.
-
-    Chunk k starts at k * chunk, wherever that falls, and is pre-tokenised on its own; its predecessor goes on for an overlap.
-    A boundary that both see is a boundary of the whole text if the predecessor's are, and from there on so are the chunk's
-    own. Cuts follow a character other than white space, as the pattern looks at what comes after white space.
-    """
-    n = len(text)
-    starts = list(range(0, n, chunk))
-    if len(starts) < 2:
-        return [0, n]
-    own = [boundaries(text, pattern, s, min(n, s + chunk + overlap)) for s in starts]
-    out, true = [0], own[0]
-    for k in range(1, len(starts)):
-        mine, width = own[k], overlap
-        while True:
-            seen = set(mine)
-            shared = [b for b in true if b in seen]
-            if shared or true[-1] >= n:
-                break
-            width *= 2  # out of step all along: both go on
-            true = true + boundaries(text, pattern, true[-1], min(n, starts[k] + width))
-            mine = mine + boundaries(text, pattern, mine[-1], min(n, starts[k] + width)) if mine[-1] < n else mine
-        if not shared:
-            break  # the predecessor reached the end of the text
-        true = [b for b in mine if b >= shared[0]]
-        cut = next((b for b in shared if b < n and not text[b - 1].isspace()), None)
-        if cut is not None and cut > out[-1]:
-            out.append(cut)
-        if true[-1] < min(n, starts[k] + chunk + overlap):
-            true = true + boundaries(text, pattern, true[-1], min(n, starts[k] + chunk + overlap))
-    return [*out, n]
-
-
-def encode_text(text: str | None, path: str, pattern: str, chunk: int = CHUNK) -> list[int]:
-    if not text:
-        return []
-    enc = encoding(path, pattern)
-    if len(text) <= chunk:
-        return enc.encode_ordinary(text)
-    at = cuts(text, pattern, chunk, min(OVERLAP, chunk))
-    return [i for a, b in zip(at, at[1:], strict=False) for i in enc.encode_ordinary(text[a:b])]
-
-
-def _encoder(path: str, pattern: str, chunk: int):
+def starts(n: int, chunk: int) -> list[int]:
+    """Where the chunks of a text of n code points begin; the last has up to twice the size of the others."""
+    return list(range(0, max(1, n // chunk) * chunk, chunk))
+
+
+def first_cut(overlap: str, pattern: str) -> int | None:
+    """Where the piece of a chunk begins that begins with this overlap: a boundary after a character other than white space, as
+    the pattern looks at what comes after white space."""
+    n = len(overlap)
+    return next((b for b in boundaries(overlap, pattern, 0, n) if n // 2 <= b < n - MARGIN and not overlap[b - 1].isspace()), None)
+
+
+def piece(text: str, first: bool, last: bool, pattern: str, chunk: int, overlap: int) -> tuple[int, int, bool]:
+    """Start and end of a chunk's piece in its row's text, and whether its boundaries are in step with the next chunk's."""
+    start = 0 if first else first_cut(text[:overlap], pattern)
+    if start is None:
+        return 0, 0, False
+    if last:
+        return start, len(text), True
+    end = first_cut(text[chunk : chunk + overlap], pattern)
+    if end is None:
+        return 0, 0, False
+    end += chunk
+    return start, end, end in set(boundaries(text, pattern, start, end)[-1:])
+
+
+def encode_text(text: str | None, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """Ids of one text, chunk by chunk."""
+    text = text or ""
+    enc, out = encoding(path, pattern), []
+    at = starts(len(text), chunk)
+    for s in at:
+        row = text[s:] if s == at[-1] else text[s : s + chunk + overlap]
+        a, b, ok = piece(row, s == 0, s == at[-1], pattern, chunk, overlap)
+        if not ok:
+            return enc.encode_ordinary(text)
+        out += enc.encode_ordinary(row[a:b])
+    return out
+
+
+def _lists(ids: list[list[int]]) -> pa.ListArray:
+    at = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(x) for x in ids], out=at[1:])
+    return pa.ListArray.from_arrays(at, np.concatenate([np.array(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32))
+
+
+def _encoder(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(path, pattern)
         for b in batches:
             text = b.column(b.schema.get_field_index("text"))
             for lo in range(0, len(b), 512):  # so that ids of a large batch aren't all in memory
-                part = b.slice(lo, 512)
-                ids = [np.array(encode_text(t.as_py(), path, pattern, chunk), np.int32) for t in text.slice(lo, 512)]
-                at = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) for x in ids], out=at[1:])
-                flat = pa.ListArray.from_arrays(at, np.concatenate(ids) if ids else np.zeros(0, np.int32))
-                yield pa.RecordBatch.from_arrays([*part.columns, flat], [*b.schema.names, "bpe_ids"])
+                ids = [enc.encode_ordinary(t.as_py() or "") for t in text.slice(lo, 512)]
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, 512).columns, _lists(ids)], [*b.schema.names, "bpe_ids"])
+
+    return run
+
+
+def _cut(chunk: int, overlap: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = text.as_py()
+                at = starts(len(text), chunk)
+                rows = [text[s:] if s == at[-1] else text[s : s + chunk + overlap] for s in at]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(at)), pa.array(range(len(at)), pa.int32()), pa.array([len(at)] * len(at), pa.int32()), pa.array(rows, pa.string())], ["key", "k", "n", "text"])
+
+    return run
+
+
+def _encode_pieces(path: str, pattern: str, chunk: int, overlap: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(path, pattern)
+        for b in batches:
+            for lo in range(0, len(b), 128):
+                part = b.slice(lo, 128)
+                ids, good = [], []
+                for k, n, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3), strict=True):
+                    text = text.as_py()
+                    start, end, ok = piece(text, k == 0, k == n - 1, pattern, chunk, overlap)
+                    ids.append(enc.encode_ordinary(text[start:end]) if ok else [])
+                    good.append(ok)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(good), _lists(ids)], ["key", "k", "ok", "ids"])
 
     return run
 
@@ -110,15 +144,36 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def encoded_docs(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK) -> DataFrame:
+def long_ids(texts: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """(key, bpe_ids) of (key, text), texts of several chunks: chunks are encoded in parallel, and equal ones once."""
+    rows = texts.mapInArrow(_cut(chunk, overlap), "key string, k int, n int, text string")
+    rows = rows.groupBy("key", "k").agg(F.first("n").alias("n"), F.first("text").alias("text"))
+    pieces = rows.mapInArrow(_encode_pieces(path, pattern, chunk, overlap), "key string, k int, ok boolean, ids array<int>")
+    ordered = F.array_sort(F.collect_list(F.struct("k", "ids")))
+    whole = pieces.groupBy("key").agg(F.every("ok").alias("ok"), F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
+    rest = texts.join(whole.filter("not ok").select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    rest = rest.mapInArrow(_encoder(path, pattern), "key string, text string, bpe_ids array<int>").select("key", "bpe_ids")
+    return whole.filter("ok").select("key", F.col("ids").alias("bpe_ids")).union(rest)
+
+
+def _encoded(docs: DataFrame, columns: list[str], path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    packed = docs.select(F.struct(*[F.col(c) for c in columns]).alias("doc"), "text")
+    is_long = F.coalesce(F.char_length("text") > chunk, F.lit(False))
+    short = packed.filter(~is_long).mapInArrow(_encoder(path, pattern), _ddl(packed) + ", bpe_ids array<int>").select("doc", "bpe_ids")
+    longs = packed.filter(is_long).withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
+    ids = long_ids(longs.select("key", "text"), path, pattern, chunk, overlap)
+    return short.union(longs.select("key", "doc").join(ids, "key").select("doc", "bpe_ids")).select("doc.*", "bpe_ids")
+
+
+def encoded_docs(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """docs with bpe_ids, an array of ids of the text, in place of a column of that name."""
     docs = docs.drop("bpe_ids")
-    return docs.mapInArrow(_encoder(path, pattern, chunk), _ddl(docs) + ", bpe_ids array<int>")
+    return _encoded(docs, docs.columns, path, pattern, chunk, overlap)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id and bpe_ids."""
-    return encoded_docs(docs.select("doc_id", "text"), path, pattern, chunk).drop("text")
+    return _encoded(docs, ["doc_id"], path, pattern, chunk, overlap)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -139,9 +194,9 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(run, _ddl(encoded) + ", bpe_bytes binary, bpe_ids_le binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and of decoded bytes."""
-    d = decode(encode(docs, path, pattern, chunk), path, pattern)
+    d = decode(encode(docs, path, pattern, chunk, overlap), path, pattern)
     return d.select(
         "doc_id", F.size("bpe_ids").cast("long").alias("n_tokens"), F.sha2("bpe_ids_le", 256).alias("ids_sha256"),
         F.sha2("bpe_bytes", 256).alias("decoded_sha256"))

@@ -1,8 +1,10 @@
 """Document fingerprints by I-Match over several randomised lexicons.
 
-The lexicon holds the terms (words, A-Z lower-cased) within a band of document frequency, LEAST to a share of MOST_SHARE,
-counted over all documents. Up to LEXICON terms are broadcast; more are joined: chunks of documents send their distinct terms
-to parts of the lexicon, and get back which of them it holds.
+The lexicon holds the terms (words, A-Z lower-cased) within a band of inverse document frequency, counted over all documents:
+log(documents / documents with the term) from LEAST_IDF to MOST_IDF, at any size of the corpus. A term of the band is in a
+share of 1 in exp(MOST_IDF) of the documents or more, so the lexicon has at most exp(MOST_IDF) times the mean number of distinct
+terms of a document, however many documents there are. Up to LEXICON terms are broadcast; more, as very long documents may
+make, are joined: chunks of documents send their distinct terms to parts of the lexicon, and get back which of them it holds.
 Besides all of it, SUBSETS random subsets keep a share of its terms, from 1 in 2 ** FIRST_LEVEL down by halves over LEVELS
 levels, so that texts of any length have subsets in which they hold a term or two. A document's distinct terms in each give
 one signature (terms are sorted, and a sum of their hashes stands for the set), and signatures together are the fingerprint. The likeness of two
@@ -17,6 +19,7 @@ by text; a null doc_id comes after all others.
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 from collections.abc import Iterator
 
@@ -26,15 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.llm import text as X
-from foldspark.llm.common import partitions, written
+from foldspark.llm.common import integer_ids, partitions, text_bytes, written
 from foldspark.llm.asks import slices
 
 SUBSETS = 32
 FIRST_LEVEL = 4
 LEVELS = 8
-#: The band: terms in at least this number of documents, and in at most this share of them.
+#: The band: terms in a fifth of the documents to 1 in 2,000, and in two documents at least.
+LEAST_IDF, MOST_IDF = math.log(5), math.log(2000)
 LEAST = 2
-MOST_SHARE = 0.2
 #: Terms that are broadcast, at most.
 LEXICON = 1 << 19
 FIRST = -(1 << 63)
@@ -79,7 +82,8 @@ def band(docs: DataFrame) -> DataFrame:
     """(h) of all terms of the band."""
     n = docs.count()
     df = docs.select("text").mapInArrow(_frequencies, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return written(df.filter((F.col("n") >= LEAST) & (F.col("n") <= max(LEAST, int(MOST_SHARE * n)))).select("h"))
+    least, most = max(LEAST, n * math.exp(-MOST_IDF)), max(LEAST, n * math.exp(-LEAST_IDF))
+    return written(df.filter((F.col("n") >= least * (1 - 1e-9)) & (F.col("n") <= most * (1 + 1e-9))).select("h"))
 
 
 def _words(terms: DataFrame) -> np.ndarray:
@@ -120,7 +124,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     Each bucket ends with guests: copies of the first row of the next bucket (the last has that of the first), so that every row
     but the guests finds the next document in its own partition. Bounds come from the ids alone.
     """
-    spark = docs.sparkSession
+    spark = integer_ids(docs).sparkSession
     n = partitions(spark)
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("id"), "text")
     quantiles = F.percentile_approx("id", [k / n for k in range(1, n)], 10_000) if n > 1 else F.array()
@@ -249,7 +253,7 @@ def _finish(t: pa.Table, answers: pa.Table) -> pa.Table:
 def _joined(docs: DataFrame, named: DataFrame, terms: DataFrame, finish, ddl: str) -> DataFrame:
     """finish over chunks with their terms of the lexicon, which isn't broadcast. named: rows with their chunks, written."""
     rows = named.groupBy("chunk")
-    bits = segment_bits(docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
+    bits = segment_bits(text_bytes(docs))
     parts = terms.select(F.shiftrightunsigned("h", 64 - bits).cast("int").alias("part"), "h").groupBy("part")
     asked = rows.applyInArrow(_ask(bits), "chunk long, part int, asked binary").groupBy("part")
     answers = asked.cogroup(parts).applyInArrow(_answer, "chunk long, part int, known binary").groupBy("chunk")

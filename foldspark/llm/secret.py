@@ -1,5 +1,6 @@
 """Secret scans: an Aho-Corasick prefilter finds keywords, anchored regular expressions run at the hits only, and tokens
-that embed a checksum are kept only when it holds.
+that embed a checksum are kept only when it holds: GitHub's and npm's tokens (CRC-32 in base 62), extended private keys
+(Base58Check), and nostr and age secret keys (Bech32).
 
 Cases: a null text is an empty text without spans; repeated rows are scanned each by itself; an empty table gives no rows;
 further columns are ignored by `scan` and carried by `redact`. Texts are scanned whole. Spans count code points, ends
@@ -8,6 +9,7 @@ exclusive. Where spans of several kinds overlap, each is reported, and `redact`
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("assign", "access", "hex", "github", "npm")
+KINDS = ("assign", "access", "hex", "github", "npm", "xprv", "nsec", "age")
 BASE = KINDS[:3]
 MASK = "[REDACTED]"
 
@@ -24,13 +26,19 @@ _ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _SUMMED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
+_XPRV = re.compile(r"xprv[1-9A-HJ-NP-Za-km-z]{107}(?![A-Za-z0-9])")
+_NSEC = re.compile(r"nsec1[02-9ac-hj-np-z]{58}(?![A-Za-z0-9])")
+_AGE = re.compile(r"AGE-SECRET-KEY-1[02-9AC-HJ-NP-Z]{58}(?![A-Za-z0-9])")
 #: Keyword (in lower case) and the family of patterns to try where it starts.
 _KEYWORDS = {
     "password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign",
     "akia": "access", "ghp_": "github", "gho_": "github", "ghu_": "github", "ghs_": "github", "ghr_": "github", "npm_": "npm",
+    "xprv": "xprv", "nsec1": "nsec", "age-secret-key-1": "age",
 }
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+_BECH32 = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
 _automaton = None
 
 
@@ -56,6 +64,43 @@ def checksum(body: str) -> str:
     return out
 
 
+def base58_holds(token: str) -> bool:
+    """Whether a Base58Check token of 78 bytes ends with four bytes of its double SHA-256."""
+    n = 0
+    for c in token:
+        n = 58 * n + _BASE58.index(c)
+    if n >> 656:
+        return False
+    raw = n.to_bytes(82, "big")
+    return hashlib.sha256(hashlib.sha256(raw[:-4]).digest()).digest()[:4] == raw[-4:]
+
+
+def bech32_sum(name: str, values: list[int]) -> int:
+    """The checksum polynomial of a Bech32 string; 1 where it holds."""
+    out = 1
+    for v in [*[ord(c) >> 5 for c in name], 0, *[ord(c) & 31 for c in name], *values]:
+        top = out >> 25
+        out = (out & 0x1FFFFFF) << 5 ^ v
+        for i, g in enumerate((0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)):
+            out ^= g if top >> i & 1 else 0
+    return out
+
+
+def bech32_holds(token: str) -> bool:
+    name, _, data = token.lower().rpartition("1")
+    return bech32_sum(name, [_BECH32.index(c) for c in data]) == 1
+
+
+def _summed(text: str, at: int, kind: str) -> int:
+    """The end of a token with a valid checksum that starts here, or -1."""
+    if kind in ("github", "npm"):
+        m = _SUMMED.match(text, at)
+        return m.end() if m and checksum(m[1]) == m[2] else -1
+    m = {"xprv": _XPRV, "nsec": _NSEC, "age": _AGE}[kind].match(text, at)
+    holds = base58_holds if kind == "xprv" else bech32_holds
+    return m.end() if m and holds(m[0]) else -1
+
+
 def spans(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then by kind as in KINDS."""
     if not text:
@@ -82,8 +127,8 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
                     past = m.end()
                     if past - at >= 16:
                         out.append((at, past, kind))
-            elif (m := _SUMMED.match(text, at)) and checksum(m[1]) == m[2]:
-                past = m.end()
+            elif (end := _summed(text, at, kind)) >= 0:
+                past = end
                 out.append((at, past, kind))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
