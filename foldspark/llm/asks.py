@@ -12,6 +12,8 @@ all there, as it was scanned in another order after an executor was lost, ends t
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -69,10 +71,29 @@ def each_chunk(docs: DataFrame, f: Callable[[int, pa.Table], pa.Table], ddl: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, t in enumerate(chunks(batches, size)):
             yield from f(_name(t, k), t).to_batches()
+            tidy()
 
     return docs.mapInArrow(run, ddl)
 
 
+def tidy() -> None:
+    """Gives freed memory back, as allocators keep what large arrays leave behind."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(f: Callable) -> Callable:
+    """f for groups, which gives memory back after each."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        out = f(*tables)
+        tidy()
+        return out
+
+    return (lambda t: run(t)) if f.__code__.co_argcount == 1 else (lambda left, right: run(left, right))
+
+
 def pack(t: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=_CODEC)) as w:

@@ -10,35 +10,45 @@ WORDS = f"regexp_extract_all(coalesce(text, ''), '{WORD}')"
 
 
 def _quality() -> str:
-    rules = [f"v{i}" for i in range(len(quality.RULES))]
-    logit = lambda a: f"ln({quality.PRIOR} / {1 - quality.PRIOR!r})" + "".join(f" + {v} * ln({a}.{v} / (1 - {a}.{v}))" for v in rules)
-    steps = [f"a0 AS (SELECT {', '.join(f'{quality.ACCURACY}::DOUBLE AS {v}' for v in rules)})"]
-    for k in range(quality.ITERATIONS):
-        g = f"(SELECT {', '.join(f'p.{v}' for v in rules)}, n, 1 / (1 + exp(-({logit(f'a{k}').replace(' + v', ' + p.v')}))) AS g FROM p, a{k})"
-        new = ", ".join(f"(sum(CASE WHEN {v} > 0 THEN n * g WHEN {v} < 0 THEN n * (1 - g) ELSE 0 END) + any_value(w.w) * {quality.ACCURACY}) / (sum(abs({v}) * n) + any_value(w.w)) AS {v}" for v in rules)
-        steps.append(f"a{k + 1} AS (SELECT {new} FROM {g}, w)")
-    last = f"a{quality.ITERATIONS}"
-    final = logit(last).replace(" + v", " + x.v")
+    q, n = quality, len(quality.RULES)
+    first = [f"{q.GOOD}::DOUBLE AS g"] + [f"{x}::DOUBLE AS {c}{i}" for i in range(n) for c, x in (("a", q.RIGHT_ON_GOOD), ("b", q.RIGHT_ON_BAD))]
+    steps = [f"m0 AS (SELECT {', '.join(first)})"]
+
+    def posterior(m: str, p: str) -> str:
+        each = [f"CASE WHEN {p}.v{i} > 0 THEN ln({m}.a{i} / (1 - {m}.b{i})) WHEN {p}.v{i} < 0 THEN ln((1 - {m}.a{i}) / {m}.b{i}) ELSE 0 END" for i in range(n)]
+        return f"1 / (1 + exp(-(ln({m}.g / (1 - {m}.g)) + {' + '.join(each)})))"
+
+    for k in range(q.ITERATIONS):
+        share = lambda right, voted, guess: f"(sum({right}) + ({q.STRENGTH} * sum({voted}) + {q.FEW}) * {guess}) / ({1 + q.STRENGTH} * sum({voted}) + {q.FEW})"
+        new = [f"(sum(w) + {q.FEW} * {q.GOOD}) / (sum(n) + {q.FEW}) AS g"]
+        for i in range(n):
+            new.append(share(f"(v{i} > 0)::INT * w", f"abs(v{i}) * w", q.RIGHT_ON_GOOD) + f" AS a{i}")
+            new.append(share(f"(v{i} < 0)::INT * (n - w)", f"abs(v{i}) * (n - w)", q.RIGHT_ON_BAD) + f" AS b{i}")
+        steps.append(f"m{k + 1} AS MATERIALIZED (SELECT {', '.join(new)} FROM (SELECT p.*, n * ({posterior(f'm{k}', 'p')}) AS w FROM p, m{k}))")
+    last = posterior(f"m{q.ITERATIONS}", "x")
+    failed = f"(n < {q.LEAST_WORDS} OR 100 * repeats > {q.MOST_REPEATED} * n)"
+    vote = lambda bad, good: f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END"
+    rules = [
+        vote("n < 60", "n >= 120"), vote("10 * chars < 44 * n OR chars > 6 * n", "10 * chars >= 46 * n AND 2 * chars <= 11 * n"), vote("50 * symbols > n", "symbols = 0"),
+        vote("10 * upper_ > chars", "20 * upper_ < chars"), vote("20 * bare > n", "100 * bare <= n"), vote("total >= 4 AND 10 * dup > total", "total >= 4 AND 50 * dup <= total"),
+        vote("100 * repeats > 15 * n", "n >= 20 AND 100 * repeats <= 5 * n"), vote("n >= 20 AND (100 * stops < 6 * n OR 100 * stops > 40 * n)", "100 * stops >= 9 * n AND 100 * stops <= 25 * n")]
+    count = lambda pattern: f"length(regexp_replace(text, '[^{pattern}]', '', 'g'))::BIGINT"
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS words FROM documents),
-l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD}') GROUP BY 1),
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS words FROM documents),
+l AS (SELECT doc_id, count(*) AS total, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD}') GROUP BY 1),
+e AS (SELECT doc_id, count(*) AS bare FROM (SELECT doc_id, unnest(words) AS word FROM d) WHERE NOT regexp_matches(word, '\\p{{L}}') GROUP BY 1),
 t AS (SELECT doc_id, i, words[i : i + 2] AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS c FROM t) WHERE c > 1),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1),
-m AS (SELECT d.doc_id, len(words)::BIGINT AS n, length(array_to_string(words, ''))::BIGINT AS chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS symbols,
-  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper_, length(regexp_replace(text, '[^!?]', '', 'g')) AS calls, coalesce(l.dup, 0)::BIGINT AS dup, coalesce(c.n, 0)::BIGINT AS repeats
-  FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id),
-x AS (SELECT *, -(n < 20)::INT AS v0, -(chars < 2 * n OR chars > 12 * n)::INT AS v1, -(5 * symbols > n)::INT AS v2, -(3 * upper_ > chars)::INT AS v3, -(4 * calls > n)::INT AS v4,
-  -(dup > 5)::INT AS v5, -(100 * repeats > 30 * n)::INT AS v6,
-  (n >= 20 AND 20 * symbols < n AND 20 * calls < n AND 8 * upper_ < chars AND dup = 0 AND 100 * repeats < 10 * n)::INT AS v7 FROM m),
-p AS (SELECT {', '.join(rules)}, count(*) AS n FROM x GROUP BY ALL),
-w AS (SELECT greatest(1.0, {quality.STRENGTH} * sum(n))::DOUBLE AS w FROM p),
+m AS (SELECT d.doc_id, len(words)::BIGINT AS n, length(array_to_string(words, ''))::BIGINT AS chars, {count('#*$%&|<>')} AS symbols, {count('A-Z')} AS upper_, {count('.,;:')} AS stops,
+  coalesce(l.total, 0)::BIGINT AS total, coalesce(l.dup, 0)::BIGINT AS dup, coalesce(e.bare, 0)::BIGINT AS bare, coalesce(c.n, 0)::BIGINT AS repeats
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN e ON e.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id),
+x AS MATERIALIZED (SELECT *, {', '.join(f'{r} AS v{i}' for i, r in enumerate(rules))} FROM m),
+p AS MATERIALIZED (SELECT {', '.join(f'v{i}' for i in range(n))}, count(*) AS n FROM x GROUP BY ALL),
 {", ".join(steps)}
 SELECT doc_id, n AS n_words, chars AS word_chars, symbols AS n_symbols, dup AS n_dup_lines, repeats AS n_repeat_words,
-  n < {quality.LEAST_WORDS} OR 100 * repeats > {quality.MOST_REPEATED} * n AS base_failed,
-  NOT (n < {quality.LEAST_WORDS} OR 100 * repeats > {quality.MOST_REPEATED} * n) AND 1 / (1 + exp(-({final}))) >= {quality.KEEP} AS kept,
-  round(1 / (1 + exp(-({final}))), 6) AS posterior
-FROM x, {last}"""
+  {failed} AS base_failed, NOT {failed} AND {last} >= {q.KEEP} AS kept, round({last}, 6) AS posterior
+FROM x, m{q.ITERATIONS}"""
 
 
 SUBSTRINGS = f"""

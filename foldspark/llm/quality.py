@@ -1,8 +1,9 @@
 """Quality rules by weak supervision (DataFrame functions only).
 
-Rules vote good (1), bad (-1) or abstain (0). Expectation-maximisation over the table of vote patterns (at most
-3 ** 8 rows, whatever the number of documents) estimates how accurate each rule is on good and on bad documents, and the
-posterior probability of good replaces an all-must-pass filter.
+Rules vote good (1), bad (-1) or abstain (0). Expectation-maximisation over the table of vote patterns (at most 3 ** 8 rows,
+whatever the number of documents) estimates, for each rule, how often its vote is right on good documents and how often on bad
+ones, and the share of good documents. The posterior probability of good replaces an all-must-pass filter: the vote of a rule
+that good documents often break weighs little, and one bad vote can be overruled.
 
 Cases: a null text is an empty text: no words, base_failed, not kept. Repeated rows are judged each by itself and alike.
 An empty table gives no rows. Further columns are ignored (`quality`) or carried (`filter_docs`), whatever their names. Texts are read whole, at any length.
@@ -11,6 +12,7 @@ An empty table gives no rows. Further columns are ignored (`quality`) or carried
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,16 +21,24 @@ from foldspark.llm.common import word_array, written
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+STOPS = ".,;:"
 LEAST_WORDS = 50
 MOST_REPEATED = 50
-ITERATIONS = 12
+ITERATIONS = 20
 KEEP = 0.5
-#: The share of good documents that the label model takes for granted, each rule's first accuracy, and the weight of that guess
-#: against the votes, as a share of all documents: a rule that seldom meets others keeps most of it.
-PRIOR = 0.7
-ACCURACY = 0.9
-STRENGTH = 0.1
-RULES = ("length", "word_length", "symbols", "shouting", "calls", "lines", "repeats", "prose")
+#: Guesses to begin with: the share of good documents, and how often a vote is right on good and on bad documents (a bad
+#: document shows few of all flaws). The guess on a rule weighs a quarter of the rule's own votes, and FEW documents.
+GOOD, RIGHT_ON_GOOD, RIGHT_ON_BAD = 0.8, 0.97, 0.3
+STRENGTH, FEW = 0.25, 10
+RULES = ("length", "word_length", "symbols", "shouting", "letters", "lines", "repeats", "stops")
+
+
+class Model(NamedTuple):
+    """The share of good documents, and each rule's shares of right votes on good and on bad ones."""
+
+    good: float
+    on_good: list[float]
+    on_bad: list[float]
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -62,8 +72,8 @@ def _covered(places: Column) -> Column:
     )
 
 
-def _vote(bad: Column) -> Column:
-    return F.when(bad, F.lit(-1)).otherwise(F.lit(0))
+def _vote(bad: Column, good: Column) -> Column:
+    return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
 
 
 def votes(docs: DataFrame) -> DataFrame:
@@ -79,11 +89,13 @@ def votes(docs: DataFrame) -> DataFrame:
         "q_word_chars": F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long"),
         "q_n_symbols": _without(text, SYMBOLS),
         "q_n_upper": _without(text, UPPER),
-        "q_n_calls": _without(text, "!?"),
+        "q_n_stops": _without(text, STOPS),
     })
     w = F.col("q_words")
     d = d.withColumns({
         "q_n_words": F.size(w).cast("long"),
+        "q_n_bare": F.size(F.filter(w, lambda x: ~x.rlike(r"\p{L}"))).cast("long"),
+        "q_n_lines": F.size("q_lines").cast("long"),
         "q_n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
         "q_hashes": F.transform(
             F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))),
@@ -91,45 +103,46 @@ def votes(docs: DataFrame) -> DataFrame:
     d = d.withColumn("q_ordered", _ordered(F.col("q_hashes"))).drop("q_hashes")
     d = d.withColumn("q_places", _places(F.col("q_ordered"))).drop("q_ordered")
     d = d.withColumn("q_n_repeat_words", _covered(F.col("q_places"))).drop("q_places")
-    n, chars, symbols, upper, calls, dup, repeats = (
-        F.col(f"q_{c}") for c in ("n_words", "word_chars", "n_symbols", "n_upper", "n_calls", "n_dup_lines", "n_repeat_words"))
+    n, chars, symbols, upper, stops, bare, total, dup, repeats = (
+        F.col(f"q_{c}") for c in ("n_words", "word_chars", "n_symbols", "n_upper", "n_stops", "n_bare", "n_lines", "n_dup_lines", "n_repeat_words"))
     failed = (n < LEAST_WORDS) | (100 * repeats > MOST_REPEATED * n)
     return d.withColumns({
         "q_base_failed": failed,
-        "q_v_length": _vote(n < 20),
-        "q_v_word_length": _vote((chars < 2 * n) | (chars > 12 * n)),
-        "q_v_symbols": _vote(5 * symbols > n),
-        "q_v_shouting": _vote(3 * upper > chars),
-        "q_v_calls": _vote(4 * calls > n),
-        "q_v_lines": _vote(dup > 5),
-        "q_v_repeats": _vote(100 * repeats > 30 * n),
-        "q_v_prose": F.when(
-            (n >= 20) & (20 * symbols < n) & (20 * calls < n) & (8 * upper < chars) & (dup == 0) & (100 * repeats < 10 * n), F.lit(1)
-        ).otherwise(F.lit(0)),
+        "q_v_length": _vote(n < 60, n >= 120),
+        "q_v_word_length": _vote((10 * chars < 44 * n) | (chars > 6 * n), (10 * chars >= 46 * n) & (2 * chars <= 11 * n)),
+        "q_v_symbols": _vote(50 * symbols > n, symbols == 0),
+        "q_v_shouting": _vote(10 * upper > chars, 20 * upper < chars),
+        "q_v_letters": _vote(20 * bare > n, 100 * bare <= n),
+        "q_v_lines": _vote((total >= 4) & (10 * dup > total), (total >= 4) & (50 * dup <= total)),
+        "q_v_repeats": _vote(100 * repeats > 15 * n, (n >= 20) & (100 * repeats <= 5 * n)),
+        "q_v_stops": _vote((n >= 20) & ((100 * stops < 6 * n) | (100 * stops > 40 * n)), (100 * stops >= 9 * n) & (100 * stops <= 25 * n)),
     })
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]]) -> list[float]:
-    """Each rule's accuracy (how often its vote is right, when it votes), by expectation-maximisation.
-
-    patterns: the votes and how many documents cast them. The guess ACCURACY weighs as much as STRENGTH of all documents.
-    """
-    accuracy = [ACCURACY] * len(RULES)
-    weight = max(1.0, STRENGTH * sum(n for _, n in patterns))
+def fit(patterns: list[tuple[tuple[int, ...], int]]) -> Model:
+    """The model of votes and how many documents cast them, by expectation-maximisation."""
+    rules = range(len(RULES))
+    model = Model(GOOD, [RIGHT_ON_GOOD] * len(RULES), [RIGHT_ON_BAD] * len(RULES))
+    patterns = sorted(patterns)
     for _ in range(ITERATIONS):
-        right, voted = [0.0] * len(RULES), [0.0] * len(RULES)
-        for v, n in sorted(patterns):
-            good = posterior_of(v, accuracy)
-            for j, x in enumerate(v):
-                if x:
-                    voted[j] += n
-                    right[j] += n * (good if x > 0 else 1 - good)
-        accuracy = [(r + weight * ACCURACY) / (n + weight) for r, n in zip(right, voted, strict=True)]
-    return accuracy
-
-
-def posterior_of(v: tuple[int, ...], accuracy: list[float]) -> float:
-    x = math.log(PRIOR / (1 - PRIOR)) + sum(s * math.log(a / (1 - a)) for a, s in zip(accuracy, v, strict=True))
+        weights = [(v, n, n * posterior_of(v, model)) for v, n in patterns]
+        share = lambda right, voted, guess: (right + (STRENGTH * voted + FEW) * guess) / ((1 + STRENGTH) * voted + FEW)
+        on_good = [share(sum(g for v, _, g in weights if v[j] > 0), sum(g for v, _, g in weights if v[j]), RIGHT_ON_GOOD) for j in rules]
+        on_bad = [share(sum(n - g for v, n, g in weights if v[j] < 0), sum(n - g for v, n, g in weights if v[j]), RIGHT_ON_BAD) for j in rules]
+        good = (sum(g for *_, g in weights) + FEW * GOOD) / (sum(n for _, n in patterns) + FEW)
+        model = Model(good, on_good, on_bad)
+    return model
+
+
+def log_odds(model: Model) -> tuple[float, list[tuple[float, float]]]:
+    """The log odds of good before any vote, and what a good and a bad vote of each rule add."""
+    each = [(math.log(a / (1 - b)), math.log((1 - a) / b)) for a, b in zip(model.on_good, model.on_bad, strict=True)]
+    return math.log(model.good / (1 - model.good)), each
+
+
+def posterior_of(v: tuple[int, ...], model: Model) -> float:
+    prior, each = log_odds(model)
+    x = prior + sum(up if s > 0 else down for s, (up, down) in zip(v, each, strict=True) if s)
     return 1 / (1 + math.exp(-x))
 
 
@@ -137,23 +150,24 @@ def _names() -> list[str]:
     return [f"q_v_{r}" for r in RULES]
 
 
-def _fitted(v: DataFrame) -> list[float]:
-    """Accuracies from a table with votes. Only the table of patterns (3 ** 8 rows at most) leaves the executors."""
+def _fitted(v: DataFrame) -> Model:
+    """The model of a table with votes. Only the table of patterns (3 ** 8 rows at most) leaves the executors."""
     table = v.groupBy(*_names()).count().collect()
     return fit([(tuple(row[c] for c in _names()), row["count"]) for row in table])
 
 
-def _judged(v: DataFrame, accuracy: list[float]) -> DataFrame:
+def _judged(v: DataFrame, model: Model) -> DataFrame:
     """v, a table with votes, with q_posterior and q_kept."""
-    logit = F.lit(math.log(PRIOR / (1 - PRIOR)))
-    for c, a in zip(_names(), accuracy, strict=True):
-        logit = logit + F.col(c) * F.lit(math.log(a / (1 - a)))
+    prior, each = log_odds(model)
+    logit = F.lit(prior)
+    for c, (up, down) in zip(_names(), each, strict=True):
+        logit = logit + F.when(F.col(c) > 0, F.lit(up)).when(F.col(c) < 0, F.lit(down)).otherwise(F.lit(0.0))
     posterior = F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
     return v.withColumn("q_posterior", posterior).withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_posterior") >= KEEP))
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """doc_id, the measures, base_failed, kept, posterior and votes.
+    """doc_id, the measures, base_failed, kept and posterior.
 
     Measures are written once, without texts, to the shared folder.
     """
@@ -166,10 +180,8 @@ def quality(docs: DataFrame) -> DataFrame:
 def filter_docs(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns, whatever their names.
 
-    Measures are computed twice, as writing them for the second pass would mean writing the texts as well.
+    Documents are written once with their votes, so measures aren't computed again for the second pass.
     """
-    accuracy = _fitted(votes(docs.select("text")))
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("q_row"), F.col("text"))
-    judged = _judged(votes(packed).drop("text"), accuracy)
-    # a filter moves down through deterministic columns, and would then compute staged ones anew for each element
-    return judged.withColumn("q_at", F.monotonically_increasing_id()).filter("q_kept and q_at >= 0").select("q_row.*")
+    v = written(votes(packed).select("q_row", "q_base_failed", *_names()))
+    return _judged(v, _fitted(v)).filter("q_kept").select("q_row.*")

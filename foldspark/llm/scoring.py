@@ -279,9 +279,9 @@ def score(docs: DataFrame, chunk: int = A.CHUNK, bits: int = BITS_PER_ENTRY) ->
     rows = docs.select("doc_id", "text", tenth.alias("held_out"))
     size = text_bytes(docs) + docs.count()
     keys = Keys(size, hot_contexts(rows, size // 5))
-    answers = written(A.each_chunk(rows, _ask(keys), _ASKED, chunk).groupBy("part").applyInArrow(_answer(bits), _ANSWERS))
+    answers = written(A.each_chunk(rows, _ask(keys), _ASKED, chunk).groupBy("part").applyInArrow(A.tidied(_answer(bits)), _ANSWERS))
     sums = answers.agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
     kind = docs.schema["doc_id"].dataType.simpleString()
     ddl = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     both = A.blobs(rows, chunk).groupBy("chunk").cogroup(answers.drop("tokens", "kinds").groupBy("chunk"))
-    return both.applyInArrow(_scorer(keys, sums["tokens"] or 0, sums["kinds"] or 0), ddl)
+    return both.applyInArrow(A.tidied(_scorer(keys, sums["tokens"] or 0, sums["kinds"] or 0)), ddl)

@@ -253,9 +253,9 @@ class Compaction:
         self.keys = Keys(text_bytes(docs), k)
         self.blobs = A.blobs(self.rows, chunk)
         asked = A.each_chunk(self.rows, _ask_edges(self.keys), _ASKED, chunk)
-        edges = written(asked.groupBy("part").applyInArrow(_answer_edges, _ANSWERS))
-        asked = self.by_chunk(edges).applyInArrow(_ask_nodes(self.keys), _ASKED)
-        nodes = written(asked.groupBy("part").applyInArrow(_answer_nodes, _ANSWERS))
+        edges = written(asked.groupBy("part").applyInArrow(A.tidied(_answer_edges), _ANSWERS))
+        asked = self.by_chunk(edges).applyInArrow(A.tidied(_ask_nodes(self.keys)), _ASKED)
+        nodes = written(asked.groupBy("part").applyInArrow(A.tidied(_answer_nodes), _ANSWERS))
         self.answers = edges.union(nodes.withColumn("part", F.col("part") + self.keys.parts))
 
     def by_chunk(self, answers: DataFrame):
@@ -263,7 +263,7 @@ class Compaction:
 
     def paths(self) -> DataFrame:
         """(chunk, place, a, b, doc, start, n): digests of nonbranching repeated paths, and their first source in each chunk."""
-        return self.by_chunk(self.answers).applyInArrow(_paths(self.keys), _PATHS)
+        return self.by_chunk(self.answers).applyInArrow(A.tidied(_paths(self.keys)), _PATHS)
 
     def dedup(self) -> DataFrame:
         owner = F.min("doc").over(Window.partitionBy("a", "b"))
@@ -271,7 +271,7 @@ class Compaction:
         lost = lost.select("chunk", (-1 - F.col("place")).alias("part"), F.lit(None).cast("binary").alias("bits"))
         kind = self.rows.schema["doc_id"].dataType.simpleString()
         ddl = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string"
-        return self.by_chunk(self.answers.union(lost)).applyInArrow(_strip(self.keys), ddl)
+        return self.by_chunk(self.answers.union(lost)).applyInArrow(A.tidied(_strip(self.keys)), ddl)
 
 
 def paths(docs: DataFrame, k: int = K, chunk: int = A.CHUNK) -> DataFrame:
