@@ -1,9 +1,14 @@
 """HTML extraction: gradient-boosted trees over DOM nodes, decoded over the tree.
 
-Trees are fitted on a bounded sample of pages (SAMPLE, the first by the CRC-32 of page_id), whose nodes are labelled from their
-tags and attribute words, with blocks of common clutter set in at seeded places so that kinds of clutter that the sample lacks
-are known too. Features of a node are its tag's kind, attribute words, depth, sibling statistics, and its subtree's text, link
-and tag density. Decoding chooses, for the whole tree at once, which nodes lie before, in or out of the main text with the
+Trees are fitted on a bounded sample of pages (SAMPLE, the first by the CRC-32 of page_id among those of up to LONGEST code
+points). Labels come from extractors that have to agree on a page's main text: its semantic element, if there is one, the
+subtree of densest prose, and repetition, as text that returns on other pages belongs to the template. Pages on which they
+differ aren't learned from. What is learned has to hold without names: each page is also seen with its element names and
+attributes disguised, at seeded random, and with blocks of common clutter set in, under the labels that it had before. So the
+trees weigh tokens of attributes against subtree density, depth, siblings and the parent, and know pages whose main text is
+in an element of any name.
+
+Decoding chooses, for the whole tree at once, which nodes lie before, in or out of the main text with the
 largest sum of log odds: what is under a dropped node of the main text is dropped, and what isn't under a chosen root is never in.
 
 Cases: a null or empty page, or one without main text, has the text "" and 0 characters; repeated rows are extracted each by
@@ -16,7 +21,9 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 400
-TREES = 40
-DEPTH = 3
+LONGEST = 1 << 17
+TREES = 60
+DEPTH = 4
 RATE = 0.3
 BINS = 24
 
@@ -65,6 +73,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     blocks: list[tuple[int, str]] = []
     page = page or ""
     stack, parts, links, at = [0], [], 0, 0
+    is_open: Counter[str] = Counter()  # elements on the stack by name, so that a stray end tag costs nothing
 
     def flush() -> None:
         nonlocal parts
@@ -80,9 +89,10 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                 n.blocks += 1
 
     def close(tag: str) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if nodes[stack[depth]].tag == tag:
-                del stack[depth:]
+        while is_open[tag]:
+            top = nodes[stack.pop()].tag
+            is_open[top] -= 1
+            if top == tag:
                 return
 
     while at < len(page):
@@ -114,7 +124,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         top = nodes[stack[-1]].tag
         if top == "p" or (tag == top and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-            stack.pop()
+            close(top)
         if tag in VOID or m[3].endswith("/"):
             nodes[stack[-1]].tags += 1
             continue
@@ -126,6 +136,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             at = end.end() if end else len(page)
             continue
         stack.append(k)
+        is_open[tag] += 1
     flush()
     for k in range(len(nodes) - 1, 0, -1):
         n, up = nodes[k], nodes[nodes[k].parent]
@@ -147,29 +158,96 @@ def attribute_words(n: Node) -> set[str]:
 
 def features(nodes: list[Node]) -> list[list[float]]:
     total = nodes[0].chars + 1
-    out, place = [], {0: 0}
+    out: list[list[float]] = []
+    place, words, bad, good = {0: 0}, [], [], []
     for k, n in enumerate(nodes):
         for i, c in enumerate(n.children):
             place[c] = i
-        words = attribute_words(n)
-        siblings = len(nodes[n.parent].children) if k else 1
+        words.append(attribute_words(n))
+        up = nodes[n.parent] if k else n
+        bad.append((bad[n.parent] if k else 0) + bool(words[k] & CLUTTER or n.tag in KINDS[5] or n.tag in KINDS[6]))
+        good.append((good[n.parent] if k else 0) + bool(words[k] & CONTENT or n.tag in KINDS[0]))
+        siblings = len(up.children) if k else 1
+        alike = sum(nodes[c].tag == n.tag for c in up.children[max(0, place[k] - 8) : place[k] + 9]) if k else 1
         kind = [float(n.tag in group) for group in KINDS]
         out.append([
-            *kind, float(len(words & CLUTTER)), float(len(words & CONTENT)), float(n.tag in ("nav", "footer", "aside")), float(n.depth),
-            float(siblings), place[k] / siblings, float(len(n.children)), n.chars ** 0.5, n.links / (n.chars + 1), n.chars / n.tags,
-            n.paragraphs ** 0.5, n.stops / (n.chars + 1), n.chars / total, n.chars / (n.blocks + 1), k / len(nodes)])
+            *kind, float(len(words[k] & CLUTTER)), float(len(words[k] & CONTENT)), float(n.tag in ("nav", "footer", "aside")), float(n.depth),
+            float(siblings), place[k] / siblings, alike / min(siblings, 17), float(len(n.children)), n.chars ** 0.5, n.links / (n.chars + 1), n.chars / n.tags,
+            n.paragraphs ** 0.5, n.stops / (n.chars + 1), n.chars / total, n.chars / (n.blocks + 1), k / len(nodes),
+            float(bad[k]), float(good[k]), up.chars / total, up.links / (up.chars + 1), up.stops / (up.chars + 1), up.paragraphs ** 0.5, n.chars / (up.chars + 1), up.chars / (up.blocks + 1)])
     return out
 
 
-def label(nodes: list[Node]) -> list[int]:
-    """Whether a node is of the main text, by its tags and attribute words and those above it."""
-    out: list[int] = []
+def _clutter(nodes: list[Node], blocks: list[tuple[int, str]]) -> list[bool]:
+    """Nodes of clutter, and all below them: by name, as lists of links, or as clutter that was set in."""
+    texts: dict[int, list[str]] = {}
+    for k, t in blocks:
+        texts.setdefault(k, []).append(t)
+    out: list[bool] = []
     for k, n in enumerate(nodes):
-        words = attribute_words(n)
-        bad = n.tag in KINDS[5] or n.tag in KINDS[6] or n.tag in KINDS[8] or bool(words & CLUTTER)
-        inside = k > 0 and out[n.parent] == 1 or n.tag in ("article", "main")
-        out.append(-1 if bad or (k and out[n.parent] == -1) else int(inside))
-    return [int(x == 1) for x in out]
+        named = n.tag in KINDS[5] or n.tag in KINDS[6] or n.tag in KINDS[8] or bool(attribute_words(n) & CLUTTER)
+        linked = k > 0 and n.chars > 0 and n.links > 0.6 * n.chars and not n.paragraphs
+        template = n.blocks > 0 and n.blocks == len(texts.get(k, [])) and all(t in _set_in() for t in texts[k])
+        out.append((k > 0 and out[n.parent]) or named or linked or template)
+    return out
+
+
+def _densest(nodes: list[Node], blocks: list[tuple[int, str]], out: list[bool]) -> int | None:
+    """The node whose children hold the most prose, outside clutter; None without prose."""
+    score = [0.0] * len(nodes)
+    for k, t in blocks:
+        if out[k] or len(t) < 25:
+            continue
+        prose = 1 + t.count(",") + t.count(".") + min(len(t) / 100, 3)
+        up = nodes[k].parent if k and nodes[k].tag not in ("div", "section", "td", "article", "main", "center") else k
+        score[up] += prose
+        if up:
+            score[nodes[up].parent] += prose / 2
+    weighed = [s * (1 - min(1.0, n.links / (n.chars + 1))) for s, n in zip(score, nodes, strict=True)]
+    return max(range(len(nodes)), key=lambda k: weighed[k]) if any(weighed) else None
+
+
+def label(nodes: list[Node], blocks: list[tuple[int, str]], returning: set[str]) -> list[int] | None:
+    """Whether a node is of the main text; None where the extractors don't agree on it."""
+    out = _clutter(nodes, blocks)
+    dense = _densest(nodes, blocks, out)
+    named = [k for k, n in enumerate(nodes) if n.tag in KINDS[0] and not out[k]]
+    if not named and dense is None:
+        return None
+    root = max(named, key=lambda k: nodes[k].chars) if named else dense
+    inside: list[bool] = []
+    for k, n in enumerate(nodes):
+        inside.append(k == root or (k > 0 and inside[n.parent]))
+    k = root if dense is None else dense
+    while k > 0 and k != root:
+        k = nodes[k].parent
+    own = sum(len(t) for k, t in blocks if inside[k] and not out[k])
+    unique = sum(len(t) for k, t in blocks if not out[k] and t not in returning and len(t) >= 25)
+    if k != root or root == 0 or not own or (not named and own < 0.8 * unique):
+        return None
+    return [int(a and not b) for a, b in zip(inside, out, strict=True)]
+
+
+#: Names that disguised elements get: none that tells anything, or a common one for content or for clutter.
+PLAIN = ("", "", "", 'class="x1"', 'class="box wide"', 'id="c2"', 'class="row"', 'class="inner wrap"')
+OFTEN = ('class="content"', 'id="content"', 'class="post"', 'id="main"', 'class="entry"', 'class="story text"', 'class="article-body"')
+
+
+def disguise(nodes: list[Node], rng: random.Random) -> list[Node]:
+    """The same tree, with semantic elements as plain ones and most attributes changed."""
+    out = []
+    keep = rng.random()
+    for n in nodes:
+        m = Node(n.tag, n.attributes, n.parent, n.depth)
+        m.children, m.chars, m.links, m.tags, m.paragraphs, m.stops, m.blocks = n.children, n.chars, n.links, n.tags, n.paragraphs, n.stops, n.blocks
+        if n.tag in KINDS[0]:
+            m.tag, m.attributes = "div" if rng.random() < 0.8 else "section", rng.choice(OFTEN if rng.random() < 0.5 else PLAIN)
+        elif n.tag in KINDS[5] and rng.random() > keep:
+            m.tag, m.attributes = "div", rng.choice(PLAIN)
+        elif n.attributes and rng.random() > keep:
+            m.attributes = rng.choice(PLAIN)
+        out.append(m)
+    return out
 
 
 #: Clutter that is set into sample pages, before, in and after the main text.
@@ -184,8 +262,13 @@ SET_IN = (
 )
 
 
+@cache
+def _set_in() -> frozenset[str]:
+    return frozenset(t for c in SET_IN for _, t in parse(c)[1])
+
+
 def with_clutter(page: str, rng: random.Random) -> str:
-    for tag in ("<article>", "</article>", "</p>", "</article>"):
+    for tag in ("<article>", "</article>", "</p>", "</p>", "</article>"):
         at = page.find(tag)
         if at >= 0 and rng.random() < 0.6:
             at += len(tag) * (tag == "</p>" or rng.random() < 0.5)
@@ -253,14 +336,20 @@ def fit(pages: list[str | None], seed: int = 0) -> Trees:
     rng = random.Random(seed)
     x: list[list[float]] = []
     y: list[int] = []
-    for page in pages:
-        for version in (page or "", with_clutter(page or "", rng)):
-            nodes, _ = parse(version)
-            x += features(nodes)
-            y += label(nodes)
+    parsed = [parse(p) for p in pages]
+    times = Counter(t for _, blocks in parsed for t in {t for _, t in blocks})
+    returning = {t for t, n in times.items() if n >= max(3, 0.02 * len(pages))}
+    for page, own in zip(pages, parsed, strict=True):
+        for nodes, blocks in (own, parse(with_clutter(page or "", rng))):
+            labels = label(nodes, blocks, returning)
+            if labels is None:
+                continue
+            for version in (nodes, nodes, disguise(nodes, rng), disguise(nodes, rng)):
+                x += features(version)
+                y += labels
     if not x:
-        nodes, _ = parse("<html><body><nav>a</nav><article><p>b</p></article></body></html>")
-        x, y = features(nodes), label(nodes)
+        nodes, blocks = parse("<html><body><nav><a>a</a></nav><article><p>Some words of prose, and more of them.</p></article></body></html>")
+        x, y = features(nodes), label(nodes, blocks, set())
     return Trees(np.array(x), np.array(y, float))
 
 
@@ -305,10 +394,20 @@ def _extract(shared):
     return run
 
 
-def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """page_id, url, text and n_chars. One pass over pages, after one that finds the sample."""
+def sample_of(pages: DataFrame, sample: int) -> list[str]:
+    """The html of the sample: its keys are found first, so that pages that aren't in it stay where they are."""
     order = F.crc32(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary"))
-    rows = pages.select("page_id", "html").orderBy(order, "page_id", F.xxhash64("html")).limit(sample).collect()
-    shared = pages.sparkSession.sparkContext.broadcast(fit([r["html"] for r in rows]))
+    keyed = pages.select(order.alias("place"), F.xxhash64("page_id", "html").alias("key"), "html").filter(F.length("html").between(1, LONGEST))
+    keys = keyed.select("place", "key").distinct().orderBy("place", "key").limit(sample).collect()
+    if not keys:
+        return []
+    found = keyed.filter(F.col("key").isin([r["key"] for r in keys])).select("key", "html").dropDuplicates(["key"]).collect()
+    html = {r["key"]: r["html"] for r in found}
+    return [html[r["key"]] for r in keys]
+
+
+def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """page_id, url, text and n_chars. One pass over pages, after those that find the sample."""
+    shared = pages.sparkSession.sparkContext.broadcast(fit(sample_of(pages, sample)))
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     return pages.select("page_id", "url", "html").mapInArrow(_extract(shared), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

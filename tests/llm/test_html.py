@@ -1,3 +1,10 @@
+import random
+import time
+from collections import Counter
+
+import numpy as np
+import pytest
+
 from foldspark.llm import html as H
 
 
@@ -24,11 +31,80 @@ def test_pages(spark):
 def test_unknown_clutter_inside():
     trees = H.fit([page(i) for i in range(60)])
     nodes, blocks = H.parse(page(7, '<div class="share-box">Share it</div><section id="comments"><p>I like it, so much.</p></section>'))
-    keep = H.decode(nodes, trees.log_odds(__import__("numpy").array(H.features(nodes))).tolist())
+    keep = H.decode(nodes, trees.log_odds(np.array(H.features(nodes))).tolist())
     text = " ".join(t for k, t in blocks if keep[k])
     assert "Share" not in text and "like it" not in text and text.startswith("Title 7")
 
 
+LAYOUTS = (
+    ("<article>", "</article>"), ('<div class="content">', "</div>"), ('<div id="wrap"><div class="q7"><main>', "</main></div></div>"),
+    ("<section>", "</section>"), ('<table><tr><td class="k">', "</td></tr></table>"), ('<div class="outer"><div>', "</div></div>"),
+)
+
+
+def laid_out(i, layout, rng):
+    """A page of a layout, and its main text."""
+    say = lambda n: " ".join(f"w{rng.randint(0, 999)}" + ("," if rng.random() < 0.1 else "") for _ in range(n)) + "."
+    title, paragraphs = f"Title {i} of it", [say(rng.randint(4, 90)) for _ in range(rng.randint(1, 8))]
+    top, end = LAYOUTS[layout]
+    nav = "".join(f'<li><a href="/{k}">Part {k}</a></li>' for k in range(rng.randint(3, 9)))
+    side = "".join(f'<li><a href="/r{k}">Read {say(3)}</a></li>' for k in range(3))
+    body = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+    html = f'<html><head><title>{title}</title></head><body><header><p>Site of {layout}</p></header><nav><ul>{nav}</ul></nav>{top}{body}{end}<aside><h3>More</h3><ul>{side}</ul></aside><div class="ad"><p>Buy {say(3)}</p></div><footer><p>All rights {layout}.</p></footer></body></html>'
+    return html, " ".join([title, *paragraphs])
+
+
+@pytest.mark.parametrize("known", [range(len(LAYOUTS)), [0], [0, 1]])
+def test_layouts(known):
+    """Main texts are found in elements of any name, also where the sample has only pages with a semantic element."""
+    rng = random.Random(len(known))
+    trees = H.fit([laid_out(i, rng.choice(list(known)), rng)[0] for i in range(150)])
+    for layout in range(len(LAYOUTS)):
+        found = wanted = right = 0
+        for i in range(40):
+            html, want = laid_out(i, layout, rng)
+            nodes, blocks = H.parse(html)
+            keep = H.decode(nodes, trees.log_odds(np.array(H.features(nodes))).tolist())
+            got = Counter(w for k, t in blocks if keep[k] for w in t.split())
+            want = Counter(want.split())
+            found, wanted, right = found + got.total(), wanted + want.total(), right + (got & want).total()
+        assert right >= 0.9 * wanted and right >= 0.9 * found, LAYOUTS[layout]
+
+
+def test_labels_come_from_agreement():
+    html, _ = laid_out(1, 1, random.Random(0))
+    nodes, blocks = H.parse(html)
+    labels = H.label(nodes, blocks, set())
+    assert {n.tag for n, y in zip(nodes, labels, strict=True) if y} == {"div", "h1", "p"}
+    assert H.label(*H.parse("<nav><a>only links</a></nav>"), set()) is None
+    assert H.label(*H.parse("<article><p>short</p></article><div><p>" + "A much longer text, of prose. " * 20 + "</p></div>"), set()) is None
+
+
+def test_trees_see_more_than_names():
+    """On disguised pages the trees decide otherwise than the rule that labels named ones."""
+    rng = random.Random(1)
+    trees = H.fit([laid_out(i, 0, rng)[0] for i in range(100)])
+    nodes, blocks = H.parse(laid_out(3, 5, rng)[0].replace("<nav>", "<div>").replace("</nav>", "</div>").replace("<aside>", "<div>").replace("</aside>", "</div>"))
+    keep = H.decode(nodes, trees.log_odds(np.array(H.features(nodes))).tolist())
+    assert any(k and n.tag == "div" and not H.attribute_words(n) & H.CONTENT for k, n in zip(keep, nodes, strict=True))
+
+
+def test_long_and_clashing_pages(spark):
+    rows = [(i, f"u{i}", page(i)) for i in range(40)] + [(40, None, page(1).replace("</article>", "<p>" + "long, text. " * 40_000 + "</p></article>")), (None, "n", page(2)), (None, "n", page(2))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = H.extract(df.selectExpr("*", "1 as text", "2 as n_chars", "3 as key", "4 as place", "html as title"))
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    got = got.collect()
+    assert len(got) == len(rows) and max(r["n_chars"] for r in got) > 400_000 and all(len(r["text"]) == r["n_chars"] for r in got)
+    assert len({r["text"] for r in got if r["page_id"] is None}) == 1
+
+
+def test_stray_end_tags_cost_nothing():
+    start = time.perf_counter()
+    assert len(H.parse("<div>" * 20_000 + "</i></span></section></td>" * 20_000 + "x")[0]) == 20_001
+    assert time.perf_counter() - start < 2
+
+
 def test_decoding_never_contradicts_itself():
     nodes, _ = H.parse("<div><p>a</p><div><p>b</p></div></div>")
     keep = H.decode(nodes, [-1, 9, 1, -3, 5])
