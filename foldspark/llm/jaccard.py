@@ -1,22 +1,29 @@
 """N-gram Jaccard join by prefixes and token combinations.
 
-A document's set holds its distinct shingles of WIDTH words; equal sets are one node. Tokens are ordered by hash.
-
-1. Prefixes. Two sets of similarity 0.75 share at least their common need of tokens within prefixes that are extended by a
-   fifth of the set: single tokens, nearly all of them rare, are indexed, and a set with fewer shared tokens than its need has
-   no partner. This ends most documents, also those that merely share frequent passages.
-2. Combinations. What remains has tokens that are frequent (copies and their variants), so combinations of three tokens next
-   to each other in the order are indexed (of two, in sets of up to 13): each token that only one of two sets has breaks two
-   combinations at most, so sets of similarity 0.75 keep 5 * i - 2 * (a + b) - 2 or more common ones, which is positive from
-   a + b = 21 on (of two: 3 * i - (a + b) - 1, positive wherever unequal sets can be so similar).
-   An index entry links its sets to one of them, not to each other.
-3. Verification. Connected sets meet in one task, by their whole token sets. There a search takes a set, verifies the unseen
-   sets that share a token of its prefix (rarest first), and goes on from those that it finds; a set that is found isn't
-   compared again, so a family of n variants costs about n comparisons, not n * n.
-
-Sets and tokens are 64-bit hashes. Cases: a null, empty or wordless text has an empty set and no links; fewer than WIDTH words
-are one shingle; rows that repeat a doc_id are documents with one id; a null doc_id is never the least of a component;
-an empty table gives no rows; further columns are ignored by `join` and carried by `representatives`.
+A document's set holds its distinct shingles of WIDTH words; equal sets are one node.
+
+1. Classes. Chunks of documents send their distinct tokens and learn how many sets hold each: one (no partner can share it), up
+   to FREQUENT (rare), or more (frequent). Tokens are ordered by class, then by hash. A set with less than three quarters of
+   its tokens in other sets has no partner, which ends most documents, also those that merely share frequent passages.
+2. Prefixes. Similar sets that share a rare token share one within their prefixes, as rare tokens come before frequent ones: the
+   first of all that they share. So rare tokens of the prefix are indexed one by one.
+3. Combinations. Similar sets that share no rare token have all they share among their frequent ones, so three quarters of
+   each are frequent. Combinations of three frequent tokens next to each other in the order are indexed (of two, for up to 13):
+   each token that only one of two sets has breaks two combinations at most, so sequences of a and b tokens, i of them common,
+   keep 5 * i - 2 * (a + b) - 2 or more common ones, which is positive from a + b = 21 on (of two: 3 * i - (a + b) - 1).
+   An index entry links its sets in a chain by size, not to each other, and the chain breaks where sizes differ too much.
+4. Verification. Sets that chains connect meet by their whole token sets, in tasks of two blocks of up to BLOCK sets each, so no
+   task holds a large family. A task verifies the pairs that share a token of their prefixes (rarest first), and returns how
+   many links each set has and a spanning forest of them, not the links. Links are counted exactly, so time grows with
+   the square of a family's different sets, though not of its copies.
+
+Classes come from short keys, and copies in different chunks count as several sets: both only move a token to a higher class, and
+no result depends on classes. Sets and tokens are 64-bit hashes.
+
+Cases: a null, empty or wordless text has an empty set and no links; fewer than WIDTH words are one shingle; rows that repeat a
+doc_id are documents with one id, linked if they are similar; a null doc_id is never the least of a component; an empty table
+gives no rows; further columns are ignored by `join` and carried by `representatives`; doc_id has to be an integer. Texts are
+read whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -28,17 +35,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldspark.llm import asks as A
 from foldspark.llm import text as X
-from foldspark.llm.common import partitions, written
+from foldspark.llm.common import integer_ids, partitions, text_bytes, written
 from foldspark.llm.components import components
-from foldspark.llm.asks import slices
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 3, 4  # similarity 0.75
-DOC, TOKEN, SHARED_TOKEN, COUNT = 0, 1, 2, 3
-#: The filter of sets: its size and segments as powers of two, and bits set for each of them.
-BITS, SEGMENT_BITS, PROBES = 28, 8, 5
-_ROW = "kind int, key long, sid long, n int, m int"
+#: A token of more sets than this is frequent.
+FREQUENT = 64
+#: Sets in a block, at most on average.
+BLOCK = 1024
+#: Keys, distinct within a chunk each, that meet in a part on average, at most, and their bits beyond those that count all tokens.
+PART, MORE_BITS = 1 << 21, 8
+UNIQUE, RARE, COMMON = 0, 1, 2
+DOC, ENTRY, SET = 0, 1, 2
+_ROW = "kind int, key long, sid long, n int, m int, tokens binary"
 
 
 def sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,281 +82,283 @@ def sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return owner, token, size, sid
 
 
-def need(n):
-    """Tokens that any partner shares within extended prefixes: a fifth of the smallest partner's size."""
-    return ((NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 4) // 5
+def least_common(n):
+    """Tokens of a set of n that any partner shares."""
+    return (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR
 
 
-def prefix(n):
-    """Length of the extended prefix."""
-    return n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + (n + 4) // 5
+def similar(i, a, b):
+    return DENOMINATOR * i >= NUMERATOR * (a + b - i)
 
 
-def _first_of_each(sid: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Marks the first text of each set that isn't empty."""
-    out = np.zeros(len(sid), bool)
-    out[np.unique(sid, return_index=True)[1]] = True
-    return out & (size > 0)
+class Keys:
+    def __init__(self, size: int):
+        words = size // 5 + 1
+        self.width = min(64, words.bit_length() + MORE_BITS)
+        self.bits = A.part_bits(words, PART)
+        self.parts = 1 << self.bits
 
+    def split(self, keys: np.ndarray, width: int) -> list[slice]:
+        at = A.runs(keys, width - self.bits, self.parts)
+        return [slice(a, b) for a, b in zip(at, at[1:], strict=False)]
 
-def _table(kind, key, sid, n, m, mask=None) -> Iterator[pa.RecordBatch]:
-    size = len(sid)
-    full = lambda x, t: pa.array(np.broadcast_to(np.asarray(x), size).astype(t))
-    key = key if isinstance(key, pa.Array) else pa.array(key.view(np.int64) if key.dtype == X.U64 else key)
-    t = pa.Table.from_arrays([full(kind, np.int32), key, pa.array(sid.view(np.int64)), full(n, np.int32), full(m, np.int32)], ["kind", "key", "sid", "n", "m"])
-    yield from t.to_batches(max_chunksize=100_000)
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text, and prefix tokens of each set. Tokens that sets of the slice share are counted and sent once."""
-    for batch in batches:
-        for b in slices(batch):
-            d, token, size, sid = sets(*X.arrow_bytes(b.column(1)))
-            yield from _table(DOC, b.column(0).cast(pa.int64()), sid, size, b.column(2).to_numpy())
-            at = np.arange(len(d)) - (np.cumsum(size) - size)[d]
-            take = _first_of_each(sid, size)[d] & (at < prefix(size)[d])
-            d, token = d[take], token[take]
-            order = np.argsort(token, kind="stable")
-            d, token = d[order], token[order]
-            head = np.ones(len(token), bool)
-            head[1:] = token[1:] != token[:-1]
-            s = np.flatnonzero(head)
-            several = np.diff(np.append(s, len(token))) > 1
-            yield from _table(np.where(several, SHARED_TOKEN, TOKEN), token[s], sid[d[s]], size[d[s]], 0)
-            many = np.repeat(several, np.diff(np.append(s, len(token))))
-            who, count = np.unique(d[many], return_counts=True)
-            yield from _table(COUNT, sid[who], sid[who], size[who], count)
-
-
-def grouped(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches that come sorted by a column."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not len(b):
-            continue
-        key = b.column(column).to_numpy(zero_copy_only=False)
-        edge = np.flatnonzero(key != key[-1])
-        cut = int(edge[-1]) + 1 if len(edge) else 0
-        if cut:
-            yield pa.Table.from_batches([*held, b.slice(0, cut)])
-            held = []
-        held.append(b.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts, for each set, of tokens that another set has; rows of texts and counts go through."""
-    for t in grouped(batches):
-        kind = t.column("kind").to_numpy()
-        rest = (kind == DOC) | (kind == COUNT)
-        if rest.any():
-            yield from t.filter(pa.array(rest)).to_batches(max_chunksize=100_000)
-        if rest.all():
-            continue
-        t = t.filter(pa.array(~rest))
-        kind, key, sid, n = (t.column(c).to_numpy() for c in ("kind", "key", "sid", "n"))
-        order = np.lexsort((-kind, sid, key))
-        kind, key, sid, n = kind[order], key[order], sid[order], n[order]
-        head = np.ones(len(key), bool)
-        head[1:] = key[1:] != key[:-1]
-        group = np.cumsum(head) - 1
-        other = np.ones(len(key), bool)
-        other[1:] = head[1:] | (sid[1:] != sid[:-1])
-        shared = (np.bincount(group, other) > 1) | (np.bincount(group, kind == SHARED_TOKEN) > 0)
-        take = shared[group] & other & (kind == TOKEN)
-        who, first, count = np.unique(sid[take], return_index=True, return_counts=True)
-        yield from _table(COUNT, who, who, n[take][first], count)
-
-
-def _positions(h: np.ndarray) -> list[np.ndarray]:
-    """Bit positions of a set's id, in one segment, which its first bits name."""
-    x = X.mix(h + X.U64(0xD1B54A32D192ED03))
-    width = X.U64(BITS - SEGMENT_BITS)
-    base = (h >> X.U64(64 - SEGMENT_BITS)) << width
-    mask = (X.U64(1) << width) - X.U64(1)
-    step = (x >> X.U64(32)) | X.U64(1)
-    return [base + (((x & mask) + X.U64(i) * step) & mask) for i in range(PROBES)]
-
-
-def _segment(table: pa.Table) -> pa.Table:
-    number = table.column("segment")[0].as_py()
-    bits = np.zeros(1 << (BITS - SEGMENT_BITS), bool)
-    for p in _positions(table.column("sid").to_numpy().view(X.U64)):
-        bits[(p & X.U64(len(bits) - 1)).astype(np.int64)] = True
-    return pa.table({"segment": pa.array([number], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-
-def _member(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    found = np.ones(len(h), bool)
-    for p in _positions(h):
-        found &= (bits[(p >> X.U64(3)).astype(np.int64)] >> (p & X.U64(7)).astype(np.uint8)) & 1 > 0
-    return found
-
-
-def members(sids: DataFrame):
-    """A broadcast filter of a fixed size with these sets' ids; it may let others through, never less."""
-    rows = sids.select(F.shiftrightunsigned("sid", 64 - SEGMENT_BITS).cast("int").alias("segment"), "sid")
-    size = 1 << (BITS - 3 - SEGMENT_BITS)
-    out = bytearray(size << SEGMENT_BITS)
-    for row in rows.groupBy("segment").applyInArrow(_segment, "segment int, bits binary").collect():
-        out[row["segment"] * size : (row["segment"] + 1) * size] = row["bits"]
-    return sids.sparkSession.sparkContext.broadcast(bytes(out))
-
-
-def _combinations(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, sid): combinations of neighbouring tokens; and (sid, sid) with m = 1: links within the slice."""
-        bits = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            for b in slices(batch):
-                d, token, size, sid = sets(*X.arrow_bytes(b.column(0)))
-                take = _first_of_each(sid, size) & _member(bits, sid)
-                d, token = d[take[d]], token[take[d]]
-                keys, owners = [], []
-                for k, fits in ((2, size <= 13), (3, size >= 11)):
-                    ok = X.inside(d, k)
-                    ok &= fits[d[: len(ok)]]
-                    keys.append(X.windows(token, k, seed=k)[ok])
-                    owners.append(d[: len(ok)][ok])
-                key, who = np.concatenate(keys), sid[np.concatenate(owners)]
-                order = np.lexsort((who, key))
-                key, who = key[order], who[order]
-                head = np.ones(len(key), bool)
-                head[1:] = key[1:] != key[:-1]
-                centre = who[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))] if len(key) else who
-                yield from _table(0, key[head], who[head], 0, 0)
-                yield from _links(centre, who)
 
-    return run
+class Sets:
+    """A chunk's documents, and the distinct sets of more than no tokens among them."""
+
+    def __init__(self, t: pa.Table, keys: Keys):
+        d, token, self.size, self.sid = sets(*X.arrow_bytes(t.column("text")))
+        self.sids, first = np.unique(self.sid[self.size > 0], return_index=True)
+        self.first = np.flatnonzero(self.size > 0)[first]  # a document for each set
+        number = np.full(len(self.size), -1)
+        number[self.first] = np.arange(len(self.first))
+        take = number[d] >= 0
+        owner, token = number[d][take], token[take]
+        order = np.argsort(owner, kind="stable")
+        self.owner, self.token = owner[order], token[order]
+        self.n = self.size[self.first]
+        self.keys, self.key = np.unique(self.token >> X.U64(64 - keys.width), return_inverse=True)
 
 
-def _links(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-    pair = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-    yield from _table(1, pair[:, 0].copy(), pair[:, 1].copy(), 0, 1)
-
-
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in grouped(batches):
-        link = t.column("kind").to_numpy() == 1
-        yield from t.filter(pa.array(link)).to_batches()
-        t = t.filter(pa.array(~link))
-        key, sid = t.column("key").to_numpy(), t.column("sid").to_numpy()
-        order = np.lexsort((sid, key))
-        key, sid = key[order], sid[order]
-        head = np.ones(len(key), bool)
-        head[1:] = key[1:] != key[:-1]
-        centre = sid[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))] if len(key) else sid
-        yield from _links(centre, sid)
-
-
-def _token_sets(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            for b in slices(batch):
-                d, token, size, sid = sets(*X.arrow_bytes(b.column(0)))
-                take = np.flatnonzero(_first_of_each(sid, size) & _member(bits, sid))
-                at = np.cumsum(size)
-                data = [token[at[i] - size[i] : at[i]].tobytes() for i in take]
-                t = pa.table({"sid": pa.array(sid[take].view(np.int64)), "tokens": pa.array(data, pa.binary())})
-                yield from t.to_batches(max_chunksize=2_000)
+_ASKED = "chunk long, part int, keys binary, counts binary, sids binary"
+_ANSWERS = "chunk long, part int, classes binary, own binary"
+
+
+def _ask(keys: Keys):
+    def run(name: int, t: pa.Table) -> pa.Table:
+        s = Sets(t, keys)
+        counts = np.bincount(s.key, minlength=len(s.keys)).astype(np.uint32)
+        split = keys.split(s.keys, keys.width)
+        return pa.table({
+            "chunk": pa.array(np.full(keys.parts, name, np.int64)), "part": pa.array(np.arange(keys.parts, dtype=np.int32)),
+            "keys": pa.array([A.rising(s.keys[x]) for x in split], pa.binary()), "counts": pa.array([A.numbers(counts[x]) for x in split], pa.binary()),
+            "sids": pa.array([A.rising(s.sids[x]) for x in keys.split(s.sids, 64)], pa.binary())})
 
     return run
 
 
-def similar(i, a, b):
-    return DENOMINATOR * i >= NUMERATOR * (a + b - i)
+def _answer(asked: pa.Table) -> pa.Table:
+    """Classes of a part's tokens; and of its sets, which chunk is the one that speaks for them."""
+    own = [A.unrising(x) for x in asked.column("keys").to_pylist()]
+    _, inverse = np.unique(np.concatenate(own), return_inverse=True)
+    n = np.bincount(inverse, A.joined(asked.column("counts").to_pylist()))
+    classes = np.where(n <= 1, UNIQUE, np.where(n <= FREQUENT, RARE, COMMON)).astype(np.uint8)[inverse]
+    at = np.cumsum([0, *map(len, own)])
+    names = asked.column("chunk").to_numpy()
+    each = [A.unrising(x) for x in asked.column("sids").to_pylist()]
+    sids, which = np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
+    order = np.lexsort((names[which], sids))
+    head = np.ones(len(order), bool)
+    head[1:] = sids[order][1:] != sids[order][:-1]
+    speaks = np.zeros(len(order), np.uint8)
+    speaks[order[head]] = 1
+    to = np.cumsum([0, *map(len, each)])
+    return pa.table({
+        "chunk": asked.column("chunk"), "part": asked.column("part"),
+        "classes": pa.array([A.numbers(classes[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary()),
+        "own": pa.array([A.numbers(speaks[a:b]) for a, b in zip(to, to[1:], strict=False)], pa.binary())})
+
+
+def _rows(kind: int, key: np.ndarray, sid: np.ndarray, n: np.ndarray, m=None, tokens: list[bytes] | None = None) -> pa.Table:
+    size = len(sid)
+    return pa.table({
+        "kind": pa.array(np.full(size, kind, np.int32)), "key": key if isinstance(key, pa.Array) else pa.array(key.view(np.int64)), "sid": pa.array(sid.view(np.int64)),
+        "n": pa.array(n.astype(np.int32)), "m": pa.array(np.zeros(size, np.int32) if m is None else m), "tokens": pa.array(tokens, pa.binary()) if tokens is not None else pa.nulls(size, pa.binary())})
+
+
+def entries(owner: np.ndarray, token: np.ndarray, kind: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys and the sets that they belong to. Tokens come by set, then in the order; n: sizes of all sets."""
+    count = np.bincount(owner, minlength=len(n))
+    within = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+    single = (kind == RARE) & (within < (n - least_common(n) + 1)[owner])
+    keys, who = [X.mix(token[single] ^ X.U64(0x51))], [owner[single]]
+    frequent = np.bincount(owner[kind == COMMON], minlength=len(n))
+    take = (kind == COMMON) & (frequent >= least_common(n))[owner]
+    d, t = owner[take], token[take]
+    for k, fits in ((2, frequent <= 13), (3, frequent >= 11)):
+        ok = X.inside(d, k)
+        ok &= fits[d[: len(ok)]]
+        keys.append(X.windows(t, k, seed=k)[ok])
+        who.append(d[: len(ok)][ok])
+    return np.concatenate(keys), np.concatenate(who)
+
+
+def chain(key: np.ndarray, sid: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of neighbours among rows sorted by key and size, where sizes allow similarity."""
+    ok = (key[1:] == key[:-1]) & (NUMERATOR * n[1:] <= DENOMINATOR * n[:-1]) & (sid[1:] != sid[:-1])
+    return sid[:-1][ok], sid[1:][ok]
+
+
+def _links(u: np.ndarray, v: np.ndarray) -> pa.Table:
+    pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0) if len(u) else np.zeros((0, 2), X.U64)
+    return _rows(ENTRY, pair[:, 0].copy(), pair[:, 1].copy(), np.zeros(len(pair)), np.ones(len(pair), np.int32))
+
+
+def _index(keys: Keys):
+    """Rows of documents; index entries and token sets of those sets that may have a partner, once for all chunks."""
+
+    def run(blob: pa.Table, answers: pa.Table) -> pa.Table:
+        t = A.unpack(blob.column("blob")[0].as_py())
+        answers = A.whole(answers, keys.parts)
+        s = Sets(t, keys)
+        kind = A.joined(answers.column("classes").to_pylist())[s.key]
+        own = A.joined(answers.column("own").to_pylist()).astype(bool)
+        shared = np.bincount(s.owner[kind != UNIQUE], minlength=len(s.n))
+        stays = own & (shared >= least_common(s.n))
+        take = stays[s.owner]
+        owner, token, kind = s.owner[take], s.token[take], kind[take]
+        order = np.lexsort((token, kind, owner))
+        key, who = entries(owner[order], token[order], kind[order], s.n)
+        # of a key's sets of nearly one size, which are linked here, only the smallest and the largest go on
+        near = np.floor(np.log(np.maximum(s.n, 1)) / np.log(1.1)).astype(np.int64)
+        order = np.lexsort((s.sids[who], s.n[who], key))
+        key, who = key[order], who[order]
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (near[who][1:] != near[who][:-1])
+        last = np.append(first[1:], True)[: len(first)]
+        inner = np.flatnonzero(~first)
+        out = _links(s.sids[who[inner - 1]], s.sids[who[inner]])
+        ends = first | last
+        sets_ = np.flatnonzero(stays)
+        at = np.searchsorted(owner, np.append(sets_, len(s.n)))
+        data = [token[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+        doc = t.column("doc_id").cast(pa.int64()).combine_chunks()
+        return pa.concat_tables([
+            _rows(DOC, doc, s.sid, s.size, t.column("row").to_numpy()), _rows(ENTRY, key[ends], s.sids[who[ends]], s.n[who[ends]]), out,
+            _rows(SET, s.sids[sets_], s.sids[sets_], s.n[sets_], None, data)])
+
+    return run
 
 
-def families(sid: np.ndarray, tokens: list[np.ndarray]) -> np.ndarray:
-    """The least sid of each set's family: sets joined by links of similarity 0.75."""
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links from entries that come sorted by key and size; the last row of a batch is held over."""
+    held: tuple | None = None
+    for b in batches:
+        key, sid, n = (b.column(i).to_numpy() for i in range(3))
+        if held is not None:
+            key, sid, n = (np.concatenate([[h], x]) for h, x in zip(held, (key, sid, n), strict=True))
+        if len(key):
+            held = key[-1], sid[-1], n[-1]
+        u, v = chain(key, sid, n)
+        pair = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["u", "v"])
+
+
+def verified(tokens: list[np.ndarray], side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set, the later ones similar to it; with sides, only those of the other side."""
     size = np.array([len(t) for t in tokens])
     start = np.cumsum(size) - size
     _, flat, df = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sid)), size)
-    order = np.lexsort((flat, df[flat], owner))  # rarest first
-    ranked = flat[order]
+    owner = np.repeat(np.arange(len(size)), size)
+    ranked = flat[np.lexsort((flat, df[flat], owner))]  # rarest first
     within = np.arange(len(flat)) - np.repeat(start, size)
-    short = size - (NUMERATOR * size + DENOMINATOR - 1) // DENOMINATOR + 1
+    short = size - least_common(size) + 1
     lead = within < np.repeat(short, size)
     by = np.lexsort((owner[lead], ranked[lead]))
     posting, who = ranked[lead][by], owner[lead][by]
-    lo = np.searchsorted(posting, np.arange(len(df)))
-    hi = np.searchsorted(posting, np.arange(len(df)), "right")
+    lo, hi = np.searchsorted(posting, np.arange(len(df))), np.searchsorted(posting, np.arange(len(df)), "right")
     mark = np.zeros(len(df), bool)
-    unseen = np.ones(len(sid), bool)
-    family = np.arange(len(sid))
-    for first in range(len(sid)):
-        if not unseen[first]:
+    seen = np.zeros(len(size), bool)
+    for p in range(len(size)):
+        seen[:] = False
+        for t in ranked[start[p] : start[p] + short[p]]:
+            seen[who[lo[t] : hi[t]]] = True
+        seen[: p + 1] = False
+        near = np.flatnonzero(seen)
+        near = near[DENOMINATOR * np.minimum(size[near], size[p]) >= NUMERATOR * np.maximum(size[near], size[p])]
+        if side is not None:
+            near = near[side[near] != side[p]]
+        if not len(near):
             continue
-        unseen[first] = False
-        queue = [first]
-        while queue:
-            p = queue.pop()
-            lead_p = ranked[start[p] : start[p] + short[p]]
-            near = np.unique(np.concatenate([who[lo[t] : hi[t]] for t in lead_p]))
-            near = near[unseen[near]]
-            near = near[(DENOMINATOR * np.minimum(size[near], size[p]) >= NUMERATOR * np.maximum(size[near], size[p]))]
-            if not len(near):
-                continue
-            mark[flat[start[p] : start[p] + size[p]]] = True
-            n = size[near]
-            places = np.repeat(start[near] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            common = np.add.reduceat(mark[flat[places]].astype(np.int64), np.cumsum(n) - n)
-            mark[flat[start[p] : start[p] + size[p]]] = False
-            found = near[similar(common, size[near], size[p])]
-            unseen[found] = False
-            family[found] = first
-            queue += found.tolist()
-    least = np.full(len(sid), np.iinfo(np.int64).max)
-    np.minimum.at(least, family, sid)
-    return least[family]
-
-
-def _verify(table: pa.Table) -> pa.Table:
-    sid, first = np.unique(table.column("sid").to_numpy(), return_index=True)
-    column = table.column("tokens").combine_chunks()
+        own = flat[start[p] : start[p] + size[p]]
+        mark[own] = True
+        n = size[near]
+        places = np.repeat(start[near] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.add.reduceat(mark[flat[places]].astype(np.int64), np.cumsum(n) - n)
+        mark[own] = False
+        found = near[similar(common, n, size[p])]
+        if len(found):
+            yield p, found
+
+
+def _verify(t: pa.Table) -> pa.Table:
+    """Of two blocks of a family, or of one and itself: links of each set, copies counted, and a forest that spans them."""
+    sid, first = np.unique(t.column("sid").to_numpy(), return_index=True)
+    column = t.column("tokens").combine_chunks()
     tokens = [np.frombuffer(column[int(i)].as_buffer(), X.U64) for i in first]
-    return pa.table({"sid": sid, "family": families(sid, tokens)})
-
-
-def nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, row, sid, n) for each row, and (sid, family) for sets with a partner. Only the former are as many as documents."""
-    spark = docs.sparkSession
-    p = docs.select("doc_id", "text", row_hash().alias("row")).mapInArrow(_prefixes, _ROW)
-    p = p.repartition(partitions(spark), "key").sortWithinPartitions("key")
-    counted = written(p.mapInArrow(_shared, _ROW))
-    rows = counted.filter(F.col("kind") == DOC).select(F.col("key").alias("doc_id"), F.col("m").alias("row"), "sid", "n")
-    enough = ((3 * F.col("n") + 3 - F.pmod(3 * F.col("n") + 3, F.lit(4))) / 4).cast("int")
-    enough = F.floor((enough + 4) / 5)
-    left = counted.filter(F.col("kind") == COUNT).groupBy("sid").agg(F.sum("m").alias("m"), F.min("n").alias("n")).filter(F.col("m") >= enough)
-    shared = members(left)
-    text = docs.select("text")
-    links = text.mapInArrow(_combinations(shared), _ROW).repartition(partitions(spark), "key").sortWithinPartitions("key")
-    links = links.mapInArrow(_linked, _ROW).select(F.greatest("key", "sid").alias("u"), F.least("key", "sid").alias("v"))
-    found = components(links)
-    labels = found.select(F.col("u").alias("sid"), F.col("v").alias("part")).union(found.select("v", "v").distinct())
-    labels = written(labels)
-    tokens = text.mapInArrow(_token_sets(members(labels)), "sid long, tokens binary").join(labels, "sid")
-    families_ = tokens.groupBy("part").applyInArrow(_verify, "sid long, family long")
-    return rows, written(families_.filter("sid <> family"))
-
-
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, n, class) for each row; class: the id of the component's least set, null for an empty set."""
-    rows, family = nodes(docs)
-    rows = rows.join(family, "sid", "left")
-    return rows.select("doc_id", "row", "n", F.when(F.col("n") > 0, F.coalesce("family", "sid")).alias("class"))
-
-
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id, a row for each row of docs."""
-    rows = classes(docs)
+    copies = t.column("copies").to_numpy()[first]
+    block = t.column("block").to_numpy()[first]
+    links = np.zeros(len(sid), np.int64)
+    up = np.arange(len(sid))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for p, found in verified(tokens, block if t.column("i")[0].as_py() != t.column("j")[0].as_py() else None):
+        links[p] += copies[found].sum()
+        links[found] += copies[p]
+        top = root(p)
+        for x in np.unique(up[found]):
+            r = root(int(x))
+            top, other = min(top, r), max(top, r)
+            up[other] = top
+        up[found] = top
+    some = np.flatnonzero(links)
+    least = np.array([root(int(x)) for x in some], np.int64)
+    return pa.table({"sid": sid[some], "links": links[some], "family": sid[least] if len(some) else sid[:0], "blocks": np.full(len(some), t.column("blocks")[0].as_py(), np.int32)})
+
+
+def nodes(docs: DataFrame, chunk: int = A.CHUNK, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, sid, n) for each row, and (sid, links, family) for sets with a partner. Only the former are as many as documents."""
+    spark = integer_ids(docs).sparkSession
+    rows = docs.select("doc_id", "text", row_hash().alias("row"))
+    keys = Keys(text_bytes(docs))
+    answers = written(A.each_chunk(rows, _ask(keys), _ASKED, chunk).groupBy("part").applyInArrow(A.tidied(_answer), _ANSWERS))
+    all_ = written(A.blobs(rows, chunk).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(A.tidied(_index(keys)), _ROW))
+    docs_ = all_.filter(F.col("kind") == DOC).select(F.col("key").alias("doc_id"), F.col("m").alias("row"), "sid", "n")
+    index = all_.filter((F.col("kind") == ENTRY) & (F.col("m") == 0)).select("key", "sid", "n")
+    index = index.repartition(partitions(spark), "key").sortWithinPartitions("key", "n", "sid")
+    near = all_.filter((F.col("kind") == ENTRY) & (F.col("m") == 1)).select(F.greatest("key", "sid").alias("u"), F.least("key", "sid").alias("v"))
+    found = components(index.mapInArrow(_chained, "u long, v long").union(near))
+    labels = written(found.select(F.col("u").alias("sid"), F.col("v").alias("part")).union(found.select("v", "v").distinct()))
+    sizes = labels.groupBy("part").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    labels = labels.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    copies = docs_.filter("n > 0").groupBy("sid").agg(F.count("*").alias("copies"))
+    whole = all_.filter(F.col("kind") == SET).select("sid", "tokens").join(labels, "sid").join(copies, "sid")
+    tasks = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = tasks.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    checked = tasks.groupBy("part", "i", "j").applyInArrow(A.tidied(_verify), "sid long, links long, family long, blocks int")
+    checked = written(checked)
+    links = checked.groupBy("sid").agg(F.sum("links").alias("links"))
+    one = checked.filter("blocks = 1").select("sid", "family")
+    several = checked.filter("blocks > 1 and sid <> family").select(F.greatest("sid", "family").alias("u"), F.least("sid", "family").alias("v"))
+    if not several.isEmpty():
+        joined = components(several)
+        one = one.union(joined.select(F.col("u").alias("sid"), F.col("v").alias("family"))).union(joined.select("v", "v").distinct())
+    return docs_, written(links.join(one, "sid"))
+
+
+def classes(docs: DataFrame, chunk: int = A.CHUNK, block: int = BLOCK) -> DataFrame:
+    """(doc_id, row, n, links, class) for each row; links: documents that it is linked with; class: the id of one set of the
+    component, null for an empty set."""
+    rows, family = nodes(docs, chunk, block)
+    copies = rows.groupBy("sid").agg(F.count("*").alias("copies"))
+    rows = rows.join(copies, "sid").join(family, "sid", "left")
+    links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    return rows.select(
+        "doc_id", "row", "n", F.when(F.col("n") > 0, links).otherwise(F.lit(0)).alias("links"), F.when(F.col("n") > 0, F.coalesce("family", "sid")).alias("class"))
+
+
+def join(docs: DataFrame, chunk: int = A.CHUNK, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links, a row for each row of docs."""
+    rows = classes(docs, chunk, block)
     some = rows.filter("n > 0")
     least = some.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    out = some.join(least, "class").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    none = rows.filter("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = some.join(least, "class").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("links").alias("n_links"))
+    none = rows.filter("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("links").alias("n_links"))
     return out.union(none)
 
 

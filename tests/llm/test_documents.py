@@ -167,7 +167,7 @@ def shingles(t):
 
 def plain_components(rows):
     sets = [shingles(t) for _, t in rows]
-    up = list(range(len(rows)))
+    up, links = list(range(len(rows))), [0] * len(rows)
 
     def root(x):
         while up[x] != x:
@@ -179,10 +179,12 @@ def plain_components(rows):
             both = len(sets[a] & sets[b])
             if both and 100 * both >= 75 * len(sets[a] | sets[b]):
                 up[root(a)] = root(b)
+                links[a] += 1
+                links[b] += 1
     least = {}
     for i, (doc, _) in enumerate(rows):
         least[root(i)] = min(least.get(root(i), doc), doc)
-    return collections.Counter((doc, len(sets[i]), least[root(i)]) for i, (doc, _) in enumerate(rows))
+    return collections.Counter((doc, len(sets[i]), least[root(i)], links[i]) for i, (doc, _) in enumerate(rows))
 
 
 def test_jaccard_join(spark, wide, empty):
@@ -196,17 +198,25 @@ def test_jaccard_join(spark, wide, empty):
                 w[rng.randrange(len(w))] = f"edit{rng.randint(0, 10**6)}"
             w = w[: max(1, len(w) - rng.randint(0, 1 + n // 6))] if k % 3 == 0 else w
             rows.append((1000 + len(rows), " ".join(w)))
-    for parts in (1, 5):
-        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
-        assert collections.Counter(map(tuple, jaccard.join(df).collect())) == plain_components(rows)
+    words_ = [f"f{i}" for i in range(60)]
+    for k in range(150):  # a family of frequent tokens, in blocks
+        w = list(words_)
+        w[k % 60] = f"g{k}"
+        if k % 3:
+            w[(7 * k) % 60] = f"h{k}"
+        rows.append((3000 + k, " ".join(w[: 60 - k % 5])))
+    want = plain_components(rows)
+    for parts, sizes in ((1, {}), (5, {"chunk": 3000, "block": 16})):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")
+        assert collections.Counter(map(tuple, jaccard.join(df, **sizes).collect())) == want
     kept = jaccard.representatives(wide)
     assert kept.columns == wide.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for (_, _, c) in plain_components(texts())})
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for (_, _, c, _) in plain_components(texts())})
     assert jaccard.join(empty).count() == 0 and jaccard.representatives(empty).count() == 0
 
 
 def test_combinations_never_miss():
-    """The bounds that the index relies on, for all sizes that matter: similar unequal sets share a combination."""
+    """The bounds that the index relies on, for all sizes that matter: similar unequal sequences share a combination."""
     for a in range(1, 400):
         for b in range(a, 4 * a // 3 + 1):
             i = -(-3 * (a + b) // 7)
@@ -216,7 +226,43 @@ def test_combinations_never_miss():
                 assert 3 * i - (a + b) - 1 >= 1
             else:
                 assert a >= 11 and 5 * i - 2 * (a + b) - 2 >= 1
-            assert min(jaccard.need(a), jaccard.need(b)) <= min((b + 4) // 5, (a + 4) // 5)
+
+
+@pytest.mark.parametrize("frequent", [1, 3, 20])
+def test_entries_connect_all_similar_sets(frequent):
+    """Whatever the classes are: sets of similarity 0.75 are connected by chains of entries."""
+    rng = np.random.default_rng(frequent)
+    hashes = X.mix(np.arange(1, 4000, dtype=np.uint64))
+    found = []
+    for _ in range(40):
+        base = rng.choice(hashes, rng.integers(1, 45), replace=False)
+        for _ in range(6):
+            keep = base[rng.random(len(base)) > rng.choice([0, 0.05, 0.15])]
+            found.append(np.unique(np.append(keep, rng.choice(hashes, rng.integers(0, 4)))))
+    found = [x for x in {x.tobytes(): x for x in found if len(x)}.values()]
+    n = np.array([len(x) for x in found])
+    token, owner = np.concatenate(found), np.repeat(np.arange(len(n)), n)
+    df = dict(zip(*np.unique(token, return_counts=True), strict=True))
+    kind = np.array([0 if df[t] == 1 else 1 if df[t] <= frequent else 2 for t in token])
+    order = np.lexsort((token, kind, owner))
+    key, who = jaccard.entries(owner[order], token[order], kind[order], n)
+    order = np.lexsort((who, n[who], key))
+    u, v = jaccard.chain(key[order], who[order], n[who[order]])
+    up = list(range(len(n)))
+
+    def root(x):
+        return x if up[x] == x else root(up[x])
+
+    for a, b in zip(u, v, strict=True):
+        up[root(a)] = root(b)
+    pairs = 0
+    for a in range(len(n)):
+        for b in range(a):
+            if jaccard.similar(len(np.intersect1d(found[a], found[b])), n[a], n[b]):
+                pairs += 1
+                assert root(a) == root(b)
+    assert pairs > 100
+    assert {(p, int(q)) for p, f in jaccard.verified(found) for q in f} == {(b, a) for a in range(len(n)) for b in range(a) if jaccard.similar(len(np.intersect1d(found[a], found[b])), n[a], n[b])}
 
 
 def plain_secrets(t):

@@ -14,7 +14,7 @@ def test_pipeline_against_plain_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
     kept = {r["doc_id"] for r in quality.quality(docs).filter("kept").collect()}
-    near = {c for _, _, c in plain_components([(i, rows[i]["text"]) for i in kept])}
+    near = {c for _, _, c, _ in plain_components([(i, rows[i]["text"]) for i in kept])}
     text = {i: secret.redacted(rows[i]["text"]) for i in near}
     size, target = plain_mix([(i, text[i], rows[i]["source"]) for i in near])
     out = entry.queries()["pipeline"](spark, SF)
