@@ -1,8 +1,9 @@
 """Models and cross-validation. Folds are columns of the rows, so a fold's training set is a filter, never a list of places.
 
-Tree models are Spark ML's. Gradient boosting stands in for two boosting libraries that aren't available here: the algorithm is
-GBTClassifier (for several classes one against the rest), so quality figures aren't comparable with theirs. Searches draw
-parameters from a seeded table; they aren't sequential.
+Two engines share folds, search spaces and records. `cross_validate` fits Spark ML's trees over the cluster, for tables of any
+size. `task_cross_validate` spreads (fold, candidate) pairs over tasks, each of which holds a sample of up to TASK_ROWS rows, as the
+sizing law gives; its learners are those of operators/learners. Two boosting libraries, an SVM library and a sequential
+optimiser aren't available here: quality figures aren't comparable with theirs, and searches draw parameters from a seeded table.
 """
 
 from __future__ import annotations
@@ -17,47 +18,55 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldspark.functions.scalars import minmax
-from foldspark.operators import kernels, metrics, solver
+from foldspark.functions.scalars import lcg, minmax, softmax
+from foldspark.operators import kernels, learners, metrics, solver
 from foldspark.operators.features import balanced_weights
 from foldspark.operators.sampling import folds
 
-#: Parameter spaces: a range of whole numbers, of numbers on a log scale, or a list.
+#: Rows that one task may hold for a dense solver or for trees in memory.
+TASK_ROWS = 20_000
+#: Parameter spaces. A range of whole numbers (with a step), of numbers, of numbers on a log scale, or a list.
 SPACES = {
-    "random_forest": {"numTrees": (10, 30), "maxDepth": (3, 6)},
-    "boosting": {"maxIter": (4, 8), "maxDepth": (2, 3), "stepSize": (0.05, 0.3)},
+    "random_forest": {"trees": ("int", 100, 600, 50), "depth": ("int", 4, 32, 1), "least": ("int", 1, 10, 1), "columns": ["sqrt", "log2", "all"]},
+    "boosting_depth": {"trees": ("int", 100, 600, 50), "depth": ("int", 3, 12, 1), "rate": ("log", 1e-3, 0.3), "rows": ("float", 0.6, 1.0), "columns": ("float", 0.6, 1.0)},
+    "boosting_leaves": {"trees": ("int", 100, 600, 50), "leaves": ("int", 15, 255, 1), "rate": ("log", 1e-3, 0.3), "rows": ("float", 0.6, 1.0), "columns": ("float", 0.6, 1.0)},
+    "svm": {"c": ("log", 1e-2, 1e2), "gamma": ("log", 1e-4, 1e1), "weights": [None, "balanced"]},
     "kernel_svm": {"C": [0.1, 1.0, 10.0], "weights": [None, "balanced"]},
 }
 
 
-def candidates(model: str, n: int, seed: int = 42) -> list[dict]:
-    """n seeded draws of parameters."""
+def candidates(model: str, n: int, seed: int = 42, space: dict | None = None) -> list[dict]:
+    """n seeded draws of parameters; space: other ranges for some of them."""
     if model not in SPACES:
         raise ValueError(f"unknown model: {model}")
     rng, out = random.Random(f"{model}:{seed}"), []
     for _ in range(n):
         draw = {}
-        for name, space in SPACES[model].items():
-            if isinstance(space, list):
-                draw[name] = rng.choice(space)
-            elif isinstance(space[0], int):
-                draw[name] = rng.randint(*space)
+        for name, of in (SPACES[model] | (space or {})).items():
+            if isinstance(of, list):
+                draw[name] = rng.choice(of)
+            elif of[0] == "int":
+                draw[name] = rng.randrange(of[1], of[2] + 1, of[3])
+            elif of[0] == "log":
+                draw[name] = float(np.exp(rng.uniform(np.log(of[1]), np.log(of[2]))))
             else:
-                draw[name] = float(np.exp(rng.uniform(np.log(space[0]), np.log(space[1]))))
+                draw[name] = rng.uniform(of[1], of[2])
         out.append(draw)
     return out
 
 
 def classifier(model: str, params: dict, classes: int, seed: int = 42):
-    common = {"featuresCol": "features", "labelCol": "y"}
+    """A Spark ML estimator with a weight column. Depth is at most 30 there; leaves become the depth that holds so many."""
+    common = {"featuresCol": "features", "labelCol": "y", "weightCol": "weight", "seed": seed}
     if model == "random_forest":
-        return RandomForestClassifier(weightCol="weight", seed=seed, **common, **params)
-    if model == "boosting":
-        one = GBTClassifier(seed=seed, **common, **params)
-        return one.setWeightCol("weight") if classes == 2 else OneVsRest(classifier=one, featuresCol="features", labelCol="y")
+        return RandomForestClassifier(numTrees=params["trees"], maxDepth=min(30, params["depth"]), minInstancesPerNode=params["least"], featureSubsetStrategy=params["columns"], **common)
+    if model in ("boosting_depth", "boosting_leaves"):
+        depth = params.get("depth") or int(np.ceil(np.log2(params["leaves"])))
+        one = GBTClassifier(maxIter=params["trees"], maxDepth=min(30, depth), stepSize=params["rate"], subsamplingRate=params["rows"], featureSubsetStrategy=str(params["columns"]), **common)
+        return one if classes == 2 else OneVsRest(classifier=one, featuresCol="features", labelCol="y", weightCol="weight")
     raise ValueError(f"unknown model: {model}")
 
 
@@ -66,79 +75,153 @@ def macro_f1(predictions: DataFrame) -> float:
     return float(row["f1_macro"]) if row["f1_macro"] is not None else 0.0
 
 
-def cross_validate(rows: DataFrame, model: str, k: int = 3, inner: int = 2, trials: int = 2, seed: int = 42) -> DataFrame:
-    """(model, fold, row_id, y, y_pred, params, seconds) of nested cross-validation over (row_id, features array, y)."""
-    classes = rows.select("y").distinct().count()
+def scored(predictions: DataFrame) -> DataFrame:
+    """predictions with `scores` by class: probabilities where the model has them, else a softmax of its raw values."""
+    if "probability" in predictions.columns:
+        return predictions.withColumn("scores", vector_to_array("probability"))
+    return predictions.withColumn("scores", softmax(vector_to_array("rawPrediction")))
+
+
+def cross_validate(rows: DataFrame, model: str, k: int = 5, inner: int = 3, trials: int = 10, seed: int = 42, space: dict | None = None) -> DataFrame:
+    """(model, fold, row_id, y, y_pred, scores, params, tune_seconds, fit_seconds) of nested cross-validation over
+    (row_id, features array, y), by Spark ML."""
+    classes = rows.agg(F.max("y")).first()[0] + 1
     data = folds(rows, "y", "row_id", k, seed).withColumn("features", array_to_vector(F.transform("features", lambda x: x.cast("double")))).cache()
 
     def one(fold: int) -> DataFrame:
         train = balanced_weights(data.filter(F.col("fold") != fold), "y")
         tuned = folds(train.drop("fold"), "y", "row_id", inner, seed + 1).cache()
-        best: tuple[float, dict] | None = None
-        for params in candidates(model, trials, seed):
+        start, best = time.perf_counter(), None
+        for params in candidates(model, trials, seed, space):
             scores = [macro_f1(classifier(model, params, classes, seed).fit(tuned.filter(F.col("fold") != i)).transform(tuned.filter(F.col("fold") == i))) for i in range(inner)]
             if best is None or np.mean(scores) > best[0]:
                 best = (float(np.mean(scores)), params)
-        start = time.perf_counter()
+        tuned_after = time.perf_counter()
         fitted = classifier(model, best[1], classes, seed).fit(train)
-        seconds = time.perf_counter() - start
+        seconds = time.perf_counter() - tuned_after
         tuned.unpersist()
-        return fitted.transform(data.filter(F.col("fold") == fold)).select(
-            F.lit(model).alias("model"), F.lit(fold).alias("fold"), "row_id", "y", F.col("prediction").cast("int").alias("y_pred"), F.lit(str(best[1])).alias("params"), F.lit(seconds).alias("fit_seconds"))
+        return scored(fitted.transform(data.filter(F.col("fold") == fold))).select(
+            F.lit(model).alias("model"), F.lit(fold).alias("fold"), "row_id", "y", F.col("prediction").cast("int").alias("y_pred"), "scores",
+            F.lit(str(best[1])).alias("params"), F.lit(tuned_after - start).alias("tune_seconds"), F.lit(seconds).alias("fit_seconds"))
 
     with ThreadPoolExecutor(k) as pool:  # folds don't depend on each other
         return reduce(DataFrame.unionByName, pool.map(one, range(k)))
 
 
+def _spread(rows: DataFrame, k: int, seed: int) -> DataFrame:
+    """Rows with their fold, once for each outer fold `k`, and `held`: a stratified fold number among that fold's training rows."""
+    data = folds(rows, "y", "row_id", k, seed)
+    if (n := data.count()) > TASK_ROWS:
+        raise ValueError(f"{n} rows; a task holds {TASK_ROWS}: draw a sample first, or use cross_validate")
+    each = data.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    order = Window.partitionBy("k", "y", F.col("fold") == F.col("k")).orderBy(lcg(F.col("row_id"), seed + 1), "row_id")
+    return each.withColumn("held", F.row_number().over(order) - 1)
+
+
+def _arrays(t: pd.DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    t.sort_values("row_id", ignore_index=True, inplace=True)
+    return np.stack(t[vector].to_numpy()).astype(float), t["y"].to_numpy(), (t["fold"] == t["k"]).to_numpy(), t["held"].to_numpy()
+
+
+def task_cross_validate(rows: DataFrame, model: str, k: int = 5, inner: int = 3, trials: int = 10, components: int | None = None, seed: int = 42, space: dict | None = None) -> DataFrame:
+    """(model, fold, row_id, y, y_pred, scores, params, tune_seconds, fit_seconds, infer_seconds) of nested cross-validation over
+    (row_id, features array, y). A task tunes one candidate of one fold, another fits the best of a fold; features go through
+    the chain of learners.Chain, fitted on training rows only, in either. y: 0 to classes - 1."""
+    classes = rows.agg(F.max("y")).first()[0] + 1
+    each = _spread(rows, k, seed)
+    draws = candidates(model, trials, seed, space)
+
+    def tune(t: pd.DataFrame) -> pd.DataFrame:
+        x, y, test, held = _arrays(t, "features")
+        params, start, scores = draws[int(t["trial"].iloc[0])], time.perf_counter(), []
+        for i in range(inner):
+            train, out = ~test & (held % inner != i), ~test & (held % inner == i)
+            if not train.any() or not out.any():
+                continue
+            chain = learners.Chain(x[train], components)
+            p = learners.learn(model, params, chain(x[train]), y[train], classes, seed)(chain(x[out])).argmax(1)
+            scores.append(solver.macro_f1(y[out], p))
+        return pd.DataFrame({"k": [t["k"].iloc[0]], "trial": [t["trial"].iloc[0]], "score": [float(np.mean(scores)) if scores else 0.0], "seconds": [time.perf_counter() - start]})
+
+    trial = each.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    tuned = trial.groupBy("k", "trial").applyInPandas(tune, "k int, trial int, score double, seconds double")
+    best = tuned.groupBy("k").agg(F.max_by(F.col("trial"), F.struct("score", -F.col("trial"))).alias("trial"), F.sum("seconds").alias("seconds"))
+
+    def fit(t: pd.DataFrame) -> pd.DataFrame:
+        x, y, test, _ = _arrays(t, "features")
+        params, start = draws[int(t["trial"].iloc[0])], time.perf_counter()
+        chain = learners.Chain(x[~test], components)
+        scores = learners.learn(model, params, chain(x[~test]), y[~test], classes, seed)
+        fitted = time.perf_counter()
+        s = scores(chain(x[test])) if test.any() else np.zeros((0, classes))
+        return pd.DataFrame({
+            "model": model, "fold": t["k"].iloc[0], "row_id": t["row_id"].to_numpy()[test], "y": y[test], "y_pred": s.argmax(1), "scores": list(s), "params": str(params),
+            "tune_seconds": t["seconds"].iloc[0], "fit_seconds": fitted - start, "infer_seconds": time.perf_counter() - fitted})
+
+    out = each.join(F.broadcast(best), "k")  # a row for each fold
+    return out.groupBy("k").applyInPandas(fit, "model string, fold int, row_id long, y int, y_pred int, scores array<double>, params string, tune_seconds double, fit_seconds double, infer_seconds double")
+
+
+_KERNEL = ("model string, fold int, row_id long, y int, y_pred int, score double, scores array<double>, encoding string, bandwidth double, c double, weights string, "
+           "kernel_evals long, build_seconds double, tune_seconds double, fit_seconds double, infer_seconds double, offdiag_std double")
+
+
 def kernel_cross_validate(rows: DataFrame, encodings: list[str], bandwidths: list[float], k: int = 3, seed: int = 42) -> DataFrame:
-    """(model, fold, row_id, y, y_pred, score, encoding, bandwidth, c) for two classes 0 and 1, over (row_id, x array, y).
+    """The record of a fidelity-kernel machine in cross-validation over (row_id, x array, y from 0 to classes - 1).
 
-    A fold is one task, which holds its rows and their Gram table: a fold of up to a few thousand rows, as a dense solver needs.
-    Scaling is fitted on training rows. A quarter of the training rows tunes: one Gram table for each map, reused for each C.
+    A fold is one task, which holds its rows and their Gram table: up to a few thousand rows, as a dense solver needs.
+    Scaling is fitted on training rows. A stratified quarter of the training rows tunes: one Gram table for each map, which all
+    of C, weights and classes share; the test table serves all classes as well. `score` is the margin of class 1, or the top share.
     """
-    data = folds(rows, "y", "row_id", k, seed)
-    training = data.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    classes = rows.agg(F.max("y")).first()[0] + 1
+    training = _spread(rows, k, seed)
     fit = training.filter("fold <> k").select("k", F.posexplode("x").alias("d", "v")).groupBy("k", "d").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    long = training.select("k", "fold", "row_id", "y", F.posexplode("x").alias("d", "v")).join(F.broadcast(fit), ["k", "d"])
-    scaled = long.groupBy("k", "fold", "row_id", "y").agg(F.sort_array(F.collect_list(F.struct("d", minmax(F.col("v"), F.col("lo"), F.col("hi")).alias("v")))).alias("s"))
-    scaled = scaled.select("k", "fold", "row_id", "y", F.col("s.v").alias("x"))
+    keys = ("k", "fold", "held", "row_id", "y")
+    long = training.select(*keys, F.posexplode("x").alias("d", "v")).join(F.broadcast(fit), ["k", "d"])
+    scaled = long.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("d", minmax(F.col("v"), F.col("lo"), F.col("hi")).alias("v")))).alias("s"))
+    scaled = scaled.select(*keys, F.col("s.v").alias("x"))
     maps = [(e, b) for e in encodings for b in (bandwidths if e != "amplitude" else [1.0])]
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("row_id", ignore_index=True)
-        x, y = np.stack(t["x"].to_numpy()), np.where(t["y"].to_numpy() > 0, 1, -1)
-        train, test = np.flatnonzero(t["fold"] != t["k"]), np.flatnonzero(t["fold"] == t["k"])
-        held = train[np.arange(len(train)) % 4 == 0]
-        used = train[np.arange(len(train)) % 4 != 0]
-        best = None
+        x, y, test, held = _arrays(t, "x")
+        start = time.perf_counter()
+        train = np.flatnonzero(~test)
+        out, used = np.flatnonzero(held[train] % 4 == 0), np.flatnonzero(held[train] % 4 != 0)
+        evals, built, best = 0, 0.0, None
         for encoding, bandwidth in maps:
-            k_all = kernels.fidelity(x[train], x[train], encoding, bandwidth)
-            place = {r: i for i, r in enumerate(train)}
-            u, h = [place[r] for r in used], [place[r] for r in held]
+            now = time.perf_counter()
+            gram = kernels.fidelity(x[train], x[train], encoding, bandwidth)
+            built += time.perf_counter() - now
+            evals += len(train) * (len(train) - 1) // 2
             for c in SPACES["kernel_svm"]["C"]:
                 for w in SPACES["kernel_svm"]["weights"]:
-                    if len(set(y[used])) < 2:
+                    if not len(used) or not len(out):
                         continue
-                    a, b = solver.fit(k_all[np.ix_(u, u)], y[used], c, class_weights(y[used]) if w else None)
-                    p = np.where(solver.decide(k_all[np.ix_(h, u)], a, b) > 0, 1, -1)
-                    score = solver.macro_f1(y[held], p)
-                    if best is None or score > best[0]:
-                        best = (score, encoding, bandwidth, c, w)
-        if best is None:
-            score = np.full(len(test), float(y[train][0]) if len(train) else 0.0)
-            best = (0.0, encodings[0], bandwidths[0], 1.0, None)
-        else:
-            _, encoding, bandwidth, c, w = best
-            a, b = solver.fit(kernels.fidelity(x[train], x[train], encoding, bandwidth), y[train], c, class_weights(y[train]) if w else None)
-            score = solver.decide(kernels.fidelity(x[test], x[train], encoding, bandwidth), a, b)
-        return pd.DataFrame({"model": "kernel_svm", "fold": t["k"].iloc[0], "row_id": t["row_id"].to_numpy()[test], "y": t["y"].to_numpy()[test], "y_pred": (score > 0).astype(int), "score": score,
-                             "encoding": best[1], "bandwidth": best[2], "c": best[3]})
-
-    return scaled.groupBy("k").applyInPandas(run, "model string, fold int, row_id long, y int, y_pred int, score double, encoding string, bandwidth double, c double")
-
-
-def class_weights(y: np.ndarray) -> dict[int, float]:
-    return {c: len(y) / (2 * max(1, int(np.sum(y == c)))) for c in (-1, 1)}
+                    fitted = learners.margins(gram[np.ix_(used, used)], y[train][used], classes, c, w)
+                    f1 = solver.macro_f1(y[train][out], learners.decisions(gram[np.ix_(out, used)], fitted).argmax(1))
+                    if best is None or f1 > best[0]:
+                        best = (f1, encoding, bandwidth, c, w)
+        _, encoding, bandwidth, c, w = best or (0.0, *maps[0], 1.0, None)
+        tuned = time.perf_counter()
+        gram = kernels.fidelity(x[train], x[train], encoding, bandwidth)
+        fitted = learners.margins(gram, y[train], classes, c, w)
+        after = time.perf_counter()
+        s = learners.decisions(kernels.fidelity(x[test], x[train], encoding, bandwidth), fitted)
+        evals += int(test.sum()) * len(train)
+        upper = gram[np.triu_indices(len(train), 1)]
+        return pd.DataFrame({
+            "model": "kernel_svm", "fold": t["k"].iloc[0], "row_id": t["row_id"].to_numpy()[test], "y": y[test], "y_pred": s.argmax(1), "score": s[:, 1] if classes == 2 else s.max(1), "scores": list(s),
+            "encoding": encoding, "bandwidth": bandwidth, "c": c, "weights": w, "kernel_evals": evals, "build_seconds": built, "tune_seconds": tuned - start, "fit_seconds": after - tuned,
+            "infer_seconds": time.perf_counter() - after, "offdiag_std": float(upper.std()) if len(upper) else 0.0})
+
+    return scaled.groupBy("k").applyInPandas(run, _KERNEL)
+
+
+def timing_probe(rows: DataFrame, encoding: str, bandwidth: float = 1.0, seed: int = 42) -> DataFrame:
+    """One row: how long one untuned kernel machine takes on a stratified fifth held out, before a sweep is sized by it."""
+    r = kernel_cross_validate(rows, [encoding], [bandwidth], 5, seed).filter("fold = 0")
+    right = F.avg((F.col("y") == F.col("y_pred")).cast("double"))
+    return r.agg(F.first("encoding").alias("encoding"), F.count("*").alias("n_test"), *[F.max(c).alias(c) for c in ("kernel_evals", "build_seconds", "fit_seconds", "infer_seconds")], right.alias("accuracy"))
 
 
 def project(rows: DataFrame, vector: str, k: int) -> tuple[DataFrame, list[float]]:

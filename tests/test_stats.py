@@ -130,7 +130,7 @@ def test_solver_separates_and_meets_its_constraints():
 
 
 def test_parameter_draws_are_seeded():
-    assert candidates("boosting", 4) == candidates("boosting", 4)
-    assert candidates("boosting", 4) != candidates("boosting", 4, seed=1)
+    assert candidates("svm", 4) == candidates("svm", 4)
+    assert candidates("svm", 4) != candidates("svm", 4, seed=1)
     with pytest.raises(ValueError):
         candidates("other", 1)
