@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,15 +146,28 @@ def _ddl(df: DataFrame) -> str:
 
 
 def long_ids(texts: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """(key, bpe_ids) of (key, text), texts of several chunks: chunks are encoded in parallel, and equal ones once."""
+    """(key, ok, ids) of (key, text), texts of several chunks: chunks are encoded in parallel, and equal ones once."""
     rows = texts.mapInArrow(_cut(chunk, overlap), "key string, k int, n int, text string")
     rows = rows.groupBy("key", "k").agg(F.first("n").alias("n"), F.first("text").alias("text"))
     pieces = rows.mapInArrow(_encode_pieces(path, pattern, chunk, overlap), "key string, k int, ok boolean, ids array<int>")
     ordered = F.array_sort(F.collect_list(F.struct("k", "ids")))
-    whole = pieces.groupBy("key").agg(F.every("ok").alias("ok"), F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
-    rest = texts.join(whole.filter("not ok").select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    rest = rest.mapInArrow(_encoder(path, pattern), "key string, text string, bpe_ids array<int>").select("key", "bpe_ids")
-    return whole.filter("ok").select("key", F.col("ids").alias("bpe_ids")).union(rest)
+    return pieces.groupBy("key").agg(F.every("ok").alias("ok"), F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
+
+
+def _whole(path: str, pattern: str):
+    """Ids of texts whose chunks were in step; others are encoded as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(path, pattern)
+        for b in batches:
+            for lo in range(0, len(b), 64):
+                part = b.slice(lo, 64)
+                ids = part.column(3)
+                if not pc.all(part.column(2)).as_py():
+                    ids = _lists([x.as_py() if ok else enc.encode_ordinary(t.as_py()) for t, ok, x in zip(part.column(1), part.column(2).to_pylist(), ids, strict=True)])
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc", "bpe_ids"])
+
+    return run
 
 
 def _encoded(docs: DataFrame, columns: list[str], path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
@@ -162,7 +176,9 @@ def _encoded(docs: DataFrame, columns: list[str], path: str, pattern: str, chunk
     short = packed.filter(~is_long).mapInArrow(_encoder(path, pattern), _ddl(packed) + ", bpe_ids array<int>").select("doc", "bpe_ids")
     longs = packed.filter(is_long).withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
     ids = long_ids(longs.select("key", "text"), path, pattern, chunk, overlap)
-    return short.union(longs.select("key", "doc").join(ids, "key").select("doc", "bpe_ids")).select("doc.*", "bpe_ids")
+    both = longs.join(ids.hint("merge"), "key").select("doc", "text", "ok", "ids")
+    both = both.mapInArrow(_whole(path, pattern), _ddl(packed.select("doc")) + ", bpe_ids array<int>")
+    return short.union(both).select("doc.*", "bpe_ids")
 
 
 def encoded_docs(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
