@@ -138,17 +138,21 @@ def boosting(params: dict, x: np.ndarray, y: np.ndarray, classes: int, seed: int
     return scores
 
 
-def margins(k: np.ndarray, y: np.ndarray, classes: int, c: float, weights: str | None) -> list[tuple[np.ndarray, float]]:
-    """Coefficients and offset on a Gram table: of class 1 for two classes, else of each class against the rest."""
-    out = []
-    for one in [1] if classes == 2 else range(classes):
-        sign = np.where(y == one, 1, -1)
-        if len(set(sign.tolist())) < 2:
-            out.append((np.zeros(len(y)), float(sign[0])))
-            continue
-        w = {s: len(y) / (2 * max(1, int(np.sum(sign == s)))) for s in (-1, 1)} if weights else None
-        out.append(solver.fit(k, sign, c, w))
-    return out
+def margins(k: np.ndarray, y: np.ndarray, classes: int, settings: list[tuple[float, str | None]]) -> list[list[tuple[np.ndarray, float]]]:
+    """For each (c, weights): coefficients and offset on a Gram table, of class 1 for two classes, else of each class against the
+    rest. All machines are solved side by side."""
+    ones = [1] if classes == 2 else list(range(classes))
+    signs, tops = [], []
+    for c, weights in settings:
+        for one in ones:
+            sign = np.where(y == one, 1.0, -1.0)
+            share = {s: len(y) / (2 * max(1, int(np.sum(sign == s)))) if weights else 1.0 for s in (-1, 1)}
+            signs.append(sign)
+            tops.append(c * np.where(sign > 0, share[1], share[-1]))
+    a, b = solver.fit_many(k, np.stack(signs), np.stack(tops))
+    b = np.where((np.stack(signs) > 0).all(1), 1.0, np.where((np.stack(signs) < 0).all(1), -1.0, b))  # one label only
+    each = list(zip(a, b.tolist(), strict=True))
+    return [each[i : i + len(ones)] for i in range(0, len(each), len(ones))]
 
 
 def decisions(k: np.ndarray, fitted: list[tuple[np.ndarray, float]]) -> np.ndarray:
@@ -158,7 +162,7 @@ def decisions(k: np.ndarray, fitted: list[tuple[np.ndarray, float]]) -> np.ndarr
 
 
 def rbf_svm(params: dict, x: np.ndarray, y: np.ndarray, classes: int, seed: int) -> Callable:
-    fitted = margins(kernels.rbf(x, x, params["gamma"]), y, classes, params["c"], params["weights"])
+    fitted = margins(kernels.rbf(x, x, params["gamma"]), y, classes, [(params["c"], params["weights"])])[0]
     return lambda z: decisions(kernels.rbf(z, x, params["gamma"]), fitted)
 
 

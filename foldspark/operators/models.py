@@ -166,15 +166,16 @@ _KERNEL = ("model string, fold int, row_id long, y int, y_pred int, score double
            "kernel_evals long, build_seconds double, tune_seconds double, fit_seconds double, infer_seconds double, offdiag_std double")
 
 
-def kernel_cross_validate(rows: DataFrame, encodings: list[str], bandwidths: list[float], k: int = 3, seed: int = 42) -> DataFrame:
+def kernel_cross_validate(rows: DataFrame, encodings: list[str], bandwidths: list[float], k: int = 3, seed: int = 42, only: int | None = None) -> DataFrame:
     """The record of a fidelity-kernel machine in cross-validation over (row_id, x array, y from 0 to classes - 1).
 
     A fold is one task, which holds its rows and their Gram table: up to a few thousand rows, as a dense solver needs.
     Scaling is fitted on training rows. A stratified quarter of the training rows tunes: one Gram table for each map, which all
-    of C, weights and classes share; the test table serves all classes as well. `score` is the margin of class 1, or the top share.
+    of C, weights and classes share; the test table serves all classes as well. `score` is the margin of class 1, or the top share. only: one fold.
     """
     classes = rows.agg(F.max("y")).first()[0] + 1
     training = _spread(rows, k, seed)
+    training = training if only is None else training.filter(F.col("k") == only)
     fit = training.filter("fold <> k").select("k", F.posexplode("x").alias("d", "v")).groupBy("k", "d").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     keys = ("k", "fold", "held", "row_id", "y")
     long = training.select(*keys, F.posexplode("x").alias("d", "v")).join(F.broadcast(fit), ["k", "d"])
@@ -193,18 +194,17 @@ def kernel_cross_validate(rows: DataFrame, encodings: list[str], bandwidths: lis
             gram = kernels.fidelity(x[train], x[train], encoding, bandwidth)
             built += time.perf_counter() - now
             evals += len(train) * (len(train) - 1) // 2
-            for c in SPACES["kernel_svm"]["C"]:
-                for w in SPACES["kernel_svm"]["weights"]:
-                    if not len(used) or not len(out):
-                        continue
-                    fitted = learners.margins(gram[np.ix_(used, used)], y[train][used], classes, c, w)
-                    f1 = solver.macro_f1(y[train][out], learners.decisions(gram[np.ix_(out, used)], fitted).argmax(1))
-                    if best is None or f1 > best[0]:
-                        best = (f1, encoding, bandwidth, c, w)
+            if not len(used) or not len(out):
+                continue
+            settings = [(c, w) for c in SPACES["kernel_svm"]["C"] for w in SPACES["kernel_svm"]["weights"]]
+            for (c, w), fitted in zip(settings, learners.margins(gram[np.ix_(used, used)], y[train][used], classes, settings), strict=True):
+                f1 = solver.macro_f1(y[train][out], learners.decisions(gram[np.ix_(out, used)], fitted).argmax(1))
+                if best is None or f1 > best[0]:
+                    best = (f1, encoding, bandwidth, c, w)
         _, encoding, bandwidth, c, w = best or (0.0, *maps[0], 1.0, None)
         tuned = time.perf_counter()
         gram = kernels.fidelity(x[train], x[train], encoding, bandwidth)
-        fitted = learners.margins(gram, y[train], classes, c, w)
+        fitted = learners.margins(gram, y[train], classes, [(c, w)])[0]
         after = time.perf_counter()
         s = learners.decisions(kernels.fidelity(x[test], x[train], encoding, bandwidth), fitted)
         evals += int(test.sum()) * len(train)
@@ -219,7 +219,7 @@ def kernel_cross_validate(rows: DataFrame, encodings: list[str], bandwidths: lis
 
 def timing_probe(rows: DataFrame, encoding: str, bandwidth: float = 1.0, seed: int = 42) -> DataFrame:
     """One row: how long one untuned kernel machine takes on a stratified fifth held out, before a sweep is sized by it."""
-    r = kernel_cross_validate(rows, [encoding], [bandwidth], 5, seed).filter("fold = 0")
+    r = kernel_cross_validate(rows, [encoding], [bandwidth], 5, seed, only=0)
     right = F.avg((F.col("y") == F.col("y_pred")).cast("double"))
     return r.agg(F.first("encoding").alias("encoding"), F.count("*").alias("n_test"), *[F.max(c).alias(c) for c in ("kernel_evals", "build_seconds", "fit_seconds", "infer_seconds")], right.alias("accuracy"))
 

@@ -5,29 +5,48 @@ from __future__ import annotations
 import numpy as np
 
 
+def fit_many(k: np.ndarray, y: np.ndarray, top: np.ndarray, tolerance: float = 1e-3, steps: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Signed coefficients (a row for each machine) and offsets of several machines on one Gram table, solved side by side.
+
+    y: labels -1 and 1 by machine and row; top: the largest coefficient of each. A machine that has met the tolerance rests.
+    """
+    y, top = np.asarray(y, float), np.asarray(top, float)
+    a, g, offsets = np.zeros(y.shape), -np.ones(y.shape), np.zeros(len(y))
+    diagonal, live = k.diagonal(), np.arange(len(y))
+    for step in range(steps + 1):
+        s, t, w = y[live], a[live], top[live]
+        v = -s * g[live]
+        up = np.where(((s > 0) & (t < w)) | ((s < 0) & (t > 0)), v, -np.inf)
+        low = np.where(((s > 0) & (t > 0)) | ((s < 0) & (t < w)), v, np.inf)
+        i, j = up.argmax(1), low.argmin(1)
+        rows = np.arange(len(live))
+        high, least = up[rows, i], low[rows, j]
+        done = ~(high - least >= tolerance) if step < steps else np.ones(len(live), bool)
+        if done.any():
+            free = (t > 0) & (t < w)
+            n = free.sum(1)
+            middle = np.where(np.isfinite(high) & np.isfinite(least), (np.where(np.isfinite(high), high, 0) + np.where(np.isfinite(least), least, 0)) / 2, np.where(np.isfinite(high), high, least))
+            offsets[live[done]] = np.where(n > 0, np.where(free, v, 0).sum(1) / np.maximum(n, 1), middle)[done]
+            live = live[~done]
+            if not len(live):
+                break
+            i, j, high, least, s, t, w = i[~done], j[~done], high[~done], least[~done], s[~done], t[~done], w[~done]
+            rows = np.arange(len(live))
+        size = (high - least) / np.maximum(diagonal[i] + diagonal[j] - 2 * k[i, j], 1e-12)
+        size = np.minimum(size, np.where(s[rows, i] > 0, w[rows, i] - t[rows, i], t[rows, i]))
+        size = np.minimum(size, np.where(s[rows, j] > 0, t[rows, j], w[rows, j] - t[rows, j]))
+        a[live, i] += s[rows, i] * size
+        a[live, j] -= s[rows, j] * size
+        g[live] += s * size[:, None] * (k[i] - k[j])
+    return a * y, offsets
+
+
 def fit(k: np.ndarray, y: np.ndarray, c: float = 1.0, weights: dict[int, float] | None = None, tolerance: float = 1e-3, steps: int = 100_000) -> tuple[np.ndarray, float]:
     """Signed coefficients and offset for labels -1 and 1. weights: a factor of c for each label."""
     y = np.asarray(y, float)
     top = c * np.where(y > 0, (weights or {}).get(1, 1.0), (weights or {}).get(-1, 1.0))
-    a, g = np.zeros(len(y)), -np.ones(len(y))
-    for _ in range(steps):
-        v = -y * g
-        up = ((y > 0) & (a < top)) | ((y < 0) & (a > 0))
-        low = ((y > 0) & (a > 0)) | ((y < 0) & (a < top))
-        if not up.any() or not low.any():
-            break
-        i, j = np.argmax(np.where(up, v, -np.inf)), np.argmin(np.where(low, v, np.inf))
-        if v[i] - v[j] < tolerance:
-            break
-        step = (v[i] - v[j]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12)
-        step = min(step, top[i] - a[i] if y[i] > 0 else a[i], a[j] if y[j] > 0 else top[j] - a[j])
-        a[i] += y[i] * step
-        a[j] -= y[j] * step
-        g += y * step * (k[:, i] - k[:, j])
-    free = (a > 0) & (a < top)
-    v = -y * g
-    offset = v[free].mean() if free.any() else (np.max(np.where(up, v, -np.inf)) + np.min(np.where(low, v, np.inf))) / 2
-    return a * y, float(offset)
+    a, b = fit_many(k, y[None], top[None], tolerance, steps)
+    return a[0], float(b[0])
 
 
 def decide(k: np.ndarray, coefficients: np.ndarray, offset: float) -> np.ndarray:
