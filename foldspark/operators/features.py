@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,3 +72,75 @@ def interleave(pairs: str, n: int) -> Column:
     """a0, b0, a1, b1, ... of the first n pairs, zeros where there are fewer."""
     at = lambda i: F.get(F.col(pairs), i)
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array(F.coalesce(at(i)["a"], F.lit(0.0)), F.coalesce(at(i)["b"], F.lit(0.0)))))
+
+
+def moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(fold, n, a, b, s1, s2): for each fold and pair of columns (a <= b by place), sums of a and of a * b over the fold's rows.
+
+    One scan; a row for each fold and pair is left, whatever the rows, from which the fits of all folds follow.
+    """
+    x = F.array(*[F.col(c).cast("double") for c in columns])
+    rows = df.select("fold", x.alias("x"))
+    n = len(columns)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    sums = rows.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(n)], *[F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}_{j}") for i, j in pairs])
+    each = F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.col(f"s{i}").alias("s1"), F.col(f"p{i}_{j}").alias("s2")) for i, j in pairs])
+    return sums.select("fold", "n", F.explode(each).alias("e")).select("fold", "n", "e.*")
+
+
+class Chain:
+    """Variance filter, greedy correlation filter, standardisation and principal components, fitted for every fold at once.
+
+    The fit of a fold comes from the sums of all other folds, in one scan of the rows; what is left (folds times pairs of columns) is
+    reduced on the driver, and a fold's transform is a small matrix that is joined to its rows.
+    """
+
+    def __init__(self, df: DataFrame, columns: list[str], components: int, correlation: float = 0.95, variance: float = 0.0):
+        d = len(columns)
+        own: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}
+        for r in moments(df, columns).collect():  # a row for each fold and pair of columns
+            n, s, p = own.setdefault(r["fold"], (float(r["n"]), np.zeros(d), np.zeros((d, d))))
+            s[r["a"]] = r["s1"]
+            p[r["a"], r["b"]] = p[r["b"], r["a"]] = r["s2"]
+        total = [sum(o[i] for o in own.values()) for i in range(3)]
+        self.columns, self.fits = columns, {}
+        for fold, (n, s, p) in sorted(own.items()):
+            m = total[0] - n
+            if m <= 0:
+                continue
+            mean = (total[1] - s) / m
+            cov = (total[2] - p) / m - np.outer(mean, mean)
+            var = np.maximum(cov.diagonal(), 0)
+            varies = var > np.maximum(variance, 1e-12 * (mean**2 + 1))
+            r = cov / np.sqrt(np.outer(np.where(varies, var, 1), np.where(varies, var, 1)))
+            named = {(columns[i], columns[j]): float(r[i, j]) for i in range(d) for j in range(i + 1, d)}
+            names = [c for c, v in zip(columns, varies, strict=True) if v]
+            gone = greedy_drop(names, named, correlation)
+            kept = [i for i, c in enumerate(columns) if varies[i] and c not in gone]
+            if components > len(kept):
+                raise ValueError(f"{components} components of {len(kept)} features")
+            values, axes = np.linalg.eigh(r[np.ix_(kept, kept)])
+            order = np.argsort(-values)[:components]
+            axes = axes[:, order] * np.sign(axes[np.argmax(np.abs(axes[:, order]), 0), order])
+            matrix = np.zeros((components, d))
+            matrix[:, kept] = axes.T / np.sqrt(var[kept])
+            self.fits[fold] = {"kept": [columns[i] for i in kept], "explained": (values[order] / max(len(kept), 1)).tolist(), "matrix": matrix, "mean": mean}
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """df with z, the components of each row by its fold's fit, and explained, their shares of the variance."""
+        rows = [(f, v["matrix"].tolist(), v["mean"].tolist(), v["explained"]) for f, v in self.fits.items()]
+        fits = df.sparkSession.createDataFrame(rows, "fold int, _m array<array<double>>, _mean array<double>, explained array<double>")
+        j = df.join(F.broadcast(fits), "fold")  # a row for each fold
+        x = F.zip_with(F.array(*[F.col(c).cast("double") for c in self.columns]), F.col("_mean"), lambda a, b: a - b)
+        dot = lambda row: F.aggregate(F.zip_with(row, F.col("_x"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        return j.withColumn("_x", x).withColumn("z", F.transform("_m", dot)).drop("_m", "_mean", "_x")
+
+
+def stitch(parts: list[DataFrame], key: str) -> DataFrame:
+    """Tables side by side, joined by a key that each has once; an error where they share another column."""
+    out = parts[0]
+    for p in parts[1:]:
+        if twice := sorted((set(out.columns) & set(p.columns)) - {key}):
+            raise ValueError(f"columns in several tables: {', '.join(twice)}")
+        out = out.join(p, key)
+    return out

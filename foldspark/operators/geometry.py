@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldspark.operators.ordered import ks
 from foldspark.operators.pairwise import matrix, pairs
+from foldspark.operators.stats import ks_p, p_value
 
 
 def class_moments(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
@@ -87,3 +89,21 @@ def silhouette(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     outer = F.min(F.when(F.col("own") != F.col("other"), F.col("s") / F.col("n")))
     r = j.groupBy("i").agg(inner.alias("a"), outer.alias("b"))
     return r.agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
+
+
+def ks_reject_count(distances: DataFrame, level: float = 0.05) -> DataFrame:
+    """One row from (feature, ks, n_full, n_sample): features, how many distances are significant, and how many chance alone would make."""
+    p = p_value(lambda d, n, m: ks_p(d, int(n), int(m)), F.col("ks"), F.col("n_full"), F.col("n_sample"))
+    d = distances.withColumn("p", p)
+    return d.agg(F.count("*").alias("n_features"), F.count_if(F.col("p") < level).alias("n_reject"), (F.lit(level) * F.count("*")).alias("expected_rejects"))
+
+
+def representativeness(df: DataFrame, label: str, columns: list[str], in_sample: str) -> DataFrame:
+    """One row: how a sample (rows with in_sample = 1) differs from all rows, in class shares, moments, and distributions of features."""
+    shares = proportion_drift(df, df.filter(F.col(in_sample) == 1), label)
+    each = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])
+    long = df.select(F.col(in_sample).alias("s"), F.explode(each).alias("e")).select("s", "e.*")
+    drift = feature_drift(long)
+    sizes = df.agg(F.count("*").alias("n_full"), F.sum(F.col(in_sample).cast("long")).alias("n_sample"))
+    rejects = ks_reject_count(ks(long, ["feature"], "x", "s").crossJoin(F.broadcast(sizes)))
+    return shares.crossJoin(F.broadcast(drift)).crossJoin(F.broadcast(rejects)).crossJoin(F.broadcast(sizes))

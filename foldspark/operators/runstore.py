@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldspark.functions.scalars import sweep_encoding
+
 REQUIRED = ("run_id", "parent_run_id", "status", "start_time")
 
 
@@ -56,3 +58,27 @@ def alignment_report(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.agg(
         F.count_if(F.col("yb").isNull()).alias("only_a"), F.count_if(F.col("ya").isNull()).alias("only_b"),
         F.count_if(F.col("ya").isNotNull() & F.col("yb").isNotNull()).alias("shared"), F.count_if(F.col("ya") != F.col("yb")).alias("label_mismatch"))
+
+
+def fold_scores(children: DataFrame, parents: DataFrame, cell: dict[str, object], folds: int, metric: str = "f1_macro", ties: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """(parent_run_id, fold_no, metric) of the newest clean sweep of a cell, given by values of columns of the children, in fold order.
+
+    An error where no finished sweep with exactly `folds` children that have the metric matches: nothing there can be trusted.
+    """
+    require(children, (*cell, "parent_run_id", "start_time", metric))
+    require(parents, ("run_id", "status", "start_time"))
+    matches = children
+    for name, value in cell.items():
+        matches = matches.filter(F.col(name).cast("string") == str(value))
+    clean = clean_sweeps(children, parents, folds, metric)
+    starts = parents.select(F.col("run_id").alias("parent_run_id"), F.col("start_time").alias("_start"))
+    found = matches.select("parent_run_id").distinct().join(clean, "parent_run_id", "left_semi").join(starts, "parent_run_id")
+    newest_ = found.agg(F.max_by("parent_run_id", F.struct("_start", "parent_run_id")).alias("id")).first()["id"]
+    if newest_ is None:
+        raise ValueError(f"{'/'.join(map(str, cell.values()))}: no finished sweep with exactly {folds} folds")
+    return fold_numbers(matches.filter(F.col("parent_run_id") == newest_), ties).select("parent_run_id", "fold_no", metric)
+
+
+def encoding(parent_tag: Column, children: Column) -> Column:
+    """A sweep's encoding: the parent's tag, where it has one, else what its folds' parameters agree on."""
+    return F.coalesce(parent_tag, sweep_encoding(children))

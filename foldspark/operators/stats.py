@@ -1,12 +1,16 @@
-"""Paired tests: statistics as aggregates, p-values in plain Python on the one row that is left."""
+"""Paired tests: statistics as aggregates, p-values as columns of the rows that are left, one for each group."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldspark.operators.joins import join_nulls
 from foldspark.operators.ordered import average_ranks
 
 
@@ -93,3 +97,43 @@ def ks_p(statistic: float, n: int, m: int) -> float:
     if x < 0.2:
         return 1.0
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
+
+
+def p_value(f: Callable[..., float], *columns: Column) -> Column:
+    """The p-value of a test as a column, null where a value that it takes is null."""
+
+    @F.pandas_udf("double")
+    def each(frame: pd.DataFrame) -> pd.Series:
+        return pd.Series([None if any(pd.isna(v) for v in row) else f(*row) for row in frame.itertuples(index=False)], dtype="float64")
+
+    return each(F.struct(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)]))
+
+
+def significant(p: Column, level: float = 0.05) -> Column:
+    """Whether a p-value is below the level; null without one, as for a pair that was skipped."""
+    return F.when(p.isNotNull() & ~F.isnan(p), p < level)
+
+
+def paired_tests(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """(*by, n, mean_a, mean_b, delta, t, ttest_p, ttest_significant, w, wilcoxon_p) of paired scores in each group, in two aggregates."""
+    d = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_d", F.col(a) - F.col(b))
+    m = d.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.avg("_d").alias("_mean"), F.stddev_samp("_d").alias("_sd"))
+    m = m.withColumn("t", F.try_divide(F.col("_mean"), F.col("_sd") / F.sqrt("n")))
+    r = average_ranks(d.filter("_d <> 0").withColumn("_size", F.abs("_d")), by, "_size").withColumnRenamed("n", "_ties")
+    signs = d.filter("_d <> 0").groupBy(*by, F.abs("_d").alias("_size")).agg(F.count_if(F.col("_d") > 0).alias("_plus"), F.count_if(F.col("_d") < 0).alias("_minus"))
+    w = join_nulls(r, signs, [*by, "_size"]).groupBy(*by).agg(F.sum(F.col("rank") * F.col("_plus")).alias("_wp"), F.sum(F.col("rank") * F.col("_minus")).alias("_wm"), F.sum("_ties").alias("_nonzero"))
+    j = join_nulls(m, w, by, "left").withColumn("w", F.least("_wp", "_wm"))
+    j = j.withColumn("ttest_p", p_value(lambda t, n: ttest_p(t, int(n)) if n > 1 else math.nan, F.col("t"), F.col("n")))
+    j = j.withColumn("wilcoxon_p", p_value(lambda w, n: wilcoxon_p(w, int(n)), F.coalesce("w", F.lit(0.0)), F.coalesce("_nonzero", F.lit(0))))
+    return j.select(*by, "n", "mean_a", "mean_b", (F.col("mean_b") - F.col("mean_a")).alias("delta"), "t", "ttest_p", significant(F.col("ttest_p")).alias("ttest_significant"), "w", "wilcoxon_p")
+
+
+def mcnemar(df: DataFrame, by: list[str], y: str, a: str, b: str) -> DataFrame:
+    """(*by, n, n01, n10, statistic, pvalue, significant) of two predictions in each group; null p-values where nothing is shared."""
+    right_a, right_b = F.col(a) == F.col(y), F.col(b) == F.col(y)
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    c = df.groupBy(*by).agg(F.count_if(both).alias("n"), F.count_if(both & ~right_a & right_b).alias("n01"), F.count_if(both & right_a & ~right_b).alias("n10"))
+    p = p_value(lambda x, z: mcnemar_p(int(x), int(z)), *[F.when(F.col("n") > 0, F.col(k)) for k in ("n01", "n10")])
+    c = c.withColumn("statistic", F.least("n01", "n10")).withColumn("pvalue", p)
+    return c.withColumn("significant", significant(F.col("pvalue")))

@@ -109,3 +109,51 @@ def signed_hash(spark, d):
     """Words of each document hashed with signs into 16 bins."""
     docs = table(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), r"\s+").alias("tokens"))
     return docs.select("doc_id", hash_tokens("tokens", 16).alias("v"))
+
+
+CHAIN = """x AS (SELECT l_orderkey % 3 AS g, l_quantity::DOUBLE AS a, l_extendedprice::DOUBLE AS b, 2 * l_quantity::DOUBLE + l_tax AS c, l_discount::DOUBLE AS d, l_tax::DOUBLE AS e, 1.0::DOUBLE AS k FROM lineitem),
+f AS (SELECT unnest(range(3)) AS fold), t AS (SELECT fold, x.* FROM x, f WHERE g <> fold)"""
+
+
+def _greedy_sql(columns: str, threshold: float) -> str:
+    """Which columns go: each whose correlation with an earlier one that stays is above the threshold."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    steps, last = [f"r AS (SELECT fold, {', '.join(f'abs(corr({a}, {b})) > {threshold} AS {a}{b}' for a, b in pairs)} FROM t GROUP BY 1)", "s0 AS (SELECT *, false AS x_a FROM r)"], "s0"
+    for i, b in enumerate(columns[1:], 1):
+        steps.append(f"s{i} AS (SELECT *, {' OR '.join(f'(NOT x_{a} AND {a}{b})' for a in columns[:i])} AS x_{b} FROM {last})")
+        last = f"s{i}"
+    kept = " || ".join(f"CASE WHEN x_{c} THEN '' ELSE '{c}' END" for c in columns)
+    return ",\n".join(steps) + f"\nSELECT CAST(fold AS INTEGER) AS fold, {kept} AS kept FROM {last}"
+
+
+def chain_rows(spark, d):
+    c = lambda name: F.col(name).cast("double")
+    return table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") % 3).cast("int").alias("fold"), c("l_quantity").alias("a"), c("l_extendedprice").alias("b"), (2 * c("l_quantity") + F.col("l_tax")).alias("c"),
+        c("l_discount").alias("d"), c("l_tax").alias("e"), F.lit(1.0).alias("k"))
+
+
+@query("greedy_correlation", f"WITH {CHAIN}, {_greedy_sql('abcde', 0.95)}")
+def greedy_correlation(spark, d):
+    """Columns that each fold's training rows keep: none that is constant, and none that goes with an earlier kept one."""
+    chain = X.Chain(chain_rows(spark, d), list("abcdek"), 1)
+    return spark.createDataFrame([(f, "".join(v["kept"])) for f, v in chain.fits.items()], "fold int, kept string")
+
+
+@query("chain_projection", f"""
+WITH {CHAIN}, r AS (SELECT fold, corr(a, d) AS r, avg(a) AS ma, stddev_pop(a) AS sa, avg(d) AS md, stddev_pop(d) AS sd FROM t GROUP BY 1),
+z AS (SELECT r.fold, r, ((a - ma) / sa + sign(r) * (d - md) / sd) / sqrt(2) AS z FROM x JOIN r ON x.g = r.fold)
+SELECT CAST(fold AS INTEGER) AS fold, round((1 + abs(any_value(r))) / 2, 6) AS explained, round(avg(z * z), 4) AS size, CAST(count(*) AS BIGINT) AS n FROM z GROUP BY 1""")
+def chain_projection(spark, d):
+    """Held-out rows through the chain that is fitted on the other folds: of two columns that stay, the first component."""
+    rows = chain_rows(spark, d).select("fold", "a", "c", "d", "k")
+    z = X.Chain(rows, ["a", "c", "d", "k"], 1).transform(rows)
+    return z.groupBy("fold").agg(F.round(F.first("explained")[0], 6).alias("explained"), F.round(F.avg(F.col("z")[0] * F.col("z")[0]), 4).alias("size"), F.count("*").alias("n"))
+
+
+@query("column_stitch", "SELECT vec_id, label, round(embedding[1]::DOUBLE, 6) AS f0, round(embedding[2]::DOUBLE, 6) AS f1 FROM embeddings")
+def column_stitch(spark, d):
+    """Tables of columns side by side, by key."""
+    e = table(spark, d, "embeddings")
+    first, second = (e.select("vec_id", F.round(F.col("embedding")[i].cast("double"), 6).alias(f"f{i}")) for i in (0, 1))
+    return X.stitch([e.select("vec_id", "label"), first, second], "vec_id")

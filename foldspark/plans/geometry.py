@@ -88,3 +88,20 @@ def geometry_by_group(spark, d):
     m = total.select("fold", "label", "feature", F.col("N").alias("n"), (F.col("S") / F.col("N")).alias("mean"), (F.col("Q") / F.col("N") - (F.col("S") / F.col("N")) ** 2).alias("var"))
     f = G.fisher(m, ("fold",)).withColumn("ppm", F.col("fisher") * 1_000_000)
     return f.groupBy("label").agg(F.round(F.avg("ppm"), 4).alias("mean_ppm"), F.round(F.stddev_pop("ppm"), 3).alias("std_ppm"), F.round(F.min("ppm"), 4).alias("min_ppm"))
+
+
+@query("representativeness", f"""
+WITH {LONG}, a AS (SELECT feature, avg(x) AS mf, stddev_pop(x) AS sf, avg(x) FILTER (s) AS ms, stddev_pop(x) FILTER (s) AS ss, max(x) = min(x) AS cf, max(x) FILTER (s) = min(x) FILTER (s) AS cs FROM e GROUP BY 1),
+m AS (SELECT max(abs(ms - mf) / CASE WHEN cf THEN 1 ELSE sf END) AS shift, coalesce(max(CASE WHEN NOT cf THEN abs(ss / sf - 1) END), 0) AS ratio FROM a),
+c AS (SELECT feature, x, count(*) AS f, count(*) FILTER (s) AS n FROM e GROUP BY 1, 2),
+r AS (SELECT feature, sum(f) OVER w / sum(f) OVER (PARTITION BY feature) AS pf, sum(n) OVER w / sum(n) OVER (PARTITION BY feature) AS ps FROM c WINDOW w AS (PARTITION BY feature ORDER BY x)),
+z AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (l_orderkey % 4 = 0)::DOUBLE AS m FROM lineitem), k AS (SELECT feature, max(abs(pf - ps)) * (SELECT sqrt(n * m / (n + m)) FROM z) AS x FROM r GROUP BY 1),
+p AS (SELECT feature, any_value(x) AS x, 2 * sum(pow(-1, i - 1) * exp(-2 * i * i * x * x)) AS p FROM k, (SELECT unnest(range(1, 101)) AS i) GROUP BY 1),
+g AS (SELECT l_returnflag AS l, count(*) / sum(count(*)) OVER () AS q FROM lineitem GROUP BY 1), h AS (SELECT l_returnflag AS l, count(*) / sum(count(*)) OVER () AS q FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1)
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM g) AS n_classes, (SELECT round(max(abs(coalesce(g.q, 0) - coalesce(h.q, 0))), 6) FROM g FULL JOIN h USING (l)) AS max_abs_diff, round(shift, 6) AS max_mean_shift, round(ratio, 6) AS max_std_ratio_dev,
+  (SELECT CAST(count(*) AS BIGINT) FROM p) AS n_features, (SELECT CAST(count(*) FILTER (x >= 0.2 AND p < 0.05) AS BIGINT) FROM p) AS n_reject, (SELECT round(0.05 * count(*), 6)::DOUBLE FROM p) AS expected_rejects FROM m""")
+def representativeness(spark, d):
+    """How the sample stands for the table, in one row: class shares, moments, and rejected distributions against chance."""
+    r = G.representativeness(sampled(spark, d), "l_returnflag", list(NUMERIC), "s")
+    r = r.select("n_classes", "max_abs_diff", "max_mean_shift", "max_std_ratio_dev", "n_features", "n_reject", F.col("expected_rejects").cast("double").alias("expected_rejects"))
+    return r.withColumns({c: F.round(c, 6) for c in ("max_abs_diff", "max_mean_shift", "max_std_ratio_dev", "expected_rejects")})

@@ -110,3 +110,40 @@ WITH {DOCS}, c AS (SELECT count(*) FILTER (p <> y AND q = y) AS n01, count(*) FI
 SELECT CAST(n01 AS BIGINT) AS n01, CAST(n10 AS BIGINT) AS n10, CAST(least(n01, n10) AS BIGINT) AS statistic FROM c""")
 def mcnemar_counts(spark, d):
     return T.mcnemar_counts(docs(spark, d), "y", "p", "q")
+
+
+STEPS = 2000
+#: Simpson's rule over [0, upper] for each row of a table: weights 1, 4, 2, ..., 4, 1.
+SIMPSON = f"(CASE WHEN i IN (0, {STEPS}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+SCORES = """d AS (SELECT l_orderkey % 4 AS g, CAST(round(100 * max(CASE WHEN l_linestatus = 'F' THEN l_discount END)) AS BIGINT) AS a,
+  CAST(round(100 * max(CASE WHEN l_linestatus = 'O' THEN l_discount END)) AS BIGINT) AS b FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_linestatus) = 2)"""
+
+
+@query("paired_tests", f"""
+WITH {SCORES}, m AS (SELECT g, count(*) AS n, avg(a) AS mean_a, avg(b) AS mean_b, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) AS t FROM d GROUP BY 1),
+r AS (SELECT g, a - b AS d, rank() OVER (PARTITION BY g ORDER BY abs(a - b)) + (count(*) OVER (PARTITION BY g, abs(a - b)) - 1) / 2.0 AS r FROM d WHERE a <> b),
+w AS (SELECT g, count(*) AS k, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END))::DOUBLE AS w FROM r GROUP BY 1),
+z AS (SELECT *, abs(w - k * (k + 1) / 4.0) / sqrt(k * (k + 1.0) * (2 * k + 1) / 24) AS z FROM w), i AS (SELECT unnest(range({STEPS + 1})) AS i),
+p AS (SELECT g, 1 - 2 * sum({SIMPSON} * exp(lgamma(n / 2.0) - lgamma((n - 1) / 2.0)) / sqrt((n - 1) * pi()) * pow(1 + pow(t * i / {STEPS}, 2) / (n - 1), -n / 2.0)) * abs(any_value(t)) / {STEPS} / 3 AS p FROM m, i GROUP BY 1),
+q AS (SELECT g, 1 - 2 * sum({SIMPSON} * exp(-pow(z * i / {STEPS}, 2) / 2) / sqrt(2 * pi())) * any_value(z) / {STEPS} / 3 AS q FROM z, i GROUP BY 1)
+SELECT CAST(m.g AS BIGINT) AS g, CAST(n AS BIGINT) AS n, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(mean_b - mean_a, 6) AS delta, round(t, 5) AS t, round(abs(p), 5) AS ttest_p, p < 0.05 AS ttest_significant,
+  w, round(abs(q), 5) AS wilcoxon_p FROM m JOIN p USING (g) JOIN z USING (g) JOIN q USING (g)""")
+def paired_tests(spark, d):
+    """Both paired tests of two scores in each group, with p-values and the flag of significance."""
+    score = lambda s: F.round(100 * F.max(F.when(F.col("l_linestatus") == s, F.col("l_discount")))).cast("long")
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(score("F").alias("a"), score("O").alias("b")).withColumn("g", F.col("l_orderkey") % 4)
+    r = T.paired_tests(g, ["g"], "a", "b").withColumn("w", F.col("w").cast("double"))
+    return r.withColumns({c: F.round(c, 6) for c in ("mean_a", "mean_b", "delta")}).withColumns({c: F.round(c, 5) for c in ("t", "ttest_p", "wilcoxon_p")})
+
+
+@query("mcnemar_tests", """
+WITH x AS (SELECT lang, quality AS y, CAST(n_chars > 1500 AS INTEGER) AS p, CASE WHEN lang <> 'de' THEN CAST(n_chars > 800 AS INTEGER) END AS q FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT lang, count(q) AS n, count(*) FILTER (q IS NOT NULL AND p <> y AND q = y) AS n01, count(*) FILTER (q IS NOT NULL AND p = y AND q <> y) AS n10 FROM x GROUP BY 1),
+p AS (SELECT lang, least(1, 2 * sum(exp(lgamma(n01 + n10 + 1) - lgamma(i + 1) - lgamma(n01 + n10 - i + 1) - (n01 + n10) * ln(2)))) AS p FROM c, (SELECT unnest(range(100000)) AS i) i WHERE i <= least(n01, n10) AND n > 0 GROUP BY 1)
+SELECT lang, CAST(n AS BIGINT) AS n, CAST(n01 AS BIGINT) AS n01, CAST(n10 AS BIGINT) AS n10, CAST(least(n01, n10) AS BIGINT) AS statistic, round(p, 6) AS pvalue, p < 0.05 AS significant
+FROM c LEFT JOIN p ON p.lang IS NOT DISTINCT FROM c.lang""".replace("SELECT lang, CAST(n", "SELECT c.lang, CAST(n"))
+def mcnemar_tests(spark, d):
+    """The exact test in each language; where a model made no predictions, p-value and flag are null."""
+    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    x = j.select("lang", F.col("quality").alias("y"), (F.col("n_chars") > 1500).cast("int").alias("p"), F.when(F.col("lang") != "de", (F.col("n_chars") > 800).cast("int")).alias("q"))
+    return T.mcnemar(x, ["lang"], "y", "p", "q").withColumn("pvalue", F.round("pvalue", 6))

@@ -94,6 +94,26 @@ def fold_scores(spark, d):
     return R.fold_numbers(children(spark, d).join(newest, "parent_run_id"), TIES).select("cell", "parent_run_id", "fold_no", "f1_macro")
 
 
+@query("cell_scores", f"""
+WITH {CLEAN}, s AS (SELECT o_orderkey FROM orders JOIN c ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1)
+SELECT l_orderkey AS parent_run_id, CAST(row_number() OVER (ORDER BY {ORDER}) - 1 AS INTEGER) AS fold_no, l_discount AS f1_macro FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM s)""")
+def cell_scores(spark, d):
+    """Fold metrics of one cell, in fold order; an error where no clean sweep matches."""
+    p = parents(spark, d)
+    folds = children(spark, d).join(p.select(F.col("run_id").alias("parent_run_id"), "cell"), "parent_run_id")
+    return R.fold_scores(folds, p, {"cell": "1-URGENT"}, FOLDS, ties=TIES)
+
+
+@query("tagged_encoding", """
+SELECT o_orderkey AS run_id, coalesce(CASE WHEN o_orderstatus = 'P' THEN 'tagged' END, CASE WHEN count(DISTINCT l_linestatus) = 1 THEN min(l_linestatus) ELSE 'joint' END) AS encoding
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus""")
+def tagged_encoding(spark, d):
+    """A sweep's encoding: its own tag first, else what its folds agree on."""
+    own = table(spark, d, "orders").select(F.col("o_orderkey").alias("parent_run_id"), F.when(F.col("o_orderstatus") == "P", "tagged").alias("tag"))
+    folds = children(spark, d).groupBy("parent_run_id").agg(F.collect_set("encoding").alias("e"))
+    return own.join(folds, "parent_run_id").select(F.col("parent_run_id").alias("run_id"), R.encoding(F.col("tag"), F.col("e")).alias("encoding"))
+
+
 @query("prefer_fold_count", """
 WITH n AS (SELECT o_orderpriority AS cell, o_orderkey, count(*) AS n_folds FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1, 2)
 SELECT cell, o_orderkey AS parent_run_id, CAST(n_folds AS BIGINT) AS n_folds FROM n
