@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foldspark.functions import scalars as S
 from foldspark.operators.joins import join_nulls
 from foldspark.plans.catalog import query, table
+from foldspark.sources import reports
 
 NOT_FEATURES = ("l_returnflag", "l_linestatus", "l_shipdate")
 
@@ -178,3 +179,31 @@ FROM part WHERE p_size > 0""")
 def gate_counts(spark, d):
     df = table(spark, d, "part").filter("p_size > 0").select("p_size").distinct()
     return df.select("p_size", S.gates(F.col("p_size"), "angle").alias("angle_gates"), S.gates(F.col("p_size"), "iqp").alias("iqp_gates"))
+
+
+@query("report_geometry", """
+SELECT l_linestatus AS dataset, CAST(l_linenumber AS INTEGER) AS n_components, unnest(['discount', 'tax']) AS name, round(unnest([avg(l_discount), avg(l_tax)]), 6) AS mean, round(unnest([stddev_pop(l_discount), stddev_pop(l_tax)]), 6) AS std
+FROM lineitem GROUP BY 1, 2""")
+def report_geometry(spark, d):
+    """A nested report (dataset, number of components, measure) written as JSON and read back as rows."""
+    measure = lambda c: F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"))
+    g = table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("dataset"), F.col("l_linenumber").cast("string").alias("nc")).agg(F.create_map(F.lit("discount"), measure("l_discount"), F.lit("tax"), measure("l_tax")).alias("m"))
+    g = g.groupBy("dataset").agg(F.map_from_entries(F.collect_list(F.struct("nc", "m"))).alias("geometry"))
+    whole = g.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("dataset", F.struct("geometry"))))).alias("json"))
+    return reports.geometry(whole).select("dataset", "n_components", "name", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("report_pairs", """
+SELECT l_returnflag AS "group", 'F' AS model_a, 'O' AS model_b, TRUE AS shared_test_set, CAST(count(*) AS BIGINT) AS n_samples, CAST(CASE WHEN l_returnflag <> 'N' THEN count(*) FILTER (l_discount < 0.05) END AS BIGINT) AS n01_a_wrong_b_right,
+  CASE WHEN l_returnflag <> 'N' THEN round(avg(l_discount), 6) END AS pvalue, CASE WHEN l_returnflag <> 'N' THEN round(avg(l_discount), 6) < 0.05 END AS significant_at_05, CASE WHEN l_returnflag = 'N' THEN 'no overlap' ELSE '' END AS skipped
+FROM lineitem GROUP BY l_returnflag""")
+def report_pairs(spark, d):
+    """A list of pairs, some of them skipped, written as JSON and read back: what a skipped pair lacks stays null."""
+    n = F.col("l_returnflag") == "N"
+    low = F.count_if(F.col("l_discount") < 0.05)
+    g = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), low.alias("n01"), F.round(F.avg("l_discount"), 6).alias("p"))
+    one = F.struct(
+        F.col("l_returnflag").alias("group"), F.array(F.lit("F"), F.lit("O")).alias("pair"), F.lit(True).alias("shared_test_set"), "n", F.when(~n, F.col("n01")).alias("n01"),
+        F.when(~n, F.col("p")).alias("pvalue"), F.when(n, F.lit("no overlap")).alias("skipped"))
+    r = reports.mcnemar(g.agg(F.to_json(F.collect_list(one)).alias("json")))
+    return r.select("group", "model_a", "model_b", "shared_test_set", "n_samples", "n01_a_wrong_b_right", "pvalue", "significant_at_05", "skipped")

@@ -40,3 +40,14 @@ def log_sweep(predictions: DataFrame, path: str, dataset: str, task: str, n_comp
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
+
+
+def export(runs: DataFrame, condition: str | None = None) -> DataFrame:
+    """Runs as one flat table, sorted by start: parameters and metrics as columns params_* and metrics_* of all keys that occur, the
+    parent's id, no other tags. condition: SQL on the flat columns. An error where no run is left."""
+    names = runs.agg(*[F.array_sort(F.flatten(F.collect_set(F.map_keys(c)))).alias(c) for c in ("params", "metrics")]).first()  # keys, not rows
+    flat = runs.select("run_id", "parent_run_id", "status", "start_time", *[F.col(c)[k].alias(f"{c}_{k}") for c in ("params", "metrics") for k in sorted(set(names[c] or []))])
+    flat = flat.filter(condition) if condition else flat
+    if flat.isEmpty():
+        raise ValueError("no runs found" + (f" where {condition}" if condition else ""))
+    return flat.orderBy("start_time", "run_id")

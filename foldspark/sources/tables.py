@@ -1,11 +1,14 @@
-"""Scans and sinks of labelled tables, folds, samples and predictions. Features are all columns that aren't declared labels."""
+"""Scans and sinks of labelled tables, folds, samples, predictions and reports. Features are all columns that aren't declared labels."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldspark.operators.vectorize import vectorize
+
 LABELS = ("Category", "Class", "label", "avclass", "sha256", "dominant_tag", "row_id")
 
 
@@ -14,11 +17,23 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None, built_by: str = "") -> DataFrame:
+    """A Parquet table, or some of its columns; where it isn't there, an error that says what builds it."""
+    try:
+        df = spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise FileNotFoundError(f"{path} isn't there{f'; {built_by} builds it' if built_by else ''}") from e
+        raise
     return df.select(*columns) if columns else df
 
 
+def read_tagged(spark: SparkSession, path: str, tag: str = "avclass", built_by: str = "") -> DataFrame:
+    """A Parquet table whose tag column may hold nulls, or be absent: both are ''."""
+    df = read_parquet(spark, path, built_by=built_by)
+    return df.withColumn(tag, F.coalesce(F.col(tag), F.lit("")) if tag in df.columns else F.lit(""))
+
+
 def read_table(spark: SparkSession, url: str, table: str, columns: list[str], **options: str) -> DataFrame:
     """A projection of a database table; with partitionColumn, lowerBound, upperBound and numPartitions, read in parallel."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().select(*columns)
@@ -30,6 +45,18 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | str) ->
     return df.filter("label <> -1").withColumn("avclass", F.coalesce("avclass", F.lit("")))
 
 
+def vectors(spark: SparkSession, records: str, schema: T.StructType | str, out: str) -> int:
+    """JSON lines of records as a Parquet table of sha256, label, avclass and features; gives its number of rows."""
+    vectorize(read_records(spark, records, schema)).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out).count()
+
+
+def write_subset(wide: DataFrame, keys: DataFrame, key: str, path: str) -> dict[str, int]:
+    """The rows of a wide table that have one of the keys, written; gives counts of rows before, asked for, and after."""
+    wide.join(keys.select(key).distinct(), key, "left_semi").write.mode("overwrite").parquet(path)
+    return {"rows": wide.count(), "asked": keys.select(key).distinct().count(), "written": wide.sparkSession.read.parquet(path).count()}
+
+
 def features(df: DataFrame, labels: tuple[str, ...] = LABELS) -> list[str]:
     """Numeric columns that aren't labels; absent labels are fine."""
     return [f.name for f in df.schema if f.name not in labels and isinstance(f.dataType, T.NumericType)]
@@ -47,11 +74,28 @@ def write_keys(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def read_fold_lists(spark: SparkSession, path: str) -> DataFrame:
-    """(fold, row_id) of test rows from JSON of the shape [{"train": [...], "test": [...]}, ...]."""
+def read_folds(spark: SparkSession, path: str) -> DataFrame:
+    """(fold, part, row_id) of all lists from JSON of the shape [{"train": [...], "test": [...]}, ...]; an error where a row is
+    in both lists of a fold."""
     text = spark.read.text(path, wholetext=True)
-    parsed = text.select(F.from_json("value", "array<struct<train:array<bigint>,test:array<bigint>>>").alias("f"))
-    return parsed.select(F.posexplode("f").alias("fold", "e")).select("fold", F.explode("e.test").alias("row_id"))
+    parsed = text.select(F.posexplode(F.from_json("value", "array<struct<train:array<bigint>,test:array<bigint>>>")).alias("fold", "e"))
+    parsed = parsed.withColumn("e", F.when(F.arrays_overlap("e.train", "e.test"), F.raise_error(F.lit("a row is in both lists of a fold"))).otherwise(F.col("e")))
+    part = lambda p: parsed.select("fold", F.lit(p).alias("part"), F.explode(f"e.{p}").alias("row_id"))
+    return part("train").union(part("test"))
+
+
+def read_fold_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(fold, row_id) of test rows from the same JSON."""
+    return read_folds(spark, path).filter("part = 'test'").select("fold", "row_id")
+
+
+def write_fold_lists(folds: DataFrame, path: str) -> None:
+    """JSON of that shape from (row_id, fold), for readers that take whole lists: the table of keys of a bounded sample."""
+    test = folds.groupBy("fold").agg(F.sort_array(F.collect_list("row_id")).alias("test"))
+    all_ids = folds.agg(F.sort_array(F.collect_list("row_id")).alias("all"))
+    lists = test.crossJoin(F.broadcast(all_ids)).select("fold", F.struct(F.array_except("all", "test").alias("train"), "test").alias("e"))
+    whole = lists.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("fold", "e"))), lambda x: x["e"])).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_sample(spark: SparkSession, path: str) -> DataFrame:
@@ -65,5 +109,29 @@ def write_predictions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "task", "n_components").parquet(path)
 
 
+def read_predictions(spark: SparkSession, path: str, model: str | None = None, task: str | None = None, n_components: int | None = None) -> DataFrame:
+    """Predictions of some folders; which ones is decided before any file is read."""
+    df = spark.read.parquet(path)
+    for name, value in (("model", model), ("task", task), ("n_components", n_components)):
+        df = df if value is None else df.filter(F.col(name) == value)
+    return df
+
+
 def write_metrics(df: DataFrame, path: str) -> None:
+    """A small table of metrics, or any derived table, as one CSV file with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str) -> dict[str, int]:
+    """Derived tables, a CSV each in a folder of its name; gives how many rows each has."""
+    out = {}
+    for name, df in tables.items():
+        write_metrics(df, f"{folder.rstrip('/')}/{name}")
+        out[name] = df.sparkSession.read.option("header", True).csv(f"{folder.rstrip('/')}/{name}").count()
+    return out
+
+
+def write_sample(keys: DataFrame, path: str) -> None:
+    """A JSON list of row ids in the order of sample_pos: a bounded sample, as a list for other readers."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("sample_pos", "row_id"))), lambda x: x["row_id"])
+    keys.agg(F.to_json(ordered).alias("value")).coalesce(1).write.mode("overwrite").text(path)
