@@ -65,7 +65,7 @@ def gram(a: DataFrame, b: DataFrame, kernel: Kernel, key: str = "i", vector: str
         k = kernel(matrix(x[vector]), matrix(y[vector]))
         return pd.DataFrame({"i": np.repeat(x[key].to_numpy(), len(y)), "j": np.tile(y[key].to_numpy(), len(x)), "k": k.ravel()})
 
-    return pairs(a, b, key, run, "i long, j long, k double", block=block)
+    return pairs(a, b, key, run, "i long, j long, k double", block=block, widest=BLOCK)
 
 
 def gram_upper(a: DataFrame, kernel: Kernel, key: str = "i", vector: str = "x", block: int = BLOCK) -> DataFrame:
@@ -77,7 +77,7 @@ def gram_upper(a: DataFrame, kernel: Kernel, key: str = "i", vector: str = "x",
         keep = i < j if x["_block"].iloc[0] == y["_block"].iloc[0] else np.ones(len(i), bool)
         return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "k": k.ravel()[keep]})
 
-    return pairs(a, a, key, run, "i long, j long, k double", symmetric=True, block=block)
+    return pairs(a, a, key, run, "i long, j long, k double", symmetric=True, block=block, widest=BLOCK)
 
 
 def full(upper: DataFrame, rows: DataFrame, key: str = "i") -> DataFrame:

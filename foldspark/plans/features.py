@@ -25,21 +25,22 @@ def standardize(spark, d):
 
 
 @query("minmax_clip", f"""
-WITH f AS (SELECT min(embedding[1]::DOUBLE) AS lo, max(embedding[1]::DOUBLE) AS hi FROM embeddings WHERE vec_id % 4 <> 0)
-SELECT vec_id, round(greatest(0.0, least({math.pi!r}::DOUBLE, (embedding[1]::DOUBLE - lo) / (hi - lo) * {math.pi!r}::DOUBLE)), 6) AS x FROM embeddings, f""")
+WITH e AS (SELECT vec_id, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings), f AS (SELECT k, min(x) AS lo, max(x) AS hi FROM e WHERE vec_id % 4 <> 0 GROUP BY 1)
+SELECT vec_id, CAST(k AS INTEGER) AS k, round(CASE WHEN hi > lo THEN greatest(0.0, least({math.pi!r}::DOUBLE, (x - lo) / (hi - lo) * {math.pi!r}::DOUBLE)) ELSE 0 END, 6) AS x FROM e JOIN f USING (k)""")
 def minmax_clip(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"))
-    fit = e.filter("vec_id % 4 <> 0").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    return e.crossJoin(F.broadcast(fit)).select("vec_id", F.round(S.minmax(F.col("x"), F.col("lo"), F.col("hi")), 6).alias("x"))
+    """Every component scaled by the training rows and clipped; the fit has a row for each component."""
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.transform("embedding", lambda x: x.cast("double"))).alias("k", "x"))
+    fit = e.filter("vec_id % 4 <> 0").groupBy("k").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    return e.join(F.broadcast(fit), "k").select("vec_id", "k", F.round(S.minmax(F.col("x"), F.col("lo"), F.col("hi")), 6).alias("x"))
 
 
 @query("pad_normalize", """
-WITH e AS (SELECT vec_id, embedding[1]::DOUBLE a, embedding[2]::DOUBLE b, embedding[3]::DOUBLE c FROM embeddings), n AS (SELECT *, sqrt(a * a + b * b + c * c) AS n FROM e)
-SELECT vec_id, round(a / n, 6) AS f0, round(b / n, 6) AS f1, round(c / n, 6) AS f2, 0.0::DOUBLE AS f3 FROM n""")
+WITH e AS (SELECT vec_id, unnest(range(72)) AS k, unnest(list_concat([x::DOUBLE FOR x IN embedding], [0.0::DOUBLE FOR i IN range(8)])) AS x, sqrt(list_sum([x::DOUBLE * x FOR x IN embedding])) AS n FROM embeddings)
+SELECT vec_id, CAST(k AS INTEGER) AS k, round(x / n, 6) AS x FROM e WHERE k < 72""")
 def pad_normalize(spark, d):
-    """Three components padded to the four amplitudes of two qubits, with unit length."""
-    e = table(spark, d, "embeddings").select("vec_id", S.pad_normalize(F.slice("embedding", 1, 3), 4).alias("v"))
-    return e.select("vec_id", *[F.round(F.col("v")[i], 6).alias(f"f{i}") for i in range(4)])
+    """All 64 components padded to 72 and brought to unit length."""
+    e = table(spark, d, "embeddings").select("vec_id", S.pad_normalize(F.col("embedding"), 72).alias("v"))
+    return e.select("vec_id", F.posexplode("v").alias("k", "x")).select("vec_id", "k", F.round("x", 6).alias("x"))
 
 
 @query("balanced_weights", """

@@ -64,13 +64,14 @@ def centroid_distances(spark, d):
 
 
 @query("silhouette", """
-WITH e AS (SELECT vec_id AS i, label AS y, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings), n AS (SELECT y, count(*) AS n FROM e GROUP BY 1),
-s AS (SELECT p.i, p.y AS own, q.y AS other, sum(sqrt(pow(p.a - q.a, 2) + pow(p.b - q.b, 2) + pow(p.c - q.c, 2))) AS s FROM e p, e q GROUP BY ALL),
+WITH e AS (SELECT vec_id AS i, label AS y, [x::DOUBLE FOR x IN embedding] AS x FROM embeddings), n AS (SELECT y, count(*) AS n FROM e GROUP BY 1),
+s AS (SELECT p.i, p.y AS own, q.y AS other, sum(CASE WHEN p.i <> q.i THEN list_distance(p.x, q.x) ELSE 0 END) AS s FROM e p, e q GROUP BY ALL),
 r AS (SELECT i, max(CASE WHEN own = other AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM s JOIN n ON n.y = s.other GROUP BY 1)
-SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM r""")
+SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 5) AS silhouette FROM r""")
 def silhouette(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("label"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("x"))
-    return G.silhouette(e, "vec_id", "x", "label").select(F.round("silhouette", 6).alias("silhouette"))
+    """Over all components and all rows."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("label"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    return G.silhouette(e, "vec_id", "x", "label").select(F.round("silhouette", 5).alias("silhouette"))
 
 
 @query("geometry_by_group", """

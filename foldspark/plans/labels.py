@@ -141,13 +141,12 @@ def null_profile(spark, d):
 
 
 @query("softmax_rows", """
-WITH e AS (SELECT vec_id, embedding[1]::DOUBLE a, embedding[2]::DOUBLE b, embedding[3]::DOUBLE c FROM embeddings),
-x AS (SELECT vec_id, exp(a - greatest(a, b, c)) a, exp(b - greatest(a, b, c)) b, exp(c - greatest(a, b, c)) c FROM e)
-SELECT vec_id, round(a / (a + b + c), 6) AS p0, round(b / (a + b + c), 6) AS p1, round(c / (a + b + c), 6) AS p2 FROM x""")
+WITH e AS (SELECT vec_id, [exp(x::DOUBLE - list_max(embedding)) FOR x IN embedding] AS p FROM embeddings)
+SELECT vec_id, CAST(unnest(range(len(p))) AS INTEGER) AS k, round(unnest(p) / list_sum(p), 6) AS p FROM e""")
 def softmax_rows(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("s"))
-    e = e.withColumn("p", S.softmax(F.col("s")))
-    return e.select("vec_id", *[F.round(F.col("p")[i], 6).alias(f"p{i}") for i in range(3)])
+    """A softmax over all components of each row."""
+    e = table(spark, d, "embeddings").select("vec_id", S.softmax(F.transform("embedding", lambda x: x.cast("double"))).alias("p"))
+    return e.select("vec_id", F.posexplode("p").alias("k", "p")).select("vec_id", "k", F.round("p", 6).alias("p"))
 
 
 @query("sweep_encoding", """

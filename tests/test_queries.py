@@ -11,7 +11,6 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 KINDS = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 PLAIN = sorted(k for k in entry.queries() if not k.startswith("op") and k != "pipeline")
-MODELS = {"forest_cv", "boosting_cv"}  # slow; see test_models.py
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +26,7 @@ def rows(table):
     return sorted(str([clean(x) for x in r]) for r in table)
 
 
-@pytest.mark.parametrize("name", [k for k in PLAIN if k not in MODELS])
+@pytest.mark.parametrize("name", PLAIN)
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     names = sorted(df.columns)
