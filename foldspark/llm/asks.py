@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from foldspark.llm import text as X
 
-CHUNK = 6 << 20
+CHUNK = 3 << 20
 _CODEC = "zstd"
 
 

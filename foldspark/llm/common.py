@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df kept on the executors' disks for several uses; what a lost executor held is computed again from its lineage."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, the result of a shuffle with little to do behind it, in an eighth of its partitions: fewer and larger files."""
+    return df.coalesce(max(1, partitions(df.sparkSession) // 8))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import written
+from foldspark.llm.common import small, written
+
+#: Edges in a file, about; there are never more edges than at first.
+EDGES = 500_000
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,10 +28,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): the component of each node with an edge, v its least node (nodes that are least themselves have no row)."""
-    now = written(edges.filter("u <> v").distinct())
+    now = written(small(edges.filter("u <> v").distinct()))
     seen = None
+    files = 1 + now.count() // EDGES
     while True:
-        now = written(_star(_star(now, True), False))
+        now = written(_star(_star(now, True), False).coalesce(files))
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             return now

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from foldspark.llm import asks as A
 from foldspark.llm import text as X
-from foldspark.llm.common import integer_ids, partitions, text_bytes, written
+from foldspark.llm.common import integer_ids, kept, partitions, small, text_bytes, written
 from foldspark.llm.components import components
 
 WIDTH = 5
@@ -316,14 +316,14 @@ def nodes(docs: DataFrame, chunk: int = A.CHUNK, block: int = BLOCK) -> tuple[Da
     spark = integer_ids(docs).sparkSession
     rows = docs.select("doc_id", "text", row_hash().alias("row"))
     keys = Keys(text_bytes(docs))
-    answers = written(A.each_chunk(rows, _ask(keys), _ASKED, chunk).groupBy("part").applyInArrow(A.tidied(_answer), _ANSWERS))
-    all_ = written(A.blobs(rows, chunk).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(A.tidied(_index(keys)), _ROW))
+    answers = kept(A.each_chunk(rows, _ask(keys), _ASKED, chunk).groupBy("part").applyInArrow(A.tidied(_answer), _ANSWERS))
+    all_ = kept(A.blobs(rows, chunk).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(A.tidied(_index(keys)), _ROW))
     docs_ = all_.filter(F.col("kind") == DOC).select(F.col("key").alias("doc_id"), F.col("m").alias("row"), "sid", "n")
     index = all_.filter((F.col("kind") == ENTRY) & (F.col("m") == 0)).select("key", "sid", "n")
     index = index.repartition(partitions(spark), "key").sortWithinPartitions("key", "n", "sid")
     near = all_.filter((F.col("kind") == ENTRY) & (F.col("m") == 1)).select(F.greatest("key", "sid").alias("u"), F.least("key", "sid").alias("v"))
     found = components(index.mapInArrow(_chained, "u long, v long").union(near))
-    labels = written(found.select(F.col("u").alias("sid"), F.col("v").alias("part")).union(found.select("v", "v").distinct()))
+    labels = written(found.select(F.col("u").alias("sid"), F.col("v").alias("part")).union(small(found.select("v", "v").distinct())))
     sizes = labels.groupBy("part").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     labels = labels.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     copies = docs_.filter("n > 0").groupBy("sid").agg(F.count("*").alias("copies"))
@@ -331,14 +331,14 @@ def nodes(docs: DataFrame, chunk: int = A.CHUNK, block: int = BLOCK) -> tuple[Da
     tasks = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = tasks.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
     checked = tasks.groupBy("part", "i", "j").applyInArrow(A.tidied(_verify), "sid long, links long, family long, blocks int")
-    checked = written(checked)
+    checked = kept(checked)
     links = checked.groupBy("sid").agg(F.sum("links").alias("links"))
     one = checked.filter("blocks = 1").select("sid", "family")
     several = checked.filter("blocks > 1 and sid <> family").select(F.greatest("sid", "family").alias("u"), F.least("sid", "family").alias("v"))
     if not several.isEmpty():
         joined = components(several)
         one = one.union(joined.select(F.col("u").alias("sid"), F.col("v").alias("family"))).union(joined.select("v", "v").distinct())
-    return docs_, written(links.join(one, "sid"))
+    return docs_, written(small(links.join(one, "sid")))
 
 
 def classes(docs: DataFrame, chunk: int = A.CHUNK, block: int = BLOCK) -> DataFrame:
@@ -373,13 +373,13 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Rows are picked in a sort-merge join at every size, so that small inputs don't behave otherwise than large ones.
     """
-    rows = written(classes(docs))
+    rows = kept(classes(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first")
     some = rows.filter("n > 0").groupBy("class").agg(first).select("first.doc_id", "first.row")
     ids = some.union(rows.filter("n = 0").select("doc_id", "row").distinct()).toDF("kept_id", "kept_row")
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), row_hash().alias("row"))
-    kept = packed.join(ids.hint("merge"), packed["id"].eqNullSafe(ids["kept_id"]) & (packed["row"] == ids["kept_row"]), "left_semi")
+    chosen = packed.join(ids.hint("merge"), packed["id"].eqNullSafe(ids["kept_id"]) & (packed["row"] == ids["kept_row"]), "left_semi")
     if rows.groupBy("doc_id", "row").count().filter("count > 1").limit(1).count():
         place = F.row_number().over(Window.partitionBy("id", "row").orderBy(F.xxhash64("doc")))
-        kept = kept.withColumn("place", place).filter("place = 1")
-    return kept.select("doc.*")
+        chosen = chosen.withColumn("place", place).filter("place = 1")
+    return chosen.select("doc.*")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from foldspark.llm import asks as A
 from foldspark.llm import text as X
-from foldspark.llm.common import text_bytes, written
+from foldspark.llm.common import kept, text_bytes
 
 PROBES = 5
 BITS_PER_ENTRY = 10
@@ -279,7 +279,7 @@ def score(docs: DataFrame, chunk: int = A.CHUNK, bits: int = BITS_PER_ENTRY) ->
     rows = docs.select("doc_id", "text", tenth.alias("held_out"))
     size = text_bytes(docs) + docs.count()
     keys = Keys(size, hot_contexts(rows, size // 5))
-    answers = written(A.each_chunk(rows, _ask(keys), _ASKED, chunk).groupBy("part").applyInArrow(A.tidied(_answer(bits)), _ANSWERS))
+    answers = kept(A.each_chunk(rows, _ask(keys), _ASKED, chunk).groupBy("part").applyInArrow(A.tidied(_answer(bits)), _ANSWERS))
     sums = answers.agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
     kind = docs.schema["doc_id"].dataType.simpleString()
     ddl = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

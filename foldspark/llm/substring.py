@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from foldspark.llm import asks as A
 from foldspark.llm import text as X
-from foldspark.llm.common import integer_ids, text_bytes, written
+from foldspark.llm.common import integer_ids, kept, text_bytes
 
 K = 13
 #: Keys, distinct within a chunk each, that meet in a part on average, at most.
@@ -253,9 +253,9 @@ class Compaction:
         self.keys = Keys(text_bytes(docs), k)
         self.blobs = A.blobs(self.rows, chunk)
         asked = A.each_chunk(self.rows, _ask_edges(self.keys), _ASKED, chunk)
-        edges = written(asked.groupBy("part").applyInArrow(A.tidied(_answer_edges), _ANSWERS))
+        edges = kept(asked.groupBy("part").applyInArrow(A.tidied(_answer_edges), _ANSWERS))
         asked = self.by_chunk(edges).applyInArrow(A.tidied(_ask_nodes(self.keys)), _ASKED)
-        nodes = written(asked.groupBy("part").applyInArrow(A.tidied(_answer_nodes), _ANSWERS))
+        nodes = kept(asked.groupBy("part").applyInArrow(A.tidied(_answer_nodes), _ANSWERS))
         self.answers = edges.union(nodes.withColumn("part", F.col("part") + self.keys.parts))
 
     def by_chunk(self, answers: DataFrame):
