@@ -59,7 +59,9 @@ def test_mix(docs, wide, empty):
     want = collections.Counter()
     for r in got:
         want[r["doc_id"]] += r["taken"] // r["size"] if r["size"] else 0
-    assert all(taken[i] >= n for i, n in want.items())
+    sized = {r["doc_id"] for r in got if r["size"]}
+    rows_ = collections.Counter(r["doc_id"] for r in got)
+    assert all(taken[i] == n for i, n in want.items() if i in sized and rows_[i] == 1) and all(taken[i] >= n for i, n in want.items())
     assert mix.mix(empty).count() == 0 and mix.copies(empty).count() == 0
 
 
@@ -563,3 +565,26 @@ def test_masks_cover_the_union_of_spans():
     for _ in range(300):
         t = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
         assert secret.redacted(t) == plain_redacted(t)
+
+
+def test_texts_beyond_a_chunk(spark):
+    """Texts of more than a chunk of bytes, of which one is a copy and one shares its second half."""
+    rng = random.Random(8)
+    w = [f"w{rng.randint(0, 10**7)}" for _ in range(1_100_000)]
+    half = len(w) // 2
+    rows = [(1, " ".join(w)), (2, " ".join(w)), (3, " ".join(["other"] + w[half:])), (4, "a short one")]
+    assert len(rows[0][1]) > 8 << 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2, "doc_id")
+    removed = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.dedup(df).collect()}
+    assert removed == {1: (len(w), 0), 2: (len(w), len(w)), 3: (len(w) - half + 1, len(w) - half), 4: (3, 0)}
+    joined = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard.join(df).collect()}
+    assert joined == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
+    scores = {r["doc_id"]: (r["n_tokens"], r["base_score"], r["score"]) for r in scoring.score(df).collect()}
+    assert scores[1] == pytest.approx(scores[2]) and scores[1][2] > scores[1][1]
+    prints = {r["doc_id"]: r["fingerprint"] for r in imatch.compare(df).collect()}
+    assert prints[1] == prints[2] != prints[3]
+    measures = {r["doc_id"]: (r["n_words"], r["word_chars"]) for r in quality.quality(df).collect()}
+    assert measures[1] == (len(w), sum(map(len, w)))
+    found = licenses.scan(df.withColumn("text", F.concat("text", F.lit(" Released under the MIT License. ")))).collect()
+    assert all([m["license"] for m in r["matches"]] == ["MIT"] for r in found)
+    assert all(not r["spans"] for r in secret.scan(df).collect())

@@ -1,11 +1,15 @@
 import collections
+import os
+
+import duckdb
 
 import __spark_entry__ as entry
 import corpus_pipeline as P
-from foldspark.llm import bpe, quality, secret
-from foldspark.llm.common import shared_dir
-from tests.llm.test_documents import plain_components, plain_mix
+from foldspark.llm import bpe
+from foldspark.llm.oracles import ORACLE
+from foldspark.sources.shared import shared_dir
 from tests.llm.conftest import words
+from tests.llm.test_documents import plain_components, plain_mix, plain_redacted
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,9 +17,12 @@ SF = "/root/testdata/sf0.001"
 def test_pipeline_against_plain_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
-    kept = {r["doc_id"] for r in quality.quality(docs).filter("kept").collect()}
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    judged = duck.sql(ORACLE["op2_quality_rules"])
+    kept = {r[0] for r in judged.filter("kept").select("doc_id").fetchall()}
     near = {c for _, _, c, _ in plain_components([(i, rows[i]["text"]) for i in kept])}
-    text = {i: secret.redacted(rows[i]["text"]) for i in near}
+    text = {i: plain_redacted(rows[i]["text"]) for i in near}
     size, target = plain_mix([(i, text[i], rows[i]["source"]) for i in near])
     out = entry.queries()["pipeline"](spark, SF)
     assert out.columns == [*docs.columns, "bpe_ids"]
@@ -37,3 +44,10 @@ def test_stages_keep_columns(spark):
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
     assert shared_dir(spark)
+
+
+def test_intermediate_results_go(spark, tmp_path):
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    assert entry.queries()["pipeline"](spark, SF).count() > 0
+    left = {d: os.listdir(f"{shared_dir(spark).removeprefix('file:')}/{d}") for d in set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before}
+    assert [v for d, v in left.items() if d.startswith("pipeline-")] == [["4-byte_bpe"]]
