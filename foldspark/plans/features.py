@@ -85,24 +85,23 @@ def array_struct_counts(spark, d):
 
 
 @query("map_flatten_tokens", """
-WITH t AS (SELECT DISTINCT conv_id, lower(role) || ':' || turn AS token FROM conversations)
-SELECT conv_id, CAST(count(*) AS BIGINT) AS n_tokens, CAST(count(DISTINCT split_part(token, ':', 1)) AS BIGINT) AS n_keys, min(token) AS first_token, max(token) AS last_token FROM t GROUP BY 1""")
+WITH t AS (SELECT DISTINCT conv_id, lower(role) AS name, lower(role) || ':' || turn AS token FROM conversations)
+SELECT conv_id, token, CAST(count(DISTINCT name) OVER (PARTITION BY conv_id) AS BIGINT) AS n_names FROM t""".replace("count(DISTINCT name) OVER (PARTITION BY conv_id)", "(SELECT count(DISTINCT u.name) FROM t u WHERE u.conv_id = t.conv_id)"))
 def map_flatten_tokens(spark, d):
-    """Tokens key:value from a map of arrays, and its distinct lower-case keys."""
-    c = table(spark, d, "conversations").select("conv_id", "role", F.col("turn").cast("string").alias("turn")).distinct()
+    """Every token key:value of a map of arrays, and how many distinct lower-case keys it has. Keys come in upper case here."""
+    c = table(spark, d, "conversations").select("conv_id", F.upper("role").alias("role"), F.col("turn").cast("string").alias("turn")).distinct()
     m = c.groupBy("conv_id", "role").agg(F.collect_list("turn").alias("turns")).groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "turns"))).alias("m"))
     t = m.select("conv_id", *X.map_tokens("m"))
-    tokens = F.transform("tokens", lambda x: F.lower(x))
-    return t.select("conv_id", F.size("tokens").cast("long").alias("n_tokens"), F.size("names").cast("long").alias("n_keys"), F.array_min(tokens).alias("first_token"), F.array_max(tokens).alias("last_token"))
+    return t.select("conv_id", F.explode("tokens").alias("token"), F.size("names").cast("long").alias("n_names"))
 
 
 @query("interleave_pad", """
-SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS v0, round(embedding[2]::DOUBLE, 6) AS v1, round(embedding[63]::DOUBLE, 6) AS v62, round(embedding[64]::DOUBLE, 6) AS v63, 0.0::DOUBLE AS v64, CAST(70 AS INTEGER) AS n FROM embeddings""")
+SELECT vec_id, CAST(unnest(range(70)) AS INTEGER) AS k, round(unnest(list_concat([x::DOUBLE FOR x IN embedding], [0.0::DOUBLE FOR i IN range(6)])), 6) AS v FROM embeddings""")
 def interleave_pad(spark, d):
     """Pairs laid side by side, padded to a fixed number of pairs."""
     pairs = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct(F.col("embedding")[2 * i].cast("double").alias("a"), F.col("embedding")[2 * i + 1].cast("double").alias("b")))
-    e = table(spark, d, "embeddings").select("vec_id", pairs.alias("p")).select("vec_id", X.interleave("p", 35).alias("v"))
-    return e.select("vec_id", *[F.round(F.col("v")[i], 6).alias(f"v{i}") for i in (0, 1, 62, 63, 64)], F.size("v").cast("int").alias("n"))
+    e = table(spark, d, "embeddings").select("vec_id", pairs.alias("p")).select("vec_id", F.posexplode(X.interleave("p", 35)).alias("k", "v"))
+    return e.select("vec_id", "k", F.round("v", 6).alias("v"))
 
 
 @query("signed_hash")
