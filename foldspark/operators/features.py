@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,33 +78,50 @@ def interleave(pairs: str, n: int) -> Column:
 
 
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(fold, n, a, b, s1, s2): for each fold and pair of columns (a <= b by place), sums of a and of a * b over the fold's rows.
+    """(fold, i, n, s, products): for each fold and column, the fold's rows, the sum of the column, and of its products with all columns.
 
-    One scan; a row for each fold and pair is left, whatever the rows, from which the fits of all folds follow.
+    One scan: each task adds up matrices of its rows, a fold's in columns times columns, and sends them by (fold, column).
     """
-    x = F.array(*[F.col(c).cast("double") for c in columns])
-    rows = df.select("fold", x.alias("x"))
-    n = len(columns)
-    pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    sums = rows.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(n)], *[F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}_{j}") for i, j in pairs])
-    each = F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.col(f"s{i}").alias("s1"), F.col(f"p{i}_{j}").alias("s2")) for i, j in pairs])
-    return sums.select("fold", "n", F.explode(each).alias("e")).select("fold", "n", "e.*")
+    d = len(columns)
+    rows = df.select(F.col("fold").cast("int").alias("fold"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            x = np.column_stack([np.ones(len(b)), *[b.column(i + 1).to_numpy(zero_copy_only=False) for i in range(d)]])
+            fold = b.column(0).to_numpy(zero_copy_only=False)
+            for f in np.unique(fold):
+                mine = x[fold == f]
+                sums[int(f)] = sums.get(int(f), 0) + mine.T @ mine
+        for f, p in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f] * d, pa.int32()), pa.array(range(d), pa.int32()), pa.array(np.full(d, p[0, 0])), pa.array(p[0, 1:].copy()), pa.array([r.tobytes() for r in p[1:, 1:]], pa.binary())],
+                ["fold", "i", "n", "s", "products"])
+
+    def total(t: pa.Table) -> pa.Table:
+        p = sum(np.frombuffer(x.as_buffer()) for x in t.column("products").combine_chunks())
+        return pa.table({
+            "fold": t.column("fold")[:1], "i": t.column("i")[:1], "n": pa.array([t.column("n").to_numpy().sum()]), "s": pa.array([t.column("s").to_numpy().sum()]),
+            "products": pa.array([p.tobytes()], pa.binary())})
+
+    ddl = "fold int, i int, n double, s double, products binary"
+    return rows.mapInArrow(add, ddl).groupBy("fold", "i").applyInArrow(total, ddl)
 
 
 class Chain:
     """Variance filter, greedy correlation filter, standardisation and principal components, fitted for every fold at once.
 
-    The fit of a fold comes from the sums of all other folds, in one scan of the rows; what is left (folds times pairs of columns) is
-    reduced on the driver, and a fold's transform is a small matrix that is joined to its rows.
+    The fit of a fold comes from the sums of all other folds, in one scan of the rows; what is left (a matrix of columns times columns
+    for each fold) is reduced on the driver, and a fold's transform is a small matrix that is joined to its rows. Rows have no nulls.
     """
 
     def __init__(self, df: DataFrame, columns: list[str], components: int, correlation: float = 0.95, variance: float = 0.0):
         d = len(columns)
         own: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}
-        for r in moments(df, columns).collect():  # a row for each fold and pair of columns
-            n, s, p = own.setdefault(r["fold"], (float(r["n"]), np.zeros(d), np.zeros((d, d))))
-            s[r["a"]] = r["s1"]
-            p[r["a"], r["b"]] = p[r["b"], r["a"]] = r["s2"]
+        for r in moments(df, columns).collect():  # a row for each fold and column
+            _, s, p = own.setdefault(r["fold"], (r["n"], np.zeros(d), np.zeros((d, d))))
+            s[r["i"]] = r["s"]
+            p[r["i"]] = np.frombuffer(r["products"])
         total = [sum(o[i] for o in own.values()) for i in range(3)]
         self.columns, self.fits = columns, {}
         for fold, (n, s, p) in sorted(own.items()):
