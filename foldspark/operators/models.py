@@ -1,8 +1,8 @@
 """Models and cross-validation. Folds are columns of the rows, so a fold's training set is a filter, never a list of places.
 
 Two engines share folds, search spaces and records. `cross_validate` fits Spark ML's trees over the cluster, for tables of any
-size. `task_cross_validate` spreads (fold, candidate) pairs over tasks, each of which holds a sample of up to TASK_ROWS rows, as the
-sizing law gives; its learners are those of operators/learners. Two boosting libraries, an SVM library and a sequential
+size. `task_cross_validate` spreads (fold, candidate) pairs over tasks, each of which holds a sample of up to TASK_ROWS rows (GRAM_ROWS for
+kernels), as the sizing law gives; its learners are those of operators/learners. Two boosting libraries, an SVM library and a sequential
 optimiser aren't available here: quality figures aren't comparable with theirs, and searches draw parameters from a seeded table.
 """
 
@@ -26,8 +26,8 @@ from foldspark.operators import kernels, learners, metrics, solver
 from foldspark.operators.features import balanced_weights
 from foldspark.operators.sampling import folds
 
-#: Rows that one task may hold for a dense solver or for trees in memory.
-TASK_ROWS = 20_000
+#: Rows that one task may hold: for trees in memory, and for a dense Gram table (of 200 MB).
+TASK_ROWS, GRAM_ROWS = 20_000, 5_000
 #: Parameter spaces. A range of whole numbers (with a step), of numbers, of numbers on a log scale, or a list.
 SPACES = {
     "random_forest": {"trees": ("int", 100, 600, 50), "depth": ("int", 4, 32, 1), "least": ("int", 1, 10, 1), "columns": ["sqrt", "log2", "all"]},
@@ -108,11 +108,11 @@ def cross_validate(rows: DataFrame, model: str, k: int = 5, inner: int = 3, tria
         return reduce(DataFrame.unionByName, pool.map(one, range(k)))
 
 
-def _spread(rows: DataFrame, k: int, seed: int) -> DataFrame:
+def _spread(rows: DataFrame, k: int, seed: int, most: int) -> DataFrame:
     """Rows with their fold, once for each outer fold `k`, and `held`: a stratified fold number among that fold's training rows."""
     data = folds(rows, "y", "row_id", k, seed)
-    if (n := data.count()) > TASK_ROWS:
-        raise ValueError(f"{n} rows; a task holds {TASK_ROWS}: draw a sample first, or use cross_validate")
+    if (n := data.count()) > most:
+        raise ValueError(f"{n} rows; a task holds {most}: draw a sample first, or use cross_validate")
     each = data.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     order = Window.partitionBy("k", "y", F.col("fold") == F.col("k")).orderBy(lcg(F.col("row_id"), seed + 1), "row_id")
     return each.withColumn("held", F.row_number().over(order) - 1)
@@ -128,7 +128,7 @@ def task_cross_validate(rows: DataFrame, model: str, k: int = 5, inner: int = 3,
     (row_id, features array, y). A task tunes one candidate of one fold, another fits the best of a fold; features go through
     the chain of learners.Chain, fitted on training rows only, in either. y: 0 to classes - 1."""
     classes = rows.agg(F.max("y")).first()[0] + 1
-    each = _spread(rows, k, seed)
+    each = _spread(rows, k, seed, GRAM_ROWS if model == "svm" else TASK_ROWS)
     draws = candidates(model, trials, seed, space)
 
     def tune(t: pd.DataFrame) -> pd.DataFrame:
@@ -174,7 +174,7 @@ def kernel_cross_validate(rows: DataFrame, encodings: list[str], bandwidths: lis
     of C, weights and classes share; the test table serves all classes as well. `score` is the margin of class 1, or the top share. only: one fold.
     """
     classes = rows.agg(F.max("y")).first()[0] + 1
-    training = _spread(rows, k, seed)
+    training = _spread(rows, k, seed, GRAM_ROWS)
     training = training if only is None else training.filter(F.col("k") == only)
     fit = training.filter("fold <> k").select("k", F.posexplode("x").alias("d", "v")).groupBy("k", "d").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     keys = ("k", "fold", "held", "row_id", "y")
