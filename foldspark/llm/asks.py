@@ -6,8 +6,9 @@ sent as differences, so a key takes about as many bits as the key space is large
 from the number of parts, whatever the keys are.
 
 Rows of a chunk travel as one compressed blob. A chunk is named after its place in the scan and its contents, and scanned once
-for the blob and once for each question, so docs has to be read in a stable order, as files are. A chunk whose answers aren't
-all there, as it was scanned in another order after an executor was lost, ends the job; it never gives a wrong result.
+for the blob and once for each question, so docs has to be read in a stable order, as files are; steady() sees to it that files
+are split alike by all jobs, though executors come and go. A chunk whose answers aren't all there, as it was scanned in another
+order, ends the job; it never gives a wrong result.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from foldspark.llm import text as X
 
 CHUNK = 3 << 20
+PLANNED = "spark.sql.leafNodeDefaultParallelism"
 _CODEC = "zstd"
 
 
@@ -65,8 +67,16 @@ def _name(t: pa.Table, place: int) -> int:
     return h.intdigest() >> 1
 
 
+def steady(spark: SparkSession) -> None:
+    """Fixes, for the session, how many cores a scan is planned for: otherwise small files are split by the number of executors
+    at hand, and two jobs might split them differently."""
+    if spark.conf.get(PLANNED, None) is None:
+        spark.conf.set(PLANNED, spark.sparkContext.defaultParallelism)
+
+
 def each_chunk(docs: DataFrame, f: Callable[[int, pa.Table], pa.Table], ddl: str, size: int = CHUNK) -> DataFrame:
     """f over all chunks of docs, with their names."""
+    steady(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, t in enumerate(chunks(batches, size)):

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from foldspark.sources.shared import shared_dir
 
+#: Rows of a broadcast table of hot keys, at most.
+HOT = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -19,16 +21,45 @@ def table_path(spark: SparkSession, kind: str = "table") -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+_held: list[DataFrame] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage and survives lost executors."""
     path = table_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    _held.append(out)
+    return out
 
 
 def kept(df: DataFrame) -> DataFrame:
     """df kept on the executors' disks for several uses; what a lost executor held is computed again from its lineage."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    out = df.persist(StorageLevel.DISK_ONLY)
+    _held.append(out)
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate results, wherever the shared folder is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Lets go of a table of written() or kept(), which nothing may read any more."""
+    if path := getattr(df, "_written_at", None):
+        delete(df.sparkSession, path)
+    else:
+        df.unpersist()
+    _held[:] = [x for x in _held if x is not df]
+
+
+def release() -> None:
+    """Lets go of all such tables, once the results that come from them are written."""
+    while _held:
+        discard(_held[-1])
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -65,3 +96,17 @@ def word_array(text) -> F.col:
     """Words of a text column (null: none)."""
     flat = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\f\r", " " * 5)
     return F.array_remove(F.split(flat, " ", -1), "")
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: str, size: str) -> DataFrame:
+    """left joined with right, whose keys are unique; `size` there says how many rows of left have the key.
+
+    Keys with a share of 1 in HOT of left's rows or more, HOT of them at most, are broadcast, so that none gathers its rows in one task.
+    """
+    total = right.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) >= max(2, total / HOT)
+    many = F.broadcast(right.filter(hot).withColumnRenamed(on, "_hot"))
+    few = right.filter(~hot)
+    joined = left.join(many, left[on] == many["_hot"]).drop("_hot")
+    rest = left.join(many.select("_hot"), left[on] == many["_hot"], "left_anti").join(few, on)
+    return joined.select(*rest.columns).union(rest)

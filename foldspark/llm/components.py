@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import small, written
+from foldspark.llm.common import discard, small, written
 
 #: Edges in a file, about; there are never more edges than at first.
 EDGES = 500_000
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     files = 1 + now.count() // EDGES
     while True:
-        now = written(_star(_star(now, True), False).coalesce(files))
+        before, now = now, written(_star(_star(now, True), False).coalesce(files))
+        discard(before)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             return now

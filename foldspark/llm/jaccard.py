@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from foldspark.llm import asks as A
 from foldspark.llm import text as X
-from foldspark.llm.common import integer_ids, kept, partitions, small, text_bytes, written
+from foldspark.llm.common import integer_ids, join_hot, kept, partitions, small, text_bytes, written
 from foldspark.llm.components import components
 
 WIDTH = 5
@@ -341,25 +341,25 @@ def nodes(docs: DataFrame, chunk: int = A.CHUNK, block: int = BLOCK) -> tuple[Da
     return docs_, written(small(links.join(one, "sid")))
 
 
-def classes(docs: DataFrame, chunk: int = A.CHUNK, block: int = BLOCK) -> DataFrame:
-    """(doc_id, row, n, links, class) for each row; links: documents that it is linked with; class: the id of one set of the
-    component, null for an empty set."""
-    rows, family = nodes(docs, chunk, block)
-    copies = rows.groupBy("sid").agg(F.count("*").alias("copies"))
-    rows = rows.join(copies, "sid").join(family, "sid", "left")
+def classes(rows: DataFrame, family: DataFrame) -> DataFrame:
+    """(sid, copies, first, links, class) of the sets of nodes(): first is the least (null, doc_id, row) of their documents, links the
+    number of documents that each of these is linked with, class one set of their component."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first")
+    sets_ = rows.filter("n > 0").groupBy("sid").agg(F.count("*").alias("copies"), first)
     links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
-    return rows.select(
-        "doc_id", "row", "n", F.when(F.col("n") > 0, links).otherwise(F.lit(0)).alias("links"), F.when(F.col("n") > 0, F.coalesce("family", "sid")).alias("class"))
+    return sets_.join(family, "sid", "left").select("sid", "copies", "first", links.alias("links"), F.coalesce("family", "sid").alias("class"))
 
 
 def join(docs: DataFrame, chunk: int = A.CHUNK, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links, a row for each row of docs."""
-    rows = classes(docs, chunk, block)
-    some = rows.filter("n > 0")
-    least = some.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    out = some.join(least, "class").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("links").alias("n_links"))
-    none = rows.filter("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("links").alias("n_links"))
-    return out.union(none)
+    rows, family = nodes(docs, chunk, block)
+    sets_ = kept(classes(rows, family))
+    least = sets_.groupBy("class").agg(F.min("first.doc_id").alias("component_id"), F.count("*").alias("sets"))
+    named = join_hot(sets_.select("sid", "class", "links", "copies"), least, "class", "sets").select("sid", "component_id", "links", "copies")
+    columns = ["doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("links").cast("long").alias("n_links")]
+    some = join_hot(rows.filter("n > 0").select("doc_id", "n", "sid"), named, "sid", "copies").select(*columns)
+    none = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).alias("links")).select(*columns)
+    return some.union(none)
 
 
 def row_hash() -> F.col:
@@ -373,9 +373,8 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Rows are picked in a sort-merge join at every size, so that small inputs don't behave otherwise than large ones.
     """
-    rows = kept(classes(docs))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first")
-    some = rows.filter("n > 0").groupBy("class").agg(first).select("first.doc_id", "first.row")
+    rows, family = nodes(docs)
+    some = classes(rows, family).groupBy("class").agg(F.min("first").alias("first")).select("first.doc_id", "first.row")
     ids = some.union(rows.filter("n = 0").select("doc_id", "row").distinct()).toDF("kept_id", "kept_row")
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), row_hash().alias("row"))
     chosen = packed.join(ids.hint("merge"), packed["id"].eqNullSafe(ids["kept_id"]) & (packed["row"] == ids["kept_row"]), "left_semi")

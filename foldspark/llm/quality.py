@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import word_array, written
+from foldspark.llm.common import kept, word_array, written
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -180,8 +180,8 @@ def quality(docs: DataFrame) -> DataFrame:
 def filter_docs(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns, whatever their names.
 
-    Documents are written once with their votes, so measures aren't computed again for the second pass.
+    Documents are kept on disk with their votes, so measures aren't computed again for the second pass.
     """
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("q_row"), F.col("text"))
-    v = written(votes(packed).select("q_row", "q_base_failed", *_names()))
+    v = kept(votes(packed).select("q_row", "q_base_failed", *_names()))
     return _judged(v, _fitted(v)).filter("q_kept").select("q_row.*")
