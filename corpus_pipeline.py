@@ -1,18 +1,16 @@
 """The corpus pipeline: quality rules, one document of each near-duplicate group, secrets masked, sources mixed, ids of a byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; stages are written as Parquet and read again.
-SQL can't express the label model's threshold on floating-point sums, set similarity joins at this size, checksums or BPE, so
-ORACLE_SQL is None and tests hold run() against a plain version.
+SQL can't express checksums or BPE, so ORACLE_SQL is None and tests hold run() against a plain version, whose first stage is the
+quality rules' SQL in another engine.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from foldspark.llm import bpe, jaccard, mix, quality, secret
-from foldspark.llm.common import read, shared_dir
+from foldspark.llm.common import delete, read, release, table_path
 from foldspark.llm.queries import tokenizer
 
 ORACLE_SQL = None
@@ -53,10 +51,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result goes to the shared folder and is read from there."""
+    """All stages over documents; each result goes to the shared folder and is read from there, and the one before it is deleted."""
     docs = read(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base, before = table_path(spark, "pipeline"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
+        path = f"{base}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        release()
+        if before:
+            delete(spark, before)
+        before = path
     return docs
