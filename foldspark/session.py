@@ -1,4 +1,5 @@
-"""A session for tests and single machines. On a cluster, pass your own: no operator sets session options."""
+"""A session for tests and single machines. On a cluster, pass your own: operators set no options, but for the exchange of the document
+operators, which fixes spark.sql.leafNodeDefaultParallelism where it is unset."""
 
 from __future__ import annotations
 
