@@ -144,7 +144,7 @@ def task_cross_validate(rows: DataFrame, model: str, k: int = 5, inner: int = 3,
         return pd.DataFrame({"k": [t["k"].iloc[0]], "trial": [t["trial"].iloc[0]], "score": [float(np.mean(scores)) if scores else 0.0], "seconds": [time.perf_counter() - start]})
 
     trial = each.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    tuned = trial.groupBy("k", "trial").applyInPandas(tune, "k int, trial int, score double, seconds double")
+    tuned = trial.repartitionByRange(k * trials, "k", "trial").groupBy("k", "trial").applyInPandas(tune, "k int, trial int, score double, seconds double")
     best = tuned.groupBy("k").agg(F.max_by(F.col("trial"), F.struct("score", -F.col("trial"))).alias("trial"), F.sum("seconds").alias("seconds"))
 
     def fit(t: pd.DataFrame) -> pd.DataFrame:
@@ -159,7 +159,7 @@ def task_cross_validate(rows: DataFrame, model: str, k: int = 5, inner: int = 3,
             "tune_seconds": t["seconds"].iloc[0], "fit_seconds": fitted - start, "infer_seconds": time.perf_counter() - fitted})
 
     out = each.join(F.broadcast(best), "k")  # a row for each fold
-    return out.groupBy("k").applyInPandas(fit, "model string, fold int, row_id long, y int, y_pred int, scores array<double>, params string, tune_seconds double, fit_seconds double, infer_seconds double")
+    return out.repartitionByRange(k, "k").groupBy("k").applyInPandas(fit, "model string, fold int, row_id long, y int, y_pred int, scores array<double>, params string, tune_seconds double, fit_seconds double, infer_seconds double")
 
 
 _KERNEL = ("model string, fold int, row_id long, y int, y_pred int, score double, scores array<double>, encoding string, bandwidth double, c double, weights string, "
@@ -214,7 +214,7 @@ def kernel_cross_validate(rows: DataFrame, encodings: list[str], bandwidths: lis
             "encoding": encoding, "bandwidth": bandwidth, "c": c, "weights": w, "kernel_evals": evals, "build_seconds": built, "tune_seconds": tuned - start, "fit_seconds": after - tuned,
             "infer_seconds": time.perf_counter() - after, "offdiag_std": float(upper.std()) if len(upper) else 0.0})
 
-    return scaled.groupBy("k").applyInPandas(run, _KERNEL)
+    return scaled.repartitionByRange(k, "k").groupBy("k").applyInPandas(run, _KERNEL)  # small tasks to look at, but long ones: never joined
 
 
 def timing_probe(rows: DataFrame, encoding: str, bandwidth: float = 1.0, seed: int = 42) -> DataFrame:
