@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foldspark.llm import mix, quality
+from foldspark.llm import mix, quality, rolling
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,4 +84,18 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, coalesce(k.n_links, 0)::BIGINT AS n_links
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY 1) k ON k.a = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY 1) c ON c.a = d.doc_id"""
 
-ORACLE = {"op2_quality_rules": _quality(), "op3_substring_dedup": SUBSTRINGS, "op5_source_mix": MIX, "op7_ngram_jaccard_join": JACCARD}
+def _middles(x: str) -> str:
+    return f"({x}[(len({x}) + 1) // 2] + {x}[len({x}) // 2 + 1])"
+
+
+ROLLING = f"""
+WITH r AS (SELECT click_id, kind, epoch_us(ts) AS us, value,
+  row_number() OVER (PARTITION BY click_id ORDER BY arrived_at NULLS FIRST, ts NULLS FIRST, kind NULLS FIRST, value NULLS FIRST) AS place FROM clicks),
+c AS (SELECT click_id, kind, us, CASE WHEN isnan(value) OR abs(value * 100) >= {float(1 << 53)!r} THEN NULL ELSE floor(100 * value + 0.5)::BIGINT END AS c FROM r WHERE place = 1),
+d AS (SELECT * FROM c WHERE us IS NOT NULL),
+w AS (SELECT *, list_sort(list(c) FILTER (WHERE c IS NOT NULL) OVER (PARTITION BY kind ORDER BY us RANGE BETWEEN {rolling.LENGTH - 1} PRECEDING AND CURRENT ROW)) AS x FROM d),
+m AS (SELECT *, {_middles('x')} AS m FROM w),
+a AS (SELECT *, list_sort(list_transform(x, lambda v: abs(2 * v - m))) AS y FROM m)
+SELECT click_id, kind, coalesce(len(x), 0)::BIGINT AS n, m::BIGINT AS median2, {_middles('y')}::BIGINT AS mad4, 2 * abs(2 * c - m) > 2 * {_middles('y')} AS far FROM a"""
+
+ORACLE = {"op2_quality_rules": _quality(), "op3_substring_dedup": SUBSTRINGS, "op5_source_mix": MIX, "op7_ngram_jaccard_join": JACCARD, "op13_rolling_median": ROLLING}

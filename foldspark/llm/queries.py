@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldspark.llm import bpe, html, imatch, jaccard, licenses, mix, quality, scoring, secret, substring
+from foldspark.llm import bpe, html, imatch, jaccard, licenses, mix, quality, rolling, scoring, secret, substring
 from foldspark.llm.common import read
 from foldspark.llm.oracles import ORACLE
 
@@ -78,3 +78,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_html_extraction")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
+
+
+@query("op13_rolling_median")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling.rolling(read(spark, sf_dir, "clicks"))
