@@ -98,4 +98,10 @@ m AS (SELECT *, {_middles('x')} AS m FROM w),
 a AS (SELECT *, list_sort(list_transform(x, lambda v: abs(2 * v - m))) AS y FROM m)
 SELECT click_id, kind, coalesce(len(x), 0)::BIGINT AS n, m::BIGINT AS median2, {_middles('y')}::BIGINT AS mad4, 2 * abs(2 * c - m) > 2 * {_middles('y')} AS far FROM a"""
 
-ORACLE = {"op2_quality_rules": _quality(), "op3_substring_dedup": SUBSTRINGS, "op5_source_mix": MIX, "op7_ngram_jaccard_join": JACCARD, "op13_rolling_median": ROLLING}
+_DIGITS = ", ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {15 - 5 * k} & 31)::INT, 1)" for i in range(8) for k in range(4))
+WARC = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages)
+SELECT page_id, payload_bytes, concat({_DIGITS}) AS payload_digest, CASE WHEN f IS NOT NULL AND page_id IS DISTINCT FROM f THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to FROM p"""
+
+ORACLE = {"op2_quality_rules": _quality(), "op3_substring_dedup": SUBSTRINGS, "op5_source_mix": MIX, "op7_ngram_jaccard_join": JACCARD, "op12_warc": WARC, "op13_rolling_median": ROLLING}
