@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foldspark.llm import mix, quality, rolling
+from foldspark.llm import mix, quality, rolling, search
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,6 +84,23 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, coalesce(k.n_links, 0)::BIGINT AS n_links
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY 1) k ON k.a = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY 1) c ON c.a = d.doc_id"""
 
+def _terms(table: str, key: str) -> str:
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"SELECT {key}, unnest(regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM {table}"
+
+
+SEARCH = f"""
+WITH d AS MATERIALIZED ({_terms('(SELECT *, row_number() OVER () AS place FROM documents)', 'place, doc_id')}),
+q AS (SELECT DISTINCT item_id, t FROM ({_terms('benchmark', 'item_id')})),
+n AS (SELECT place, doc_id, count(*) AS n FROM d GROUP BY ALL),
+s AS (SELECT count(*)::BIGINT AS documents, sum(n)::BIGINT AS terms FROM n),
+f AS (SELECT place, t, count(*) AS tf FROM d WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(documents) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, s GROUP BY t),
+m AS (SELECT place, doc_id, 100 - 50 + ((50 * n * documents) // terms) AS m FROM n, s),
+p AS (SELECT item_id, m.place, m.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN f USING (t) JOIN w USING (t) JOIN m USING (place) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM p WHERE score > 0 QUALIFY rank <= {search.TOP}"""
+
+
 def _middles(x: str) -> str:
     return f"({x}[(len({x}) + 1) // 2] + {x}[len({x}) // 2 + 1])"
 
@@ -104,4 +121,4 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
 SELECT page_id, payload_bytes, concat({_DIGITS}) AS payload_digest, CASE WHEN f IS NOT NULL AND page_id IS DISTINCT FROM f THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to FROM p"""
 
-ORACLE = {"op2_quality_rules": _quality(), "op3_substring_dedup": SUBSTRINGS, "op5_source_mix": MIX, "op7_ngram_jaccard_join": JACCARD, "op12_warc": WARC, "op13_rolling_median": ROLLING}
+ORACLE = {"op2_quality_rules": _quality(), "op3_substring_dedup": SUBSTRINGS, "op5_source_mix": MIX, "op7_ngram_jaccard_join": JACCARD, "op11_ranked_search": SEARCH, "op12_warc": WARC, "op13_rolling_median": ROLLING}

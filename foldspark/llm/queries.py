@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldspark.llm import bpe, html, imatch, jaccard, licenses, mix, quality, rolling, scoring, secret, substring, warc
+from foldspark.llm import bpe, html, imatch, jaccard, licenses, mix, quality, rolling, scoring, search, secret, substring, warc
 from foldspark.llm.common import read
 from foldspark.llm.oracles import ORACLE
 
@@ -80,6 +80,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
 
+@query("op11_ranked_search")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query("op12_warc")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(read(spark, sf_dir, "pages"))
