@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +24,27 @@ def table_path(spark: SparkSession, kind: str = "table") -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-_held: list[DataFrame] = []
+_scope: ContextVar[list[DataFrame] | None] = ContextVar("tables", default=None)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Lets go, at its end, of all tables that were written or kept within it, in this thread: what comes from them has to be
+    written by then. Tables made outside of any scope stay, as a result that isn't evaluated yet may need them."""
+    own: list[DataFrame] = []
+    token = _scope.set(own)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for df in own:
+            discard(df)
+
+
+def _hold(df: DataFrame) -> DataFrame:
+    if (own := _scope.get()) is not None:
+        own.append(df)
+    return df
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -30,15 +53,12 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
-    _held.append(out)
-    return out
+    return _hold(out)
 
 
 def kept(df: DataFrame) -> DataFrame:
     """df kept on the executors' disks for several uses; what a lost executor held is computed again from its lineage."""
-    out = df.persist(StorageLevel.DISK_ONLY)
-    _held.append(out)
-    return out
+    return _hold(df.persist(StorageLevel.DISK_ONLY))
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -53,13 +73,12 @@ def discard(df: DataFrame) -> None:
         delete(df.sparkSession, path)
     else:
         df.unpersist()
-    _held[:] = [x for x in _held if x is not df]
+    if own := _scope.get():
+        own[:] = [x for x in own if x is not df]
 
 
 def release() -> None:
-    """Lets go of all such tables, once the results that come from them are written."""
-    while _held:
-        discard(_held[-1])
+    """For callers from before scope()."""
 
 
 def small(df: DataFrame) -> DataFrame:

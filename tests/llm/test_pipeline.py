@@ -1,11 +1,12 @@
 import collections
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 
 import __spark_entry__ as entry
 import corpus_pipeline as P
-from foldspark.llm import bpe
+from foldspark.llm import bpe, common, jaccard, quality
 from foldspark.llm.oracles import ORACLE
 from foldspark.sources.shared import shared_dir
 from tests.llm.conftest import words
@@ -51,3 +52,29 @@ def test_intermediate_results_go(spark, tmp_path):
     assert entry.queries()["pipeline"](spark, SF).count() > 0
     left = {d: os.listdir(f"{shared_dir(spark).removeprefix('file:')}/{d}") for d in set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before}
     assert [v for d, v in left.items() if d.startswith("pipeline-")] == [["4-byte_bpe"]]
+
+
+def test_results_outlive_the_pipeline(spark):
+    """Queries that were built before the pipeline, in any order and in two threads."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    first, second = quality.quality(docs), jaccard.join(docs)
+    with ThreadPoolExecutor(2) as pool:
+        ran = [pool.submit(lambda: entry.queries()["pipeline"](spark, SF).count()) for _ in range(2)]
+        third = jaccard.join(docs)
+        assert len({r.result() for r in ran}) == 1
+    assert third.count() == second.count() == first.count() == docs.count()
+
+
+def test_scopes_let_go_of_their_own_tables(spark):
+    where = shared_dir(spark).removeprefix("file:")
+    outer = common.written(spark.range(3).toDF("a"))
+    with common.scope():
+        held = common.written(spark.range(5).toDF("a"))
+        with common.scope():
+            inner = common.written(spark.range(7).toDF("a"))
+            assert inner.count() == 7
+        early = common.written(spark.range(9).toDF("a"))
+        common.discard(early)
+        assert held.count() == 5 and not os.path.exists(inner._written_at.removeprefix("file:"))
+    assert outer.count() == 3 and not any(os.path.exists(x._written_at.removeprefix("file:")) for x in (held, early))
+    assert os.path.exists(where)
