@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foldspark.llm import bpe, jaccard, mix, quality, secret
-from foldspark.llm.common import delete, read, release, table_path
+from foldspark.llm.common import delete, read, scope, table_path
 from foldspark.llm.queries import tokenizer
 
 ORACLE_SQL = None
@@ -56,9 +56,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, before = table_path(spark, "pipeline"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scope():
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-        release()
         if before:
             delete(spark, before)
         before = path
