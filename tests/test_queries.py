@@ -3,11 +3,12 @@
 import datetime
 from pathlib import Path
 
-import duckdb
 import pytest
 
 import __spark_entry__ as entry
 
+duckdb = pytest.importorskip("duckdb")
+
 SF = "/root/testdata/sf0.001"
 KINDS = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 PLAIN = sorted(k for k in entry.queries() if not k.startswith("op") and k != "pipeline")
