@@ -77,10 +77,6 @@ def discard(df: DataFrame) -> None:
         own[:] = [x for x in own if x is not df]
 
 
-def release() -> None:
-    """For callers from before scope()."""
-
-
 def small(df: DataFrame) -> DataFrame:
     """df, the result of a shuffle with little to do behind it, in an eighth of its partitions: fewer and larger files."""
     return df.coalesce(max(1, partitions(df.sparkSession) // 8))
