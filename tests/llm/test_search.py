@@ -5,6 +5,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -65,7 +66,7 @@ def test_pruning_loses_nothing(spark, tmp_path):
     items = [(k, " ".join(rng.choices(rare, k=4) + ["a"])) for k in range(25)] + [(99, "r1 r2"), (98, " ".join(rare))]
     df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(4)
     asked = spark.createDataFrame(items, ITEMS)
-    index = search.build(df, str(tmp_path / "index"), block=7)
+    index = search.build(df, str(tmp_path / "index"), page=31, block=7)
     for top, terms in ((50, 1 << 16), (3, 300)):
         assert rows(search.search(search.opened(spark, str(tmp_path / "index")), asked, top=top, most_terms=terms)) == plain(rows_, items, top)
     assert index.documents == sum(bool(TERM.findall(t)) for _, t in rows_)
@@ -73,19 +74,17 @@ def test_pruning_loses_nothing(spark, tmp_path):
 
 def test_blocks_below_the_threshold_are_not_scored(spark, tmp_path):
     rows_ = [(i, "common " + f"w{i % 400}") for i in range(2000)] + [(5000 + i, "needle common") for i in range(60)]
-    index = search.build(spark.createDataFrame(rows_, "doc_id long, text string").coalesce(1), str(tmp_path / "i"), block=20)
+    index = search.build(spark.createDataFrame(rows_, "doc_id long, text string").coalesce(1), str(tmp_path / "i"), page=100, block=20)
     h, _ = search.tokens(pa.array(["needle common"]))
     batch = search.Batch([h])
-    batch.weights[:] = [search.weight(index.documents, int(x)) for x in search._frequencies(index.blocks, batch)]
-    best = search._best_blocks(index.blocks, batch, 2).collect()
-    assert len(best) == 2
-    blocks = index.blocks.toArrow().to_pylist()
-    bounds = sorted((int(batch.bounds(search.unrising(r["terms"]), search.unnumbers(r["most"]))[0]) for r in blocks), reverse=True)
-    needle = sum(b > 10**8 // 2 for b in bounds)
-    assert needle < 6 < len(blocks)  # all but the blocks with the rare term have bounds far below its scores
-    for r in blocks:
-        block = search.Block(batch, r)
-        assert block.scores(batch, 0).max() <= batch.bounds(search.unrising(r["terms"]), search.unnumbers(r["most"]))[0]
+    batch.weights[:] = [search.weight(index.documents, int(x)) for x in search._frequencies(index.pages, batch)]
+    assert len(search._best_blocks(index.pages, batch, 2).collect()) == 2
+    pages = [search.Page(batch, r) for r in index.pages.toArrow().to_pylist()]
+    bounds = np.concatenate([p.bounds[:, 0] for p in pages])
+    assert len(bounds) == 103 and (bounds > bounds.max() / 2).sum() == 3  # only blocks with the rare term have bounds near its scores
+    for p in pages:
+        p.decode(index.block)
+        assert all(p.scores(k, np.array([0]))[1].max() <= p.bounds[k, 0] for k in range(len(p.bounds)))
 
 
 def test_texts_beyond_a_slice(spark):
