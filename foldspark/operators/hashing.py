@@ -1,61 +1,81 @@
-"""Signed feature hashing, compatible with 32-bit MurmurHash3 (x86, seed 0): bin |h| mod n, sign of h."""
+"""Signed feature hashing as column expressions, compatible with 32-bit MurmurHash3 (x86, seed 0): bin |h| mod n, sign of h.
+
+Spark's own hashes have another seed and no sign. Here tokens become arrays of 4-byte words of their UTF-8 bytes, words are mixed and
+folded with 64-bit arithmetic that can't overflow, and signs are summed by bin: expressions over arrays, without a Python worker, without
+a shuffle, and the same in SQL. Sums go over bins in two steps, first by high digits, then by low ones, so a token is looked at some
+2 * sqrt(n) times instead of n times.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_MASK = 0xFFFFFFFF
-
-
-def murmur3(data: bytes, seed: int = 0) -> int:
-    """Signed 32-bit hash."""
-    h, whole = seed, len(data) // 4 * 4
-    tail = int.from_bytes(data[whole:], "little")
-    blocks = [(int.from_bytes(data[i : i + 4], "little"), True) for i in range(0, whole, 4)]
-    if len(data) > whole:
-        blocks.append((tail, False))
-    for k, full in blocks:
-        k = k * 0xCC9E2D51 & _MASK
-        k = ((k << 15) | (k >> 17)) & _MASK
-        h ^= k * 0x1B873593 & _MASK
-        if full:
-            h = ((h << 13) | (h >> 19)) & _MASK
-            h = (h * 5 + 0xE6546B64) & _MASK
-    h ^= len(data)
-    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
-        h = (h ^ (h >> shift)) * factor & _MASK
-    h ^= h >> 16
-    return h - (1 << 32) if h >> 31 else h
-
-
-def hashed(pairs: Iterable[tuple[str, float]], bins: int) -> np.ndarray:
-    out = np.zeros(bins)
-    for token, value in pairs:
-        h = murmur3(token.encode())
-        out[abs(h) % bins] += value if h >= 0 else -value
-    return out
-
-
-def hash_tokens(tokens: str | Column, bins: int) -> Column:
-    """Array of `bins` sums of signs over an array of tokens, by an Arrow UDF. Each distinct token of a batch is hashed once."""
-
-    @F.pandas_udf("array<double>")
-    def run(column: pd.Series) -> pd.Series:
-        known: dict[str, int] = {}
-        out = []
-        for words in column:
-            v = np.zeros(bins)
-            for w in words if words is not None else ():
-                if w not in known:
-                    known[w] = murmur3(w.encode())
-                h = known[w]
-                v[abs(h) % bins] += 1 if h >= 0 else -1
-            out.append(v)
-        return pd.Series(out)
-
-    return run(tokens)
+#: The constants of MurmurHash3 x86 32.
+FIRST, SECOND, ADDED = 0xCC9E2D51, 0x1B873593, 0xE6546B64
+FINAL = ((16, 0x85EBCA6B), (13, 0xC2B2AE35))
+MASK = 0xFFFFFFFF
+
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL of body with a name for a value, which is worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _times(x: str, c: int) -> str:
+    """x * c modulo 2^32, by halves of x."""
+    return f"((({x} & 65535) * {c}L + (((shiftright({x}, 16) * {c}L) & 65535L) * 65536L)) & {MASK}L)"
+
+
+def _turned(x: str, by: int) -> str:
+    return f"((shiftleft({x}, {by}) | shiftright({x}, {32 - by})) & {MASK}L)"
+
+
+def _pair(at: str) -> str:
+    return f"substr(t.x, {at}, 2)"
+
+
+def murmur3(tokens: str) -> str:
+    """SQL for the signed 32-bit hashes of an array of strings (in SQL); nulls in it have the hash of ''."""
+    number = lambda pairs: f"CAST(conv(concat({', '.join(pairs)}), 16, 10) AS BIGINT)"
+    raw = f"transform({tokens}, s -> named_struct('x', hex(encode(coalesce(s, ''), 'UTF-8')), 'n', octet_length(coalesce(s, ''))))"
+    word = number([_pair(f"8 * i + {k}") for k in (7, 5, 3, 1)])
+    words = f"IF(t.n < 4, CAST(array() AS ARRAY<BIGINT>), transform(sequence(0, t.n div 4 - 1), i -> {word}))"
+    rest = number([_pair("2 * t.n - 1"), f"IF(t.n % 4 > 1, {_pair('2 * t.n - 3')}, '')", f"IF(t.n % 4 > 2, {_pair('2 * t.n - 5')}, '')"])
+    split = f"transform({raw}, t -> named_struct('n', t.n, 'w', concat({words}, array(IF(t.n % 4 = 0, 0L, {rest})))))"
+    mixed = f"transform(transform(transform(t.w, k -> {_times('k', FIRST)}), k -> {_turned('k', 15)}), k -> {_times('k', SECOND)})"
+    mixed = f"transform({split}, t -> named_struct('n', t.n, 'w', {mixed}))"
+    fold = f"aggregate(slice(t.w, 1, size(t.w) - 1), 0L, (h, k) -> {let('y', 'h ^ k', f'({_turned("y", 13)} * 5 + {ADDED}L) & {MASK}L')})"
+    folded = f"transform({mixed}, t -> {fold} ^ element_at(t.w, -1) ^ CAST(t.n AS BIGINT))"
+    last = "h"
+    for shift, factor in FINAL:
+        last = let("y", f"({last}) ^ shiftright({last}, {shift})" if last == "h" else let("z", last, f"z ^ shiftright(z, {shift})"), _times("y", factor))
+    unsigned = let("z", last, "z ^ shiftright(z, 16)")
+    return f"transform(transform({folded}, h -> {unsigned}), h -> IF(h >= 2147483648L, h - 4294967296L, h))"
+
+
+def sums_by_bin(entries: str, bins: int) -> str:
+    """SQL for the array of `bins` sums of an array of structs (bin, v)."""
+    low = math.isqrt(bins - 1) + 1
+    high = -(-bins // low)
+    inner = f"transform(sequence(0, {low - 1}), lo -> aggregate(filter(own, e -> e.bin = hi * {low} + lo), CAST(0 AS DOUBLE), (a, e) -> a + e.v))"
+    parts = f"transform(transform(sequence(0, {high - 1}), hi -> filter(es, e -> e.bin div {low} = hi)), (own, hi) -> {inner})"
+    return let("es", entries, f"slice(flatten({parts}), 1, {bins})")
+
+
+def hashed(tokens: str, bins: int, values: str | None = None) -> str:
+    """SQL for `bins` sums of sign * value over an array of tokens; values: an array beside it, else all 1. A null array gives zeros."""
+    some = f"coalesce({tokens}, CAST(array() AS ARRAY<STRING>))"
+    signed = "IF(h >= 0, CAST(1 AS DOUBLE), CAST(-1 AS DOUBLE))"
+    bin_ = f"CAST(abs(h) % {bins} AS INT)"
+    if values is None:
+        return sums_by_bin(f"transform({murmur3(some)}, h -> named_struct('bin', {bin_}, 'v', {signed}))", bins)
+    numbers = f"coalesce({values}, CAST(array() AS ARRAY<DOUBLE>))"
+    return sums_by_bin(f"zip_with({murmur3(some)}, {numbers}, (h, v) -> named_struct('bin', {bin_}, 'v', {signed} * CAST(v AS DOUBLE)))", bins)
+
+
+def hash_tokens(tokens: str, bins: int) -> Column:
+    """Array of `bins` sums of signs over a column of arrays of tokens."""
+    return F.expr(hashed(tokens, bins))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 
-from collections.abc import Callable
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +41,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1 - (a + b) * x / (a + 1)
     d = 1 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 300):
+    for m in range(1, 1_000_000):  # some roots of a or b steps are enough
         for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 + step * d
             d = 1 / (d if abs(d) > tiny else tiny)
@@ -68,27 +68,38 @@ def ttest_p(t: float, n: int) -> float:
     return betainc((n - 1) / 2, 0.5, (n - 1) / (n - 1 + t * t))
 
 
-def wilcoxon_p(w: float, n: int) -> float:
-    """Two-sided p-value: exact for up to 25 differences (ranks without ties), else the normal approximation."""
+#: Differences up to which the signed-rank test is exact.
+EXACT = 25
+
+
+def signed_rank_p(w: float, ties: Sequence[tuple[int, int]]) -> float:
+    """Exact two-sided p-value of the lesser rank sum, from (doubled rank, how many differences have it): ranks of ties are halves.
+
+    Each difference's sign is a fair coin; the sums that signs can give are counted rank by rank.
+    """
+    n, top = sum(c for _, c in ties), sum(r * c for r, c in ties)
+    ways = np.zeros(top + 1)
+    ways[0] = 1
+    for rank, count in ties:
+        for _ in range(count):
+            ways[rank:] += ways[:-rank].copy()
+    return min(1.0, 2 * float(ways[: math.floor(2 * w + 1e-9) + 1].sum()) / 2.0**n)
+
+
+def wilcoxon_p(w: float, n: int, ties: Sequence[tuple[int, int]] | None = None) -> float:
+    """Two-sided p-value: exact for up to EXACT differences, by their ranks (without: 1 to n), else the normal approximation."""
     if n == 0:
         return 1.0
-    if n <= 25:
-        ways = [1] + [0] * (n * (n + 1) // 2)
-        for r in range(1, n + 1):
-            for s in range(len(ways) - 1, r - 1, -1):
-                ways[s] += ways[s - r]
-        return min(1.0, 2 * sum(ways[: math.floor(w) + 1]) / 2**n)
+    if n <= EXACT:
+        return signed_rank_p(w, ties or [(2 * r, 1) for r in range(1, n + 1)])
     z = (w - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
     return min(1.0, math.erfc(abs(z) / math.sqrt(2)))
 
 
 def mcnemar_p(n01: int, n10: int) -> float:
-    """Exact two-sided p-value: a fair coin over the disagreements."""
+    """Exact two-sided p-value: a fair coin over the disagreements, whose tail is an incomplete beta function."""
     n, k = n01 + n10, min(n01, n10)
-    if n == 0:
-        return 1.0
-    log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
-    return min(1.0, 2 * sum(map(math.exp, log)))
+    return 1.0 if 2 * k >= n else min(1.0, 2 * betainc(n - k, k + 1, 0.5))
 
 
 def ks_p(statistic: float, n: int, m: int) -> float:
@@ -109,6 +120,14 @@ def p_value(f: Callable[..., float], *columns: Column) -> Column:
     return each(F.struct(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)]))
 
 
+def _rank_p(w: Column, n: Column, ranks: str) -> Column:
+    @F.pandas_udf("double")
+    def each(w: pd.Series, n: pd.Series, ranks: pd.Series) -> pd.Series:
+        return pd.Series([wilcoxon_p(float(a), int(b), None if c is None else [(int(x["rank"]), int(x["count"])) for x in c]) for a, b, c in zip(w, n, ranks, strict=True)], dtype="float64")
+
+    return each(w, n, F.col(ranks))
+
+
 def significant(p: Column, level: float = 0.05) -> Column:
     """Whether a p-value is below the level; null without one, as for a pair that was skipped."""
     return F.when(p.isNotNull() & ~F.isnan(p), p < level)
@@ -123,9 +142,12 @@ def paired_tests(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     r = average_ranks(d.filter("_d <> 0").withColumn("_size", F.abs("_d")), by, "_size").withColumnRenamed("n", "_ties")
     signs = d.filter("_d <> 0").groupBy(*by, F.abs("_d").alias("_size")).agg(F.count_if(F.col("_d") > 0).alias("_plus"), F.count_if(F.col("_d") < 0).alias("_minus"))
     w = join_nulls(r, signs, [*by, "_size"]).groupBy(*by).agg(F.sum(F.col("rank") * F.col("_plus")).alias("_wp"), F.sum(F.col("rank") * F.col("_minus")).alias("_wm"), F.sum("_ties").alias("_nonzero"))
-    j = join_nulls(m, w, by, "left").withColumn("w", F.least("_wp", "_wm"))
+    few = w.filter(F.col("_nonzero") <= EXACT).select(*by)  # only groups of few differences list their ranks
+    pair = F.struct((2 * F.col("rank")).cast("long").alias("rank"), F.col("_ties").cast("long").alias("count"))
+    ranks = join_nulls(r, few, by).groupBy(*by).agg(F.sort_array(F.collect_list(pair)).alias("_ranks"))
+    j = join_nulls(join_nulls(m, w, by, "left"), ranks, by, "left").withColumn("w", F.least("_wp", "_wm"))
     j = j.withColumn("ttest_p", p_value(lambda t, n: ttest_p(t, int(n)) if n > 1 else math.nan, F.col("t"), F.col("n")))
-    j = j.withColumn("wilcoxon_p", p_value(lambda w, n: wilcoxon_p(w, int(n)), F.coalesce("w", F.lit(0.0)), F.coalesce("_nonzero", F.lit(0))))
+    j = j.withColumn("wilcoxon_p", _rank_p(F.coalesce("w", F.lit(0.0)), F.coalesce("_nonzero", F.lit(0)), "_ranks"))
     return j.select(*by, "n", "mean_a", "mean_b", (F.col("mean_b") - F.col("mean_a")).alias("delta"), "t", "ttest_p", significant(F.col("ttest_p")).alias("ttest_significant"), "w", "wilcoxon_p")
 
 

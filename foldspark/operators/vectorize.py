@@ -1,19 +1,17 @@
-"""Nested records to vectors of fixed length: histograms, scalars and signed hashes, block by block, in Arrow batches.
+"""Nested records to vectors of fixed length: histograms, scalars and signed hashes, block by block, as column expressions.
 
 Blocks and their widths: histogram 256, byteentropy 256, strings 104, general 10, header 62, section 255, imports 1280,
-exports 128, datadirectories 30; 2,381 in all. Plain array and map parts have JVM forms in functions.scalars and
-operators.features; hashing needs MurmurHash3 with seed 0, which Spark's own hashes aren't.
+exports 128, datadirectories 30; 2,381 in all. All of it is SQL over arrays, maps and structs: no row leaves the JVM.
+
+Cases: null blocks and null arrays, maps or strings in them are empty, and null numbers 0.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from foldspark.operators.hashing import hashed
+from foldspark.operators.hashing import hashed, let
 
 #: Block widths, in the order of the vector.
 WIDTHS = {"histogram": 256, "byteentropy": 256, "strings": 104, "general": 10, "header": 62, "section": 255, "imports": 1280, "exports": 128, "datadirectories": 30}
@@ -33,71 +31,62 @@ imports map<string,array<string>>, exports array<string>, datadirectories array<
 RECORD_SCHEMA = _RECORD.format(general=",".join(f"{c}:bigint" for c in GENERAL), optional=",".join(f"{c}:bigint" for c in (*VERSIONS, *SIZES)))
 
 
-def _shares(counts: list) -> np.ndarray:
-    x = np.asarray(counts, float)
-    return x / x.sum() if x.sum() else x
+def _numbers(*fields: str) -> str:
+    return f"array({', '.join(f'coalesce(CAST({f} AS DOUBLE), CAST(0 AS DOUBLE))' for f in fields)})"
 
 
-def _tokens(words, bins: int) -> np.ndarray:
-    return hashed(((w, 1.0) for w in words or ()), bins)
+def _shares(counts: str) -> str:
+    """Counts over their sum, or zeros."""
+    total = "aggregate(x, CAST(0 AS DOUBLE), (a, v) -> a + v)"
+    return let("x", f"transform({counts}, v -> coalesce(CAST(v AS DOUBLE), CAST(0 AS DOUBLE)))", let("n", total, "transform(x, v -> IF(n = 0, v, v / n))"))
 
 
-def _strings(r: dict) -> list:
-    return [*(r[c] for c in STRINGS[0]), *(np.asarray(r["printabledist"], float) / max(r["printables"], 1)), *(r[c] for c in STRINGS[1])]
+def _strings() -> str:
+    spread = "transform(strings.printabledist, v -> coalesce(CAST(v AS DOUBLE), CAST(0 AS DOUBLE)) / greatest(coalesce(strings.printables, 0), 1))"
+    return f"concat({_numbers(*(f'strings.{c}' for c in STRINGS[0]))}, {spread}, {_numbers(*(f'strings.{c}' for c in STRINGS[1]))})"
 
 
-def _header(r: dict) -> np.ndarray:
-    coff, optional = r["coff"], r["optional"]
-    return np.concatenate([
-        [coff["timestamp"]], _tokens([coff["machine"]], 10), _tokens(coff["characteristics"], 10), _tokens([optional["subsystem"]], 10),
-        _tokens(optional["dll_characteristics"], 10), _tokens([optional["magic"]], 10), [optional[c] for c in (*VERSIONS, *SIZES)]])
+def _header() -> str:
+    coff, optional = "header.coff", "header.optional"
+    hashes = [f"array({coff}.machine)", f"{coff}.characteristics", f"array({optional}.subsystem)", f"{optional}.dll_characteristics", f"array({optional}.magic)"]
+    return f"concat({_numbers(f'{coff}.timestamp')}, {', '.join(hashed(f'filter({t}, v -> v IS NOT NULL)', 10) for t in hashes)}, {_numbers(*(f'{optional}.{c}' for c in (*VERSIONS, *SIZES)))})"
 
 
-def _section(r: dict) -> np.ndarray:
+def _section() -> str:
     """Five counts, three hashes of (name, number), the characters of the entry's name, and its sections' properties."""
-    parts, entry = r["sections"] or [], r["entry"]
-    props = [set(s["props"] or ()) for s in parts]
-    counts = [len(parts), sum(s["size"] == 0 for s in parts), sum(s["name"] == "" for s in parts), sum({"MEM_READ", "MEM_EXECUTE"} <= p for p in props), sum("MEM_WRITE" in p for p in props)]
-    numbers = [hashed(((s["name"], s[c]) for s in parts), 50) for c in ("size", "entropy", "vsize")]
-    own = [p for s in parts if s["name"] == entry for p in s["props"] or ()]
-    return np.concatenate([counts, *numbers, _tokens(list(entry), 50), _tokens(own, 50)])
+    parts = "coalesce(section.sections, CAST(array() AS {kind}))".format(kind="ARRAY<STRUCT<name: STRING, size: BIGINT, entropy: DOUBLE, vsize: BIGINT, props: ARRAY<STRING>>>")
+    has = lambda p: f"coalesce(array_contains(s.props, '{p}'), false)"
+    counted = [f"filter({parts}, s -> {c})" for c in ("s.size = 0", "s.name = ''", f"{has('MEM_READ')} AND {has('MEM_EXECUTE')}", has("MEM_WRITE"))]
+    counts = _numbers(f"size({parts})", *(f"size({c})" for c in counted))
+    numbers = [hashed(f"transform({parts}, s -> s.name)", 50, f"transform({parts}, s -> CAST(s.{c} AS DOUBLE))") for c in ("size", "entropy", "vsize")]
+    letters = "IF(coalesce(section.entry, '') = '', CAST(array() AS ARRAY<STRING>), transform(sequence(1, length(section.entry)), i -> substr(section.entry, i, 1)))"
+    own = f"flatten(transform(filter({parts}, s -> s.name = section.entry), s -> coalesce(s.props, CAST(array() AS ARRAY<STRING>))))"
+    return f"concat({counts}, {', '.join(numbers)}, {hashed(letters, 50)}, {hashed(own, 50)})"
 
 
-def _imports(m: dict | list | None) -> np.ndarray:
-    entries = dict(m or {})
-    libraries = sorted({k.lower() for k in entries})
-    return np.concatenate([_tokens(libraries, 256), _tokens([f"{k.lower()}:{f}" for k, fs in entries.items() for f in fs or ()], 1024)])
+def _imports() -> str:
+    entries = "map_entries(coalesce(imports, CAST(map() AS MAP<STRING, ARRAY<STRING>>)))"
+    libraries = f"array_distinct(transform({entries}, e -> lower(e.key)))"
+    names = f"flatten(transform({entries}, e -> transform(coalesce(e.value, CAST(array() AS ARRAY<STRING>)), f -> concat(lower(e.key), ':', f))))"
+    return f"concat({hashed(libraries, 256)}, {hashed(names, 1024)})"
 
 
-def _directories(rows: list | None) -> np.ndarray:
-    out = np.zeros(2 * DIRECTORIES)
-    for i, r in enumerate((rows or [])[:DIRECTORIES]):
-        out[2 * i : 2 * i + 2] = r["size"], r["virtual_address"]
-    return out
+def _directories() -> str:
+    at = lambda f: f"coalesce(CAST(get(datadirectories, i).{f} AS DOUBLE), CAST(0 AS DOUBLE))"
+    return f"flatten(transform(sequence(0, {DIRECTORIES - 1}), i -> array({at('size')}, {at('virtual_address')})))"
 
 
+#: SQL of each block.
 BLOCKS = {
-    "histogram": _shares, "byteentropy": _shares, "strings": _strings, "general": lambda r: [r[c] for c in GENERAL], "header": _header,
-    "section": _section, "imports": _imports, "exports": lambda x: _tokens(x, 128), "datadirectories": _directories,
+    "histogram": _shares("histogram"), "byteentropy": _shares("byteentropy"), "strings": _strings(), "general": _numbers(*(f"general.{c}" for c in GENERAL)),
+    "header": _header(), "section": _section(), "imports": _imports(), "exports": hashed("exports", 128), "datadirectories": _directories(),
 }
 
 
-def vector(record: dict, blocks: tuple[str, ...] = tuple(WIDTHS), version: int = 2) -> np.ndarray:
-    """One record's vector of 32-bit floats; blocks restricts it to some, always in the fixed order."""
+def vectorize(records: DataFrame, blocks: tuple[str, ...] = tuple(WIDTHS), keep: tuple[str, ...] = ("sha256", "label", "avclass"), version: int = 2) -> DataFrame:
+    """The kept columns and `features`, an array of floats; blocks restricts it to some, always in the fixed order."""
     if version != 2:
         raise ValueError(f"feature version must be 2, not {version}")
-    return np.concatenate([np.asarray(BLOCKS[b](record[b]), float) for b in WIDTHS if b in blocks]).astype(np.float32)
-
-
-def vectorize(records: DataFrame, blocks: tuple[str, ...] = tuple(WIDTHS), keep: tuple[str, ...] = ("sha256", "label", "avclass")) -> DataFrame:
-    """The kept columns and `features`, an array of floats."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = b.to_pylist()
-            features = pa.array([vector(r, blocks) for r in rows], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), features], [*keep, "features"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in records.schema}
-    used = [c for c in WIDTHS if c in blocks]
-    return records.select(*keep, *used).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", features array<float>")
+    whole = [f"IF(size(b) = {n}, b, array_repeat(CAST(0 AS DOUBLE), {n}))" for n in WIDTHS.values()]  # a null block is zeros
+    parts = [let("b", BLOCKS[b], w) for (b, w) in zip(WIDTHS, whole, strict=True) if b in blocks]
+    return records.select(*keep, F.expr(f"CAST(concat({', '.join(parts)}) AS ARRAY<FLOAT>)").alias("features"))

@@ -17,9 +17,10 @@ from foldspark.operators import ordered
 from foldspark.operators import runstore as R
 from foldspark.operators import sampling as P
 from foldspark.operators import stats as T
-from foldspark.operators.vectorize import GENERAL, SIZES, VERSIONS, WIDTHS, vector
+from foldspark.operators.vectorize import GENERAL, SIZES, VERSIONS, WIDTHS
 from foldspark.plans.labels import encode
 from foldspark.sources import reports, runlog, tables
+from tests.plain_vectors import vector
 from tests.test_stats import record
 
 ROOT = Path(__file__).resolve().parent.parent

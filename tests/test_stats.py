@@ -7,9 +7,9 @@ from foldspark.operators import kernels as K
 from foldspark.operators import solver
 from foldspark.operators import stats as T
 from foldspark.operators.features import greedy_drop
-from foldspark.operators.hashing import hashed, murmur3
 from foldspark.operators.models import candidates
-from foldspark.operators.vectorize import DIRECTORIES, GENERAL, SIZES, VERSIONS, WIDTHS, vector
+from foldspark.operators.vectorize import DIRECTORIES, GENERAL, SIZES, VERSIONS, WIDTHS
+from tests.plain_vectors import hashed, murmur3, vector
 
 
 def test_p_values_of_known_cases():
@@ -22,6 +22,28 @@ def test_p_values_of_known_cases():
     assert T.ks_p(0.5, 100, 100) < 1e-6
 
 
+def test_signed_ranks_with_ties_against_enumeration():
+    rng = np.random.default_rng(3)
+    for n in range(1, 13):
+        for _ in range(4):
+            size = rng.integers(1, rng.integers(2, n + 2), n)
+            ranks = np.array([(size < v).sum() + ((size == v).sum() + 1) / 2 for v in size])
+            sums = ((np.arange(1 << n)[:, None] >> np.arange(n)) & 1) @ ranks
+            w = float(rng.choice(sums))
+            w = min(w, ranks.sum() - w)
+            ties = [(int(2 * r), int((ranks == r).sum())) for r in np.unique(ranks)]
+            assert T.signed_rank_p(w, ties) == pytest.approx(min(1.0, 2 * (sums <= w + 1e-9).mean()))
+
+
+def test_tails_of_many_disagreements():
+    for n, k in ((9, 1), (171, 81), (500, 200)):
+        assert T.mcnemar_p(k, n - k) == pytest.approx(min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n), rel=1e-9)
+    n = 1_000_000_000
+    z = 20_000 / math.sqrt(n)
+    assert T.mcnemar_p(n // 2 - 10_000, n // 2 + 10_000) == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-3)
+    assert T.mcnemar_p(5, 10**9) == 0.0 and T.mcnemar_p(n // 2, n // 2) == 1.0
+
+
 def test_murmur3_published_values():
     assert murmur3(b"") == 0
     assert murmur3(b"hello") & 0xFFFFFFFF == 0x248BFA47
