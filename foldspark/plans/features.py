@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foldspark.functions import scalars as S
 from foldspark.operators import features as X
-from foldspark.operators.hashing import hash_tokens
+from foldspark.operators.hashing import ADDED, FINAL, FIRST, MASK, SECOND, hash_tokens
 from foldspark.plans.catalog import query, table
 
 KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
@@ -104,11 +104,32 @@ def interleave_pad(spark, d):
     return e.select("vec_id", "k", F.round("v", 6).alias("v"))
 
 
-@query("signed_hash")
+def _murmur_sql() -> str:
+    """(w, h): signed 32-bit hashes of the words of a table u, word by word of four bytes, in 64-bit arithmetic."""
+    times = lambda x, c: f"((({x} & 65535) * {c} + (((({x} >> 16) * {c}) & 65535) * 65536)) & {MASK})"
+    turned = lambda x, by: f"((({x} << {by}) | ({x} >> {32 - by})) & {MASK})"
+    number = lambda *at: "('0x' || " + " || ".join(f"substr(x, {i}, 2)" for i in at) + ")::BIGINT"
+    rest = f"CASE n % 4 WHEN 0 THEN 0 WHEN 1 THEN {number('2 * n - 1')} WHEN 2 THEN {number('2 * n - 1', '2 * n - 3')} ELSE {number('2 * n - 1', '2 * n - 3', '2 * n - 5')} END"
+    mixed = lambda c: f"list_transform(list_transform(list_transform({c}, lambda k: {times('k', FIRST)}), lambda k: {turned('k', 15)}), lambda k: {times('k', SECOND)})"
+    steps = [
+        "b AS (SELECT w, hex(encode(w)) AS x, strlen(w)::BIGINT AS n FROM u)",
+        f"b1 AS (SELECT w, n, {mixed(f'list_transform(range(n // 4), lambda i: {number(*(f"8 * i + {k}" for k in (7, 5, 3, 1)))})')} AS m, {mixed(f'[{rest}]')}[1] AS last FROM b)",
+        f"b2 AS (SELECT w, xor(xor(list_reduce(list_prepend(0::BIGINT, m), lambda h, k: ({turned('xor(h, k)', 13)} * 5 + {ADDED}) & {MASK}), last), n) AS h FROM b1)"]
+    last = "b2"
+    for i, (shift, factor) in enumerate(FINAL):
+        steps.append(f"b{3 + i} AS (SELECT w, {times(f'xor(h, h >> {shift})', factor)} AS h FROM {last})")
+        last = f"b{3 + i}"
+    return ",\n".join(steps) + f", h AS (SELECT w, CASE WHEN xor(h, h >> 16) >= 2147483648 THEN xor(h, h >> 16) - 4294967296 ELSE xor(h, h >> 16) END AS h FROM {last})"
+
+
+@query("signed_hash", f"""
+WITH t AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+')) AS w FROM documents), u AS (SELECT DISTINCT w FROM t), {_murmur_sql()},
+s AS (SELECT doc_id, abs(h) % 16 AS bin, sum(sign(h + 0.5))::DOUBLE AS v FROM t JOIN h USING (w) GROUP BY ALL)
+SELECT doc_id, bin::INT AS bin, v FROM s WHERE v <> 0""")
 def signed_hash(spark, d):
-    """Words of each document hashed with signs into 16 bins."""
-    docs = table(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), r"\s+").alias("tokens"))
-    return docs.select("doc_id", hash_tokens("tokens", 16).alias("v"))
+    """Words of each document hashed with signs into 16 bins: those that aren't 0."""
+    docs = table(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+").alias("tokens"))
+    return docs.select("doc_id", F.posexplode(hash_tokens("tokens", 16)).alias("bin", "v")).filter("v <> 0")
 
 
 CHAIN = """x AS (SELECT l_orderkey % 3 AS g, l_quantity::DOUBLE AS a, l_extendedprice::DOUBLE AS b, 2 * l_quantity::DOUBLE + l_tax AS c, l_discount::DOUBLE AS d, l_tax::DOUBLE AS e, 1.0::DOUBLE AS k FROM lineitem),
