@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from foldspark.plans import features, geometry, kernels, labels, metrics, models, pipelines, profiles, runs, samples  # noqa: E402, F401
+from foldspark.plans import features, geometry, kernels, labels, metrics, models, pipelines, profiles, runs, samples, sources  # noqa: E402, F401
