@@ -39,17 +39,16 @@ def standardize(df: DataFrame, fit: DataFrame, columns: list[str]) -> DataFrame:
     return j.withColumns({f"{c}_z": (F.col(c) - F.col(f"{c}_mean")) / F.when(F.col(f"{c}_std") > 0, F.col(f"{c}_std")).otherwise(F.lit(1.0)) for c in columns})
 
 
-def greedy_drop(columns: list[str], r: dict[tuple[str, str], float], threshold: float = 0.95) -> list[str]:
-    """Columns to drop: of each pair above the threshold the later one, unless one of both is dropped already.
+def greedy_kept(r: np.ndarray, threshold: float) -> np.ndarray:
+    """Which columns stay: each in turn drops all later ones whose correlation with it is above the threshold, unless it is dropped.
 
-    Order matters, so this runs on the driver, over pairs of columns.
+    Order matters, so this runs on the driver, over a matrix of columns times columns.
     """
-    dropped: set[str] = set()
-    for i, a in enumerate(columns):
-        for b in columns[i + 1 :]:
-            if a not in dropped and b not in dropped and abs(r.get((a, b), r.get((b, a), 0.0)) or 0.0) > threshold:
-                dropped.add(b)
-    return [c for c in columns if c in dropped]
+    kept = np.ones(len(r), bool)
+    for i in range(len(r)):
+        if kept[i]:
+            kept[i + 1 :] &= ~(np.abs(r[i, i + 1 :]) > threshold)
+    return kept
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
@@ -133,10 +132,8 @@ class Chain:
             var = np.maximum(cov.diagonal(), 0)
             varies = var > np.maximum(variance, 1e-12 * (mean**2 + 1))
             r = cov / np.sqrt(np.outer(np.where(varies, var, 1), np.where(varies, var, 1)))
-            named = {(columns[i], columns[j]): float(r[i, j]) for i in range(d) for j in range(i + 1, d)}
-            names = [c for c, v in zip(columns, varies, strict=True) if v]
-            gone = greedy_drop(names, named, correlation)
-            kept = [i for i, c in enumerate(columns) if varies[i] and c not in gone]
+            kept = np.flatnonzero(varies)
+            kept = kept[greedy_kept(r[np.ix_(kept, kept)], correlation)]
             if components > len(kept):
                 raise ValueError(f"{components} components of {len(kept)} features")
             values, axes = np.linalg.eigh(r[np.ix_(kept, kept)])

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.operators import metrics
+from foldspark.operators.features import greedy_kept
 from foldspark.operators.sampling import folds
 
 #: Rows of the products' matrix in a shard.
@@ -77,15 +78,6 @@ def products(df: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray, n
     return int(p[0, 0]), base, p[0, 1:], p[1:, 1:]
 
 
-def greedy_kept(r: np.ndarray, threshold: float) -> np.ndarray:
-    """Which columns stay: each in turn drops all later ones whose correlation with it is above the threshold, unless it is dropped."""
-    kept = np.ones(len(r), bool)
-    for i in range(len(r)):
-        if kept[i]:
-            kept[i + 1 :] &= ~(np.abs(r[i, i + 1 :]) > threshold)
-    return kept
-
-
 class _Chain(HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     variance = Param(Params._dummy(), "variance", "columns of no more variance go", TypeConverters.toFloat)
     correlation = Param(Params._dummy(), "correlation", "the later column of a pair with a larger correlation goes", TypeConverters.toFloat)

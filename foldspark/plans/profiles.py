@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foldspark.functions.scalars import correlation
 from foldspark.operators import labelstats as L
+from foldspark.operators import sketches as K
 from foldspark.operators.ordered import rank_auc
 from foldspark.plans.catalog import query, table
 
@@ -125,3 +126,17 @@ def power_law_fit(spark, d):
     p = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("n")).agg(F.sum("l_extendedprice").alias("s")).filter("s > 0 and n > 0")
     slope = F.when(F.count("*") >= 2, F.regr_slope(F.log("s"), F.log("n")))
     return p.agg(F.round(slope, 6).alias("exponent"), F.count("*").alias("n_points"))
+
+
+@query("describe_from_states", """
+WITH s AS (SELECT event_type, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS least, max(value) AS most FROM events GROUP BY 1)
+SELECT event_type, CAST(n AS BIGINT) AS n, round(mean, 6) AS mean, round(std, 6) AS std, round(least, 6) AS min, round(most, 6) AS max, CAST(3 AS BIGINT) AS quartiles_within FROM s WHERE n > 0""")
+def describe_from_states(spark, d):
+    """Values of each event type from sketches of 16 chunks, merged; quartiles whose rank is within the stated error of their share."""
+    e = table(spark, d, "events").select("event_type", "value", F.pmod("event_id", F.lit(16)).alias("chunk"))
+    got = K.describe(K.merge(K.states(e, ["event_type", "chunk"], "value").drop("chunk"), ["event_type"]), ["event_type"])
+    names = dict(zip(("q25", "q50", "q75"), K.QUARTILES, strict=True))
+    counts = [F.count_if(F.col("value") < F.col(c)).alias(f"below_{c}") for c in names] + [F.count_if(F.col("value") <= F.col(c)).alias(f"upto_{c}") for c in names]
+    ranked = e.join(got, "event_type").groupBy("event_type", "n", "mean", "std", "min", "max").agg(*counts)
+    within = [((F.col(f"below_{c}") / F.col("n") - K.rank_error() <= q) & (F.col(f"upto_{c}") / F.col("n") + K.rank_error() >= q)).cast("long") for c, q in names.items()]
+    return ranked.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")], (within[0] + within[1] + within[2]).alias("quartiles_within"))

@@ -6,7 +6,6 @@ import pytest
 from foldspark.operators import kernels as K
 from foldspark.operators import solver
 from foldspark.operators import stats as T
-from foldspark.operators.features import greedy_drop
 from foldspark.operators.models import candidates
 from foldspark.operators.vectorize import DIRECTORIES, GENERAL, SIZES, VERSIONS, WIDTHS
 from tests.plain_vectors import hashed, murmur3, vector
@@ -83,11 +82,6 @@ def test_vector_blocks():
         vector(record(), version=1)
 
 
-def test_greedy_correlation_filter():
-    assert greedy_drop(["a", "b", "c"], {("a", "b"): 0.99, ("b", "c"): 0.99, ("a", "c"): 0.1}) == ["b"]
-    assert greedy_drop(["a", "b"], {("a", "b"): 0.0}) == []
-
-
 def gate_by_gate(x, encoding, beta):
     """The feature map by applying each gate to a state vector."""
     n = len(x)
