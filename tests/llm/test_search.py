@@ -12,7 +12,7 @@ import pytest
 from foldspark.llm import search
 from foldspark.llm.oracles import ORACLE
 from foldspark.llm.queries import QUERIES
-from tests.llm.conftest import SCHEMA, lower, texts
+from tests.llm.conftest import lower, texts
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 ITEMS = "item_id long, text string"
