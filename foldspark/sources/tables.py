@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,26 +45,19 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | str) ->
     return df.filter("label <> -1").withColumn("avclass", F.coalesce("avclass", F.lit("")))
 
 
-def _counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
-    """df, and its number of rows once it was written: counted on the way, not by another scan."""
-    seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
-
-
 def vectors(spark: SparkSession, records: str, schema: T.StructType | str, out: str) -> int:
-    """JSON lines of records as a Parquet table of sha256, label, avclass and features; gives its number of rows."""
-    df, seen = _counted(vectorize(read_records(spark, records, schema)), "vectors")
-    df.write.mode("overwrite").parquet(out)
-    return seen.get["n"]
+    """JSON lines of records as a Parquet table of sha256, label, avclass and features; gives its number of rows, from its footers."""
+    vectorize(read_records(spark, records, schema)).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out).count()
 
 
 def write_subset(wide: DataFrame, keys: DataFrame, key: str, path: str) -> dict[str, int]:
-    """The rows of a wide table that have one of the keys, written; gives counts of rows before, asked for, and after, all taken in
-    the one scan. Of tables of thousands of columns in files, sources.wide.gather reads only row groups with picked rows."""
-    (before, rows), (asked, n), name = _counted(wide, "rows"), _counted(keys.select(key).distinct(), "asked"), "written"
-    after, written = _counted(before.join(asked, key, "left_semi"), name)
-    after.write.mode("overwrite").parquet(path)
-    return {"rows": rows.get["n"], "asked": n.get["n"], "written": written.get["n"]}
+    """The rows of a wide table that have one of the keys, written; gives counts of rows before, asked for, and after. Counts of Parquet
+    tables come from footers, so no column is read for them (observed metrics would keep Spark ML's logistic models from being sent
+    to tasks later in the session). Of tables of thousands of columns, sources.wide.gather reads only row groups with picked rows."""
+    asked = keys.select(key).distinct()
+    wide.join(asked, key, "left_semi").write.mode("overwrite").parquet(path)
+    return {"rows": wide.count(), "asked": asked.count(), "written": wide.sparkSession.read.parquet(path).count()}
 
 
 def features(df: DataFrame, labels: tuple[str, ...] = LABELS) -> list[str]:
