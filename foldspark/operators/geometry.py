@@ -77,12 +77,18 @@ def silhouette(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         a, b = matrix(x[vector]), matrix(y[vector])
         dist = np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(2), 0)) if a.shape[1] <= 8 else np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1) - 2 * a @ b.T, 0))
+        own = x["_block"].iloc[0] == y["_block"].iloc[0]
+        if own:  # rounding makes a row's distance from itself more than 0
+            np.fill_diagonal(dist, 0)
+        return by_class(x, y, dist) if own else pd.concat([by_class(x, y, dist), by_class(y, x, dist.T)])
+
+    def by_class(x: pd.DataFrame, y: pd.DataFrame, dist: np.ndarray) -> pd.DataFrame:
         classes, code = np.unique(y[label].to_numpy(), return_inverse=True)
         sums = dist @ np.eye(len(classes))[code]
         return pd.DataFrame({"i": np.repeat(x[key].to_numpy(), len(classes)), "own": np.repeat(x[label].to_numpy(), len(classes)), "other": np.tile(classes, len(x)), "s": sums.ravel()})
 
     kind = dict(df.dtypes)[label]
-    sums = pairs(df, df, key, run, f"i long, own {kind}, other {kind}, s double").groupBy("i", "own", "other").agg(F.sum("s").alias("s"))
+    sums = pairs(df, df, key, run, f"i long, own {kind}, other {kind}, s double", symmetric=True).groupBy("i", "own", "other").agg(F.sum("s").alias("s"))
     n = df.groupBy(F.col(label).alias("other")).agg(F.count("*").alias("n"))
     j = sums.join(n, "other")
     inner = F.max(F.when(F.col("own") == F.col("other"), F.try_divide("s", F.col("n") - 1)))
