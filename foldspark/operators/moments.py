@@ -175,6 +175,29 @@ def moment_sums(rows: DataFrame, vector: str = "x", label: str = "y") -> DataFra
     return s.select(n.alias("n"), ((F.col("k1") - F.col("ones")) / 2).alias("k1"), ((F.col("k2") - F.col("ones")) / 2).alias("k2"), (F.col("same") / 2).alias("same"))
 
 
+def mean_similarity(rows: DataFrame, key: str = "i", vector: str = "x", label: str = "y", name: str = "k_mean") -> DataFrame:
+    """(key, name): mean squared cosine of each row with all rows, itself included: its own tensor's product with the mean tensor of all."""
+    classes = tensors(rows, vector, label, fourth=False)
+    whole = classes.withColumn("part", F.pmod(F.xxhash64("label"), F.lit(MEET)).cast("int")).groupBy("part").applyInPandas(_all, _PARTS)
+    total = whole.groupBy("kind").applyInPandas(_all, _PARTS).first()  # columns times columns
+    if total is None or not total["rows"]:
+        return rows.select(key, F.lit(0.0).alias(name)).limit(0)
+    x = np.array(total["x"])
+    mean = second_orders(_columns(len(x))) * x / total["rows"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            for lo in range(0, batch.num_rows, ROWS):
+                b = batch.slice(lo, ROWS)
+                u = unit(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1))
+                yield pa.record_batch({key: b.column(0), name: pa.array(_products(u) @ mean)})
+
+    kind = dict(rows.dtypes)[key]
+    each = rows.select(key, F.col(vector).alias("x")).mapInArrow(run, f"{key} {kind}, {name} double")
+    return each.groupBy(key).agg(F.avg(name).alias(name))
+
+
 def sums(rows: DataFrame, columns: int, key: str = "i", vector: str = "x", label: str = "y") -> DataFrame:
     """kernel_sums of the squared cosine by whichever way takes fewer products."""
     n = rows.count()
