@@ -97,8 +97,8 @@ def _folds(spark, d) -> DataFrame:
 def fold_lists(spark, d):
     """Folds as JSON lists of training and test rows, read back."""
     path = folder(spark, "folds")
-    tables.write_fold_lists(_folds(spark, d).select(F.col("o_orderkey").alias("row_id"), "fold"), path)
-    return tables.read_folds(spark, path).groupBy("fold", "part").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
+    tables.write_fold_lines(_folds(spark, d).select(F.col("o_orderkey").alias("row_id"), "fold"), path)
+    return tables.read_folds(spark, path, lines=True).groupBy("fold", "part").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
 
 
 @query("inner_folds", f"""
