@@ -61,19 +61,23 @@ def alignment_report(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def fold_scores(children: DataFrame, parents: DataFrame, cell: dict[str, object], folds: int, metric: str = "f1_macro", ties: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """(parent_run_id, fold_no, metric) of the newest clean sweep of a cell, given by values of columns of the children, in fold order.
+    """(parent_run_id, fold_no, metric) of the newest clean sweep of a cell, given by values of columns of the children or else of the
+    parents, in fold order.
 
     An error where no finished sweep with exactly `folds` children that have the metric matches: nothing there can be trusted.
     """
-    require(children, (*cell, "parent_run_id", "start_time", metric))
+    above = {n: v for n, v in cell.items() if n not in children.columns and n in parents.columns}
+    require(children, (*[n for n in cell if n not in above], "parent_run_id", "start_time", metric))
     require(parents, ("run_id", "status", "start_time"))
-    matches = children
+    matches, up = children, parents
     for name, value in cell.items():
-        matches = matches.filter(F.col(name).cast("string") == str(value))
-    clean = clean_sweeps(children, parents, folds, metric)
-    starts = parents.select(F.col("run_id").alias("parent_run_id"), F.col("start_time").alias("_start"))
-    found = matches.select("parent_run_id").distinct().join(clean, "parent_run_id", "left_semi").join(starts, "parent_run_id")
-    newest_ = found.agg(F.max_by("parent_run_id", F.struct("_start", "parent_run_id")).alias("id")).first()["id"]
+        own = F.col(name).cast("string") == str(value)
+        matches, up = (matches, up.filter(own)) if name in above else (matches.filter(own), up)
+    found = clean_sweeps(children, up, folds, metric)
+    if len(above) < len(cell):
+        found = found.join(matches.select("parent_run_id").distinct(), "parent_run_id", "left_semi")
+    starts = up.select(F.col("run_id").alias("parent_run_id"), F.col("start_time").alias("_start"))
+    newest_ = found.join(starts, "parent_run_id").agg(F.max_by("parent_run_id", F.struct("_start", "parent_run_id")).alias("id")).first()["id"]
     if newest_ is None:
         raise ValueError(f"{'/'.join(map(str, cell.values()))}: no finished sweep with exactly {folds} folds")
     return fold_numbers(matches.filter(F.col("parent_run_id") == newest_), ties).select("parent_run_id", "fold_no", metric)

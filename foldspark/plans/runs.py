@@ -99,9 +99,7 @@ WITH {CLEAN}, s AS (SELECT o_orderkey FROM orders JOIN c ON o_orderkey = l_order
 SELECT l_orderkey AS parent_run_id, CAST(row_number() OVER (ORDER BY {ORDER}) - 1 AS INTEGER) AS fold_no, l_discount AS f1_macro FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM s)""")
 def cell_scores(spark, d):
     """Fold metrics of one cell, in fold order; an error where no clean sweep matches."""
-    p = parents(spark, d)
-    folds = children(spark, d).join(p.select(F.col("run_id").alias("parent_run_id"), "cell"), "parent_run_id")
-    return R.fold_scores(folds, p, {"cell": "1-URGENT"}, FOLDS, ties=TIES)
+    return R.fold_scores(children(spark, d), parents(spark, d), {"cell": "1-URGENT"}, FOLDS, ties=TIES)
 
 
 @query("tagged_encoding", """
