@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 FIRST, SECOND, ADDED = 0xCC9E2D51, 0x1B873593, 0xE6546B64
 FINAL = ((16, 0x85EBCA6B), (13, 0xC2B2AE35))
 MASK = 0xFFFFFFFF
+#: Entries up to which bins are looked up among them.
+FEW = 8
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -62,7 +64,12 @@ def sums_by_bin(entries: str, bins: int) -> str:
     high = -(-bins // low)
     inner = f"transform(sequence(0, {low - 1}), lo -> aggregate(filter(own, e -> e.bin = hi * {low} + lo), CAST(0 AS DOUBLE), (a, e) -> a + e.v))"
     parts = f"transform(transform(sequence(0, {high - 1}), hi -> filter(es, e -> e.bin div {low} = hi)), (own, hi) -> {inner})"
-    return let("es", entries, f"slice(flatten({parts}), 1, {bins})")
+    dense = f"slice(flatten({parts}), 1, {bins})"
+    # of few entries, bins are looked up among them: most bins are met by none
+    found = "array_distinct(transform(es, e -> e.bin))"
+    sums = "transform(found, k -> aggregate(filter(es, e -> e.bin = k), CAST(0 AS DOUBLE), (a, e) -> a + e.v))"
+    sparse = let("found", found, let("sums", sums, f"transform(sequence(0, {bins - 1}), k -> IF(array_contains(found, k), sums[array_position(found, k) - 1], CAST(0 AS DOUBLE)))"))
+    return let("es", entries, f"IF(size(es) <= {FEW}, {sparse}, {dense})" if bins > FEW else dense)
 
 
 def hashed(tokens: str, bins: int, values: str | None = None) -> str:
