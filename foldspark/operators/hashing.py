@@ -1,15 +1,18 @@
 """Signed feature hashing as column expressions, compatible with 32-bit MurmurHash3 (x86, seed 0): bin |h| mod n, sign of h.
 
-Spark's own hashes have another seed and no sign. Here tokens become arrays of 4-byte words of their UTF-8 bytes, words are mixed and
-folded with 64-bit arithmetic that can't overflow, and signs are summed by bin: expressions over arrays, without a Python worker, without
-a shuffle, and the same in SQL. Sums go over bins in two steps, first by high digits, then by low ones, so a token is looked at some
-2 * sqrt(n) times instead of n times.
+Spark's own hashes have another seed and no sign. `hash_tokens` takes Arrow batches: each distinct token of a batch is hashed once, all tokens
+side by side, four bytes a step, and signs are counted by (row, bin). `hashed` is SQL over arrays, for expressions over nested records that
+stay in the JVM: words of 4 bytes are mixed and folded with 64-bit arithmetic that can't overflow. Its sums go over bins in two steps,
+first by high digits, then by low ones, so a token is looked at some 2 * sqrt(n) times instead of n times.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,8 +20,8 @@ from pyspark.sql import functions as F
 FIRST, SECOND, ADDED = 0xCC9E2D51, 0x1B873593, 0xE6546B64
 FINAL = ((16, 0x85EBCA6B), (13, 0xC2B2AE35))
 MASK = 0xFFFFFFFF
-#: Entries up to which bins are looked up among them.
-FEW = 8
+#: Entries up to which bins are looked up among them; tokens from which a step of all of them is taken at once.
+FEW, MANY = 8, 16
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -83,6 +86,60 @@ def hashed(tokens: str, bins: int, values: str | None = None) -> str:
     return sums_by_bin(f"zip_with({murmur3(some)}, {numbers}, (h, v) -> named_struct('bin', {bin_}, 'v', {signed} * CAST(v AS DOUBLE)))", bins)
 
 
+def _mixed(k: np.ndarray) -> np.ndarray:
+    k = k * np.uint32(FIRST)
+    return (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(SECOND)
+
+
+def hashes(words: pa.Array) -> np.ndarray:
+    """Signed 32-bit hashes (as 64-bit integers) of an array of strings without nulls."""
+    words = words.cast(pa.large_binary())
+    at = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset) if len(words) else np.zeros(1, np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    order = np.argsort(at[:-1] - at[1:], kind="stable")  # longest first, so those with a step left are in front
+    start, size = at[:-1][order], np.diff(at)[order]
+    steps = size // 4
+    ends = np.cumsum(steps)
+    byte = np.repeat(start - 4 * (ends - steps), steps) + 4 * np.arange(steps.sum())
+    k = np.zeros(len(byte), np.uint32)
+    for b in range(4):
+        k |= data[byte + b].astype(np.uint32) << np.uint32(8 * b)
+    k, first, h = _mixed(k), ends - steps, np.zeros(len(words), np.uint32)
+    alive, i = len(words), 0
+    while True:
+        alive = int(np.searchsorted(-steps[:alive], -i))
+        if alive < MANY:
+            break
+        y = h[:alive] ^ k[first[:alive] + i]
+        h[:alive] = (y << np.uint32(13) | y >> np.uint32(19)) * np.uint32(5) + np.uint32(ADDED)
+        i += 1
+    for j in range(alive):  # few long tokens: one by one
+        x = int(h[j])
+        for word in k[first[j] + i : ends[j]].tolist():
+            x ^= word
+            x = ((x << 13 | x >> 19) * 5 + ADDED) & MASK
+        h[j] = x
+    last = np.zeros(len(words), np.uint32)
+    for b in range(3):
+        some = size % 4 > b
+        last[some] |= data[(start + 4 * steps + b)[some]].astype(np.uint32) << np.uint32(8 * b)
+    h ^= _mixed(last) ^ size.astype(np.uint32)
+    for shift, factor in FINAL:
+        h = (h ^ h >> np.uint32(shift)) * np.uint32(factor)
+    out = np.empty(len(words), np.int64)
+    out[order] = (h ^ h >> np.uint32(16)).view(np.int32)
+    return out
+
+
 def hash_tokens(tokens: str, bins: int) -> Column:
-    """Array of `bins` sums of signs over a column of arrays of tokens."""
-    return F.expr(hashed(tokens, bins))
+    """Array of `bins` sums of signs over a column of arrays of tokens. A null array gives zeros, a null token counts as ''."""
+
+    @F.arrow_udf("array<double>")
+    def sums(lists: pa.Array) -> pa.Array:
+        words = pc.fill_null(lists.flatten(), "").dictionary_encode()
+        h, of = hashes(words.dictionary), words.indices.to_numpy()
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        got = np.bincount(row * bins + (np.abs(h) % bins)[of], np.where(h >= 0, 1.0, -1.0)[of], len(lists) * bins)
+        return pa.ListArray.from_arrays(np.arange(0, len(got) + 1, bins, dtype=np.int32), got.astype(float))
+
+    return sums(F.coalesce(F.expr(tokens), F.expr("CAST(array() AS ARRAY<STRING>)")))

@@ -1,5 +1,6 @@
 """Steps whose work or memory grew with more than a task's share."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from foldspark.functions import scalars as S
 from foldspark.operators import hashing as H
 from foldspark.operators import runstore as R
 from foldspark.sources import tables
+from tests.plain_vectors import murmur3
 
 
 def test_fold_lists_in_lines(spark, tmp_path):
@@ -42,3 +44,19 @@ def test_a_cell_may_be_named_by_its_sweeps(spark):
     assert [tuple(r)[:2] for r in R.fold_scores(children, parents, {"cell": "a"}, 2, ties=()).collect()] == [(1, 0), (1, 1)]
     with pytest.raises(ValueError, match="no finished"):
         R.fold_scores(children, parents, {"cell": "b"}, 2, ties=())
+
+
+def test_distinct_tokens_are_hashed_once(monkeypatch):
+    words = ["", "a", "ab", "abc", "abcd", "Über", "中文字", "\x00\x7f", "x" * 1000, *(str(k) * (k % 9) for k in range(60)), *("y" * k for k in range(30))]
+    want = [murmur3(w.encode()) for w in words]
+    for many in (1, 16, 1000):
+        monkeypatch.setattr(H, "MANY", many)
+        assert H.hashes(pa.array(words)).tolist() == want and H.hashes(pa.array(["z", *words])[1:]).tolist() == want
+    assert H.hashes(pa.array([], pa.string())).tolist() == []
+
+
+def test_hashes_of_tokens_are_no_loop_over_arrays(spark):
+    df = spark.createDataFrame([(["a", "b", "a", None],), ([],), (None,), ([str(k) for k in range(40)],)], "t array<string>")
+    got = df.select(H.hash_tokens("t", 16).alias("a"), F.expr(H.hashed("t", 16)).alias("b"))
+    assert all(r["a"] == r["b"] and len(r["a"]) == 16 for r in got.collect())
+    assert "lambda" not in df.select(H.hash_tokens("t", 16))._jdf.queryExecution().optimizedPlan().toString()
