@@ -2,11 +2,14 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from foldspark.functions import scalars as S
 from foldspark.operators import hashing as H
 from foldspark.operators import runstore as R
+from foldspark.operators import sampling
+from foldspark.operators.stages import FeatureChain, nested
 from foldspark.sources import tables
 from tests.plain_vectors import murmur3
 
@@ -60,3 +63,19 @@ def test_hashes_of_tokens_are_no_loop_over_arrays(spark):
     got = df.select(H.hash_tokens("t", 16).alias("a"), F.expr(H.hashed("t", 16)).alias("b"))
     assert all(r["a"] == r["b"] and len(r["a"]) == 16 for r in got.collect())
     assert "lambda" not in df.select(H.hash_tokens("t", 16))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_kept_folds_have_partitions_by_rows(spark):
+    rows = spark.createDataFrame([(i, i % 3, [float(i % 7), float(i % 5)]) for i in range(120)], "row_id long, y int, features array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        p = nested(rows, Pipeline(stages=[FeatureChain()]), [], 3)
+        cores = spark.sparkContext.defaultParallelism
+        assert p.rdd.getNumPartitions() <= 3 * cores
+        assert sorted(r["row_id"] for r in p.collect()) == list(range(120))
+        want = {r["row_id"]: r["fold"] for r in sampling.folds(rows, "y", "row_id", 3).collect()}
+        assert {r["row_id"]: r["fold"] for r in p.collect()} == want
+        assert sampling.gathered(rows, "row_id", 50 * sampling.SHARE).rdd.getNumPartitions() == 50
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
