@@ -41,6 +41,25 @@ def test_gram_tables_take_each_kernel_once(spark):
     assert all(r["k"] == pytest.approx(x[r["i"]] @ x[r["j"]]) for r in rect)
 
 
+def test_mirrored_halves_are_written_as_copies(spark, tmp_path):
+    x = np.random.default_rng(0).normal(size=(1200, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, x array<double>")
+    kernel = lambda a, b: np.random.default_rng(len(a)).random((len(a), len(b)))
+    sizes = []
+    for name, mirrored in (("half", False), ("both", True)):
+        K.gram_upper(rows, kernel, block=64, mirrored=mirrored).coalesce(1).write.parquet(str(tmp_path / name))
+        sizes.append(sum(p.stat().st_size for p in (tmp_path / name).glob("*.parquet")))
+    both = spark.read.parquet(str(tmp_path / "both"))
+    assert both.count() == both.select("i", "j").distinct().count() == 1200 * 1199
+    assert sizes[1] < 1.5 * sizes[0]
+
+
+def test_gram_sym_sends_vectors_as_stored(spark):
+    from foldspark.plans.kernels import stored
+
+    assert dict(stored(spark, "/root/testdata/sf0.001").dtypes) == {"i": "bigint", "x": "array<float>"}
+
+
 def test_silhouette_over_several_blocks(spark):
     rng = np.random.default_rng(1)
     y = np.append(rng.integers(0, 3, 1299), 7)
