@@ -60,6 +60,12 @@ def test_gram_sym_sends_vectors_as_stored(spark):
     assert dict(stored(spark, "/root/testdata/sf0.001").dtypes) == {"i": "bigint", "x": "array<float>"}
 
 
+def test_gram_rect_sends_vectors_as_stored(spark):
+    from foldspark.plans.kernels import gram_rect
+
+    assert "transform(" not in gram_rect(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_silhouette_over_several_blocks(spark):
     rng = np.random.default_rng(1)
     y = np.append(rng.integers(0, 3, 1299), 7)
