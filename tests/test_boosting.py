@@ -92,3 +92,46 @@ def test_odd_rows(spark):
         B.SoftmaxBoosting().fit(df.limit(0))
     one = df.withColumn("y", F.lit(0))
     assert {r["prediction"] for r in B.SoftmaxBoosting(trees=1).fit(one).transform(one).collect()} == {0.0}
+
+
+@pytest.mark.parametrize(("alone", "node"), [(0, 1 << 17), (0, 120), (0, 0)])
+def test_rounds_by_levels_and_below_nodes(spark, monkeypatch, tmp_path, alone, node):
+    """A whole round in one job, upper levels in jobs of their own, and all of them: the trees are the same."""
+    monkeypatch.setattr(B, "ALONE", alone)
+    monkeypatch.setattr(B, "NODE", node)
+    monkeypatch.setattr(B, "FILE", 100)
+    test_rounds_against_plain(spark, 3, 3, tmp_path)
+    test_learns_and_writes_rounds(spark, monkeypatch)
+    monkeypatch.undo()
+    x, y = sample(400, 6, 3)
+    df = frame(spark, x, y)
+    want = B.SoftmaxBoosting(trees=3, depth=4, bins=8).fit(df)
+    monkeypatch.setattr(B, "ALONE", alone)
+    monkeypatch.setattr(B, "NODE", node)
+    got = B.SoftmaxBoosting(trees=3, depth=4, bins=8).fit(df)
+    out = [[r["rawPrediction"].toArray() for r in m.transform(df).sort("row_id").collect()] for m in (want, got)]
+    assert np.allclose(*out, atol=1e-8)
+
+
+def test_few_jobs_a_round(spark, monkeypatch):
+    monkeypatch.setattr(B, "ALONE", 0)
+    x, y = sample(200, 4, 3)
+    calls = []
+    monkeypatch.setattr(B, "_level", lambda *a: calls.append(a))
+    model = B.SoftmaxBoosting(trees=2, depth=8, bins=8).fit(frame(spark, x, y))
+    assert not calls and len(model.rounds()) == 2
+
+
+def test_odd_rows_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(B, "ALONE", 0)
+    test_odd_rows(spark)
+
+
+def test_the_leaves_query_draws_from_the_whole_space():
+    from foldspark.operators import models as M
+    from foldspark.plans import models as plans
+
+    assert not plans.SMALL["boosting_leaves"] and plans.DRAWS["boosting_leaves"] > 1
+    draws = M.candidates("boosting_leaves", plans.DRAWS["boosting_leaves"], 42, plans.SMALL["boosting_leaves"])
+    stages = [plans.estimator("boosting_leaves", d).getStages()[-1] for d in draws]
+    assert all(100 <= s.getOrDefault("trees") <= 600 and 2 ** s.getOrDefault("depth") >= d["leaves"] >= 15 for s, d in zip(stages, draws, strict=True))
